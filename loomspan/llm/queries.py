@@ -7,8 +7,10 @@ import importlib
 #: Query name -> module that defines a function of that name.
 MODULES = {
     "op1_quality_qda": "quality",
+    "op2_template_removal": "page_text",
     "op6_arc_to_warc": "archives",
     "op7_vector_packing": "packing",
+    "op8_multi_index": "multi_index",
     "op9_token_frames": "token_files",
     "op10_gumbel_pieces": "sampled_pieces",
 }

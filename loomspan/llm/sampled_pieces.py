@@ -113,13 +113,13 @@ def _random(key: object, seed: int) -> np.random.Generator:
 
 def sample(words: list[list], k: int, rng: np.random.Generator) -> list[tuple[list[int], float, float, float]]:
     """Up to ``k`` distinct (ids, log-probability, perturbed value, inclusion score)."""
-    # queue entry: (-value, tie, log-mass, word, position, excluded edges, ids before)
-    queue = [(math.log(rng.exponential()), 0, 0.0, 0, 0, frozenset(), ())]
+    # queue entry: (-value, tie, log-mass, log-probability and ids of the prefix, word, position, excluded edges)
+    queue = [(math.log(rng.exponential()), 0, 0.0, 0.0, (), 0, 0, frozenset())]
     tie, found = 0, []
     while queue and len(found) < k:
-        negative, _, mass, w, p, shut, before = heapq.heappop(queue)
+        negative, _, mass, prefix, before, w, p, shut = heapq.heappop(queue)
         value = -negative
-        ids, steps, at = list(before), [], []
+        ids, steps, taken, at = list(before), [], [1.0], []
         draw = iter(rng.random(64).tolist())
         while w < len(words):
             nodes = words[w]
@@ -138,7 +138,10 @@ def sample(words: list[list], k: int, rng: np.random.Generator) -> list[tuple[li
                     q = min(1.0, shares[i] / total)
                     if len(open_) > 1:
                         steps.append(q)
+                        taken.append(shares[i])
                         at.append((w, p, shut | {i}, len(ids)))
+                    else:
+                        taken[0] = shares[i]
                     shut = frozenset()
                 elif len(ends) == 1:
                     i = 0
@@ -149,6 +152,7 @@ def sample(words: list[list], k: int, rng: np.random.Generator) -> list[tuple[li
                         u = next(draw)
                     i = min(bisect_right(sums, u * sums[-1]), len(ends) - 1)
                     steps.append(shares[i])
+                    taken.append(shares[i])
                     at.append((w, p, i, len(ids)))
                 ids.extend(edge_ids[i])
                 p = ends[i]
@@ -156,7 +160,8 @@ def sample(words: list[list], k: int, rng: np.random.Generator) -> list[tuple[li
         q = np.array(steps)
         logs = np.log(q)
         path = mass + np.cumsum(logs)
-        found.append([ids, float(path[-1]) if steps else mass, value])
+        prefixes = prefix + np.cumsum(np.log(taken))
+        found.append((ids, float(prefixes[-1]), value))
         if steps:
             with np.errstate(divide="ignore"):
                 rest = path - logs + np.log1p(-np.minimum(q, 1.0))
@@ -169,7 +174,7 @@ def sample(words: list[list], k: int, rng: np.random.Generator) -> list[tuple[li
                     w2, p2, gone, length = at[j]
                     tie += 1
                     gone = gone if isinstance(gone, frozenset) else frozenset((gone,))
-                    heapq.heappush(queue, (-float(values[j]), tie, float(rest[j]), w2, p2, gone, tuple(ids[:length])))
+                    heapq.heappush(queue, (-float(values[j]), tie, float(rest[j]), float(prefixes[j]), tuple(ids[:length]), w2, p2, gone))
     bound = -queue[0][0] if queue else -math.inf
     return [(ids, log, value, -math.expm1(-math.exp(min(log - bound, 700.0)))) for ids, log, value in found]
 

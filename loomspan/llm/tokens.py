@@ -16,7 +16,7 @@ from array import array
 import regex
 
 #: Words that one worker remembers; beyond them it starts afresh.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 800_000
 #: Longer words are encoded each time.
 CACHE_CHARS = 48
 
