@@ -8,6 +8,8 @@ import importlib
 MODULES = {
     "op1_quality_qda": "quality",
     "op2_template_removal": "page_text",
+    "op3_order_minhash": "order_minhash",
+    "op4_nn_descent": "nn_descent",
     "op6_arc_to_warc": "archives",
     "op7_vector_packing": "packing",
     "op8_multi_index": "multi_index",
