@@ -139,20 +139,32 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3 == 1
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, score, predicted) of every row of ``docs``.
-
-    ``labels`` has the id and ``quality``. The statistics are computed once, written
-    to the shared folder, and serve both the fit and the scores.
-    """
-    stats = table(docs.select(F.col(id_col).alias("doc_id"), stats_udf(F.col(text_col)).alias("stats")), "quality-stats")
+def _fitted(stats: DataFrame, labels: DataFrame, id_col: str) -> Discriminant:
+    """Fits on the labelled rows of (doc_id, stats) that aren't held out."""
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col("quality").alias("label")).where("doc_id is not null and label is not null")
-    model = fit(stats.where(~held_out(F.col("doc_id"))).join(marks, "doc_id"))
+    return fit(stats.where(~held_out(F.col("doc_id"))).join(marks, "doc_id"))
 
+
+def _density(model: Discriminant):
     @F.pandas_udf("double")
     def density(x: pd.Series) -> pd.Series:
         return pd.Series(model.scores(np.array(x.tolist(), dtype=float).reshape(-1, N_STATS)))
 
+    return density
+
+
+def _stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return table(docs.select(F.col(id_col).alias("doc_id"), stats_udf(F.col(text_col)).alias("stats")), "quality-stats")
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, held_out, score, predicted) of every row of ``docs``.
+
+    ``labels`` has the id and ``quality``. The statistics are computed once, written
+    to the shared folder, and serve both the fit and the scores.
+    """
+    stats = _stats(docs, id_col, text_col)
+    density = _density(_fitted(stats, labels, id_col))
     return stats.select(
         F.col("doc_id").alias(id_col),
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
@@ -160,6 +172,16 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score of at least 0.5, unchanged.
+
+    Each row is judged by itself as it is read, so texts need no shuffle and null or
+    repeated ids no care.
+    """
+    density = _density(_fitted(_stats(docs, id_col, text_col), labels, id_col))
+    return docs.where(density(stats_udf(F.col(text_col))) >= 0.5)
+
+
 def op1_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     read = spark.read.parquet

@@ -10,6 +10,7 @@ MODULES = {
     "op2_template_removal": "page_text",
     "op3_order_minhash": "order_minhash",
     "op4_nn_descent": "nn_descent",
+    "op5_suffix_repeats": "repeated_spans",
     "op6_arc_to_warc": "archives",
     "op7_vector_packing": "packing",
     "op8_multi_index": "multi_index",
