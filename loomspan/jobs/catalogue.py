@@ -1,13 +1,419 @@
-"""The registered queries of the reference's own operators."""
+"""The registered queries of the reference's own operators, and their DuckDB SQL."""
 
 from __future__ import annotations
 
-FLAGSHIP = None
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries() -> dict:
-    return {}
+from loomspan.functions import text as T
+from loomspan.operators import evaluation as E
+from loomspan.operators import ingest as I
+from loomspan.operators import retrieval as R
+from loomspan.sources.tables import feed_entries, page, read
+from loomspan.streaming.replay import replay
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+#: k values of the fusion sweep.
+SWEEP = (0, 1, 5, 10, 20, 60, 120)
+
+TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+SQUEEZE = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+TITLE = SQUEEZE.format("split_part({0}, chr(10), 1)")
+ABSTRACT = SQUEEZE.format("CASE WHEN instr({0}, chr(10)) > 0 THEN substr({0}, instr({0}, chr(10)) + 1) ELSE '' END")
+HASH = f"sha256(concat({TITLE}, chr(10), chr(10), {ABSTRACT}))"
+
+
+def _embed_sql(name: str, key: str, source: str) -> str:
+    return f"""
+{name}_w AS (SELECT {key} AS k, w FROM (SELECT {key}, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM {source}) WHERE w <> ''),
+{name}_s AS (SELECT k, CAST(concat('0x', substr(sha256(w), 1, 8)) AS BIGINT) % {R.BUCKETS} AS bucket,
+  sum(CASE WHEN CAST(concat('0x', substr(sha256(w), 9, 2)) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS s FROM {name}_w GROUP BY 1, 2 HAVING s <> 0),
+{name}_n AS (SELECT k, sqrt(sum(s * s)) AS norm FROM {name}_s GROUP BY 1),
+{name} AS (SELECT k, bucket, CAST(s AS DOUBLE) / norm AS weight FROM {name}_s JOIN {name}_n USING (k)
+  UNION ALL SELECT {key}, 0, 1.0 FROM {source} WHERE {key} NOT IN (SELECT k FROM {name}_n))"""
+
+
+def _rank_sql(name: str, source: str, depth: int, by: str = "item_id") -> str:
+    return f"""
+{name} AS (SELECT {by}, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, doc_id) AS rank FROM {source}) WHERE rank <= {depth})"""
+
+
+BM = f"""
+post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK}) AS term FROM documents) GROUP BY 1, 2),
+lens AS (SELECT doc_id, len({TOK}) AS dl FROM documents),
+corp AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+asked AS (SELECT DISTINCT item_id, unnest({TOK}) AS term FROM benchmark),
+bm_s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)))), 6) AS score
+  FROM asked JOIN post USING (term) JOIN dfs USING (term) JOIN lens USING (doc_id), corp GROUP BY 1, 2),{_rank_sql("bm", "bm_s", R.DEPTH)}"""
+DN = f"""
+prefixed AS (SELECT item_id, concat('{R.QUERY_PREFIX}', text) AS text FROM benchmark),{_embed_sql("de", "doc_id", "documents")},{_embed_sql("qe", "item_id", "prefixed")},
+dn_s AS (SELECT qe.k AS item_id, de.k AS doc_id, round(sum(qe.weight * de.weight), 6) AS score FROM qe JOIN de USING (bucket) GROUP BY 1, 2),{_rank_sql("dn", "dn_s", R.DEPTH)}"""
+
+
+def _fuse_sql(name: str, k: str, depth: int, extra: str = "") -> str:
+    return f"""
+{name}_s AS (SELECT item_id, doc_id, round(sum(1.0 / ({k} + rank)), 9) AS score, min(CASE WHEN run = 'bm25' THEN rank END) AS bm25_rank, min(CASE WHEN run = 'dense' THEN rank END) AS dense_rank{extra}
+  FROM (SELECT item_id, doc_id, rank, 'bm25' AS run FROM bm UNION ALL SELECT item_id, doc_id, rank, 'dense' FROM dn) GROUP BY 1, 2),
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM {name}_s) WHERE rank <= {depth})"""
+
+
+HY = _fuse_sql("hy", str(R.RRF_K), R.TOP_K)
+TRUTH = """
+truth AS (SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""
+RUNS = """
+runs AS (SELECT 'bm25' AS mode, item_id, doc_id, rank FROM bm WHERE rank <= 10 UNION ALL SELECT 'dense', item_id, doc_id, rank FROM dn WHERE rank <= 10 UNION ALL SELECT 'hybrid', item_id, doc_id, rank FROM hy)"""
+
+
+def _metric_sql(runs: str = "runs") -> str:
+    ideal = lambda k: f"list_sum([1.0 / log2(i + 1) FOR i IN range(1, least(n_rel, {k}) + 1)])"
+    cols = [f"round(count(*) FILTER (rank <= {k}) / n_rel, 6) AS recall_{k}, round(count(*) FILTER (rank <= {k}) / {k}, 6) AS precision_{k}, round(coalesce(sum(1.0 / log2(rank + 1)) FILTER (rank <= {k}), 0) / {ideal(k)}, 6) AS ndcg_{k}" for k in E.KS]
+    return f"""
+n_rel AS (SELECT item_id, count(*) AS n_rel FROM truth GROUP BY 1),
+hits AS (SELECT mode, item_id, rank FROM {runs} JOIN truth USING (item_id, doc_id)),
+scored AS (SELECT m.mode, r.item_id, {", ".join(cols)}, round(coalesce(1.0 / min(rank) FILTER (rank <= 10), 0), 6) AS mrr
+  FROM (SELECT DISTINCT mode FROM {runs}) m CROSS JOIN n_rel r LEFT JOIN hits h ON h.mode = m.mode AND h.item_id = r.item_id GROUP BY 1, 2, n_rel)"""
+
+
+ALL = ",".join([BM, DN, HY, TRUTH, RUNS, _metric_sql()])
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# text
+
+@_query(f"SELECT doc_id, CAST(CASE WHEN s = '' THEN 0 ELSE len(string_split(s, ' ')) END AS BIGINT) AS n_words, CAST(length(s) AS BIGINT) AS norm_len FROM (SELECT doc_id, {SQUEEZE.format('text')} AS s FROM documents)")
+def sc1_normalise(spark, sf_dir):
+    s = T.squeezed(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.n_words(F.col("text")).alias("n_words"), F.char_length(s).cast("long").alias("norm_len"))
+
+
+@_query(f"SELECT doc_id, {HASH.format('text')} AS content_hash FROM documents")
+def sc4_content_hash(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
+
+
+@_query(f"SELECT content_hash, CAST(count(*) AS BIGINT) AS n, min(doc_id) AS min_doc_id FROM (SELECT doc_id, {HASH.format('text')} AS content_hash FROM documents) GROUP BY 1 HAVING count(*) > 1")
+def sc4_duplicate_groups(spark, sf_dir):
+    return sc4_content_hash(spark, sf_dir).groupBy("content_hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("min_doc_id")).where("n > 1")
+
+
+@_query(f"SELECT doc_id, t AS token_estimate, t > {T.CHUNK_TOKENS} AS needs_split FROM (SELECT doc_id, CAST(ceil(CASE WHEN s = '' THEN 0 ELSE len(string_split(s, ' ')) END * 1.7::DOUBLE) AS BIGINT) AS t FROM (SELECT doc_id, {SQUEEZE.format('text')} AS s FROM documents))")
+def sc6_token_estimate(spark, sf_dir):
+    t = T.token_estimate(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", t.alias("token_estimate"), (t > T.CHUNK_TOKENS).alias("needs_split"))
+
+
+@_query()
+def sc8_chunks(spark, sf_dir):
+    out = I.chunk_table(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "chunk_index", "token_estimate", F.md5("text").alias("text_md5"))
+
+
+@_query("SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE concat(regexp_replace(substr(text, 1, 300), ' [^ ]*$', ''), '...') END AS snippet FROM documents")
+def prj2_snippet(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"))
+
+
+@_query(f"WITH {_embed_sql('e', 'doc_id', 'documents')} SELECT k AS doc_id, bucket, round(weight, 6) AS weight FROM e")
+def em1_hash_embed(spark, sf_dir):
+    return R.hash_embedding(read(spark, sf_dir, "documents"), "doc_id").select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+@_query("SELECT page_id, title, coalesce(nullif(regexp_extract(html, 'lang=\"([a-z]+)\"', 1), ''), 'und') AS lang, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS n_links FROM (SELECT *, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages) WHERE title <> ''")
+def src7_feed_entry(spark, sf_dir):
+    return feed_entries(read(spark, sf_dir, "pages"))
+
+
+@_query("SELECT doc_id, source, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 40")
+def src14_page_listing(spark, sf_dir):
+    return page(read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), [F.desc("n_chars"), "doc_id"], 3)
+
+
+# retrieval
+
+def _bm(spark, sf_dir):
+    return R.bm25(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"))
+
+
+def _dn(spark, sf_dir):
+    return R.dense(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"))
+
+
+def _hy(spark, sf_dir, **more):
+    return R.fused({"bm25": _bm(spark, sf_dir), "dense": _dn(spark, sf_dir)}, **more)
+
+
+@_query(f"SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1")
+def ag21_corpus_stats(spark, sf_dir):
+    return R.corpus_stats(read(spark, sf_dir, "documents"))
+
+
+@_query(f"WITH {BM} SELECT item_id, doc_id, score, rank FROM bm WHERE rank <= 10")
+def rt1_bm25_topk(spark, sf_dir):
+    return _bm(spark, sf_dir).where("rank <= 10")
+
+
+def _field_sql(name: str, expr: str, boost: float) -> str:
+    return f"""
+{name}_d AS (SELECT doc_id, {expr.format('text')} AS text FROM documents),
+{name}_p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK}) AS term FROM {name}_d) GROUP BY 1, 2),
+{name}_l AS (SELECT doc_id, len({TOK}) AS dl FROM {name}_d),
+{name}_c AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM {name}_l),
+{name}_f AS (SELECT term, count(*) AS df FROM {name}_p GROUP BY 1),
+{name} AS (SELECT item_id, doc_id, {boost} * sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)))) AS score, '{name}' AS field
+  FROM asked JOIN {name}_p USING (term) JOIN {name}_f USING (term) JOIN {name}_l USING (doc_id), {name}_c GROUP BY 1, 2)"""
+
+
+@_query(f"WITH asked AS (SELECT DISTINCT item_id, unnest({TOK}) AS term FROM benchmark),{_field_sql('title', TITLE, 2.0)},{_field_sql('abstract', ABSTRACT, 1.0)}, best AS (SELECT item_id, doc_id, round(max(score), 6) AS score, first(field ORDER BY round(score, 6) DESC, field) AS best_field FROM (SELECT * FROM title UNION ALL SELECT * FROM abstract) GROUP BY 1, 2) SELECT item_id, doc_id, score, best_field, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM best) WHERE rank <= 10")
+def rt1_bm25_best_fields(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    fields = {"title": (docs.select("doc_id", T.title_of(F.col("text")).alias("text")), 2.0), "abstract": (docs.select("doc_id", T.abstract_of(F.col("text")).alias("text")), 1.0)}
+    return R.bm25_best_fields(read(spark, sf_dir, "benchmark"), fields, 10).select("item_id", "doc_id", "score", "best_field", "rank")
+
+
+@_query(f"WITH {DN} SELECT item_id, doc_id, score AS similarity, rank FROM dn WHERE rank <= 10")
+def rt3_dense_hash(spark, sf_dir):
+    return _dn(spark, sf_dir).where("rank <= 10").select("item_id", "doc_id", F.col("score").alias("similarity"), "rank")
+
+
+@_query("WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])), 6) AS similarity FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) WHERE rank <= 10")
+def rt4_knn_exact(spark, sf_dir):
+    return R.knn(read(spark, sf_dir, "embeddings"), 50, 10)
+
+
+@_query(f"WITH {BM},{DN},{HY} SELECT item_id, doc_id, score, rank, bm25_rank, dense_rank FROM hy")
+def rt6_rrf_fusion(spark, sf_dir):
+    return _hy(spark, sf_dir).select("item_id", "doc_id", "score", "rank", "bm25_rank", "dense_rank")
+
+
+@_query(f"WITH {BM},{DN},{TRUTH}, ks AS (SELECT unnest([{', '.join(map(str, SWEEP))}]) AS k), s AS (SELECT k, item_id, doc_id, round(sum(1.0 / (k + rank)), 9) AS score FROM (SELECT * FROM bm UNION ALL SELECT * FROM dn), ks GROUP BY 1, 2, 3), runs AS (SELECT k AS mode, item_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY k, item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10),{_metric_sql()} SELECT CAST(mode AS BIGINT) AS k, round(avg(recall_10), 6) AS recall_10, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(mrr), 6) AS mrr FROM scored GROUP BY 1")
+def rt9_rrf_k_sweep(spark, sf_dir):
+    lists = _bm(spark, sf_dir).unionByName(_dn(spark, sf_dir))
+    every = lists.withColumn("k", F.explode(F.array(*[F.lit(k).cast("long") for k in SWEEP])))
+    s = every.groupBy("k", "item_id", "doc_id").agg(F.sum(1 / (F.col("k") + F.col("rank"))).alias("score"))
+    runs = R.ranked(s.withColumn("by", F.struct("k", "item_id")), 10, "by", 9).withColumnRenamed("k", "mode")
+    scored = E.scores(runs, E.relevant(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")))
+    return E.averages(scored, ["mode"], ["recall_10", "ndcg_10", "mrr"]).withColumnRenamed("mode", "k")
+
+
+@_query(f"WITH {BM},{DN} SELECT item_id, doc_id, CAST(min(rank) AS BIGINT) AS best_rank FROM (SELECT * FROM bm WHERE rank <= 12 UNION ALL SELECT * FROM dn WHERE rank <= 12) GROUP BY 1, 2")
+def rt10_pool(spark, sf_dir):
+    both = _bm(spark, sf_dir).unionByName(_dn(spark, sf_dir)).where("rank <= 12")
+    return both.groupBy("item_id", "doc_id").agg(F.min("rank").alias("best_rank"))
+
+
+@_query(f"WITH {BM},{DN} SELECT item_id, CAST(count(d.doc_id) AS BIGINT) AS overlap FROM bm b LEFT JOIN (SELECT * FROM dn WHERE rank <= 3) d USING (item_id, doc_id) WHERE b.rank <= 3 GROUP BY 1")
+def st2_mode_overlap(spark, sf_dir):
+    top = [df.where("rank <= 3").groupBy("item_id").agg(F.collect_set("doc_id").alias(n)) for n, df in (("b", _bm(spark, sf_dir)), ("d", _dn(spark, sf_dir)))]
+    both = top[0].join(top[1], "item_id", "left")
+    return both.select("item_id", F.coalesce(F.size(F.array_intersect("b", F.coalesce("d", F.array().cast("array<bigint>")))), F.lit(0)).cast("long").alias("overlap"))
+
+
+@_query(f"WITH {BM} SELECT item_id, doc_id, lang, source, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS rank FROM bm JOIN documents USING (doc_id) WHERE rank <= 10 AND source <> 'src0'")
+def prj5_hydrate(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").where("source <> 'src0'")
+    return R.hydrated(_bm(spark, sf_dir).where("rank <= 10"), docs, ["lang", "source"]).select("item_id", "doc_id", "lang", "source", "rank")
+
+
+@_query(f"WITH {BM},{DN},{HY} SELECT item_id, doc_id, CASE WHEN dense_rank IS NULL THEN concat('Only bm25 found it, at rank ', bm25_rank, '.') WHEN bm25_rank IS NULL THEN concat('Only dense found it, at rank ', dense_rank, '.') ELSE concat('Fused: bm25 rank ', bm25_rank, ', dense rank ', dense_rank, '.') END AS explanation FROM hy")
+def rt12_explain(spark, sf_dir):
+    b, d = F.col("bm25_rank"), F.col("dense_rank")
+    said = (
+        F.when(d.isNull(), F.concat(F.lit("Only bm25 found it, at rank "), b, F.lit(".")))
+        .when(b.isNull(), F.concat(F.lit("Only dense found it, at rank "), d, F.lit(".")))
+        .otherwise(F.concat(F.lit("Fused: bm25 rank "), b, F.lit(", dense rank "), d, F.lit(".")))
+    )
+    return _hy(spark, sf_dir).select("item_id", "doc_id", said.alias("explanation"))
+
+
+@_query()
+def wn3_collapse_chunks(spark, sf_dir):
+    chunks = I.chunk_table(read(spark, sf_dir, "documents")).withColumn("key", F.struct("doc_id", "chunk_index"))
+    hits = R.bm25_scores(read(spark, sf_dir, "benchmark"), chunks, key="key").select("item_id", F.col("key").alias("doc_id"), "score")
+    hits = R.ranked(hits, R.DEPTH).select("item_id", "doc_id.*", "score", "rank")
+    return R.collapsed(hits, R.TOP_K)
+
+
+# evaluation
+
+def _scored(spark, sf_dir):
+    b, d = _bm(spark, sf_dir), _dn(spark, sf_dir)
+    runs = {"bm25": b.where("rank <= 10"), "dense": d.where("rank <= 10"), "hybrid": R.fused({"bm25": b, "dense": d})}
+    every = None
+    for name, df in runs.items():
+        one = df.select(F.lit(name).alias("mode"), "item_id", "doc_id", "rank")
+        every = one if every is None else every.unionByName(one)
+    return E.scores(every, E.relevant(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")))
+
+
+@_query(f"WITH {ALL} SELECT * FROM scored")
+def ev5_score_query(spark, sf_dir):
+    return _scored(spark, sf_dir)
+
+
+@_query(f"WITH {TRUTH} SELECT * FROM truth")
+def ev6_relevance(spark, sf_dir):
+    return E.relevant(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"))
+
+
+@_query(f"WITH {BM},{TRUTH}, u AS (SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM truth)), c AS (SELECT u.item_id, count(doc_id) AS n FROM u LEFT JOIN (SELECT * FROM bm WHERE rank <= 10) USING (item_id) GROUP BY 1) SELECT CAST(count(*) AS BIGINT) AS queries, CAST(sum(n) AS BIGINT) AS returned, CAST(count(*) FILTER (n = 0) AS BIGINT) AS empty FROM c")
+def ev7_unanswerable(spark, sf_dir):
+    items, docs = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")
+    none = items.join(E.relevant(items, docs), "item_id", "left_anti").select("item_id")
+    hits = _bm(spark, sf_dir).where("rank <= 10").groupBy("item_id").agg(F.count("*").alias("n"))
+    out = none.join(hits, "item_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.agg(F.count("*").alias("queries"), F.sum("n").cast("long").alias("returned"), F.count_if(F.col("n") == 0).alias("empty"))
+
+
+@_query(f"WITH {ALL} SELECT mode, {', '.join(f'round(avg({m}), 6) AS {m}' for m in E.HEADLINE)} FROM scored GROUP BY 1")
+def ev9_headline(spark, sf_dir):
+    return E.averages(_scored(spark, sf_dir), ["mode"])
+
+
+@_query(f"WITH {ALL}, c AS (SELECT item_id, CASE WHEN length(text) < 200 THEN 'short' ELSE 'long' END AS class FROM benchmark) SELECT class, {', '.join(f'round(avg(CASE WHEN mode = {chr(39)}{m}{chr(39)} THEN ndcg_10 END), 6) AS {m}' for m in ('bm25', 'dense', 'hybrid'))} FROM scored JOIN c USING (item_id) GROUP BY 1")
+def ag4_per_class(spark, sf_dir):
+    classes = read(spark, sf_dir, "benchmark").select("item_id", F.when(F.char_length("text") < 200, "short").otherwise("long").alias("class"))
+    wide = _scored(spark, sf_dir).join(classes, "item_id").groupBy("class").pivot("mode", ["bm25", "dense", "hybrid"]).agg(F.round(F.avg("ndcg_10"), 6))
+    return wide
+
+
+@_query(f"WITH {ALL}, o AS (SELECT item_id, ndcg_10 AS own FROM scored WHERE mode = 'hybrid'), r AS (SELECT item_id, max(ndcg_10) AS rival, first(mode ORDER BY ndcg_10 DESC, mode) AS beaten_by FROM scored WHERE mode <> 'hybrid' GROUP BY 1) SELECT item_id, beaten_by, round(rival - own, 6) AS deficit FROM o JOIN r USING (item_id) WHERE rival > own")
+def ev10_hybrid_losses(spark, sf_dir):
+    return E.losses(_scored(spark, sf_dir), "hybrid")
+
+
+@_query()
+def ev11_bootstrap(spark, sf_dir):
+    return E.paired(_scored(spark, sf_dir), "bm25", "hybrid", "ndcg_10", 2000, 20260910)
+
+
+_GATE = ", ".join(f"('{m}', (SELECT {m} FROM a WHERE mode = 'bm25'), (SELECT {m} FROM a WHERE mode = 'hybrid'))" for m in E.HEADLINE)
+
+
+@_query(f"WITH {ALL}, a AS (SELECT mode, {', '.join(f'round(avg({m}), 6) AS {m}' for m in E.HEADLINE)} FROM scored GROUP BY 1) SELECT metric, before, after, after < before - 0.02 AS failed FROM (VALUES {_GATE}) t(metric, before, after)")
+def ev15_gate(spark, sf_dir):
+    avg = E.averages(_scored(spark, sf_dir), ["mode"])
+    return E.gate(avg.where("mode = 'bm25'").drop("mode"), avg.where("mode = 'hybrid'").drop("mode"), E.HEADLINE)
+
+
+@_query(f"WITH {ALL} SELECT item_id, b.ndcg_10 AS before, a.ndcg_10 AS after FROM (SELECT * FROM scored WHERE mode = 'bm25') b JOIN (SELECT * FROM scored WHERE mode = 'dense') a USING (item_id) WHERE a.ndcg_10 < b.ndcg_10 - 1e-9")
+def ev16_regressed(spark, sf_dir):
+    s = _scored(spark, sf_dir)
+    one = lambda mode, name: s.where(F.col("mode") == mode).select("item_id", F.col("ndcg_10").alias(name))
+    return one("bm25", "before").join(one("dense", "after"), "item_id").where("after < before - 1e-9")
+
+
+# ingestion: every seventh document comes again with another text, every eleventh id is new
+
+_INCOMING = "SELECT CASE WHEN doc_id % 11 = 0 THEN doc_id + 1000000000 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 7 = 0 THEN concat(text, ' Revised.') ELSE text END AS text FROM documents"
+_CLASSIFIED = f"SELECT n.doc_id, CASE WHEN o.doc_id IS NULL THEN 'created' WHEN {HASH.format('o.text')} = {HASH.format('n.text')} THEN 'skipped' ELSE 'updated' END AS action FROM ({_INCOMING}) n LEFT JOIN documents o ON o.doc_id = n.doc_id"
+
+
+def _incoming(docs: DataFrame) -> DataFrame:
+    new_id = F.when(F.col("doc_id") % 11 == 0, F.col("doc_id") + 1000000000).otherwise(F.col("doc_id"))
+    return docs.select(new_id.alias("doc_id"), F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" Revised."))).otherwise(F.col("text")).alias("text"))
+
+
+@_query(_CLASSIFIED)
+def jn5_upsert_classify(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return I.classified(_incoming(docs), docs)
+
+
+@_query(f"SELECT doc_id, md5(text) AS text_md5 FROM ({_INCOMING}) UNION ALL SELECT doc_id, md5(text) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({_INCOMING}))")
+def snk2_upsert(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return I.upserted(docs, _incoming(docs)).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@_query(f"SELECT CAST(count(*) AS BIGINT) AS seen, CAST(count(*) FILTER (action = 'created') AS BIGINT) AS created, CAST(count(*) FILTER (action = 'updated') AS BIGINT) AS updated, CAST(count(*) FILTER (action = 'skipped') AS BIGINT) AS skipped FROM ({_CLASSIFIED})")
+def ag7_run_counters(spark, sf_dir):
+    return I.counters(jn5_upsert_classify(spark, sf_dir))
+
+
+@_query("SELECT event_type AS category, max(ts) AS watermark FROM events WHERE value >= 5 GROUP BY 1")
+def ag9_watermark(spark, sf_dir):
+    runs = read(spark, sf_dir, "events").where("value >= 5")
+    return runs.groupBy(F.col("event_type").alias("category")).agg(F.max("ts").alias("watermark"))
+
+
+@_query("SELECT event_type AS mode, first(event_id ORDER BY ts DESC, event_id DESC) AS event_id, first(value ORDER BY ts DESC, event_id DESC) AS value FROM events GROUP BY 1")
+def ag10_latest_run_per_mode(spark, sf_dir):
+    last = F.max(F.struct("ts", "event_id", "value")).alias("x")
+    return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("mode")).agg(last).select("mode", "x.event_id", "x.value")
+
+
+@_query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, median(value) AS middle, list_sort(list(value))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS upper_middle FROM events GROUP BY 1")
+def ag5_medians(spark, sf_dir):
+    upper = F.element_at(F.array_sort(F.collect_list("value")), (F.floor(F.count("*") / 2) + 1).cast("int"))
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.percentile("value", 0.5).alias("middle"), upper.alias("upper_middle"))
+
+
+@_query("SELECT user_id, event_type, event_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def stream_upsert_replay(spark, sf_dir):
+    out = replay(spark, f"{sf_dir}/events.parquet", ["user_id", "event_type"], ["ts", "event_id"])
+    return out.select("user_id", "event_type", "event_id", "ts", "value")
+
+
+# answers: assistant turns get citation marks and abstentions from their own ids
+
+_ANSWERS = "SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 9 = 0 THEN concat('`INSUFFICIENT`', chr(10), text) ELSE concat(text, ' [', conv_id % 4 + 1, '] [', turn % 7, '] [', conv_id % 4 + 1, ']') END AS answer FROM conversations WHERE role = 'assistant'"
+_CITED = f"SELECT conv_id, turn, [CAST(x AS BIGINT) FOR x IN regexp_extract_all(answer, '\\[(\\d+)\\]', 1)] AS cited, upper(regexp_replace(split_part(trim(answer), chr(10), 1), '^[\\s`*.]+|[\\s`*.]+$', '', 'g')) = 'INSUFFICIENT' AS abstained FROM ({_ANSWERS})"
+
+
+def _answers(spark, sf_dir):
+    said = read(spark, sf_dir, "conversations").where("role = 'assistant'")
+    mark = lambda c: F.concat(F.lit(" ["), c.cast("string"), F.lit("]"))
+    first, second = mark(F.col("conv_id") % 4 + 1), mark(F.col("turn") % 7)
+    answer = F.when((F.col("conv_id") + F.col("turn")) % 9 == 0, F.concat(F.lit("`INSUFFICIENT`\n"), "text")).otherwise(F.concat("text", first, second, first))
+    out = said.select("conv_id", "turn", answer.alias("answer"))
+    return out.select("conv_id", "turn", T.citations(F.col("answer")).alias("cited"), T.abstained(F.col("answer")).alias("abstained"))
+
+
+@_query(f"SELECT conv_id, turn, array_to_string(cited, ',') AS cited, CAST(len([x FOR x IN cited IF x < 1 OR x > 5]) AS BIGINT) AS n_invalid FROM ({_CITED})")
+def sc11_citations(spark, sf_dir):
+    bad = F.filter("cited", lambda x: (x < 1) | (x > 5))
+    return _answers(spark, sf_dir).select("conv_id", "turn", F.array_join("cited", ",").alias("cited"), F.size(bad).cast("long").alias("n_invalid"))
+
+
+@_query(f"SELECT conv_id, turn, abstained FROM ({_CITED})")
+def sc13_abstention(spark, sf_dir):
+    return _answers(spark, sf_dir).select("conv_id", "turn", "abstained")
+
+
+@_query(f"SELECT CAST(count(*) AS BIGINT) AS answers, round(avg(CAST(abstained AS INT)), 6) AS abstention, round(avg(CASE WHEN NOT abstained AND len(cited) > 0 THEN len([x FOR x IN cited IF x BETWEEN 1 AND 5]) / len(cited) END), 6) AS precision, CAST(count(*) FILTER (NOT abstained AND len(cited) = 0) AS BIGINT) AS uncited, CAST(coalesce(sum(len([x FOR x IN cited IF x < 1 OR x > 5])) FILTER (NOT abstained), 0) AS BIGINT) AS hallucinated FROM ({_CITED})")
+def ag11_answer_rates(spark, sf_dir):
+    df = _answers(spark, sf_dir)
+    good = F.size(F.filter("cited", lambda x: x.between(1, 5)))
+    spoke, n = ~F.col("abstained"), F.size("cited")
+    return df.agg(
+        F.count("*").alias("answers"),
+        F.round(F.avg(F.col("abstained").cast("int")), 6).alias("abstention"),
+        F.round(F.avg(F.when(spoke & (n > 0), good / n)), 6).alias("precision"),
+        F.count_if(spoke & (n == 0)).alias("uncited"),
+        F.coalesce(F.sum(F.when(spoke, n - good)), F.lit(0)).cast("long").alias("hallucinated"),
+    )
+
+
+FLAGSHIP = rt6_rrf_fusion
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
