@@ -26,6 +26,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Words that one worker remembers; beyond them it starts afresh.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 50_000
+#: A backward sum below this is made 1, and the sums that it is compared with follow.
+SMALL = 1e-100
 #: The weight of a piece of a merge-ordered vocabulary is (rank + 2) to the minus this.
 RANK_POWER = 1.0
 
@@ -51,18 +54,22 @@ class Lattice:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self._pieces: dict[str, tuple[int, float]] = {}
+        self._pieces: dict[str, tuple] = {}
         m = self.model
         for i in range(m.get_piece_size()):
             if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i)):
                 s = m.get_score(i)
-                self._pieces[m.id_to_piece(i)] = (i, -RANK_POWER * math.log(2 - s) if ranked else s)
+                self._pieces[m.id_to_piece(i)] = ((i,), (2 - s) ** -RANK_POWER if ranked else math.exp(s))
         if any(SPACE in p.lstrip(SPACE) for p in self._pieces):
             raise ValueError("a piece spans a white space")
         self._longest = max(map(len, self._pieces))
         self._bytes = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self._floor = min(s for _, s in self._pieces.values()) - 1
-        self._words: dict[str, list] = {}
+        self._byte_weight = min(w for _, w in self._pieces.values()) / math.e
+        # an empty entry for what only begins a piece, so that a search ends early
+        for piece in list(self._pieces):
+            for q in range(1, len(piece)):
+                self._pieces.setdefault(piece[:q], ())
+        self._words: dict[str, tuple] = {}
 
     def encode(self, text: str | None) -> list[int]:
         return self.model.encode(text or "")
@@ -70,7 +77,7 @@ class Lattice:
     def decode(self, ids: list[int]) -> str:
         return self.model.decode(ids)
 
-    def words(self, text: str | None) -> list[list]:
+    def words(self, text: str | None) -> list[tuple]:
         """The nodes of each word's lattice, for the model's normal form of the text."""
         normal = self.model.normalize(text or "")
         if len(self._words) > CACHE_WORDS:
@@ -78,40 +85,46 @@ class Lattice:
         found = self._words
         return [found.get(w) or found.setdefault(w, self._nodes(w)) for w in re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", normal)]
 
-    def _nodes(self, word: str) -> list:
-        """Of each position: (sums of probabilities, next positions, ids, log-weights)."""
-        n, pieces = len(word), self._pieces
-        below = [0.0] * (n + 1)
+    def _nodes(self, word: str) -> tuple:
+        """Of each position: (sums of probabilities, next positions, ids, probabilities).
+
+        Tuples throughout, which Python's collector need not visit again.
+        """
+        n, find, longest = len(word), self._pieces.get, self._longest
+        below = [1.0] * (n + 1)
         nodes: list = [None] * n
         for p in range(n - 1, -1, -1):
-            ends, ids, logs = [], [], []
-            for q in range(p + 1, min(n, p + self._longest) + 1):
-                if hit := pieces.get(word[p:q]):
+            ends, ids, down = [], [], []
+            for q in range(p + 1, min(n, p + longest) + 1):
+                hit = find(word[p:q])
+                if hit is None:
+                    break
+                if hit:
                     ends.append(q)
-                    ids.append((hit[0],))
-                    logs.append(hit[1])
+                    ids.append(hit[0])
+                    down.append(hit[1] * below[q])
             if not ends or ends[0] != p + 1:  # a character without a piece
                 raw = word[p].encode("utf-8", "surrogatepass")
                 ends.append(p + 1)
-                ids.append(tuple(self._bytes[b] for b in raw))
-                logs.append(self._floor * len(raw))
-            down = [w + below[q] for w, q in zip(logs, ends)]
-            top = max(down)
-            below[p] = top + math.log(sum(math.exp(d - top) for d in down))
-            shares = [math.exp(d - below[p]) for d in down]
-            sums, total = [], 0.0
-            for s in shares:
-                total += s
-                sums.append(total)
-            nodes[p] = (sums, ends, ids, shares)
-        return nodes
+                ids.append(tuple([self._bytes[b] for b in raw]))
+                down.append(self._byte_weight ** len(raw) * below[p + 1])
+            total = below[p] = sum(down)
+            if len(down) == 1:
+                nodes[p] = ((1.0,), tuple(ends), tuple(ids), (1.0,))
+            else:
+                shares = tuple([d / total for d in down])
+                nodes[p] = (tuple(accumulate(shares)), tuple(ends), tuple(ids), shares)
+            if total < SMALL:
+                for q in range(p, min(n, p + longest) + 1):
+                    below[q] = min(below[q] / total, 1 / SMALL**2)
+        return tuple(nodes)
 
 
 def _random(key: object, seed: int) -> np.random.Generator:
     return np.random.Generator(np.random.SFC64(int.from_bytes(blake2b(f"{seed}|{key}".encode(), digest_size=16).digest(), "little")))
 
 
-def sample(words: list[list], k: int, rng: np.random.Generator) -> list[tuple[list[int], float, float, float]]:
+def sample(words: list[tuple], k: int, rng: np.random.Generator) -> list[tuple[list[int], float, float, float]]:
     """Up to ``k`` distinct (ids, log-probability, perturbed value, inclusion score)."""
     # queue entry: (-value, tie, log-mass, log-probability and ids of the prefix, word, position, excluded edges)
     queue = [(math.log(rng.exponential()), 0, 0.0, 0.0, (), 0, 0, frozenset())]
