@@ -97,15 +97,15 @@ class Shard:
         self.tables = []
         for column in codes.T:
             order = np.argsort(column, kind="stable")
-            values, starts = np.unique(column[order], return_index=True)
-            self.tables.append((values, np.append(starts, len(column)), order))
+            values, sizes = np.unique(column, return_counts=True)
+            self.tables.append((values, sizes, order))
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose codes lie within ``radius``, found by probing every substring."""
         each, hit = radius // len(code), np.zeros(len(self.ids), bool)
-        for part, (values, starts, order) in zip(code, self.tables):
-            for b in np.flatnonzero(np.bitwise_count(values ^ part) <= each):
-                hit[order[starts[b] : starts[b + 1]]] = True
+        for part, (values, sizes, order) in zip(code, self.tables):
+            probed = np.bitwise_count(values ^ part) <= each
+            hit[order[np.repeat(probed, sizes)]] = True
         rows = np.flatnonzero(hit)
         return rows[np.bitwise_count(self.codes[rows] ^ code).sum(1) <= radius]
 
