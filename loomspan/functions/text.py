@@ -81,3 +81,12 @@ def abstained(answer: Column) -> Column:
     """Whether the first line, without quotes and stars, is the word for abstaining."""
     first = F.split_part(F.trim(answer), F.lit("\n"), F.lit(1))
     return F.upper(F.regexp_replace(first, "^[\\s`*.]+|[\\s`*.]+$", "")) == ABSTAIN
+
+
+def versioned(name: Column) -> Column:
+    """struct(base, version): a trailing v and digits are the version; 1 without."""
+    version = F.regexp_extract(name, "^.+v([0-9]+)$", 1)
+    return F.struct(
+        F.when(version == "", name).otherwise(F.regexp_extract(name, "^(.+)v[0-9]+$", 1)).alias("base"),
+        F.when(version == "", F.lit(1)).otherwise(version.try_cast("long")).cast("long").alias("version"),
+    )

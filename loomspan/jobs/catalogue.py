@@ -81,6 +81,22 @@ scored AS (SELECT m.mode, r.item_id, {", ".join(cols)}, round(coalesce(1.0 / min
 
 ALL = ",".join([BM, DN, HY, TRUTH, RUNS, _metric_sql()])
 
+WORDS = "len(string_split({0}, ' '))"
+#: Sentences of squeezed text s: split between an end mark and a capital or digit.
+SENTENCES = "[x FOR x IN string_split(regexp_replace(s, '([.!?])\\s+([A-Z0-9])', concat('\\1', chr(1), '\\2'), 'g'), chr(1)) IF trim(x) <> '']"
+#: Chunks [a, b] of sentences, found by walking over them; start is the open chunk's first.
+CHUNKS = f"""
+sq AS (SELECT *, CAST(ceil(CASE WHEN s = '' THEN 0 ELSE {WORDS.format('s')} END * 1.7::DOUBLE) AS BIGINT) AS t FROM (SELECT doc_id, {SQUEEZE.format('text')} AS s FROM documents)),
+sen AS (SELECT doc_id, unnest(parts) AS sentence, CAST(generate_subscripts(parts, 1) AS BIGINT) AS i FROM (SELECT doc_id, {SENTENCES} AS parts FROM sq WHERE t > {T.CHUNK_TOKENS})),
+pre AS (SELECT *, CAST(sum({WORDS.format('sentence')}) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS upto, {WORDS.format('sentence')} AS own FROM sen),
+walk AS (SELECT doc_id, i, i AS start, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM pre WHERE i = 1 UNION ALL
+  SELECT doc_id, i, CASE WHEN full_up AND i - start > 1 THEN i - 1 WHEN full_up THEN i ELSE start END, CASE WHEN full_up THEN start END, CASE WHEN full_up THEN i - 1 END
+  FROM (SELECT w.doc_id, n.i, w.start, ceil((n.upto - f.upto + f.own) * 1.7::DOUBLE) > {T.CHUNK_TOKENS} AS full_up FROM walk w JOIN pre n ON n.doc_id = w.doc_id AND n.i = w.i + 1 JOIN pre f ON f.doc_id = w.doc_id AND f.i = w.start)),
+spans AS (SELECT doc_id, a, b FROM walk WHERE a IS NOT NULL UNION ALL SELECT doc_id, last(start ORDER BY i), max(i) FROM walk GROUP BY 1),
+chunked AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a, b) - 1 AS chunk_index, text FROM (SELECT s.doc_id, s.a, s.b, string_agg(p.sentence, ' ' ORDER BY p.i) AS text FROM spans s JOIN pre p ON p.doc_id = s.doc_id AND p.i BETWEEN s.a AND s.b GROUP BY 1, 2, 3)
+  UNION ALL SELECT doc_id, 0, s FROM sq WHERE t <= {T.CHUNK_TOKENS}),
+chunk_state AS (SELECT doc_id, chunk_index, doc_id % 3 <> 0 OR chunk_index = 0 AS indexed, (doc_id + chunk_index) % 5 <> 0 AS embedded FROM chunked)"""
+
 
 def _query(sql: str | None = None):
     def register(f):
@@ -116,12 +132,30 @@ def sc6_token_estimate(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", t.alias("token_estimate"), (t > T.CHUNK_TOKENS).alias("needs_split"))
 
 
-@_query()
+@_query(f"WITH RECURSIVE {CHUNKS} SELECT doc_id, chunk_index, CAST(ceil(CASE WHEN text = '' THEN 0 ELSE {WORDS.format('text')} END * 1.7::DOUBLE) AS BIGINT) AS token_estimate, md5(text) AS text_md5 FROM chunked")
 def sc8_chunks(spark, sf_dir):
     out = I.chunk_table(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "chunk_index", "token_estimate", F.md5("text").alias("text_md5"))
 
 
+@_query(f"SELECT doc_id, CAST(len({SENTENCES}) AS BIGINT) AS n_sentences FROM (SELECT doc_id, {SQUEEZE.format('text')} AS s FROM documents)")
+def sc7_sentences(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n_sentences"))
+
+
+@_query("SELECT page_id, coalesce(nullif(regexp_extract(name, '^(.+)v[0-9]+$', 1), ''), name) AS base, coalesce(TRY_CAST(nullif(regexp_extract(name, '^.+v([0-9]+)$', 1), '') AS BIGINT), 1) AS version FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url ELSE concat(url, 'v', page_id % 5 + 1) END AS name FROM pages)")
+def sc2_versions(spark, sf_dir):
+    page_id = F.col("page_id")
+    name = F.when(page_id % 3 == 0, F.col("url")).otherwise(F.concat("url", F.lit("v"), (page_id % 5 + 1).cast("string")))
+    return read(spark, sf_dir, "pages").select("page_id", T.versioned(name).alias("v")).select("page_id", "v.base", "v.version")
+
+
+@_query(f"SELECT doc_id, substr({TITLE.format('text')}, 1, 70) AS title, substr({HASH.format('text')}, 1, 12) AS short_hash FROM documents WHERE source IN ('src0', 'src3', 'src5', 'src8') AND contains(lower(text), 'licen')")
+def flt15_browse(spark, sf_dir):
+    found = read(spark, sf_dir, "documents").where(F.col("source").isin("src0", "src3", "src5", "src8") & F.contains(F.lower("text"), F.lit("licen")))
+    return found.select("doc_id", F.substring(T.title_of(F.col("text")), 1, 70).alias("title"), F.substring(T.content_hash(F.col("text")), 1, 12).alias("short_hash"))
+
+
 @_query("SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE concat(regexp_replace(substr(text, 1, 300), ' [^ ]*$', ''), '...') END AS snippet FROM documents")
 def prj2_snippet(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"))
@@ -199,6 +233,26 @@ def rt6_rrf_fusion(spark, sf_dir):
     return _hy(spark, sf_dir).select("item_id", "doc_id", "score", "rank", "bm25_rank", "dense_rank")
 
 
+@_query(f"WITH {BM} SELECT item_id, doc_id, rank, true AS degraded FROM bm WHERE rank <= {R.TOP_K}")
+def rt7_hybrid_degraded(spark, sf_dir):
+    return R.hybrid({"bm25": _bm(spark, sf_dir), "dense": None}).select("item_id", "doc_id", "rank", "degraded")
+
+
+_PASSAGES = "passages AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS number, doc_id, substr(text, 1, 2000) AS passage FROM bm JOIN documents USING (doc_id) WHERE rank <= 5)"
+
+
+@_query(f"WITH {BM}, {_PASSAGES} SELECT item_id, number, doc_id, md5(passage) AS passage_md5 FROM passages")
+def an1_passages(spark, sf_dir):
+    found = R.passages(_bm(spark, sf_dir), read(spark, sf_dir, "documents"))
+    return found.select("item_id", "number", "doc_id", F.md5("passage").alias("passage_md5"))
+
+
+@_query(f"WITH {BM}, {_PASSAGES}, body AS (SELECT item_id, string_agg(concat('[', number, '] ', passage), concat(chr(10), chr(10)) ORDER BY number) AS body FROM passages GROUP BY 1) SELECT item_id, md5(concat(body, chr(10), chr(10), 'Question: ', text)) AS prompt_md5 FROM body JOIN benchmark USING (item_id)")
+def sc14_prompts(spark, sf_dir):
+    found = R.passages(_bm(spark, sf_dir), read(spark, sf_dir, "documents"))
+    return R.prompts(found, read(spark, sf_dir, "benchmark")).select("item_id", F.md5("prompt").alias("prompt_md5"))
+
+
 @_query(f"WITH {BM},{DN},{TRUTH}, ks AS (SELECT unnest([{', '.join(map(str, SWEEP))}]) AS k), s AS (SELECT k, item_id, doc_id, round(sum(1.0 / (k + rank)), 9) AS score FROM (SELECT * FROM bm UNION ALL SELECT * FROM dn), ks GROUP BY 1, 2, 3), runs AS (SELECT k AS mode, item_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY k, item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10),{_metric_sql()} SELECT CAST(mode AS BIGINT) AS k, round(avg(recall_10), 6) AS recall_10, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(mrr), 6) AS mrr FROM scored GROUP BY 1")
 def rt9_rrf_k_sweep(spark, sf_dir):
     lists = _bm(spark, sf_dir).unionByName(_dn(spark, sf_dir))
@@ -239,7 +293,20 @@ def rt12_explain(spark, sf_dir):
     return _hy(spark, sf_dir).select("item_id", "doc_id", said.alias("explanation"))
 
 
-@_query()
+_CHUNK_HITS = f"""
+asked AS (SELECT DISTINCT item_id, unnest({TOK}) AS term FROM benchmark),
+keyed AS (SELECT doc_id * 1000000 + chunk_index AS key, doc_id, chunk_index, text FROM chunked),
+ck_p AS (SELECT key, term, count(*) AS tf FROM (SELECT key, unnest({TOK}) AS term FROM keyed) GROUP BY 1, 2),
+ck_l AS (SELECT key, len({TOK}) AS dl FROM keyed),
+ck_c AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM ck_l),
+ck_f AS (SELECT term, count(*) AS df FROM ck_p GROUP BY 1),
+ck_s AS (SELECT item_id, key, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)))), 6) AS score
+  FROM asked JOIN ck_p USING (term) JOIN ck_f USING (term) JOIN ck_l USING (key), ck_c GROUP BY 1, 2),
+ck_r AS (SELECT item_id, doc_id, chunk_index, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, key) AS rank FROM ck_s JOIN keyed USING (key)),
+best AS (SELECT item_id, doc_id, first(chunk_index ORDER BY rank) AS best_chunk, nullif(count(*) - 1, 0) AS extra_hits, min(rank) AS first_rank FROM ck_r WHERE rank <= {R.DEPTH} GROUP BY 1, 2)"""
+
+
+@_query(f"WITH RECURSIVE {CHUNKS},{_CHUNK_HITS} SELECT * FROM (SELECT item_id, doc_id, best_chunk, CAST(extra_hits AS BIGINT) AS extra_hits, row_number() OVER (PARTITION BY item_id ORDER BY first_rank) AS rank FROM best) WHERE rank <= {R.TOP_K}")
 def wn3_collapse_chunks(spark, sf_dir):
     chunks = I.chunk_table(read(spark, sf_dir, "documents")).withColumn("key", F.struct("doc_id", "chunk_index"))
     hits = R.bm25_scores(read(spark, sf_dir, "benchmark"), chunks, key="key").select("item_id", F.col("key").alias("doc_id"), "score")
@@ -295,7 +362,19 @@ def ev10_hybrid_losses(spark, sf_dir):
     return E.losses(_scored(spark, sf_dir), "hybrid")
 
 
-@_query()
+def _unit_sql(tag: str) -> str:
+    return f"CAST(concat('0x', substr(md5(concat_ws('|', '{tag}', 20260910, draw, i)), 1, 8)) AS BIGINT)"
+
+
+@_query(f"""WITH {ALL},
+diffs AS (SELECT row_number() OVER (ORDER BY item_id) AS i, y.ndcg_10 - x.ndcg_10 AS d FROM (SELECT * FROM scored WHERE mode = 'bm25') x JOIN (SELECT * FROM scored WHERE mode = 'hybrid') y USING (item_id)),
+size AS (SELECT count(*) AS n_items, round(avg(d), 6) AS difference, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d < 0) AS losses, count(*) FILTER (d = 0) AS ties FROM diffs),
+draws AS (SELECT i, d, draw, n_items FROM diffs, (SELECT unnest(range(1, 2001)) AS draw), size),
+means AS (SELECT p.draw, round(avg(f.d), 9) AS mean FROM (SELECT draw, {_unit_sql('b')} % n_items + 1 AS i FROM draws) p JOIN diffs f USING (i) GROUP BY 1),
+ordered AS (SELECT mean, row_number() OVER (ORDER BY mean) AS r FROM means),
+flips AS (SELECT draw, round(avg(CASE WHEN {_unit_sql('f')} % 2 = 0 THEN d ELSE -d END), 6) AS f FROM draws GROUP BY 1)
+SELECT difference, round((SELECT mean FROM ordered WHERE r = 51), 6) AS ci_low, round((SELECT mean FROM ordered WHERE r = 1951), 6) AS ci_high,
+  round(((SELECT count(*) FROM flips WHERE abs(f) >= abs(difference)) + 1) / 2001, 6) AS p, wins, losses, ties FROM size""")
 def ev11_bootstrap(spark, sf_dir):
     return E.paired(_scored(spark, sf_dir), "bm25", "hybrid", "ndcg_10", 2000, 20260910)
 
@@ -316,6 +395,34 @@ def ev16_regressed(spark, sf_dir):
     return one("bm25", "before").join(one("dense", "after"), "item_id").where("after < before - 1e-9")
 
 
+@_query(f"WITH {ALL} SELECT concat(b.mode, '-', a.mode) AS pair, round(avg(b.ndcg_10 - a.ndcg_10), 6) AS difference, CAST(count(*) FILTER (b.ndcg_10 > a.ndcg_10) AS BIGINT) AS wins, CAST(count(*) FILTER (b.ndcg_10 < a.ndcg_10) AS BIGINT) AS losses, CAST(count(*) FILTER (b.ndcg_10 = a.ndcg_10) AS BIGINT) AS ties FROM scored a JOIN scored b ON a.item_id = b.item_id AND a.mode < b.mode GROUP BY 1")
+def ev14_mode_pairs(spark, sf_dir):
+    return E.mode_pairs(_scored(spark, sf_dir), "ndcg_10")
+
+
+@_query(f"WITH {ALL}, a AS (SELECT mode, {', '.join(f'round(avg({m}), 6) AS {m}' for m in E.HEADLINE)} FROM scored GROUP BY 1), t AS (UNPIVOT a ON {', '.join(E.HEADLINE)} INTO NAME metric VALUE value) SELECT metric, best, string_agg(mode, ',' ORDER BY mode) AS leaders FROM (SELECT *, max(value) OVER (PARTITION BY metric) AS best FROM t) WHERE value = best GROUP BY 1, 2")
+def ag17_leaders(spark, sf_dir):
+    return E.leaders(E.averages(_scored(spark, sf_dir), ["mode"]))
+
+
+@_query(f"WITH {BM},{DN},{HY},{TRUTH} SELECT item_id, CAST(count(rank) AS BIGINT) AS hits, CAST(count(*) FILTER (rank IS NULL) AS BIGINT) AS misses, min(rank) AS first_hit FROM truth LEFT JOIN hy USING (item_id, doc_id) GROUP BY 1")
+def jn7_hits_and_misses(spark, sf_dir):
+    return E.hits_and_misses(_hy(spark, sf_dir), E.relevant(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")))
+
+
+# the golden set: benchmark items, some blanked, repeated or of a class that isn't known
+
+_GOLDEN = "SELECT item_id, CASE WHEN item_id % 13 = 0 THEN '  ' ELSE text END AS query, CASE WHEN item_id % 17 = 0 THEN 'other' WHEN length(text) < 200 THEN 'short' ELSE 'long' END AS class FROM benchmark"
+
+
+@_query(f"WITH g AS ({_GOLDEN} UNION ALL {_GOLDEN} WHERE item_id % 11 = 0) SELECT 'blank query' AS rule, CAST(item_id AS VARCHAR) AS subject FROM g WHERE trim(query) = '' UNION ALL SELECT 'long query', CAST(item_id AS VARCHAR) FROM g WHERE length(query) > 512 UNION ALL SELECT 'unknown class', CAST(item_id AS VARCHAR) FROM g WHERE class NOT IN ('short', 'long') UNION ALL SELECT 'repeated id', CAST(item_id AS VARCHAR) FROM g GROUP BY item_id HAVING count(*) > 1 UNION ALL SELECT 'class size', class FROM g WHERE class IN ('short', 'long') GROUP BY class HAVING count(*) <> 10")
+def ev18_golden_violations(spark, sf_dir):
+    item = F.col("item_id")
+    kind = F.when(item % 17 == 0, "other").when(F.char_length("text") < 200, "short").otherwise("long")
+    golden = read(spark, sf_dir, "benchmark").select("item_id", F.when(item % 13 == 0, "  ").otherwise(F.col("text")).alias("query"), kind.alias("class"))
+    return E.violations(golden.unionByName(golden.where(item % 11 == 0)), ["short", "long"], 10)
+
+
 # ingestion: every seventh document comes again with another text, every eleventh id is new
 
 _INCOMING = "SELECT CASE WHEN doc_id % 11 = 0 THEN doc_id + 1000000000 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 7 = 0 THEN concat(text, ' Revised.') ELSE text END AS text FROM documents"
@@ -344,6 +451,46 @@ def ag7_run_counters(spark, sf_dir):
     return I.counters(jn5_upsert_classify(spark, sf_dir))
 
 
+def _chunk_state(spark, sf_dir) -> DataFrame:
+    """Chunks as if a pass had stopped: some aren't indexed yet, some have no vector."""
+    doc, chunk = F.col("doc_id"), F.col("chunk_index")
+    out = I.chunk_table(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "chunk_index", ((doc % 3 != 0) | (chunk == 0)).alias("indexed"), ((doc + chunk) % 5 != 0).alias("embedded"))
+
+
+@_query(f"WITH RECURSIVE {CHUNKS} SELECT doc_id, chunk_index FROM chunk_state WHERE NOT indexed OR NOT embedded")
+def src11_stale_chunks(spark, sf_dir):
+    return I.stale(_chunk_state(spark, sf_dir)).select("doc_id", "chunk_index")
+
+
+@_query(f"WITH RECURSIVE {CHUNKS} SELECT doc_id, CAST(count(*) AS BIGINT) AS chunk_count, bool_and(indexed) AS complete FROM chunk_state GROUP BY 1")
+def snk7_fully_indexed(spark, sf_dir):
+    return I.completeness(_chunk_state(spark, sf_dir))
+
+
+@_query(f"WITH RECURSIVE {CHUNKS} SELECT 'documents' AS check, CAST(count(*) AS BIGINT) AS n FROM documents UNION ALL SELECT 'chunks', count(*) FROM chunk_state UNION ALL SELECT 'indexed', count(*) FROM chunk_state WHERE indexed UNION ALL SELECT 'unembedded', count(*) FROM chunk_state WHERE NOT embedded UNION ALL SELECT 'without_chunks', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM chunk_state)")
+def ev21_integrity(spark, sf_dir):
+    return I.integrity(read(spark, sf_dir, "documents"), _chunk_state(spark, sf_dir))
+
+
+@_query(f"WITH RECURSIVE {CHUNKS} SELECT concat(doc_id, '#', chunk_index) AS id, lang, source, md5(c.text) AS text_md5 FROM chunked c JOIN documents USING (doc_id)")
+def prj1_search_documents(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    own = docs.select("doc_id", "lang", "source")
+    return I.chunk_table(docs).join(own, "doc_id").select(F.concat_ws("#", "doc_id", "chunk_index").alias("id"), "lang", "source", F.md5("text").alias("text_md5"))
+
+
+@_query("SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS labelled FROM (SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 250))")
+def snk13_fixture_export(spark, sf_dir):
+    return I.fixture(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), 250)
+
+
+@_query("SELECT doc_id + CASE WHEN doc_id % 5 = 0 THEN 1000000000 ELSE 0 END AS doc_id FROM labels WHERE doc_id % 5 = 0 OR doc_id NOT IN (SELECT doc_id FROM documents)")
+def jn6_missing_labels(spark, sf_dir):
+    shifted = F.col("doc_id") + F.when(F.col("doc_id") % 5 == 0, 1000000000).otherwise(0)
+    return read(spark, sf_dir, "labels").select(shifted.alias("doc_id")).join(read(spark, sf_dir, "documents"), "doc_id", "left_anti")
+
+
 @_query("SELECT event_type AS category, max(ts) AS watermark FROM events WHERE value >= 5 GROUP BY 1")
 def ag9_watermark(spark, sf_dir):
     runs = read(spark, sf_dir, "events").where("value >= 5")

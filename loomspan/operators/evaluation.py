@@ -92,3 +92,41 @@ def gate(before: DataFrame, after: DataFrame, metrics: list[str], tolerance: flo
     tall = lambda df, name: df.unpivot([], metrics, "metric", name)
     out = tall(before, "before").join(tall(after, "after"), "metric", "full")
     return out.select("metric", "before", "after", F.coalesce(F.col("after") < F.col("before") - tolerance, F.lit(True)).alias("failed"))
+
+
+def mode_pairs(scored: DataFrame, metric: str) -> DataFrame:
+    """(pair, difference, wins, losses, ties) of every two modes, right minus left."""
+    left = scored.select("item_id", F.col("mode").alias("a"), F.col(metric).alias("x"))
+    right = scored.select("item_id", F.col("mode").alias("b"), F.col(metric).alias("y"))
+    d = F.col("y") - F.col("x")
+    out = left.join(right, "item_id").where("a < b").groupBy(F.concat_ws("-", "b", "a").alias("pair"))
+    return out.agg(F.round(F.avg(d), 6).alias("difference"), F.count_if(d > 0).alias("wins"), F.count_if(d < 0).alias("losses"), F.count_if(d == 0).alias("ties"))
+
+
+def leaders(averaged: DataFrame, metrics: list[str] = HEADLINE) -> DataFrame:
+    """(metric, best, leaders): every mode that reaches the best average."""
+    tall = averaged.unpivot(["mode"], metrics, "metric", "value")
+    best = tall.groupBy("metric").agg(F.max("value").alias("best"))
+    return tall.join(best, "metric").where("value = best").groupBy("metric", "best").agg(F.array_join(F.array_sort(F.collect_list("mode")), ",").alias("leaders"))
+
+
+def hits_and_misses(run: DataFrame, truth: DataFrame) -> DataFrame:
+    """(item_id, hits, misses, first_hit) of a ranked run against the relevant documents."""
+    both = truth.join(run.select("item_id", "doc_id", "rank"), ["item_id", "doc_id"], "left")
+    return both.groupBy("item_id").agg(F.count("rank").alias("hits"), F.count_if(F.col("rank").isNull()).alias("misses"), F.min("rank").alias("first_hit"))
+
+
+def violations(golden: DataFrame, classes: list[str], per_class: int, longest: int = 512) -> DataFrame:
+    """(rule, subject) of queries (item_id, query, class) that break a rule of the set."""
+    known = F.col("class").isin(classes)
+    broken = F.array_compact(
+        F.array(
+            F.when(F.coalesce(F.trim("query"), F.lit("")) == "", F.lit("blank query")),
+            F.when(F.char_length("query") > longest, F.lit("long query")),
+            F.when(~known, F.lit("unknown class")),
+        )
+    )
+    own = golden.select(F.explode(broken).alias("rule"), F.col("item_id").cast("string").alias("subject"))
+    again = golden.groupBy("item_id").count().where("count > 1").select(F.lit("repeated id").alias("rule"), F.col("item_id").cast("string").alias("subject"))
+    sizes = golden.where(known).groupBy("class").count().where(F.col("count") != per_class).select(F.lit("class size").alias("rule"), F.col("class").alias("subject"))
+    return own.unionByName(again).unionByName(sizes)

@@ -31,3 +31,29 @@ def chunk_table(docs: DataFrame) -> DataFrame:
 def counters(actions: DataFrame) -> DataFrame:
     count = lambda a: F.count_if(F.col("action") == a).alias(a)
     return actions.agg(F.count("*").alias("seen"), count("created"), count("updated"), count("skipped"))
+
+
+def stale(state: DataFrame) -> DataFrame:
+    """Chunks not yet indexed, or without a vector."""
+    return state.where(~F.col("indexed") | ~F.col("embedded"))
+
+
+def completeness(state: DataFrame) -> DataFrame:
+    """(doc_id, chunk_count, complete): complete once no chunk is left to index."""
+    return state.groupBy("doc_id").agg(F.count("*").alias("chunk_count"), F.bool_and("indexed").alias("complete"))
+
+
+def integrity(docs: DataFrame, state: DataFrame) -> DataFrame:
+    """(check, n): counts that a finished pass over the corpus is held to."""
+    counts = state.agg(F.count("*").alias("chunks"), F.count_if("indexed").alias("indexed"), F.count_if(~F.col("embedded")).alias("unembedded"))
+    chunkless = docs.join(state, "doc_id", "left_anti").agg(F.count("*").alias("without_chunks"))
+    wide = docs.agg(F.count("*").alias("documents")).join(counts).join(chunkless)
+    return wide.unpivot([], ["documents", "chunks", "indexed", "unembedded", "without_chunks"], "check", "n")
+
+
+def fixture(docs: DataFrame, labelled: DataFrame, others: int) -> DataFrame:
+    """(doc_id, labelled): every labelled document and the first ``others`` of the rest by id."""
+    keys = docs.select("doc_id").distinct()
+    marked = labelled.select("doc_id").distinct()
+    some = keys.join(marked, "doc_id", "left_anti").orderBy("doc_id").limit(others)
+    return keys.join(marked, "doc_id", "left_semi").withColumn("labelled", F.lit(True)).unionByName(some.withColumn("labelled", F.lit(False)))

@@ -123,3 +123,25 @@ def knn(vectors: DataFrame, every: int, k: int) -> DataFrame:
     pairs = rows.join(asked, F.col("vec_id") != F.col("query_id"))  # a stated query set against all rows
     scored = pairs.select("query_id", F.col("vec_id").alias("doc_id"), (dot("embedding", "q") / (F.col("norm") * F.col("q_norm"))).alias("score"))
     return ranked(scored, k, "query_id").select("query_id", F.col("doc_id").alias("vec_id"), F.col("score").alias("similarity"), "rank")
+
+
+def hybrid(runs: dict[str, DataFrame | None], k: int = RRF_K, top_k: int | None = TOP_K) -> DataFrame:
+    """Fusion of the runs that there are; ``degraded`` marks rows where one is missing (None)."""
+    present = {name: df for name, df in runs.items() if df is not None}
+    if not present:
+        raise ValueError("no run to fuse")
+    return fused(present, k, top_k).withColumn("degraded", F.lit(len(present) < len(runs)))
+
+
+def passages(hits: DataFrame, docs: DataFrame, n: int = 5, chars: int = 2000) -> DataFrame:
+    """(item_id, number, doc_id, passage): the first ``n`` hits that have a document, numbered from 1."""
+    found = hydrated(hits.where(F.col("rank") <= n), docs, ["text"])
+    return found.select("item_id", F.col("rank").alias("number"), "doc_id", F.substring("text", 1, chars).alias("passage"))
+
+
+def prompts(numbered: DataFrame, queries: DataFrame) -> DataFrame:
+    """(item_id, prompt): numbered passages, then the question."""
+    line = F.concat(F.lit("["), "number", F.lit("] "), "passage")
+    lines = F.array_sort(F.collect_list(F.struct("number", line.alias("line"))))
+    body = numbered.groupBy("item_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n\n").alias("body"))
+    return body.join(queries, "item_id").select("item_id", F.concat("body", F.lit("\n\nQuestion: "), "text").alias("prompt"))

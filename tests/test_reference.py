@@ -56,3 +56,30 @@ def test_ndcg_of_a_worked_example(spark):
     row = evaluation.scores(runs, truth).first()
     assert row.ndcg_5 == pytest.approx((1 / 1.584962500721156 + 1 / 2.321928094887362) / (1 + 1 / 1.584962500721156 + 0.5), abs=1e-6)
     assert (row.precision_5, row.mrr, row.recall_1) == (0.4, 0.5, 0.0)
+
+
+def test_hybrid_marks_a_missing_run_and_refuses_none(spark):
+    run = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "item_id long, doc_id string, rank long")
+    assert {r.degraded for r in retrieval.hybrid({"x": run, "y": None}).collect()} == {True}
+    assert {r.degraded for r in retrieval.hybrid({"x": run, "y": run}).collect()} == {False}
+    with pytest.raises(ValueError):
+        retrieval.hybrid({"x": None, "y": None})
+
+
+def test_versions_of_names(spark):
+    from pyspark.sql import functions as F
+
+    from loomspan.functions.text import versioned
+
+    names = ["2401.00001v2", "2401.00001", "hep-th/9901001v12", "v3", "", None]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select(versioned(F.col("n")).alias("v")).collect()
+    assert [tuple(r.v) for r in rows[:5]] == [("2401.00001", 2), ("2401.00001", 1), ("hep-th/9901001", 12), ("v3", 1), ("", 1)]
+    assert rows[5].v.base is None
+
+
+def test_a_document_is_complete_once_every_chunk_is_indexed(spark):
+    from loomspan.operators import ingest
+
+    state = spark.createDataFrame([(1, 0, True, True), (1, 1, False, True), (2, 0, True, False)], "doc_id long, chunk_index long, indexed boolean, embedded boolean")
+    assert {r.doc_id: r.complete for r in ingest.completeness(state).collect()} == {1: False, 2: True}
+    assert {(r.doc_id, r.chunk_index) for r in ingest.stale(state).collect()} == {(1, 1), (2, 0)}
