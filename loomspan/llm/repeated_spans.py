@@ -38,8 +38,9 @@ from loomspan.llm.suffix_sort import equal_prefix_groups
 
 LENGTH = 100
 KGRAM = 24
-#: Bytes of text that are hashed at once, and that a bucket of anchors or contexts stands for.
-BUFFER, BUCKET_BYTES = 1 << 22, 1 << 22
+#: Bytes of text that are hashed at once, whose anchors are packed into rows together, and
+#: that a bucket of anchors or contexts stands for. Hashing takes about 80 times its bytes.
+BUFFER, PACKED, BUCKET_BYTES = 1 << 20, 1 << 23, 1 << 22
 HOT = 4096
 
 _RANDOM = np.random.default_rng(11)
@@ -102,57 +103,70 @@ def anchors(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, kgram: int
     return grams[p], context, start, count
 
 
-def _buffers(batch: pd.DataFrame) -> Iterator[tuple[list, list[bytes]]]:
+def _hashed(batch: pd.DataFrame) -> Iterator[tuple[int, tuple]]:
+    """(bytes, (anchors, contexts, documents, starts, counts)) of some text at a time."""
     keys, texts, held = [], [], 0
     for key, text in zip(batch["doc"], batch["text"]):
         raw = (text or "").encode("utf-8", "surrogatepass")
-        if held and held + len(raw) > BUFFER:
-            yield keys, texts
+        if len(raw) > BUFFER:
+            yield from _long(key, raw)
+            continue
+        if held + len(raw) > BUFFER:
+            yield held, _short(keys, texts)
             keys, texts, held = [], [], 0
         keys.append(key)
         texts.append(raw)
         held += len(raw)
     if keys:
-        yield keys, texts
+        yield held, _short(keys, texts)
+
+
+def _short(keys: list, texts: list[bytes]) -> tuple:
+    sizes = np.array([len(t) for t in texts])
+    stop = np.cumsum(sizes)
+    a, c, start, count = anchors(np.frombuffer(b"".join(texts), np.uint8), np.repeat(stop, sizes))
+    of = np.searchsorted(stop, start, side="right")
+    return a, c, np.array(keys, np.int64)[of], start - (stop - sizes)[of], count
+
+
+def _long(key: int, raw: bytes) -> Iterator[tuple[int, tuple]]:
+    """A long text in overlapping pieces; runs of windows are cut at their seams."""
+    for i in range(0, len(raw) - LENGTH + 1, BUFFER):
+        part = np.frombuffer(raw[i : i + BUFFER + LENGTH - 1], np.uint8)
+        a, c, start, count = anchors(part, np.full(len(part), len(part)))
+        yield len(part), (a, c, np.full(len(a), key), start + i, count)
+
+
+def _packed(pieces: list[tuple], buckets: int) -> pd.DataFrame:
+    a, c, d, start, count = (np.concatenate(x) for x in zip(*pieces))
+    bucket = ((a >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cut = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
+    rows = []
+    for i, j in zip(cut, cut[1:]):
+        o = order[i:j]
+        rows.append((int(bucket[o[0]]), a[o].tobytes(), c[o].tobytes(), d[o].tobytes(), start[o].astype("<u4").tobytes(), count[o].astype(np.uint8).tobytes()))
+    return pd.DataFrame(rows, columns=["bucket", "a", "c", "d", "start", "count"])
 
 
 def _scattered(docs: DataFrame, buckets: int) -> DataFrame:
     """Every anchor's hashes and place, packed in columns by bucket."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces, held = [], 0
         for batch in batches:
-            for keys, texts in _buffers(batch):
-                if max(map(len, texts)) >= 1 << 24:
-                    pieces = [piece for k, t in zip(keys, texts) for piece in _long(k, t)]
-                else:
-                    sizes = np.array([len(t) for t in texts])
-                    stop = np.cumsum(sizes)
-                    begin = stop - sizes
-                    a, c, start, count = anchors(np.frombuffer(b"".join(texts), np.uint8), np.repeat(stop, sizes))
-                    of = np.searchsorted(stop, start, side="right")
-                    pieces = [(a, c, np.array(keys, np.int64)[of], start - begin[of], count)]
-                for a, c, d, start, count in pieces:
-                    bucket = ((a >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-                    order = np.argsort(bucket, kind="stable")
-                    cut = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
-                    rows = []
-                    for i, j in zip(cut, cut[1:]):
-                        o = order[i:j]
-                        rows.append((int(bucket[o[0]]), a[o].tobytes(), c[o].tobytes(), d[o].tobytes(), start[o].astype("<u4").tobytes(), count[o].astype(np.uint8).tobytes()))
-                    yield pd.DataFrame(rows, columns=["bucket", "a", "c", "d", "start", "count"])
+            for n, piece in _hashed(batch):
+                pieces.append(piece)
+                held += n
+                if held > PACKED:
+                    yield _packed(pieces, buckets)
+                    pieces, held = [], 0
+        if pieces:
+            yield _packed(pieces, buckets)
 
     return docs.mapInPandas(run, "bucket long, a binary, c binary, d binary, start binary, count binary")
 
 
-def _long(key: int, raw: bytes) -> Iterator[tuple]:
-    """A very long text in overlapping pieces; runs of windows are cut at their seams."""
-    step = 1 << 23
-    for i in range(0, max(1, len(raw) - LENGTH + 1), step):
-        part = np.frombuffer(raw[i : i + step + LENGTH - 1], np.uint8)
-        a, c, start, count = anchors(part, np.full(len(part), len(part)))
-        yield a, c, np.full(len(a), key), start + i, count
-
-
 def _met(scattered: DataFrame) -> DataFrame:
     """(doc, start, count, anchor, kind) of shared anchors: 1 repeated, 2 to sort, 3 hot."""
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -171,6 +172,19 @@ def test_repeats(spark, docs, none, tmp_path, monkeypatch, hot):
     assert sorted(len(r.text or "") for r in repeated_spans.remove_repeats(twice).where("text like 'alpha0%' or text like '%changed' or text = ''").collect())[0] == 0
 
 
+def test_pieces_of_text_hold_every_window_once(monkeypatch):
+    monkeypatch.setattr(repeated_spans, "BUFFER", 500)
+    sizes = [0, 50, 100, 499, 500, 501, 1700, 599, 3]
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ab c"), n)) for n in sizes]
+    batch = pd.DataFrame({"doc": range(len(sizes)), "text": texts})
+    pieces = [piece for _, piece in repeated_spans._hashed(batch)]
+    windows = sorted((d, s + i) for p in pieces for d, s, n in zip(p[2], p[3], p[4]) for i in range(n))
+    assert windows == [(d, i) for d, n in enumerate(sizes) for i in range(max(0, n - repeated_spans.LENGTH + 1))]
+    packed = repeated_spans._packed(pieces, 7)
+    assert packed.bucket.is_unique and sum(map(len, packed["count"])) == sum(len(p[0]) for p in pieces)
+
+
 def test_archives(spark):
     rows = [(1, "http://a/ b", "same", 1), (2, "http://b/", "same", 1), (3, None, None, 1), (4, "http://c/", "", 1), (5, "http://d/", "é\r\n\r\nWARC/1.1\n" * 9, 1), (2, "http://b/", "same", 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, file int")
