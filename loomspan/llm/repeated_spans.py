@@ -262,7 +262,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     buckets = max(16, -(-size // BUCKET_BYTES))
     marks = table(_met(_scattered(docs.select("doc", "text"), buckets)), "anchor-marks")
-    contexts = table(_contexts(docs, marks, buckets), "contexts")
+    contexts = table(_contexts(docs, marks, 4 * buckets), "contexts")  # smaller ones: sorting needs many times their bytes
     found = _sorted_repeats(contexts.where("bucket >= 0")).unionByName(_hot_repeats(contexts.where("bucket < 0")))
     spans = marks.where("kind = 1").select("doc", "start", "count").unionByName(found)
     listed = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
