@@ -10,9 +10,12 @@ Texts with the same words are one class from the start. Classes that agree on a
 share a bucket; each bucket elects a head at random, and members pair with the head if at
 least three of the sixteen sketches agree. Thus a bucket of s members makes s - 1 pairs. A pair is linked if the aligned labelled k-mers
 make up at least 0.8 of all of both texts; the alignment looks only at the band about
-the diagonal in which such an alignment must lie. Rounds go on, over buckets whose
-members aren't yet in one component, between members drawn from each of its components
-and several new heads, until a round links nothing.
+the diagonal in which such an alignment must lie. A few more rounds, over buckets whose
+members aren't yet in one component, pair members drawn from each of its components with
+several new heads. These rounds only make components larger. Buckets that still span
+several are finished exactly: block against block, every pair across components that no
+round has seen, with three agreeing sketches, is aligned. So the classes are those of all
+pairs that share a bucket.
 
 Defined cases: a text of fewer than five words is one k-mer; null, empty and blank
 texts have none and are classes of their own; ties of ids (repeated rows) belong to one
@@ -38,8 +41,10 @@ from loomspan.llm.shared import table
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, AGREE = 16, 3
-#: Rounds after the first at most, and the new heads of a bucket in each of them.
+#: Rounds of random draws after the first at most, and the new heads of a bucket in each
+#: of them; what they leave is compared in blocks of so many members.
 MORE_ROUNDS, MORE_HEADS = 3, 4
+BLOCK = 256
 
 _MIX = np.random.default_rng(7).integers(1, 1 << 63, (2, SKETCHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -122,10 +127,10 @@ def _sketched(docs: DataFrame) -> DataFrame:
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 kmers = labelled_kmers(text)
                 whole = blake2b(" ".join((text or "").lower().split()).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                rows.append((doc, whole if len(kmers) else None, sketch(kmers).astype(np.int64).tolist() if len(kmers) else []))
-            yield pd.DataFrame(rows, columns=["doc_id", "whole", "sketches"]).astype({"doc_id": "Int64"})
+                rows.append((doc, whole if len(kmers) else None, len(kmers), sketch(kmers).astype(np.int64).tolist() if len(kmers) else []))
+            yield pd.DataFrame(rows, columns=["doc_id", "whole", "n", "sketches"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, whole binary, sketches array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, whole binary, n long, sketches array<long>")
 
 
 def _candidates(members: DataFrame, seed: int) -> DataFrame:
@@ -139,6 +144,48 @@ def _candidates(members: DataFrame, seed: int) -> DataFrame:
     return pairs.where(F.col("agree") >= AGREE).distinct()
 
 
+def _apart(members: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members with their ``part``, and the buckets that hold several parts."""
+    known = members.join(parts, "id", "left").withColumn("part", F.coalesce("component_id", "id")).drop("component_id")
+    return known, known.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
+
+
+def _across(members: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b): every pair of a bucket across components that can be a link, once."""
+    apart = table(_apart(members, parts)[1], "open-buckets")
+    ids = members.join(apart, "bucket", "left_semi").select("id").distinct()
+    rows = classes.join(ids, "id", "left_semi").join(parts, "id", "left")
+    rows = rows.select("id", F.coalesce("component_id", "id").alias("part"), "n", "s", F.posexplode("s").alias("j", "value"))
+    rows = rows.select("id", "part", "n", "s", "j", F.xxhash64("j", "value").alias("bucket")).join(apart, "bucket", "left_semi")
+    sizes = rows.groupBy("bucket", "j").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = rows.join(sizes, ["bucket", "j"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    packed = rows.groupBy("bucket", "j", "blocks", "block").agg(F.collect_list(F.struct("id", "part", "n", "s")).alias("m"))
+    packed = table(packed, "open-blocks")
+    left = packed.select("bucket", "j", "block", F.col("m").alias("x"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other"))
+    right = packed.select("bucket", "j", F.col("block").alias("other"), F.col("m").alias("y"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for j, block, other, *sides in zip(batch["j"], batch["block"], batch["other"], batch["x"], batch["y"]):
+                (i, p, n, s), (k, q, m, t) = (
+                    [np.array([r[c] for r in side], np.int64) for c in ("id", "part", "n")] + [np.stack([r["s"] for r in side])] for side in sides
+                )
+                good = p[:, None] != q
+                if block == other:
+                    good = np.triu(good, 1)
+                shorter, longer = np.minimum(n[:, None], m), np.maximum(n[:, None], m)
+                good &= (shorter >= SIMILARITY * longer) & (s[:, j][:, None] == t[:, j])
+                agree = np.zeros(good.shape, np.int8)
+                for c in range(SKETCHES):
+                    if c < j:  # an earlier bucket of both makes this pair
+                        good &= s[:, c][:, None] != t[:, c]
+                    agree += (s[:, c] & 0x7FFF)[:, None] == (t[:, c] & 0x7FFF)
+                x, y = np.nonzero(good & (agree >= AGREE))
+                yield pd.DataFrame({"a": np.minimum(i[x], k[y]), "b": np.maximum(i[x], k[y])})
+
+    return left.join(right, ["bucket", "j", "other"]).mapInPandas(compare, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose texts' alignment reaches the similarity, with it."""
 
@@ -158,7 +205,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = table(_sketched(docs), "order-sketches")
-    classes = rows.where("whole is not null").groupBy("whole").agg(F.min("doc_id").alias("id"), F.first("sketches").alias("s"))
+    classes = rows.where("whole is not null").groupBy("whole").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketches").alias("s"))
     classes = table(classes.where("id is not null"), "text-classes")
     # 15 bits of each sketch tell how many agree; the bucket is the whole sketch
     marks = F.transform("s", lambda x: x.bitwiseAND(F.lit(0x7FFF)).cast("short"))
@@ -173,9 +220,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if parts is None:
             pairs = _candidates(members, seed).select("a", "b")
         else:
-            own = F.coalesce("component_id", "id")
-            known = members.join(parts, "id", "left").withColumn("part", own)
-            apart = known.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
+            known, apart = _apart(members, parts)
             heads = F.explode(F.sequence(F.lit(0), F.lit(MORE_HEADS - 1)))
             drawn = known.join(apart, "bucket").withColumn("h", heads)
             one = F.min(F.struct(F.xxhash64("id", "h", F.lit(seed)).alias("r"), "id", "marks")).alias("x")
@@ -188,6 +233,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = found if links is None else links.unionByName(found)
         seen = pairs if seen is None else seen.unionByName(pairs)
         parts = table(components(links), "near-components")
+    rest = table(_across(members, classes, parts).join(seen, ["a", "b"], "left_anti"), "pairs")
+    found = table(_verified(rest, texts).select("a", "b"), "links")
+    if not found.isEmpty():
+        parts = table(components(links.unionByName(found)), "near-components")
     classes = classes.join(parts, "id", "left").select("whole", F.coalesce("component_id", "id").alias("class_id"))
     out = rows.join(classes, "whole", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
