@@ -10,7 +10,11 @@ precision on the original vectors, are the links.
 
 A vector whose whole list consists of links is saturated: its list is enlarged to its
 whole component, which is compared block by block, so no link within it is lost and no
-task holds more than two blocks. Only counts leave those blocks, never all pairs.
+task holds more than two blocks. Only counts leave those blocks, never all pairs. Full
+lists may hide links to other components: saturated vectors of different components are
+compared with each other, except blocks whose centres lie farther apart than both radii
+and the threshold's angle allow, and components that link become one before they are
+enlarged. The audit counts a link only if it is in a list or within such a component.
 
 Defined cases: vectors that are null, empty, zero, of another length than the vector
 they would be compared with, or that hold null or non-finite components, and those with
@@ -131,11 +135,8 @@ def _refined(lists: DataFrame, vectors: DataFrame, seed: int) -> DataFrame:
     return _best(lists.unionByName(_compared(groups, 4)))
 
 
-def _audit(lists: DataFrame, vectors: DataFrame, least: float) -> float:
-    """The share of a bounded sample's true links that its lists hold.
-
-    A list full of links counts as whole, as it will be enlarged.
-    """
+def _audit(lists: DataFrame, enlarged: DataFrame, vectors: DataFrame, least: float) -> float:
+    """The share of a bounded sample's true links found: in its lists, or within one enlarged component."""
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(AUDIT).collect()
     if not sample:
         return 1.0
@@ -161,12 +162,13 @@ def _audit(lists: DataFrame, vectors: DataFrame, least: float) -> float:
                 yield out[out["u"] != out["v"]]
 
     true = vectors.mapInPandas(links, "u long, v long")
-    filled = lists.where(F.col("s") >= least).groupBy("u").agg(F.count("*").alias("k"))
     hit = lists.where(F.col("s") >= least).select("u", "v", F.lit(1).alias("hit"))
+    own, other = (enlarged.select(F.col("id").alias(c), F.col("component_id").alias(f"part_{c}")) for c in "uv")
     row = (
-        true.join(filled, "u", "left")
-        .join(hit, ["u", "v"], "left")
-        .agg(F.count("*").alias("n"), F.sum(F.when((F.col("k") >= NEIGHBOURS) | F.col("hit").isNotNull(), 1).otherwise(0)).alias("h"))
+        true.join(hit, ["u", "v"], "left")
+        .join(own, "u", "left")
+        .join(other, "v", "left")
+        .agg(F.count("*").alias("n"), F.sum(F.when(F.col("hit").isNotNull() | (F.col("part_u") == F.col("part_v")), 1).otherwise(0)).alias("h"))
         .first()
     )
     return 1.0 if not row.n else row.h / row.n
@@ -197,6 +199,77 @@ def _whole_components(members: DataFrame, least: float) -> DataFrame:
     return pairs.mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def _between(saturated: DataFrame, least: float) -> DataFrame:
+    """(a, b): a link of every two blocks of different components that have one.
+
+    ``saturated`` has (component_id, id, label, v).
+    """
+    sizes = saturated.groupBy("component_id").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = saturated.join(sizes, "component_id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    key = F.xxhash64("component_id", "block").alias("key")
+    packed = rows.groupBy("label", "component_id", "block").agg(F.collect_list(F.struct("id", "v")).alias("m"))
+    packed = table(packed.select(key, "label", "component_id", "m"), "saturated-blocks")
+
+    def centre(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            centres, radii = [], []
+            for members in batch["m"]:
+                x = _unit([m["v"] for m in members])
+                c = x.mean(0)
+                c = c / norm if (norm := np.sqrt(np.square(c).sum())) > 1e-9 else x[0]
+                centres.append(c.tobytes())
+                radii.append(float(np.arccos(np.clip(x @ c, -1, 1)).max()))
+            yield batch[["key", "label", "component_id"]].assign(c=centres, r=radii)
+
+    balls = packed.mapInPandas(centre, "key long, label long, component_id long, c binary, r double")
+    groups = balls.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("groups"))
+    balls = table(balls, "balls").join(table(groups, "ball-groups"), "label").withColumn("g", F.pmod(F.xxhash64("key"), F.col("groups")))
+    ball = F.collect_list(F.struct("key", "component_id", "c", "r"))
+    balls = table(balls.groupBy("label", "groups", "g").agg(ball.alias("m")), "ball-blocks")
+    left = balls.select("label", "g", F.col("m").alias("x"), F.explode(F.sequence(F.col("g"), F.col("groups") - 1)).alias("other"))
+    right = balls.select("label", F.col("g").alias("other"), F.col("m").alias("y"))
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for g, other, x, y in zip(batch["g"], batch["other"], batch["x"], batch["y"]):
+                (i, p, r), (k, q, t) = ((np.array([b["key"] for b in z]), np.array([b["component_id"] for b in z]), np.array([b["r"] for b in z])) for z in (x, y))
+                angle = np.arccos(np.clip(_cosines(_unit([b["c"] for b in x]), _unit([b["c"] for b in y])), -1, 1))
+                near = (p[:, None] != q) & (angle <= r[:, None] + t + np.arccos(min(1.0, least)) + 1e-6)
+                if g == other:
+                    near = np.triu(near, 1)
+                u, v = np.nonzero(near)
+                yield pd.DataFrame({"key": i[u], "with": k[v]})
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for x, y in zip(batch["x"], batch["y"]):
+                c = _cosines(_unit([m["v"] for m in x]), _unit([m["v"] for m in y]))
+                u, v = np.unravel_index(c.argmax(), c.shape)
+                if c[u, v] >= least:
+                    found.append(sorted((x[u]["id"], y[v]["id"])))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    pairs = left.join(right, ["label", "other"]).mapInPandas(close, "key long, with long")
+    both = pairs.join(packed.select("key", F.col("m").alias("x")), "key").join(packed.select(F.col("key").alias("with"), F.col("m").alias("y")), "with")
+    return both.select("x", "y").mapInPandas(link, "a long, b long")
+
+
+def _joined(lists: DataFrame, vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (a, b) of the lists, components of all, and the members of those to enlarge."""
+    links = lists.where(F.col("s") >= least)
+    saturated = links.groupBy("u").agg(F.count("*").alias("k")).where(F.col("k") >= NEIGHBOURS).select(F.col("u").alias("id"))
+    saturated = table(saturated, "saturated")
+    links = table(links.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "vector-links")
+    parts = table(components(links), "vector-components")
+    full = parts.join(saturated, "id", "left_semi").join(vectors, "id")
+    between = table(_between(full, least), "component-links")
+    if not between.isEmpty():
+        parts = table(components(links.unionByName(between)), "vector-components")
+    dense = parts.join(saturated, "id", "left_semi").select("component_id").distinct()
+    return links, parts, table(parts.join(dense, "component_id", "left_semi"), "enlarged")
+
+
 def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = THRESHOLD) -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
     everything = rows.select(F.col(id_col).cast("long").alias("id"))
@@ -204,15 +277,11 @@ def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col:
     first = vectors.select((F.length("v") / 8).cast("int").alias("d")).first()
     lists = table(_start(vectors, first.d if first else 1), "neighbours")
     for round_ in range(MAX_ROUNDS):
-        if round_ >= MIN_ROUNDS and _audit(lists, vectors, least) >= AUDIT_RECALL:
+        if round_ >= MIN_ROUNDS and _audit(lists, enlarged, vectors, least) >= AUDIT_RECALL:
             break
         lists = table(_refined(lists, vectors, round_), "neighbours")
-    links = lists.where(F.col("s") >= least)
-    saturated = links.groupBy("u").agg(F.count("*").alias("k")).where(F.col("k") >= NEIGHBOURS).select(F.col("u").alias("id"))
-    links = table(links.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "vector-links")
-    parts = table(components(links), "vector-components")
-    dense = parts.join(saturated, "id", "left_semi").select("component_id").distinct()
-    members = parts.join(dense, "component_id", "left_semi").join(vectors.select("id", "v"), "id")
+        links, parts, enlarged = _joined(lists, vectors, least)
+    members = enlarged.join(vectors.select("id", "v"), "id")
     whole = _whole_components(members, least)
     listed = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("m"))
     out = everything.join(parts, "id", "left").join(whole, "id", "left").join(listed, "id", "left")

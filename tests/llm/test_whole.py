@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 
-from loomspan.llm import order_minhash
+from loomspan.llm import nn_descent, order_minhash
 
 
 def named(n: int, a, b) -> list[int]:
@@ -53,3 +53,16 @@ def test_classes_of_a_template_family(spark):
     df = spark.createDataFrame(pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
     got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(df).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_dense_groups_that_link_each_other(spark):
+    # two groups of 20 equal vectors at cosine 0.95: every list of 12 holds its own group
+    x = np.zeros((41, 4))
+    x[:20, 0] = 1
+    x[20:40, :2] = 0.95, np.sqrt(1 - 0.95**2)
+    x[40, 3] = 1
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nn_descent.near_duplicate_vectors(df).collect()}
+    near = x @ x.T >= nn_descent.THRESHOLD
+    part = named(len(x), *np.nonzero(near))
+    assert got == {i: (near[i].sum() - 1, part[i]) for i in range(len(x))}
