@@ -1,22 +1,33 @@
 """Main text of web pages by removal of site templates.
 
-Two passes over the pages. The first hashes every element's subtree (tags and white-space
-normalised text) and counts, per host, the pages that hold each hash; subtrees that
-recur on most pages of a host are its template. The second takes each page's main part
-(its articles, else its main element, else the body), deletes the host's template
-subtrees and the elements that HTML itself or their class, id or role declare to be
-navigation, header, footer, sidebar, notice, advert, form or reader comments, and joins
-the text of the remaining blocks.
-
-At most (elements of a page) / (share) hashes of a host can pass the threshold, so the
-list that joins a host's pages is short however many they are. An article that would lose
-all its text is a copy on most pages, and keeps it. The join is salted, as one
-host may own a third of all pages.
+Two passes over the pages. The first hashes element subtrees and counts, per host, the
+pages that hold each hash. A subtree has two hashes: its content (tags, classes and
+white-space normalised text), and its slot (the path to it and the shape below it, without
+text and with runs of like children as one), as menus, adverts and footers often change
+their words but not their form. The second pass deletes from the whole page
+
+* contents that recur on most pages of the host,
+* slots outside the page's content that recur on several pages of the host,
+
+then the elements that HTML names as no main text (nav, footer, aside, form, script and so
+on), hidden ones and reader comments, and joins the text of the blocks that remain. The
+content of a page is its articles, else its main elements, else the container that a walk
+towards the majority of unlinked text ends at; its inside is safe from slots, and loses
+what is marked as an advert or the like by class or role.
+
+Hosts of fewer than ``LEAST_PAGES`` pages can't be counted; slots of marked elements that
+recur over all such hosts together are deleted there, and elements that a class or role
+marks as no main text.
+
+At most (subtrees of a page) / (share) hashes can pass a threshold, so the list that joins
+a host's pages, and the one of all small hosts, are short however many pages there are.
+Content that would lose all its text is a copy on most pages, and keeps it.
 
 Defined cases: null or empty html gives an empty text; a null URL or one without host
 counts as the host ``""``; unclosed and misnested tags close where the next block or the
-enclosing element ends; a page repeated under one host counts as often as it occurs;
-an empty table gives no rows; other columns are ignored.
+enclosing element ends; a page repeated under one host counts as often as it occurs; null
+page ids are kept; very long pages are parsed whole; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +35,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +43,13 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.shared import table
 
-#: A subtree outside articles and main elements is template if so many pages of the
-#: host, and this share of them, hold it; one inside needs the larger figures, as
-#: articles are themselves copied between pages.
-LEAST_PAGES, SHARE = 5, 0.5
-INNER_PAGES, INNER_SHARE = 10, 0.8
-SALTS = 64
+#: Hosts of fewer pages are counted together.
+LEAST_PAGES = 5
+#: Contents on this share of a host's pages are template; within the page's content it
+#: takes the larger figures, as articles are themselves copied between pages.
+SHARE, INNER_PAGES, INNER_SHARE = 0.5, 10, 0.8
+#: Slots on so many pages and this share of them are template.
+SLOT_PAGES, SLOT_SHARE = 3, 0.02
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,47 +64,83 @@ DROPPED = frozenset(
     "nav footer aside form script style noscript template iframe svg math button select option textarea title head dialog menu canvas object audio video datalist".split()
 )
 MARKS = frozenset(
-    "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside notice cookie cookies consent gdpr banner alert ad ads adv advert adverts advertisement sponsor sponsored promo promotion search login signup newsletter subscribe share sharing social comment comments respond disqus related widget popup modal overlay pagination pager toolbar complementary contentinfo".split()
+    "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside notice cookie cookies consent gdpr banner alert ad ads adv advert adverts advertisement sponsor sponsored promo promotion search login signup newsletter subscribe share sharing social related widget popup modal overlay pagination pager toolbar complementary contentinfo".split()
 )
+COMMENTS = frozenset("comment comments respond disqus".split())
+#: Words that a mark may be joined with: "site-header" is one, "entry-header" is none.
+NEUTRAL = frozenset("site global top bottom left right main primary secondary box bar block list item section container wrapper wrap area links buttons form unit slot text".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that may hold a page's content, and those that may be a slot of a template.
+CONTAINERS = frozenset("#root html body main article section div center table tbody tr td".split())
+SLOTS = CONTAINERS - {"#root", "html", "body", "article"} | frozenset("ul ol dl header footer nav aside form details a span".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _MARKED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+KEPT, COMMENT, MARKED, NAMED = range(4)
 
 
 class Node:
-    __slots__ = ("tag", "drop", "kids", "hash", "text")
+    """An element: ``name`` is its tag with classes and id, ``kind`` what it declares itself to be."""
 
-    def __init__(self, tag: str, drop: bool = False):
-        self.tag, self.drop, self.kids, self.hash, self.text = tag, drop, [], 0, False
+    __slots__ = ("tag", "name", "kind", "kids", "hash", "shape", "size", "text")
 
+    def __init__(self, tag: str, name: str = "", kind: int = KEPT):
+        self.tag, self.name, self.kind, self.kids = tag, name or tag, kind, []
+        self.hash = self.shape = self.size = 0
+        self.text = False
 
-def _declared(tag: str, attributes: str) -> bool:
-    """Whether an element's name or attributes declare it to be no main text."""
-    if tag in DROPPED:
-        return True
-    if tag in ("html", "body", "article", "main") or not attributes.strip():
-        return False
-    for name, value in _MARKED.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name != "aria-hidden" and MARKS.intersection(re.split(r"[^a-z0-9]+", value)):
+
+def _marked(value: str, words: frozenset[str]) -> bool:
+    """Whether one of the names in ``value`` consists of marking and neutral words alone."""
+    for name in value.split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", name) if x and not x.isdigit()]
+        if words.intersection(parts) and all(x in words or x in NEUTRAL for x in parts):
             return True
     return False
 
 
+def _declared(tag: str, attributes: str) -> tuple[str, int]:
+    """An element's name, and what its tag or attributes declare it to be."""
+    kind = NAMED if tag in DROPPED else KEPT
+    if not attributes or attributes.isspace():
+        return tag, kind
+    names = [tag]
+    for name, value in _MARKED.findall(attributes):
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "hidden" or name == "aria-hidden":
+            if name == "hidden" or value == "true":
+                kind = NAMED
+            continue
+        if name != "role":
+            names += sorted(value.split())
+        if kind == KEPT and tag not in ("html", "body", "main"):
+            if _marked(value, COMMENTS):
+                kind = COMMENT
+            elif tag != "article" and _marked(value, MARKS):
+                kind = MARKED
+    return ".".join(names), kind
+
+
 def _close(node: Node) -> None:
     import xxhash
 
-    parts = []
+    parts, shapes = [], []
     for kid in node.kids:
         if isinstance(kid, str):
             if words := kid.split():
                 parts.append(" ".join(words))
                 node.text = True
+                node.size += len(parts[-1])
         else:
             parts.append(f"<{kid.hash:x}>")
             node.text |= kid.text
-    node.hash = xxhash.xxh64_intdigest(f"{node.tag}\n" + "\n".join(parts)) >> 1 | 1
+            node.size += kid.size
+            if kid.shape and (not shapes or shapes[-1] != kid.shape):
+                shapes.append(kid.shape)
+    if node.tag == "a" or node.kind == NAMED:
+        node.size = 0
+    node.hash = xxhash.xxh64_intdigest(f"{node.name}\n" + "\n".join(parts)) >> 1 | 1
+    if node.tag == "a" or node.tag not in INLINE:
+        node.shape = xxhash.xxh64_intdigest(f"{node.name}\n{shapes}") >> 1 | 1
 
 
 def parse(html: str | None) -> Node:
@@ -133,7 +182,7 @@ def parse(html: str | None) -> Node:
                     break
                 if stack[i].tag not in INLINE and stack[i].tag != "p":
                     break
-        node = Node(tag, _declared(tag, m[3]))
+        node = Node(tag, *_declared(tag, m[3]))
         stack[-1].kids.append(node)
         if tag in VOID or m[3].endswith("/"):
             _close(node)
@@ -161,13 +210,13 @@ def nodes(root: Node) -> Iterator[Node]:
         stack.extend(k for k in reversed(node.kids) if not isinstance(k, str))
 
 
-def main_parts(root: Node) -> list[Node]:
-    """The page's outermost articles, else its main elements, else all of it."""
+def content_of(root: Node) -> list[Node]:
+    """The page's outermost articles, else its main elements, else where most unlinked text is."""
     for wanted in ("article", "main"):
         found, stack = [], [root]
         while stack:
             node = stack.pop()
-            if node.drop:
+            if node.kind != KEPT:
                 continue
             if node.tag == wanted:
                 found.append(node)
@@ -175,74 +224,149 @@ def main_parts(root: Node) -> list[Node]:
                 stack.extend(k for k in reversed(node.kids) if not isinstance(k, str))
         if found:
             return found
-    return [root]
+    node = root
+    while True:
+        inner = [k for k in node.kids if not isinstance(k, str) and k.kind == KEPT and k.tag in CONTAINERS]
+        best = max(inner, key=lambda k: k.size, default=None)
+        if best is None or best.size * 2 <= node.size:
+            return [node]
+        node = best
+
+
+def slots(root: Node) -> Iterator[tuple[Node, int]]:
+    """Elements with text outside the page's content that may be a template's, and their slots."""
+    import xxhash
+
+    found = content_of(root)
+    content, above = {id(x) for x in found}, {id(k): x for x in nodes(root) for k in x.kids if not isinstance(k, str)}
+    around = set()  # what the content lies in is no template
+    for node in found:
+        while (node := above.get(id(node))) is not None:
+            around.add(id(node))
+    stack = [(root, "")]
+    while stack:
+        node, path = stack.pop()
+        if id(node) in content:
+            continue
+        if node.text and node.tag in SLOTS and id(node) not in around:
+            yield node, xxhash.xxh64_intdigest(f"{path}\n{node.shape}") >> 1 | 1
+        path = f"{path}/{node.name}"
+        stack.extend((k, path) for k in reversed(node.kids) if not isinstance(k, str))
+
+
+@dataclass(frozen=True)
+class Templates:
+    """A host's template hashes; ``counted`` unless it has too few pages."""
+
+    outer: frozenset[int] = frozenset()
+    inner: frozenset[int] = frozenset()
+    slots: frozenset[int] = frozenset()
+    counted: bool = False
+
 
+def main_text(root: Node, template: Templates = Templates()) -> tuple[str, int]:
+    """The text without templates and what is declared to be none; and the templates deleted."""
+    content = {id(x) for x in content_of(root)}
+    whole = id(root) in content
+    gone = {id(node) for node, slot in slots(root) if slot in template.slots}
+    deleted, text = _joined(root, template, gone, content, whole)
+    if not text and template.inner:
+        deleted, text = _joined(root, Templates(template.outer, slots=template.slots, counted=template.counted), gone, content, whole)
+    return text, deleted
 
-def main_text(root: Node, outer: frozenset[int] = frozenset(), inner: frozenset[int] = frozenset()) -> str:
-    """The text of the main part without declared and template subtrees."""
-    parts = main_parts(root)
-    whole = parts == [root]
-    template = outer if whole else inner
+
+def _joined(root: Node, template: Templates, gone: set[int], content: set[int], whole: bool) -> tuple[int, str]:
     out: list[str] = []
-    stack: list = list(reversed(parts))
+    deleted = 0
+    stack: list = [(root, False)]
     while stack:
-        node = stack.pop()
+        node, inside = stack.pop()
         if isinstance(node, str):
             out.append(node)
-        elif node.drop or node.hash in template or whole and node.tag == "header":
+            continue
+        inside |= id(node) in content and not whole
+        held = node.tag in ("#root", "html", "body") or id(node) in content
+        if not held and (id(node) in gone or node.hash in (template.inner if inside else template.outer)):
+            deleted += 1
+            out.append(" ")
+        elif (
+            node.kind in (NAMED, COMMENT)
+            or node.kind == MARKED and (inside or not template.counted)
+            or node.tag == "header" and not inside
+        ):
             out.append(" ")
         else:
             gap = "" if node.tag in INLINE else " "
-            stack.append(gap)
-            stack.extend(reversed(node.kids))
+            stack.append((gap, inside))
+            stack.extend((k, inside) for k in reversed(node.kids))
             out.append(gap)
-    text = " ".join("".join(out).split())
-    return text if text or whole or not inner else main_text(root)
+    return deleted, " ".join("".join(out).split())
 
 
 def _host(url) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, outer, inner): the hashes of each host's template subtrees."""
+CONTENT, SLOT, POOLED, PAGE = range(4)
+
+
+def templates(pages: DataFrame) -> tuple[DataFrame, frozenset[int]]:
+    """(host, outer, inner, slots) of hosts with enough pages; the slots of all others together."""
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for host, html in zip(batch["host"], batch["html"]):
-                rows.append((host, 0))  # counts the page
-                rows.extend((host, h) for h in {x.hash for x in nodes(parse(html)) if x.text and x.tag not in ("#root", "html", "body", "article", "main")})
-            yield pd.DataFrame(rows, columns=["host", "hash"])
-
-    counts = pages.select(_host(F.col("url")).alias("host"), "html").mapInPandas(hashes, "host string, hash long")
-    counts = counts.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    counts = table(counts, "subtree-counts")
-    totals = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    share = F.col("n") / F.col("pages")
-    found = counts.where("hash <> 0").join(totals, "host").where(share >= SHARE)
-    inner = F.when((F.col("n") >= INNER_PAGES) & (share >= INNER_SHARE), F.col("hash"))
-    return found.groupBy("host").agg(F.collect_list("hash").alias("outer"), F.collect_list(inner).alias("inner"))
+                root = parse(html)
+                rows.append((host, PAGE, 0))
+                rows.extend((host, CONTENT, h) for h in {x.hash for x in nodes(root) if x.text and x.tag not in ("#root", "html", "body", "article", "main")})
+                found = list(slots(root))
+                rows.extend((host, SLOT, h) for h in {h for _, h in found})
+                rows.extend((host, POOLED, h) for h in {h for x, h in found if "." in x.name or x.kind != KEPT})
+            yield pd.DataFrame(rows, columns=["host", "kind", "hash"])
+
+    counts = pages.select(_host(F.col("url")).alias("host"), "html").mapInPandas(hashes, "host string, kind int, hash long")
+    counts = table(counts.groupBy("host", "kind", "hash").agg(F.count("*").alias("n")), "subtree-counts")
+    totals = table(counts.where(F.col("kind") == PAGE).select("host", F.col("n").alias("pages")), "host-pages")
+    small = counts.where(F.col("kind") == POOLED).join(totals.where(F.col("pages") < LEAST_PAGES), "host")
+    pool = totals.where(F.col("pages") < LEAST_PAGES).agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("n")).first().n
+    small = small.groupBy("hash").agg(F.sum("n").alias("n")).where((F.col("n") >= SLOT_PAGES) & (F.col("n") >= SLOT_SHARE * pool))
+    # fewer than (slots of a page) / SLOT_SHARE rows, whatever the number of pages
+    pooled = frozenset(r.hash for r in small.select("hash").collect())
+    kind, n = F.col("kind"), F.col("n")
+    share = n / F.col("pages")
+    outer = (kind == CONTENT) & (n >= LEAST_PAGES) & (share >= SHARE)
+    slot = (kind == SLOT) & (n >= SLOT_PAGES) & (share >= SLOT_SHARE)
+    found = counts.where((kind == CONTENT) & (n >= LEAST_PAGES) | (kind == SLOT) & (n >= SLOT_PAGES))
+    found = found.join(totals.where(F.col("pages") >= LEAST_PAGES), "host").where(outer | slot)
+    found = table(found.withColumn("inner", (n >= INNER_PAGES) & (share >= INNER_SHARE)), "template-hashes")
+    is_ = lambda c: F.collect_list(F.when(c, F.col("hash")))
+    lists = found.groupBy("host").agg(is_(kind == CONTENT).alias("outer"), is_((kind == CONTENT) & F.col("inner")).alias("inner"), is_(kind == SLOT).alias("slots"))
+    big = totals.where(F.col("pages") >= LEAST_PAGES).select("host", F.lit(True).alias("counted"))
+    return table(big.join(lists, "host", "left"), "templates"), pooled
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page."""
+    """(page_id, url, text, n_chars, n_templates) of every page; the last counts deleted subtrees."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host(F.col("url")).alias("host"))
+    marks, pooled = templates(pages)
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for html, outer, inner in zip(batch["html"], batch["outer"], batch["inner"]):
-                sets = [frozenset() if x is None else frozenset(int(i) for i in x) for x in (outer, inner)]
-                out.append(main_text(parse(html), *sets))
-            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": out, "n_chars": [len(t) for t in out]})
+            for html, counted, *lists in zip(batch["html"], batch["counted"], batch["outer"], batch["inner"], batch["slots"]):
+                if counted is True:
+                    own = Templates(*[frozenset() if x is None else frozenset(x.tolist()) for x in lists], counted=True)
+                else:
+                    own = Templates(slots=pooled)
+                out.append(main_text(parse(html), own))
+            text = [t for t, _ in out]
+            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": text, "n_chars": [len(t) for t in text], "n_templates": [n for _, n in out]})
 
-    salted = F.pmod(F.xxhash64("page_id"), F.lit(SALTS))
-    rows = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"), salted.alias("salt"))
-    marks = table(templates(pages), "templates").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    joined = rows.join(marks, ["host", "salt"], "left").select("page_id", "url", "html", "outer", "inner")
-    return joined.mapInPandas(texts, "page_id long, url string, text string, n_chars long")
+    joined = rows.join(marks, "host", "left").select("page_id", "url", "html", "counted", "outer", "inner", "slots")
+    return joined.mapInPandas(texts, "page_id long, url string, text string, n_chars long, n_templates long")
 
 
 def op2_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet").selectExpr("cast(page_id as long) page_id", "url", "html"))
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
