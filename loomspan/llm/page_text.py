@@ -266,23 +266,26 @@ class Templates:
 
 def main_text(root: Node, template: Templates = Templates()) -> tuple[str, int]:
     """The text without templates and what is declared to be none; and the templates deleted."""
-    content = {id(x) for x in content_of(root)}
-    whole = id(root) in content
+    found = content_of(root)
+    content, whole = {id(x) for x in found}, found[0].tag in ("#root", "html", "body")
     gone = {id(node) for node, slot in slots(root) if slot in template.slots}
-    deleted, text = _joined(root, template, gone, content, whole)
-    if not text and template.inner:
-        deleted, text = _joined(root, Templates(template.outer, slots=template.slots, counted=template.counted), gone, content, whole)
+    deleted, text, left = _joined(root, template, gone, content, whole)
+    if not left and template.inner:
+        kept = Templates(template.outer, slots=template.slots, counted=template.counted)
+        deleted, text, _ = _joined(root, kept, gone, content, whole)
     return text, deleted
 
 
-def _joined(root: Node, template: Templates, gone: set[int], content: set[int], whole: bool) -> tuple[int, str]:
+def _joined(root: Node, template: Templates, gone: set[int], content: set[int], whole: bool) -> tuple[int, str, bool]:
+    """(subtrees deleted, text, whether the content has any of it)."""
     out: list[str] = []
-    deleted = 0
+    deleted, left = 0, False
     stack: list = [(root, False)]
     while stack:
         node, inside = stack.pop()
         if isinstance(node, str):
             out.append(node)
+            left = left or (inside or whole) and not node.isspace() and node != ""
             continue
         inside |= id(node) in content and not whole
         held = node.tag in ("#root", "html", "body") or id(node) in content
@@ -300,7 +303,7 @@ def _joined(root: Node, template: Templates, gone: set[int], content: set[int],
             stack.append((gap, inside))
             stack.extend((k, inside) for k in reversed(node.kids))
             out.append(gap)
-    return deleted, " ".join("".join(out).split())
+    return deleted, " ".join("".join(out).split()), left
 
 
 def _host(url) -> F.Column:

@@ -5,6 +5,7 @@ import hashlib
 import io
 import json
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -61,11 +62,50 @@ def test_page_text(spark):
     df = spark.createDataFrame(pages + plain + odd, "page_id long, url string, html string, salt int")
     out = page_text.extract(df).toPandas()
     text = out.set_index("page_id").text
-    assert len(out) == 33 and text[0] == "Head & line One bold Two three" and text[100] == "Own 0"
+    assert len(out) == 33 and text[0] == "0 Head & line One bold Two three" and text[100] == "Own 0" and out.n_templates[0] > 0
     assert text[200] == "" and text[201] == "" and text[202] == "a < b < c" and sorted(text[203]) == ["deep", "x"]
     assert (out.n_chars == out.text.str.len()).all() and page_text.extract(df.limit(0)).count() == 0
 
 
+def test_host_templates_equal_brute_force(spark, sf_dir):
+    # templates decide on most pages, nothing of an article is lost, and counting per host in plain Python agrees
+    d = sf_dir.replace("sf0.001", "sf0.01")
+    pages = spark.read.parquet(f"{d}/pages.parquet").toPandas()
+    got = page_text.op2_template_removal(spark, d).toPandas().set_index("page_id")
+    host = pages.url.str.extract(r"^[a-z]+://([^/]+)")[0]
+    roots = {i: page_text.parse(h) for i, h in zip(pages.page_id, pages.html)}
+    per_host, pooled, size = {}, Counter(), Counter(host)
+    for i, h in zip(pages.page_id, host):
+        found = list(page_text.slots(roots[i]))
+        per_host.setdefault(h, Counter()).update({s for _, s in found})
+        if size[h] < page_text.LEAST_PAGES:
+            pooled.update({s for x, s in found if "." in x.name or x.kind != page_text.KEPT})
+    low = {s for s, n in pooled.items() if n >= max(page_text.SLOT_PAGES, page_text.SLOT_SHARE * sum(n for n in size.values() if n < page_text.LEAST_PAGES))}
+    changed = 0
+    for i, h, html in zip(pages.page_id, host, pages.html):
+        counted = size[h] >= page_text.LEAST_PAGES
+        own = {s for s, n in per_host[h].items() if n >= max(page_text.SLOT_PAGES, page_text.SLOT_SHARE * size[h])} if counted else low
+        text, _ = page_text.main_text(roots[i], page_text.Templates(slots=frozenset(own), counted=counted))
+        assert got.text[i] == text
+        article = page_text.parse(re.search("<article>.*</article>", html, re.S)[0])
+        assert text == page_text.main_text(article)[0]
+        changed += counted and text != page_text.main_text(roots[i], page_text.Templates(counted=True))[0]
+    assert changed > len(pages) / 2
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<main><p>Body text here</p><article class='comment'>Reader says</article></main>", "Body text here"),
+        ("<article><div class='entry-header'><h1>Title</h1></div><p class='share-price'>Up</p></article>", "Title Up"),
+        ("<article><header><h1>T</h1></header><div class='ad-box'>buy</div><p>x</p></article><header>site</header>", "T x"),
+        ("<div id='comments'>no</div><p hidden>no</p><p>yes</p>", "yes"),
+    ],
+)
+def test_what_elements_declare(html, text):
+    assert page_text.main_text(page_text.parse(html))[0] == text
+
+
 def test_near_duplicates(docs, none):
     got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()}
     assert got == {1: 1, 2: 1, 6: 1, 3: 3, 4: 4, 5: 5, 7: 7, 8: 8}
