@@ -8,18 +8,20 @@ Sixteen sketches are taken.
 
 Texts with the same words are one class from the start. Classes that agree on a sketch
 share a bucket; each bucket elects a head at random, and members pair with the head if at
-least three of the sixteen sketches agree. Thus a bucket of s members makes s - 1 pairs. A pair is linked if the aligned labelled k-mers
-make up at least 0.8 of all of both texts; the alignment looks only at the band about
-the diagonal in which such an alignment must lie. A few more rounds, over buckets whose
-members aren't yet in one component, pair members drawn from each of its components with
-several new heads. These rounds only make components larger. Buckets that still span
-several are finished exactly: block against block, every pair across components that no
-round has seen, with three agreeing sketches, is aligned. So the classes are those of all
-pairs that share a bucket.
+least two of the sixteen sketches agree. Thus a bucket of s members makes s - 1 pairs. A
+pair is linked if the words that a banded alignment matches make up at least 0.8 of all
+words of both texts: common k-mers anchor it, near the diagonal that such an alignment must
+keep to, and the words between anchors are matched by their longest common subsequence. Two
+texts whose five-word shingles in order have a similarity of 0.8 are always linked by it.
+A few more rounds, over buckets whose members aren't yet in one component, pair members
+drawn from each of its components with several new heads. These rounds only make components
+larger. Buckets that still span several are finished exactly: block against block, every
+pair across components that no round has seen, with two agreeing sketches, is aligned. So
+the classes are those of all pairs that share a bucket.
 
 Defined cases: a text of fewer than five words is one k-mer; null, empty and blank
-texts have none and are classes of their own; ties of ids (repeated rows) belong to one
-class; a null id takes part as a copy, but never as a head, and keeps a class without id
+texts have none and are classes of their own; rows of one id (repeated rows, or other texts) belong to
+one class, of all that any of their texts links to; very long texts are read whole; a null id takes part as a copy, but never as a head, and keeps a class without id
 only if all of it has none; an empty table gives no rows; other columns are ignored.
 """
 
@@ -40,7 +42,7 @@ from loomspan.llm.components import components
 from loomspan.llm.shared import table
 
 WORDS, SIMILARITY = 5, 0.8
-SKETCHES, AGREE = 16, 3
+SKETCHES, AGREE = 16, 2
 #: Rounds of random draws after the first at most, and the new heads of a bucket in each
 #: of them; what they leave is compared in blocks of so many members.
 MORE_ROUNDS, MORE_HEADS = 3, 4
@@ -55,12 +57,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def labelled_kmers(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Hashes of the text's k-mers, each with its occurrence number, in text order."""
+def word_hashes(text: str | None) -> np.ndarray:
     tokens = (text or "").lower().split()
-    if not tokens:
+    return np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in tokens), np.uint64, len(tokens))
+
+
+def labelled(h: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Hashes of the k-mers of a text's words, each with its occurrence number, in text order."""
+    if not len(h):
         return np.zeros(0, np.uint64)
-    h = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in tokens), np.uint64, len(tokens))
     n = max(1, len(h) - words + 1)
     k = np.zeros(n, np.uint64)
     for i in range(min(words, len(h))):
@@ -76,6 +81,10 @@ def labelled_kmers(text: str | None, words: int = WORDS) -> np.ndarray:
     return k
 
 
+def labelled_kmers(text: str | None) -> np.ndarray:
+    return labelled(word_hashes(text))
+
+
 def sketch(kmers: np.ndarray) -> np.ndarray:
     """The sketches: each a hash of the two smallest labelled k-mers in text order."""
     out = np.empty(SKETCHES, np.uint64)
@@ -92,32 +101,74 @@ def sketch(kmers: np.ndarray) -> np.ndarray:
     return out
 
 
+def common_words(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence, a machine word of positions at a time."""
+    if not a or not b:
+        return 0
+    at: dict[int, int] = {}
+    for i, w in enumerate(a):
+        at[w] = at.get(w, 0) | 1 << i
+    row = every = (1 << len(a)) - 1
+    for w in b:
+        if (hit := at.get(w)) is not None:
+            row = (row + (row & hit) | row & ~hit) & every
+    return len(a) - row.bit_count()
+
+
+def _anchored(a: np.ndarray, b: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, length) of runs of equal words, in order in both texts, within the band.
+
+    Labelled k-mers are distinct, so that the longest chain of common ones is the longest
+    increasing run of their positions.
+    """
+    x, y = labelled(a), labelled(b)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    near = np.abs(i - j) <= band
+    order = np.argsort(i[near])
+    i, j = i[near][order], j[near][order]
+    if len(j) > 1 and (np.diff(j) <= 0).any():
+        tails: list[int] = []
+        ends: list[int] = []
+        before = []
+        for n, v in enumerate(j.tolist()):
+            at = bisect_left(tails, v)
+            tails[at : at + 1] = [v]
+            ends[at : at + 1] = [n]
+            before.append(ends[at - 1] if at else -1)
+        chain, n = [], ends[-1]
+        while n >= 0:
+            chain.append(n)
+            n = before[n]
+        i, j = i[chain[::-1]], j[chain[::-1]]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(i) != 1) | (np.diff(j) != 1)])) if len(i) else np.zeros(0, int)
+    wide = np.diff(np.append(first, len(i))) + min(WORDS, len(a), len(b)) - 1
+    return i[first], j[first], wide
+
+
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Aligned k-mers as a share of all of both texts; 0 where it can't reach ``least``.
+    """Aligned words as a share of all of both texts (hashes of words); 0 below ``least``.
 
-    Labelled k-mers are distinct, so that the longest alignment is the longest
-    increasing run of matched positions. An alignment that reaches ``least`` leaves at
-    most ``band`` k-mers unmatched, and no match of it lies farther off the diagonal.
+    An alignment that reaches ``least`` leaves at most ``band`` words unmatched, and none of
+    its matches lies farther off the diagonal. Common k-mers within the band anchor it;
+    between two of them the longest common subsequence of the words is taken.
     """
     n, m = len(a), len(b)
-    if not n or not m or min(n, m) < least * max(n, m):
+    need = least * (n + m) / (1 + least) - 1e-9
+    if not n or not m or min(n, m) < need:
         return 0.0
     band = int((n + m) * (1 - least) / (1 + least) + 1e-9)
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    near = np.abs(i - j) <= band
-    j = j[near][np.argsort(i[near])]
-    if (1 + least) * len(j) < least * (n + m) - 1e-9:
+    matched, x, y, gaps = 0, 0, 0, []
+    for i, j, wide in zip(*(v.tolist() for v in _anchored(a, b, band))):
+        cut = max(0, x - i, y - j)
+        if cut < wide:
+            gaps.append((x, i + cut, y, j + cut))
+            matched += wide - cut
+            x, y = i + wide, j + wide
+    gaps = [(p, q, r, s) for p, q, r, s in [*gaps, (x, n, y, m)] if p < q and r < s]
+    if matched + sum(min(q - p, s - r) for p, q, r, s in gaps) < need:
         return 0.0
-    if len(j) > 1 and (np.diff(j) <= 0).any():
-        tails: list[int] = []
-        for x in j.tolist():
-            at = bisect_left(tails, x)
-            tails[at : at + 1] = [x]
-        matched = len(tails)
-    else:
-        matched = len(j)
-    similarity = matched / (n + m - matched)
-    return similarity if similarity >= least - 1e-12 else 0.0
+    matched += sum(common_words(a[p:q].tolist(), b[r:s].tolist()) for p, q, r, s in gaps)
+    return matched / (n + m - matched) if matched >= need else 0.0
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
@@ -190,15 +241,15 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose texts' alignment reaches the similarity, with it."""
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kmers = lru_cache(64)(labelled_kmers)
+        words = lru_cache(64)(word_hashes)
         for batch in batches:
-            values = [aligned_similarity(kmers(x), kmers(y)) for x, y in zip(batch["text_a"], batch["text_b"])]
+            values = [aligned_similarity(words(x), words(y)) for x, y in zip(batch["text_a"], batch["text_b"])]
             yield batch[["a", "b"]].assign(similarity=values)[lambda d: d["similarity"] > 0]
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
-    return both.mapInPandas(align, "a long, b long, similarity double")
+    return both.mapInPandas(align, "a long, b long, similarity double").dropDuplicates(["a", "b"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -214,7 +265,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = table(members.join(shared, "bucket"), "shared-buckets")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = table(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "shared-texts")
+    texts = table(docs.join(ids, "doc_id", "left_semi").distinct(), "shared-texts")
     links, parts, seen = None, None, None
     for seed in range(1 + MORE_ROUNDS):
         if parts is None:

@@ -35,13 +35,13 @@ def family(n: int, seed: int, words: int = 204, changed: tuple[int, int] = (18,
 
 
 def agreeing_pairs(texts: list[str]) -> tuple[list[int], list[int]]:
-    """All pairs with a common sketch, three agreeing ones and an alignment of 0.8."""
-    kmers = [order_minhash.labelled_kmers(t) for t in texts]
-    s = np.stack([order_minhash.sketch(k) for k in kmers])
+    """All pairs with a common sketch, two agreeing ones and an alignment of 0.8."""
+    words = [order_minhash.word_hashes(t) for t in texts]
+    s = np.stack([order_minhash.sketch(order_minhash.labelled(w)) for w in words])
     a, b = [], []
     for i in range(len(texts)):
         for j in np.flatnonzero((s[i] == s[i + 1 :]).sum(1) >= order_minhash.AGREE) + i + 1:
-            if order_minhash.aligned_similarity(kmers[i], kmers[j]):
+            if order_minhash.aligned_similarity(words[i], words[j]):
                 a.append(i)
                 b.append(j)
     return a, b
