@@ -3,18 +3,21 @@
 An ARC file opens with a version block that names the fields of the header lines below
 it; version 1 lines hold URL, IP, date, type and length, version 2 lines ten fields. The
 converter reads each header line by its file's version, takes the declared number of
-bytes, and makes up what WARC asks for: a record id derived from the digest and the
-source position, a timestamp from the 14-digit date, the record type, and bare base32
-SHA-1 digests. Of records with equal payloads of at least ``least`` bytes the one with the
-largest page id is a response; the others are revisits that name it and carry no payload.
+bytes, and makes up what WARC asks for: a warcinfo record from the version block, and for
+each record an id derived from the digest and the source position, a timestamp from the
+14-digit date, the record type, and bare base32 SHA-1 digests. Of records with equal
+payloads of at least ``least`` bytes the one with the largest page id (of repeated rows, the
+one in the last place) is a response; the others are revisits, which carry no payload and
+refer to that response's record id.
 
-Every record is a gzip member of its own. Tasks write files under names of their own in
-the shared folder, and a manifest table that Spark commits says which ones count.
+Every record is a gzip member of its own. Tasks write files of about ``FILE_BYTES`` under
+names of their own in the shared folder, and a manifest table that Spark commits says which
+ones count. Conversion and reading are dealt out by file.
 
 Defined cases: null html is an empty payload; a null or blank URL becomes
 ``about:blank``, white space in a URL is percent-encoded; a null page id is a record
-without id, the smallest of its group; repeated rows are records each; an empty table
-makes no file and no rows; other columns are ignored.
+without id, the smallest of its group; repeated rows are records each; very long pages are
+files of their own; an empty table makes no file and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ ARC_FIELDS = {
 #: Archive date of pages that come without one.
 DATE = "20240101000000"
 NULL_ID = -1 << 63
+#: Payload after which a file is closed and the next one begun.
+FILE_BYTES = 1 << 25
 
 
 @dataclass(frozen=True)
@@ -68,7 +73,7 @@ def arc_record(version: int, r: ArcRecord, offset: int, filename: str) -> bytes:
 
 
 def read_arc(stream) -> Iterator[ArcRecord]:
-    """The records of an open ARC file, plain or already decompressed."""
+    """The records of an open, decompressed ARC file; its version block is the first."""
     fields: list[str] = []
     while line := stream.readline():
         if line == b"\n":
@@ -83,6 +88,7 @@ def read_arc(stream) -> Iterator[ArcRecord]:
             if version not in ARC_FIELDS:
                 raise ValueError(f"ARC version {version}")
             fields = ARC_FIELDS[version].split(" ")
+            yield ArcRecord(parts[0], parts[1], parts[2], parts[3], body)
             continue
         if not fields:
             raise ValueError("no version block before the first record")
@@ -106,8 +112,11 @@ def warc_date(arc: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def warc_record(r: ArcRecord, sha1: str, at: str, kind: str, refers_to: str | None = None) -> bytes:
-    """A WARC/1.1 record; a revisit keeps the headers and digest of its payload alone."""
+def warc_record(r: ArcRecord, sha1: str, at: str, kind: str, target: str | None = None) -> bytes:
+    """A WARC/1.1 record; a revisit keeps the headers and digest of its payload alone.
+
+    ``target``: source position of the response that a revisit refers to.
+    """
     block = b"" if kind == "revisit" else r.payload
     head = {
         "WARC-Type": kind,
@@ -124,7 +133,28 @@ def warc_record(r: ArcRecord, sha1: str, at: str, kind: str, refers_to: str | No
     }
     if kind == "revisit":
         head["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        head["WARC-Refers-To"] = f"<urn:loomspan:page:{refers_to}>"
+        head["WARC-Refers-To"] = f"<{record_id(sha1, target)}>"
+        head["WARC-Refers-To-Source-Record"] = target
+    return _written(head, block)
+
+
+def warc_info(r: ArcRecord, name: str) -> bytes:
+    """The warcinfo record that opens a file, from the version block of its source."""
+    version = r.payload.split(b" ", 1)[0].decode()
+    block = f"software: loomspan\r\nformat: WARC File Format 1.1\r\ndescription: converted from ARC version {version}\r\n".encode()
+    head = {
+        "WARC-Type": "warcinfo",
+        "WARC-Record-ID": f"<{record_id(digest(block), r.url)}>",
+        "WARC-Date": warc_date(r.date),
+        "WARC-Filename": name,
+        "WARC-Block-Digest": f"sha1:{digest(block)}",
+        "Content-Type": "application/warc-fields",
+        "Content-Length": str(len(block)),
+    }
+    return _written(head, block)
+
+
+def _written(head: dict[str, str], block: bytes) -> bytes:
     lines = "".join(f"{k}: {v}\r\n" for k, v in head.items())
     return f"WARC/1.1\r\n{lines}\r\n".encode("utf-8", "surrogateescape") + block + b"\r\n\r\n"
 
@@ -154,46 +184,65 @@ def _member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
+class _ArcFile:
+    """An ARC file that is being written."""
+
+    def __init__(self, store: fs.FileSystem, base: str, version: int):
+        store.create_dir(base, recursive=True)
+        self.version, self.name = version, f"part-{uuid.uuid4().hex}.arc.gz"
+        self.out = store.open_output_stream(f"{base}/{self.name}", compression=None)
+        self.offset = self.out.write(_member(arc_header(version, self.name)))
+        self.records = self.payload = 0
+
+    def add(self, r: ArcRecord) -> int:
+        self.offset += self.out.write(_member(arc_record(self.version, r, self.offset, self.name)))
+        self.payload += len(r.payload)
+        self.records += 1
+        return self.records - 1
+
+
 def write_arcs(pages: DataFrame, folder: str) -> DataFrame:
     """Writes pages as ARC files, versions 1 and 2 in turn; the manifest, a row per record."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = fs.FileSystem.from_uri(folder)
-        for n, batch in enumerate(batches):
-            if not len(batch):
-                continue
-            store.create_dir(base, recursive=True)
-            version, name = 1 + n % 2, f"part-{uuid.uuid4().hex}.arc.gz"
+        file, n = None, 0
+        for batch in batches:
             rows = []
-            with store.open_output_stream(f"{base}/{name}", compression=None) as out:
-                offset = out.write(_member(arc_header(version, name)))
-                for k, (page, url, html) in enumerate(zip(batch["page_id"], batch["url"], batch["html"])):
-                    payload = (html or "").encode("utf-8", "surrogatepass")
-                    clean = "%20".join((url or "").split()) or "about:blank"
-                    mime = "text/html"
-                    offset += out.write(_member(arc_record(version, ArcRecord(clean, "0.0.0.0", DATE, mime, payload), offset, name)))
-                    rows.append((name, k, NULL_ID if pd.isna(page) else int(page), digest(payload)))
-            yield pd.DataFrame(rows, columns=["file", "k", "page", "sha1"])
+            for page, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
+                if file is None:
+                    file, n = _ArcFile(store, base, 1 + n % 2), n + 1
+                payload = (html or "").encode("utf-8", "surrogatepass")
+                clean = "%20".join((url or "").split()) or "about:blank"
+                k = file.add(ArcRecord(clean, "0.0.0.0", DATE, "text/html", payload))
+                rows.append((file.name, k, NULL_ID if pd.isna(page) else int(page), len(payload), digest(payload)))
+                if file.payload >= FILE_BYTES:
+                    file.out.close()
+                    file = None
+            yield pd.DataFrame(rows, columns=["file", "k", "page", "payload_bytes", "sha1"])
+        if file:
+            file.out.close()
 
     rows = pages.selectExpr("cast(page_id as long) page_id", "url", "html")
-    return table(rows.mapInPandas(write, "file string, k long, page long, sha1 string"), "arc-manifest")
+    return table(rows.mapInPandas(write, "file string, k long, page long, payload_bytes long, sha1 string"), "arc-manifest")
 
 
 def choose_types(records: DataFrame, least: int = 0) -> DataFrame:
-    """Adds ``refers_to``: null for responses, else the response's page.
+    """Adds ``target``: null for responses, else the source position of the one that it repeats.
 
-    The largest page of each digest is found by a partial aggregate before the shuffle,
+    The last record of each digest is found by a partial aggregate before the shuffle,
     and joined back, so that a digest with a third of all rows is no single task.
-    ``least`` above 0 needs a column ``payload_bytes``.
     """
-    known = records if least <= 0 else records.where(F.col("payload_bytes") >= least)
-    last = known.groupBy("sha1").agg(F.max("page").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    out = records.join(last, "sha1", "left")
-    return out.withColumn("refers_to", F.when(F.col("page") < F.col("last"), F.col("last"))).drop("last")
+    place = F.struct("page", "file", "k")
+    counts = records.where(F.col("payload_bytes") >= least)
+    last = counts.groupBy("sha1").agg(F.max(place).alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
+    out = records.join(last, "sha1", "left")  # equal digests have equal lengths: none of a small payload is listed
+    again = F.col("last").isNotNull() & (place != F.col("last"))
+    return out.withColumn("target", F.when(again, F.concat_ws("/", "last.file", "last.k", "last.page"))).drop("last")
 
 
 def convert(records: DataFrame, arcs: str, folder: str) -> DataFrame:
-    """Converts the ARC files of ``records`` (file, k, page, refers_to) to WARC files."""
+    """Converts the ARC files of ``records`` (file, k, page, target) to WARC files."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = fs.FileSystem.from_uri(folder)
@@ -201,44 +250,54 @@ def convert(records: DataFrame, arcs: str, folder: str) -> DataFrame:
         for batch in batches:
             for file, pages, targets in zip(batch["file"], batch["pages"], batch["targets"]):
                 store.create_dir(base, recursive=True)
-                name = f"{base}/{uuid.uuid4().hex}.warc.gz"
+                name = f"{uuid.uuid4().hex}.warc.gz"
                 with source.open_input_stream(f"{arc_base}/{file}", compression=None) as raw, gzip.open(raw) as arc:
-                    with store.open_output_stream(name, compression=None) as out:
-                        for k, r in enumerate(read_arc(arc)):
-                            target = targets[k]
-                            kind = "response" if target is None or pd.isna(target) else "revisit"
-                            at = f"{file}/{k}/{pages[k]}"
-                            refers = None if kind == "response" else str(int(target))
-                            out.write(_member(warc_record(r, digest(r.payload), at, kind, refers)))
-                yield pd.DataFrame({"path": [name], "folder": [folder]})
-
-    # one row per ARC file, whose size the writer bounds by its batches
-    row = F.struct("k", "page", "refers_to")
+                    with store.open_output_stream(f"{base}/{name}", compression=None) as out:
+                        found = read_arc(arc)
+                        out.write(_member(warc_info(next(found), name)))
+                        for k, r in enumerate(found):
+                            at, target = f"{file}/{k}/{pages[k]}", targets[k]
+                            kind = "response" if target is None else "revisit"
+                            out.write(_member(warc_record(r, digest(r.payload), at, kind, target)))
+                yield pd.DataFrame({"path": [f"{base}/{name}"], "folder": [folder]})
+
+    # one row per ARC file, whose size the writer bounds
+    row = F.struct("k", "page", "target")
     files = records.groupBy("file").agg(F.array_sort(F.collect_list(row)).alias("r"))
-    files = files.select("file", F.col("r.page").alias("pages"), F.col("r.refers_to").alias("targets"))
-    return table(files.mapInPandas(write, "path string, folder string"), "warc-manifest")
+    files = table(files.select("file", F.col("r.page").alias("pages"), F.col("r.target").alias("targets")), "arc-files")
+    return table(_dealt(files).mapInPandas(write, "path string, folder string"), "warc-manifest")
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """A task for each row: rows are few and small, the files that they name are not."""
+    return files.repartition(max(1, files.count()))
 
 
 def read_warcs(manifest: DataFrame) -> DataFrame:
-    """(page, payload_bytes, payload_digest, record_type, refers_to) from the WARC files."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) from the WARC files."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page_of = lambda at: int(at.rpartition("/")[2])
         for batch in batches:
             for path, folder in zip(batch["path"], batch["folder"]):
                 store, _ = fs.FileSystem.from_uri(folder)
                 rows = []
                 with store.open_input_stream(path, compression=None) as raw, gzip.open(raw) as warc:
                     for head, block in read_warc(warc):
-                        page = int(head["WARC-Source-Record"].rpartition("/")[2])
-                        to = head.get("WARC-Refers-To", "<urn:loomspan:page:>").rstrip(">").rpartition(":")[2]
                         kind = head["WARC-Type"]
+                        if kind == "warcinfo":
+                            continue
+                        page, to = page_of(head["WARC-Source-Record"]), None
+                        if kind == "revisit":
+                            to = page_of(head["WARC-Refers-To-Source-Record"])
                         n = len(block) if kind == "response" else int(head["WARC-Payload-Length"])
-                        rows.append((None if page == NULL_ID else page, n, head["WARC-Payload-Digest"].removeprefix("sha1:"), kind, int(to) if to else None))
+                        known = lambda x: None if x == NULL_ID else x
+                        rows.append((known(page), n, head["WARC-Payload-Digest"].removeprefix("sha1:"), kind, known(to)))
                 out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
                 yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return manifest.mapInPandas(read, schema)
+    return _dealt(manifest).mapInPandas(read, schema)
 
 
 def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
