@@ -7,17 +7,17 @@ each dimension scaled by its limit and weighted by the mean demand. When none fi
 best one is cut to fill what is left; its rest goes on waiting.
 
 Each Spark partition packs its own rows in reading order with a bounded pool of waiting
-examples, so nothing is shuffled or collected. What is left at a partition's end is cut
-into sequences whose lengths are powers of two, which need no padding.
+examples, so nothing is shuffled or collected. A sequence that can't be filled, because
+nothing is left or its segments or loss-bearing tokens are used up, is cut into sequences
+whose lengths are powers of two, which need no padding.
 
-Defined cases: a null text is empty and gives the end id alone; a row without tokens
-gives no piece; equal and repeated rows are packed one by one; an empty table gives no
-rows; other columns are ignored.
+Defined cases: a null text or prompt is empty, and both together give the end id alone;
+null ids are kept; equal and repeated rows are packed one by one; a very long text is cut
+into as many pieces as it takes; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomspan.llm.tokens import default_tokenizer, encoder
 
@@ -67,6 +68,7 @@ class DotProductPacker:
         self._start: list[int] = []
         self._need = np.zeros((0, 3))
         self._new: list[tuple[float, float, float]] = []
+        self._done: list[int] = []
 
     def __len__(self) -> int:
         return len(self._key)
@@ -94,6 +96,9 @@ class DotProductPacker:
 
     def fill(self) -> list[Piece]:
         """One sequence's pieces, in order; empty if nothing waits."""
+        for key in self._done:
+            del self._whole[key]
+        self._done = []
         if self._new:
             self._need = np.vstack([self._need, np.array(self._new, float)])
             self._new = []
@@ -125,6 +130,8 @@ class DotProductPacker:
             alive[i] = False
             if length < self._need[i, 0]:
                 cut.append((key, start + length))
+            else:
+                self._done.append(key)
         keep = np.flatnonzero(alive)
         self._key = [self._key[i] for i in keep]
         self._start = [self._start[i] for i in keep]
@@ -157,13 +164,18 @@ class DotProductPacker:
 def sequences(examples: Iterator[tuple[int, int, int]], limits: Limits, pool: int = POOL) -> Iterator[list[Piece]]:
     """Packs (key, tokens, loss) of one partition."""
     packer = DotProductPacker(limits)
+
+    def filled() -> list[list[Piece]]:
+        pieces = packer.fill()
+        full = sum(p.length for p in pieces) == limits.tokens
+        return [pieces] if full else packer.powers(pieces)
+
     for key, tokens, loss in examples:
         packer.add(key, tokens, loss)
         while len(packer) > pool and packer.waiting_tokens >= limits.tokens:
-            yield packer.fill()
-    while pieces := packer.fill():
-        full = sum(p.length for p in pieces)
-        yield from [pieces] if full == limits.tokens else packer.powers(pieces)
+            yield from filled()
+    while len(packer):
+        yield from filled()
 
 
 def pack_documents(
@@ -173,10 +185,12 @@ def pack_documents(
     text_col: str = "text",
     limits: Limits = Limits(),
     pool: int = POOL,
+    prompt_col: str | None = None,
 ) -> DataFrame:
-    """One row per piece of every document, with its place in its sequence.
+    """One row per piece of every document, with its ids and its place in its sequence.
 
-    Every token of a plain document bears loss. Sequence ids are the partition's number
+    Every token of a plain document bears loss; a prompt's tokens come before the text's
+    and bear none. ``ids`` are little-endian unsigned 32-bit integers. Sequence ids are the partition's number
     times 2^32 plus a count, the same again when a task is repeated.
     """
 
@@ -184,19 +198,22 @@ def pack_documents(
         ids_of, end, encode = {}, np.array([END_ID], "<u4").tobytes(), encoder(tokenizer)
         base, done = TaskContext.get().partitionId() << 32, 0
         rows: list[tuple] = []
+        held = 0  # ids in them
 
         def examples():
             n = 0
             for batch in batches:
                 for i in range(0, len(batch), 256):
                     part = batch.iloc[i : i + 256]
-                    for doc, ids in zip(part["doc_id"], encode(part["text"].tolist())):
-                        ids_of[n] = [doc, ids + end, len(ids) // 4 + 1]
-                        yield n, len(ids) // 4 + 1, len(ids) // 4 + 1
+                    before = encode(part["prompt"].tolist()) if prompt_col else [b""] * len(part)
+                    for doc, prompt, ids in zip(part["doc_id"], before, encode(part["text"].tolist())):
+                        whole, loss = (len(prompt) + len(ids)) // 4 + 1, len(ids) // 4 + 1
+                        ids_of[n] = [doc, prompt + ids + end, whole]
+                        yield n, whole, loss
                         n += 1
 
         def frame():
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"])
+            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "loss_tokens"])
             rows.clear()
             return out.astype({"doc_id": "Int64"})
 
@@ -205,22 +222,30 @@ def pack_documents(
             for p in pieces:
                 own = ids_of[p.key]
                 doc, ids, whole = own[0], own[1], len(own[1]) // 4
-                crc = zlib.crc32(ids[4 * p.start : 4 * (p.start + p.length)])
-                rows.append((None if pd.isna(doc) else int(doc), p.start, p.length, crc, whole, base + done, offset, p.loss))
+                own_ids = ids[4 * p.start : 4 * (p.start + p.length)]
+                rows.append((None if pd.isna(doc) else int(doc), p.start, p.length, own_ids, whole, base + done, offset, p.loss))
                 offset += p.length
                 own[2] -= p.length
                 if not own[2]:
                     del ids_of[p.key]
             done += 1
-            if len(rows) >= 8192:
+            held += sum(p.length for p in pieces)
+            if held >= 1 << 21:
+                held = 0
                 yield frame()
         if rows:
             yield frame()
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInPandas(pack, schema)
+    schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, loss_tokens long"
+    prompt = [f"`{prompt_col}` prompt"] if prompt_col else []
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text", *prompt).mapInPandas(pack, schema)
+
+
+def digests(pieces: DataFrame) -> DataFrame:
+    """The pieces with the CRC-32 of their ids in their place."""
+    return pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
 
 
 def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs every document into sequences of at most 4096 tokens."""
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_tokenizer())
+    return digests(pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_tokenizer()))

@@ -265,7 +265,7 @@ def test_arc_round_trip_and_damage(version):
 
 
 def test_packing(docs, none):
-    out = packing.pack_documents(docs, default_tokenizer()).toPandas()
+    out = packing.digests(packing.pack_documents(docs, default_tokenizer())).toPandas()
     tokenizer = Tokenizer.from_file(default_tokenizer())
     for doc, text, _ in ROWS:
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
@@ -277,6 +277,19 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, default_tokenizer()).count() == 0
 
 
+def test_packing_of_prompts_many_short_rows_and_null_ids(spark):
+    rows = [(None if i % 50 == 0 else i % 900, f"Question {i}?", "Yes." if i % 3 else None, "x") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, q string, text string, prompt string").coalesce(2)
+    out = packing.pack_documents(df, default_tokenizer(), prompt_col="q", limits=packing.Limits(512, 8, 100)).toPandas()
+    seqs = out.groupby("sequence_id").agg(n=("length", "sum"), k=("length", "count"), loss=("loss_tokens", "sum"))
+    assert seqs.k.max() <= 8 and seqs.loss.max() <= 100 and all(n & (n - 1) == 0 for n in seqs.n)
+    tokenizer = Tokenizer.from_file(default_tokenizer())
+    whole = lambda x: len(tokenizer.encode(x or "", add_special_tokens=False).ids)
+    assert out.length.sum() == sum(whole(q) + whole(t) + 1 for _, q, t, _ in rows)
+    assert out.loss_tokens.sum() == sum(whole(t) + 1 for _, _, t, _ in rows)
+    assert all(len(r.ids) == 4 * r.length for r in out.itertuples()) and out.doc_id.isna().sum() >= 60
+
+
 def test_packer_keeps_all_three_limits():
     limits = packing.Limits(100, 3, 40)
     items = [(i, int(t), int(l)) for i, (t, l) in enumerate(zip(rng.integers(1, 150, 200), rng.integers(0, 60, 200)))]
