@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomspan.llm.order_minhash import one_of_each
-from loomspan.llm.packing import pack_documents
+from loomspan.llm.packing import digests, pack_documents
 from loomspan.llm.quality import accepted
 from loomspan.llm.repeated_spans import remove_repeats
 from loomspan.llm.shared import table
@@ -33,7 +33,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents packed into sequences."""
-    return pack_documents(docs, default_tokenizer())
+    return digests(pack_documents(docs, default_tokenizer()))
 
 
 STAGES = [
