@@ -130,7 +130,7 @@ def test_vectors(spark):
     v[31:60] = v[30] + rng.normal(size=(29, 8)) * 0.001
     rows = [(i, x.tolist(), i % 2 if i < 30 else 0, "x") for i, x in enumerate(v)]
     rows[1] = (1, v[1].tolist(), 0, "x")
-    rows += [(100, None, 0, "x"), (101, [0.0] * 8, 0, "x"), (102, [float("nan")] * 8, 0, "x"), (103, v[0].tolist(), None, "x"), (104, [None] * 8, 0, "x"), (105, [], 0, "x")]
+    rows += [(100, None, 0, "x"), (101, [0.0] * 8, 0, "x"), (102, [float("nan")] * 8, 0, "x"), (103, v[0].tolist(), None, "x"), (104, [None] * 8, 0, "x"), (105, [], 0, "x"), (106, [1.0] * 9, 0, "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, n string")
     out = {r.vec_id: r for r in nn_descent.near_duplicate_vectors(df).collect()}
     x = np.array(v, np.float32).astype(float)
@@ -140,8 +140,10 @@ def test_vectors(spark):
     np.fill_diagonal(near, False)
     assert [out[i].n_links for i in range(60)] == near.sum(1).tolist()
     assert out[45].component_id == 30 and not out[45].kept and out[1].component_id == 0
-    assert all(out[i].n_links == 0 and out[i].kept for i in range(100, 106)) and len(out) == 66
+    assert all(out[i].n_links == 0 and out[i].kept for i in range(100, 107)) and len(out) == 67
     assert nn_descent.near_duplicate_vectors(df.limit(0)).count() == 0
+    twice = nn_descent.near_duplicate_vectors(df.unionByName(df.where("vec_id = 45")).unionByName(df.where("vec_id = 0").withColumn("vec_id", df.vec_id * None))).toPandas()
+    assert sorted(twice[twice.vec_id == 45].n_links) == [near[45].sum()] * 2 and twice[twice.vec_id.isna()].n_links.tolist() == [0]
     found = multi_index.nearest(df, df.where("vec_id in (0, 45, 100)"), "vec_id", "embedding", 5).toPandas()
     assert sorted(set(found.query_id)) == [0, 45] and len(found) == 10
     few = multi_index.nearest(df.where("vec_id < 3"), df.where("vec_id = 0"), "vec_id", "embedding", 5).toPandas()

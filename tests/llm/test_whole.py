@@ -66,3 +66,24 @@ def test_dense_groups_that_link_each_other(spark):
     near = x @ x.T >= nn_descent.THRESHOLD
     part = named(len(x), *np.nonzero(near))
     assert got == {i: (near[i].sum() - 1, part[i]) for i in range(len(x))}
+
+
+def test_planted_links_of_every_density_are_all_found(spark):
+    # clusters of 2 to 60 about random centres, copies, a chain and noise, in two labels
+    rng = np.random.default_rng(5)
+    x, label = [], []
+    for size in [2] * 60 + [5] * 20 + [60] * 3:
+        c = rng.normal(size=24)
+        x += [c + rng.normal(size=24) * rng.uniform(0.05, 0.35) for _ in range(size)]
+        label += [size % 2] * size
+    x += [x[-1]] * 150 + list(rng.normal(size=(400, 24)))
+    turn = np.linspace(0, np.pi, 40)
+    x += [np.r_[np.cos(t), np.sin(t), np.zeros(22)] for t in turn]
+    label += [label[-1]] * 150 + [0] * 440
+    x, label = np.array(x), np.array(label)
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nn_descent.near_duplicate_vectors(df).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (u @ u.T >= nn_descent.THRESHOLD) & (label[:, None] == label[None])
+    part = named(len(x), *np.nonzero(near))
+    assert got == {i: (near[i].sum() - 1, part[i]) for i in range(len(x))}
