@@ -2,18 +2,19 @@
 
 The codes: the signs of a centred vector after a rotation that an alternation of signs
 and orthogonal Procrustes steps learns on a bounded sample (ITQ). The index: codes are
-split into substrings, and each shard of vectors keeps, for each substring, its rows
-sorted by value. A search within Hamming radius r probes every bucket whose value lies
-within r // m of the query's in some of the m substrings: by the pigeonhole principle no
-code within r is missed. Codes within r are then ranked by exact distances.
+split into substrings of about log2(rows) bits, and each shard of vectors keeps, for each
+substring, a table from value to rows. A search within Hamming radius r looks up, in the
+table of every one of the m substrings, the values that differ from the query's in at most
+r // m bits: by the pigeonhole principle no code within r is missed. Codes within r are
+then ranked by exact distances.
 
 The radius is learnt on the sample so that ``RECALL`` of its true neighbours' codes lie
 within; the neighbours of the full table are nearer still. Queries with fewer than k
 results within r are searched again with the radius of the whole code, exactly.
 
-Queries are packed in blocks and sent to every group of shards, so a task holds one
-shard and one block at a time. Candidates' distances are computed in double precision on
-the original vectors.
+Shards and blocks of queries meet in a grid, both of a bounded number of rows, so that a
+task holds one of each, and the grid grows with the table and the queries. Candidates' distances are computed in double precision on the original
+vectors.
 
 Defined cases: vectors that are null, empty, zero, of another length than most of the
 sample, or that hold null or non-finite components take no part, as queries or as
@@ -37,10 +38,10 @@ from loomspan.llm.shared import table
 SAMPLE = 4096
 #: Rotations, each of as many bits as the vectors have dimensions.
 ROTATIONS = 2
-SUBSTRING_BITS = 16
-RECALL = 0.985
-SHARD, BLOCK = 4096, 512
-GROUPS = 32
+RECALL = 0.96
+#: Rows of a shard and of a block of queries at most, of a shard at least where there are
+#: fewer shards than tasks, and those that travel as one row.
+SHARD, BLOCK, LEAST_SHARD, PACKED = 65_536, 32_768, 2048, 512
 
 
 def usable(vector: Column) -> Column:
@@ -64,16 +65,12 @@ class Codes:
                 u, _, v = np.linalg.svd(np.where(x @ turn >= 0, 1.0, -1.0).T @ x)
                 turn = (u @ v).T
             self.turns.append(turn)
-        pad = -(d * ROTATIONS) % SUBSTRING_BITS
-        self.bits, self._pad = d * ROTATIONS, pad
-        self.substrings = (self.bits + pad) // SUBSTRING_BITS
+        self.bits = d * ROTATIONS
         self.radius = self._learn_radius(sample)
 
     def encode(self, x: np.ndarray) -> np.ndarray:
-        """Codes as rows of 16-bit substrings."""
-        bits = np.concatenate([(x - self.centre) @ t >= 0 for t in self.turns], 1)
-        bits = np.pad(bits, ((0, 0), (0, self._pad)))
-        return np.packbits(bits, axis=1).view(">u2").astype(np.uint16)
+        """Codes as rows of zeros and ones."""
+        return np.concatenate([(x - self.centre) @ t >= 0 for t in self.turns], 1)
 
     def _learn_radius(self, sample: np.ndarray, k: int = 10) -> int:
         queries, codes = sample[:256], self.encode(sample)
@@ -85,29 +82,55 @@ class Codes:
         np.fill_diagonal(away, np.inf)
         k = min(k, len(sample) - 1)
         near = np.argpartition(away, k - 1, axis=1)[:, :k]
-        hamming = np.bitwise_count(codes[: len(queries), None] ^ codes[near]).sum(2)
+        hamming = (codes[: len(queries), None] ^ codes[near]).sum(2)
         return int(np.quantile(hamming, RECALL))
 
 
+def _packed_bits(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of 64-bit words, to count differing bits by."""
+    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64)))
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
 class Shard:
-    """One shard's rows and, for each substring, its rows sorted by value."""
+    """One shard's rows and, for each substring of their codes, a table from value to rows."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray):
-        self.ids, self.vectors, self.codes = ids, vectors, codes
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, bits: np.ndarray):
+        self.ids, self.vectors, self.codes = ids, vectors, _packed_bits(bits)
+        wide = max(1, min(16, int(np.log2(max(2, len(ids))))))
+        self.cuts = [slice(i, min(i + wide, bits.shape[1])) for i in range(0, bits.shape[1], wide)]
+        self._masks: dict[tuple[int, int], np.ndarray] = {}
         self.tables = []
-        for column in codes.T:
-            order = np.argsort(column, kind="stable")
-            values, sizes = np.unique(column, return_counts=True)
-            self.tables.append((values, sizes, order))
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose codes lie within ``radius``, found by probing every substring."""
-        each, hit = radius // len(code), np.zeros(len(self.ids), bool)
-        for part, (values, sizes, order) in zip(code, self.tables):
-            probed = np.bitwise_count(values ^ part) <= each
-            hit[order[np.repeat(probed, sizes)]] = True
+        for cut in self.cuts:
+            values = self._values(bits, cut)
+            starts = np.zeros((1 << (cut.stop - cut.start)) + 1, np.int64)
+            np.cumsum(np.bincount(values, minlength=len(starts) - 1), out=starts[1:])
+            self.tables.append((starts, np.argsort(values, kind="stable")))
+
+    @staticmethod
+    def _values(bits: np.ndarray, cut: slice) -> np.ndarray:
+        return bits[:, cut] @ (1 << np.arange(cut.stop - cut.start))
+
+    def _near(self, wide: int, each: int) -> np.ndarray:
+        """What differs in at most ``each`` of ``wide`` bits."""
+        if (wide, each) not in self._masks:
+            every = np.arange(1 << wide)
+            self._masks[wide, each] = every[np.bitwise_count(every) <= each]
+        return self._masks[wide, each]
+
+    def within(self, bits: np.ndarray, radius: int) -> np.ndarray:
+        """Rows whose codes lie within ``radius``, looked up by every substring's near values."""
+        each, hit = radius // len(self.cuts), np.zeros(len(self.ids), bool)
+        for cut, (starts, order) in zip(self.cuts, self.tables):
+            own = int(self._values(bits[None], cut)[0])
+            probes = own ^ self._near(cut.stop - cut.start, each)
+            begin, size = starts[probes], starts[probes + 1] - starts[probes]
+            some = size > 0
+            begin, size = begin[some], size[some]
+            at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+            hit[order[at]] = True
         rows = np.flatnonzero(hit)
-        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(1) <= radius]
+        return rows[np.bitwise_count(self.codes[rows] ^ _packed_bits(bits[None])).sum(1) <= radius]
 
     def nearest(self, query: np.ndarray, own: int, rows: np.ndarray, k: int) -> list[tuple[int, float]]:
         rows = rows[self.ids[rows] != own]
@@ -136,27 +159,30 @@ def _packed(rows: DataFrame, n: int) -> DataFrame:
 def search(rows: DataFrame, queries: DataFrame, codes: Codes, k: int, radius: int) -> DataFrame:
     """(query_id, vec_id, score): of each query the k nearest of each shard within radius."""
 
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, shard = None, None
-        for batch in batches:
-            out = []
-            for no, ids, vectors, q_ids, q_vectors in zip(*(batch[c] for c in ("no", "ids", "vectors", "q_ids", "q_vectors"))):
-                if held != no:
-                    own = np.frombuffer(ids, np.int64)
-                    x = np.frombuffer(vectors, np.float64).reshape(len(own), -1)
-                    held, shard = no, Shard(own, x, codes.encode(x))
-                asked = np.frombuffer(q_ids, np.int64)
-                x = np.frombuffer(q_vectors, np.float64).reshape(len(asked), -1)
-                for q, vector, code in zip(asked.tolist(), x, codes.encode(x)):
-                    found = shard.within(code, radius) if radius < codes.bits else np.arange(len(shard.ids))
-                    out.extend((q, v, s) for v, s in shard.nearest(vector, q, found, k))
-            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    shards = _packed(rows, SHARD).withColumn("g", F.pmod(F.xxhash64("no"), F.lit(GROUPS)))
-    blocks = _packed(queries, BLOCK).select(F.col("no").alias("q_no"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    blocks = blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1)).cast("array<bigint>")))
-    pairs = shards.join(blocks.hint("shuffle_hash"), "g").drop("g", "q_no")
-    return pairs.mapInPandas(probe, "query_id long, vec_id long, score double")
+    def unpacked(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.frombuffer(b"".join(part["ids"]), np.int64)
+        return ids, np.frombuffer(b"".join(part["vectors"]), np.float64).reshape(len(ids), -1)
+
+    def probe(shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(shard) and len(block):
+            ids, x = unpacked(shard)
+            index, everything = Shard(ids, x, codes.encode(x)), np.arange(len(ids))
+            asked, y = unpacked(block)
+            for q, vector, code in zip(asked.tolist(), y, codes.encode(y)):
+                found = index.within(code, radius) if radius < codes.bits else everything
+                out.extend((q, v, s) for v, s in index.nearest(vector, q, found, k))
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    n, tasks = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    down = max(1, -(-n // max(LEAST_SHARD, min(SHARD, n // tasks))))
+    across = max(1, -(-queries.count() // BLOCK))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    dealt = lambda n: F.pmod(F.xxhash64("no", "ids"), F.lit(n))
+    shards = _packed(rows, PACKED).withColumn("down", dealt(down)).withColumn("across", each(across))
+    blocks = _packed(queries, PACKED).withColumn("across", dealt(across)).withColumn("down", each(down))
+    grid = shards.groupBy("down", "across").cogroup(blocks.groupBy("down", "across"))
+    return grid.applyInPandas(probe, "query_id long, vec_id long, score double")
 
 
 def nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 10) -> DataFrame:

@@ -172,7 +172,7 @@ def test_shard_finds_every_code_in_the_radius():
     packed = codes.encode(x)
     shard = multi_index.Shard(np.arange(500), x, packed)
     for r in (0, 3, 9, 14):
-        brute = np.flatnonzero(np.bitwise_count(packed ^ packed[7]).sum(1) <= r)
+        brute = np.flatnonzero((packed ^ packed[7]).sum(1) <= r)
         assert shard.within(packed[7], r).tolist() == brute.tolist()
 
 
