@@ -13,11 +13,12 @@ pair is linked if the words that a banded alignment matches make up at least 0.8
 words of both texts: common k-mers anchor it, near the diagonal that such an alignment must
 keep to, and the words between anchors are matched by their longest common subsequence. Two
 texts whose five-word shingles in order have a similarity of 0.8 are always linked by it.
-A few more rounds, over buckets whose members aren't yet in one component, pair members
-drawn from each of its components with several new heads. These rounds only make components
-larger. Buckets that still span several are finished exactly: block against block, every
-pair across components that no round has seen, with two agreeing sketches, is aligned. So
-the classes are those of all pairs that share a bucket.
+One more round, over buckets whose members aren't yet in one component, pairs one member
+of each of its components with a new head. These rounds only make components larger.
+Buckets that still span several are finished exactly: block against block of like length,
+every pair across components with two agreeing sketches, and whose counts of words by hash
+don't yet differ by more than such an alignment leaves unmatched, is aligned. So the
+classes are those of all pairs that share a bucket.
 
 Defined cases: a text of fewer than five words is one k-mer; null, empty and blank
 texts have none and are classes of their own; rows of one id (repeated rows, or other texts) belong to
@@ -43,10 +44,9 @@ from loomspan.llm.shared import table
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, AGREE = 16, 2
-#: Rounds of random draws after the first at most, and the new heads of a bucket in each
-#: of them; what they leave is compared in blocks of so many members.
-MORE_ROUNDS, MORE_HEADS = 3, 4
-BLOCK = 256
+#: Rounds of random draws after the first; what they leave is compared in blocks of so
+#: many members and words at most, by their counts of words in so many bins first.
+MORE_ROUNDS, BLOCK, BLOCK_WORDS, BINS = 1, 1024, 1 << 22, 256
 
 _MIX = np.random.default_rng(7).integers(1, 1 << 63, (2, SKETCHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -115,13 +115,14 @@ def common_words(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
-def _anchored(a: np.ndarray, b: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _anchored(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, length) of runs of equal words, in order in both texts, within the band.
 
+    ``x`` and ``y`` are the labelled k-mers of the words ``a`` and ``b``.
+
     Labelled k-mers are distinct, so that the longest chain of common ones is the longest
     increasing run of their positions.
     """
-    x, y = labelled(a), labelled(b)
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     near = np.abs(i - j) <= band
     order = np.argsort(i[near])
@@ -145,12 +146,13 @@ def _anchored(a: np.ndarray, b: np.ndarray, band: int) -> tuple[np.ndarray, np.n
     return i[first], j[first], wide
 
 
-def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
+def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY, kmers: tuple | None = None) -> float:
     """Aligned words as a share of all of both texts (hashes of words); 0 below ``least``.
 
     An alignment that reaches ``least`` leaves at most ``band`` words unmatched, and none of
     its matches lies farther off the diagonal. Common k-mers within the band anchor it;
-    between two of them the longest common subsequence of the words is taken.
+    between two of them the longest common subsequence of the words is taken. ``kmers``:
+    labelled ones of both, where they are known already.
     """
     n, m = len(a), len(b)
     need = least * (n + m) / (1 + least) - 1e-9
@@ -158,7 +160,7 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
         return 0.0
     band = int((n + m) * (1 - least) / (1 + least) + 1e-9)
     matched, x, y, gaps = 0, 0, 0, []
-    for i, j, wide in zip(*(v.tolist() for v in _anchored(a, b, band))):
+    for i, j, wide in zip(*(v.tolist() for v in _anchored(a, b, *(kmers or (labelled(a), labelled(b))), band))):
         cut = max(0, x - i, y - j)
         if cut < wide:
             gaps.append((x, i + cut, y, j + cut))
@@ -171,17 +173,28 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
     return matched / (n + m - matched) if matched >= need else 0.0
 
 
+def word_counts(h: np.ndarray) -> np.ndarray:
+    """Words by bin of their hash, at most 255 each.
+
+    Counts of two texts differ in sum by no more than the words that an alignment leaves.
+    """
+    return np.minimum(np.bincount((_mixed(h) % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+
+
 def _sketched(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                kmers = labelled_kmers(text)
-                whole = blake2b(" ".join((text or "").lower().split()).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                rows.append((doc, whole if len(kmers) else None, len(kmers), sketch(kmers).astype(np.int64).tolist() if len(kmers) else []))
-            yield pd.DataFrame(rows, columns=["doc_id", "whole", "n", "sketches"]).astype({"doc_id": "Int64"})
+                words = word_hashes(text)
+                if not len(words):
+                    rows.append((doc, None, 0, [], None))
+                    continue
+                whole = blake2b(" ".join(text.lower().split()).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                rows.append((doc, whole, len(words), sketch(labelled(words)).astype(np.int64), word_counts(words).tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "whole", "n", "sketches", "counts"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, whole binary, n long, sketches array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, whole binary, n long, sketches array<long>, counts binary")
 
 
 def _candidates(members: DataFrame, seed: int) -> DataFrame:
@@ -201,40 +214,82 @@ def _apart(members: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return known, known.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
 
 
-def _across(members: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b): every pair of a bucket across components that can be a link, once."""
+def _root(joined: dict[int, int], x: int) -> int:
+    while x in joined:
+        x = joined[x]
+    return x
+
+
+def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b): links that join all components which a link within a bucket joins."""
     apart = table(_apart(members, parts)[1], "open-buckets")
     ids = members.join(apart, "bucket", "left_semi").select("id").distinct()
+
+    @F.pandas_udf("binary")
+    def hashed(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: word_hashes(t).astype(np.uint32).tobytes())
+
+    words = texts.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").select("id", hashed("text").alias("words"))
+    words = table(words, "open-words")
     rows = classes.join(ids, "id", "left_semi").join(parts, "id", "left")
-    rows = rows.select("id", F.coalesce("component_id", "id").alias("part"), "n", "s", F.posexplode("s").alias("j", "value"))
-    rows = rows.select("id", "part", "n", "s", "j", F.xxhash64("j", "value").alias("bucket")).join(apart, "bucket", "left_semi")
-    sizes = rows.groupBy("bucket", "j").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    rows = rows.join(sizes, ["bucket", "j"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    packed = rows.groupBy("bucket", "j", "blocks", "block").agg(F.collect_list(F.struct("id", "part", "n", "s")).alias("m"))
+    rows = rows.select("id", F.coalesce("component_id", "id").alias("part"), "n", "s", "counts", F.posexplode("s").alias("j", "value"))
+    rows = rows.withColumn("bucket", F.xxhash64("j", "value")).drop("value").join(apart, "bucket", "left_semi")
+    # texts of a pair are in the same step of lengths or in neighbouring ones
+    rows = rows.withColumn("step", F.floor(F.log("n") / float(np.log(1 / SIMILARITY))))
+    sizes = rows.groupBy("bucket", "j", "step").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_WORDS)).alias("blocks"))
+    sizes = table(sizes, "open-sizes")
+    rows = rows.join(sizes, ["bucket", "j", "step"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = rows.join(words, "id")
+    packed = rows.groupBy("bucket", "j", "step", "blocks", "block").agg(F.collect_list(F.struct("id", "part", "n", "s", "counts", "words")).alias("m"))
     packed = table(packed, "open-blocks")
-    left = packed.select("bucket", "j", "block", F.col("m").alias("x"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("other"))
-    right = packed.select("bucket", "j", F.col("block").alias("other"), F.col("m").alias("y"))
+    left = packed.select("bucket", "j", "step", "block", F.col("m").alias("x"))
+    same = left.join(sizes, ["bucket", "j", "step"]).withColumn("to", F.col("step"))
+    same = same.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
+    up = sizes.select("bucket", "j", (F.col("step") - 1).alias("step"), F.col("step").alias("to"), "blocks")
+    above = left.join(up, ["bucket", "j", "step"]).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    columns = ["bucket", "j", "step", "block", "x", "to", "other"]
+    left = same.select(*columns).unionByName(above.select(*columns))
+    right = packed.select("bucket", "j", F.col("step").alias("to"), F.col("block").alias("other"), F.col("m").alias("y"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for j, block, other, *sides in zip(batch["j"], batch["block"], batch["other"], batch["x"], batch["y"]):
-                (i, p, n, s), (k, q, m, t) = (
-                    [np.array([r[c] for r in side], np.int64) for c in ("id", "part", "n")] + [np.stack([r["s"] for r in side])] for side in sides
+            own = (batch["step"] == batch["to"]) & (batch["block"] == batch["other"])
+            for j, alone, *sides in zip(batch["j"], own, batch["x"], batch["y"]):
+                (i, p, n, s, u), (k, q, m, t, v) = (
+                    [np.array([r[c] for r in side], np.int64) for c in ("id", "part", "n")]
+                    + [np.stack([r["s"] for r in side]), np.frombuffer(b"".join([r["counts"] for r in side]), np.uint8).reshape(-1, BINS)]
+                    for side in sides
                 )
                 good = p[:, None] != q
-                if block == other:
+                if alone:
                     good = np.triu(good, 1)
                 shorter, longer = np.minimum(n[:, None], m), np.maximum(n[:, None], m)
                 good &= (shorter >= SIMILARITY * longer) & (s[:, j][:, None] == t[:, j])
                 agree = np.zeros(good.shape, np.int8)
                 for c in range(SKETCHES):
+                    equal = s[:, c][:, None] == t[:, c]
                     if c < j:  # an earlier bucket of both makes this pair
-                        good &= s[:, c][:, None] != t[:, c]
-                    agree += (s[:, c] & 0x7FFF)[:, None] == (t[:, c] & 0x7FFF)
+                        good &= ~equal
+                    agree += equal
                 x, y = np.nonzero(good & (agree >= AGREE))
-                yield pd.DataFrame({"a": np.minimum(i[x], k[y]), "b": np.maximum(i[x], k[y])})
-
-    return left.join(right, ["bucket", "j", "other"]).mapInPandas(compare, "a long, b long").distinct()
+                left_over = (n[x] + m[y]) * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-6
+                apart_by = [np.abs(u[x[z : z + 4096]].astype(np.int16) - v[y[z : z + 4096]]).sum(1) for z in range(0, len(x), 4096)]
+                keep = np.concatenate([*apart_by, np.zeros(0, int)]) <= left_over
+                texts_of = [lru_cache(None)(lambda z, side=side: (w := np.frombuffer(side[z]["words"], np.uint32).astype(np.uint64), labelled(w))) for side in sides]
+                x, y = x[keep], y[keep]
+                order = np.argsort(-agree[x, y], kind="stable")
+                linked, joined = [], {}
+                for x, y in zip(x[order].tolist(), y[order].tolist()):
+                    a, b = _root(joined, int(p[x])), _root(joined, int(q[y]))
+                    if a == b:  # one component by now
+                        continue
+                    (f, kf), (g, kg) = texts_of[0](x), texts_of[1](y)
+                    if aligned_similarity(f, g, kmers=(kf, kg)):
+                        joined[a] = b
+                        linked.append(sorted((int(i[x]), int(k[y]))))
+                yield pd.DataFrame(linked, columns=["a", "b"], dtype=np.int64)
+
+    return left.join(right, ["bucket", "j", "to", "other"]).mapInPandas(compare, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -256,7 +311,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = table(_sketched(docs), "order-sketches")
-    classes = rows.where("whole is not null").groupBy("whole").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketches").alias("s"))
+    classes = rows.where("whole is not null").groupBy("whole").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketches").alias("s"), F.first("counts").alias("counts"))
     classes = table(classes.where("id is not null"), "text-classes")
     # 15 bits of each sketch tell how many agree; the bucket is the whole sketch
     marks = F.transform("s", lambda x: x.bitwiseAND(F.lit(0x7FFF)).cast("short"))
@@ -272,10 +327,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             pairs = _candidates(members, seed).select("a", "b")
         else:
             known, apart = _apart(members, parts)
-            heads = F.explode(F.sequence(F.lit(0), F.lit(MORE_HEADS - 1)))
-            drawn = known.join(apart, "bucket").withColumn("h", heads)
-            one = F.min(F.struct(F.xxhash64("id", "h", F.lit(seed)).alias("r"), "id", "marks")).alias("x")
-            of_part = drawn.groupBy("bucket", "h", "part").agg(one).select(F.xxhash64("bucket", "h").alias("bucket"), "x.id", "x.marks")
+            one = F.min(F.struct(F.xxhash64("id", F.lit(seed)).alias("r"), "id", "marks")).alias("x")
+            of_part = known.join(apart, "bucket").groupBy("bucket", "part").agg(one).select("bucket", "x.id", "x.marks")
             pairs = _candidates(of_part, seed).select("a", "b").join(seen, ["a", "b"], "left_anti")
         pairs = table(pairs, "pairs")
         found = table(_verified(pairs, texts).select("a", "b"), "links")
@@ -284,8 +337,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = found if links is None else links.unionByName(found)
         seen = pairs if seen is None else seen.unionByName(pairs)
         parts = table(components(links), "near-components")
-    rest = table(_across(members, classes, parts).join(seen, ["a", "b"], "left_anti"), "pairs")
-    found = table(_verified(rest, texts).select("a", "b"), "links")
+    found = table(_across(members, classes, texts, parts), "links")
     if not found.isEmpty():
         parts = table(components(links.unionByName(found)), "near-components")
     classes = classes.join(parts, "id", "left").select("whole", F.coalesce("component_id", "id").alias("class_id"))
