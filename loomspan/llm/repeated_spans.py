@@ -7,12 +7,16 @@ move many times its size, so the suffixes are dealt out by content first:
 1. Every window of ``LENGTH`` bytes has an anchor, its smallest k-gram (the leftmost of
    equals), which equal windows share. The windows of one anchor are consecutive; the
    bytes they cover are the anchor's context. About one byte in forty is an anchor.
-2. Anchors meet in buckets of their hash. One that no other shares has no repeated
-   window. Among those with equal contexts all but the first are repeated as a whole.
-3. First contexts of a shared anchor that differ are what is left to sort: they go, by
+2. Of anchors with equal contexts all but the first are repeated as a whole. Most are found
+   among the texts that a task reads together, and only first ones travel on.
+3. Anchors meet in buckets of their hash. One that no other shares has no repeated window,
+   and equal contexts are settled as before. A bucket of more than ``HOT_BUCKET`` anchors,
+   as a very common phrase makes, is settled by aggregates over its rows instead, which no
+   single task has to hold.
+4. First contexts of a shared anchor that differ are what is left to sort: they go, by
    anchor, to buckets whose suffixes a difference-cover sort puts in order, where
    neighbours that agree on ``LENGTH`` bytes are the repeated windows.
-4. An anchor with more than ``HOT`` differing contexts would overfill a bucket. Its
+5. An anchor with more than ``HOT`` differing contexts would overfill a bucket. Its
    windows are counted by hash instead, with partial aggregates.
 
 Nothing is dropped on the way: equal windows always share the anchor and its bucket.
@@ -41,7 +45,7 @@ KGRAM = 24
 #: Bytes of text that are hashed at once, whose anchors are packed into rows together, and
 #: that a bucket of anchors or contexts stands for. Hashing takes about 80 times its bytes.
 BUFFER, PACKED, BUCKET_BYTES = 1 << 20, 1 << 23, 1 << 22
-HOT = 4096
+HOT, HOT_BUCKET = 4096, 1 << 20
 
 _RANDOM = np.random.default_rng(11)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -138,15 +142,20 @@ def _long(key: int, raw: bytes) -> Iterator[tuple[int, tuple]]:
 
 
 def _packed(pieces: list[tuple], buckets: int) -> pd.DataFrame:
+    """First contexts of some texts by bucket, and all repeated ones as bucket -1."""
     a, c, d, start, count = (np.concatenate(x) for x in zip(*pieces))
-    bucket = ((a >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((start, d, c, a))
+    a, c, d, start, count = a[order], c[order], d[order], start[order], count[order]
+    first = np.ones(len(a), bool)
+    first[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+    bucket = np.where(first, ((a >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), -1)
     order = np.argsort(bucket, kind="stable")
-    cut = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
+    cut = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-2)), len(order))
     rows = []
     for i, j in zip(cut, cut[1:]):
         o = order[i:j]
-        rows.append((int(bucket[o[0]]), a[o].tobytes(), c[o].tobytes(), d[o].tobytes(), start[o].astype("<u4").tobytes(), count[o].astype(np.uint8).tobytes()))
-    return pd.DataFrame(rows, columns=["bucket", "a", "c", "d", "start", "count"])
+        rows.append((int(bucket[o[0]]), j - i, a[o].tobytes(), c[o].tobytes(), d[o].tobytes(), start[o].astype("<u4").tobytes(), count[o].astype(np.uint8).tobytes()))
+    return pd.DataFrame(rows, columns=["bucket", "n", "a", "c", "d", "start", "count"])
 
 
 def _scattered(docs: DataFrame, buckets: int) -> DataFrame:
@@ -164,16 +173,22 @@ def _scattered(docs: DataFrame, buckets: int) -> DataFrame:
         if pieces:
             yield _packed(pieces, buckets)
 
-    return docs.mapInPandas(run, "bucket long, a binary, c binary, d binary, start binary, count binary")
+    return docs.mapInPandas(run, "bucket long, n long, a binary, c binary, d binary, start binary, count binary")
+
+
+def _arrays(part: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    kinds = {"a": np.uint64, "c": np.uint64, "d": np.int64, "start": "<u4", "count": np.uint8}
+    return tuple(np.frombuffer(b"".join(part[x]), kind) for x, kind in kinds.items())
+
+
+MARKS = "doc long, start long, count long, anchor long, kind long"
 
 
 def _met(scattered: DataFrame) -> DataFrame:
     """(doc, start, count, anchor, kind) of shared anchors: 1 repeated, 2 to sort, 3 hot."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        a, c = (np.frombuffer(b"".join(part[x]), np.uint64) for x in "ac")
-        d, start = np.frombuffer(b"".join(part["d"]), np.int64), np.frombuffer(b"".join(part["start"]), "<u4")
-        count = np.frombuffer(b"".join(part["count"]), np.uint8)
+        a, c, d, start, count = _arrays(part)
         o = np.lexsort((start, d, c, a))
         a, c, d, start, count = a[o], c[o], d[o], start[o], count[o]
         new_a = np.concatenate([[True], a[1:] != a[:-1]])
@@ -184,7 +199,41 @@ def _met(scattered: DataFrame) -> DataFrame:
         k = kind > 0
         return pd.DataFrame({"doc": d[k], "start": start[k].astype(np.int64), "count": count[k].astype(np.int64), "anchor": np.where(kind > 1, a.view(np.int64), 0)[k], "kind": kind[k]})
 
-    return scattered.groupBy("bucket").applyInPandas(run, "doc long, start long, count long, anchor long, kind long")
+    return scattered.groupBy("bucket").applyInPandas(run, MARKS)
+
+
+def _unpacked(scattered: DataFrame) -> DataFrame:
+    """(anchor, context, doc, start, count) of packed rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(len(batch)):
+                a, c, d, start, count = _arrays(batch.iloc[i : i + 1])
+                yield pd.DataFrame({"anchor": a.view(np.int64), "context": c.view(np.int64), "doc": d, "start": start.astype(np.int64), "count": count.astype(np.int64)})
+
+    return scattered.drop("n", "bucket").mapInPandas(run, "anchor long, context long, doc long, start long, count long")
+
+
+def _met_in_hot_buckets(scattered: DataFrame) -> DataFrame:
+    """As ``_met``, by aggregates and joins over single rows."""
+    rows = table(_unpacked(scattered), "hot-anchors")
+    place = F.struct("doc", "start", "count")
+    firsts = table(rows.groupBy("anchor", "context").agg(F.min(place).alias("first")), "first-contexts")
+    again = rows.join(firsts, ["anchor", "context"]).where(place != F.col("first"))
+    again = again.select("doc", "start", "count", F.lit(0).cast("long").alias("anchor"), F.lit(1).cast("long").alias("kind"))
+    shared = firsts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    kind = F.when(F.col("n") > HOT, 3).otherwise(2).cast("long").alias("kind")
+    return again.unionByName(firsts.join(shared, "anchor").select("first.*", "anchor", kind))
+
+
+def _marks(scattered: DataFrame) -> DataFrame:
+    """Marks of all buckets, hot ones apart from the others."""
+    alone = _unpacked(scattered.where("bucket < 0")).select("doc", "start", "count", F.lit(0).cast("long").alias("anchor"), F.lit(1).cast("long").alias("kind"))
+    met = scattered.where("bucket >= 0")
+    hot = table(met.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > HOT_BUCKET).select("bucket"), "hot-buckets")
+    if hot.isEmpty():
+        return alone.unionByName(_met(met))
+    return alone.unionByName(_met(met.join(hot, "bucket", "left_anti"))).unionByName(_met_in_hot_buckets(met.join(hot, "bucket", "left_semi")))
 
 
 def _contexts(docs: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
@@ -255,13 +304,13 @@ def _hot_repeats(windows: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``spans``: each one's first window and number of windows.
+    """(doc, text, row) with ``spans``: the first window and number of windows of each.
 
     ``doc`` is a unique long that orders the documents.
     """
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     buckets = max(16, -(-size // BUCKET_BYTES))
-    marks = table(_met(_scattered(docs.select("doc", "text"), buckets)), "anchor-marks")
+    marks = table(_marks(table(_scattered(docs.select("doc", "text"), buckets), "anchors")), "anchor-marks")
     contexts = table(_contexts(docs, marks, 4 * buckets), "contexts")  # smaller ones: sorting needs many times their bytes
     found = _sorted_repeats(contexts.where("bucket >= 0")).unionByName(_hot_repeats(contexts.where("bucket < 0")))
     spans = marks.where("kind = 1").select("doc", "start", "count").unionByName(found)
@@ -288,19 +337,20 @@ def _kept(raw: bytes, gone: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """Adds ``doc``, a unique long in the order of ids; whether it is the id itself.
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(doc, text, row): a unique long in the order of ids, the text, and the whole row.
 
     Ids that are unique and not null, the rule, serve as they are. Otherwise the rows,
     sorted by ranges over all tasks, are written with increasing numbers.
     """
     ids = F.col("doc_id").cast("long")
     repeated = docs.groupBy(ids.alias("i")).agg(F.count("*").alias("n")).where("n > 1 or i is null")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     if repeated.isEmpty():
-        return docs.withColumn("doc", ids), True
+        return docs.select(ids.alias("doc"), "text", row)
     order = [ids, F.xxhash64("text")]
     ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order)
-    return table(ordered.withColumn("doc", F.monotonically_increasing_id()), "ordered"), False
+    return table(ordered.select(F.monotonically_increasing_id().alias("doc"), "text", row), "ordered")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -308,7 +358,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     What a cut leaves of a character that it splits is dropped with it.
     """
-    numbered, _ = _numbered(docs)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -319,27 +368,26 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             out.append(_kept(raw, gone).decode("utf-8", "ignore") if gone else text)
         return pd.Series(out, dtype=object)
 
-    out = repeated_spans(numbered).withColumn("text", cut("text", "spans"))
+    out = repeated_spans(_numbered(docs)).select("row", cut("text", "spans").alias("left"))
+    row = F.col("row").withField("text", F.col("left"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+        row = row.withField("n_chars", F.char_length("left").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(row.alias("row")).select("row.*")
 
 
 def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document: its bytes, those removed, and a digest of what is kept."""
-    docs, own_ids = _numbered(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = _numbered(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, text, spans in zip(batch["doc"], batch["text"], batch["spans"]):
+            for doc, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"]):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 gone = removed(len(raw), spans)
                 rows.append((doc, len(raw), sum(b - a for a, b in gone), len(gone), sha256(_kept(raw, gone)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
 
-    schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    out = repeated_spans(docs.select("doc", "text")).mapInPandas(run, schema)
-    if own_ids:
-        return out.withColumnRenamed("doc", "doc_id")
-    return docs.select("doc", "doc_id").join(out, "doc").drop("doc")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    spans = repeated_spans(docs.select("doc", "text", F.col("row.doc_id").cast("long").alias("doc_id")))
+    return spans.select("doc_id", "text", "spans").mapInPandas(run, schema)

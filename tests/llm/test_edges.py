@@ -200,9 +200,10 @@ def _brute(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_repeats(spark, docs, none, tmp_path, monkeypatch, hot):
+@pytest.mark.parametrize("hot, bucket", [(4096, 1 << 20), (1, 1 << 20), (4096, 0), (1, 5)])
+def test_repeats(spark, docs, none, tmp_path, monkeypatch, hot, bucket):
     monkeypatch.setattr(repeated_spans, "HOT", hot)
+    monkeypatch.setattr(repeated_spans, "HOT_BUCKET", bucket)
     more = [(10 + i, f"{i} " * 60 + BASE[50 * i : 50 * i + 400] + f" {i}" * 30, "x") for i in range(12)] + [(30, "ab" * 400, "x")]
     df = docs.unionByName(spark.createDataFrame(more, SCHEMA))
     df.write.parquet(f"{tmp_path}/documents.parquet")
@@ -211,6 +212,9 @@ def test_repeats(spark, docs, none, tmp_path, monkeypatch, hot):
     cut = {r.doc_id: r.text for r in repeated_spans.remove_repeats(df).collect()}
     assert cut[6] == "" and cut[1] == BASE and cut[3] is None
     assert repeated_spans.remove_repeats(none).count() == 0
+    clash = df.selectExpr("doc_id", "text", "bucket", "bucket doc", "doc_id spans", "1 `row`", "length(text) n_chars")
+    for r in repeated_spans.remove_repeats(clash).collect():
+        assert (r.doc, r.spans, r.row, r.n_chars, r.text) == (r.bucket, r.doc_id, 1, None if r.text is None else len(r.text), cut[r.doc_id])
     twice = df.unionByName(df.where("doc_id = 1")).unionByName(df.where("doc_id = 1").withColumn("doc_id", df.doc_id * None))
     assert sorted(len(r.text or "") for r in repeated_spans.remove_repeats(twice).where("text like 'alpha0%' or text like '%changed' or text = ''").collect())[0] == 0
 
@@ -225,7 +229,7 @@ def test_pieces_of_text_hold_every_window_once(monkeypatch):
     windows = sorted((d, s + i) for p in pieces for d, s, n in zip(p[2], p[3], p[4]) for i in range(n))
     assert windows == [(d, i) for d, n in enumerate(sizes) for i in range(max(0, n - repeated_spans.LENGTH + 1))]
     packed = repeated_spans._packed(pieces, 7)
-    assert packed.bucket.is_unique and sum(map(len, packed["count"])) == sum(len(p[0]) for p in pieces)
+    assert packed.bucket.is_unique and packed.n.sum() == sum(map(len, packed["count"])) and sum(map(len, packed["count"])) == sum(len(p[0]) for p in pieces)
 
 
 def test_archives(spark):
