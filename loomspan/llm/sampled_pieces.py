@@ -9,44 +9,69 @@ Gumbels truncated at the value of the path taken. The value of the (k + 1)-th
 segmentation turns each drawn one's probability into its inclusion score.
 
 No piece spans a white space that isn't its start, so that the lattice is a chain of
-small ones, one for each word; their backward sums are kept per worker. The random
-numbers of a row depend on its key and the seed alone.
+small ones, one for each word; each worker keeps those of the words it has met in flat
+arrays, and the searches of many texts take their steps together. The random numbers of a
+row are hashes of its key, the seed and their place alone.
 
 Defined cases: null and empty texts have one segmentation, the empty one, with inclusion
 score 1; texts with fewer than k segmentations give them all, each with score 1;
 characters without a piece become byte pieces; rows with equal keys draw the same
-numbers; null keys count as a key; other columns are ignored.
+numbers; null keys count as a key; very long texts are searched whole; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-import re
-from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Words that one worker remembers; beyond them it starts afresh.
-CACHE_WORDS = 50_000
+#: Edges of words that one worker remembers (a reset before a group of texts), and
+#: characters of texts that are searched together.
+CACHE_EDGES, GROUP_CHARS = 3_000_000, 1_000_000
 #: A backward sum below this is made 1, and the sums that it is compared with follow.
 SMALL = 1e-100
 #: The weight of a piece of a merge-ordered vocabulary is (rank + 2) to the minus this.
 RANK_POWER = 1.0
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 _lattices: dict[str, "Lattice"] = {}
 
 
+class _Growing:
+    """An array that values are appended to."""
+
+    def __init__(self, kind):
+        self._all, self.size = np.zeros(1 << 12, kind), 0
+
+    def extend(self, values) -> None:
+        end = self.size + len(values)
+        if end > len(self._all):
+            self._all = np.concatenate([self._all[: self.size], np.zeros(2 * end, self._all.dtype)])
+        self._all[self.size : end] = values
+        self.size = end
+
+    @property
+    def array(self) -> np.ndarray:
+        return self._all[: self.size]
+
+
 class Lattice:
     """Word lattices of one SentencePiece model.
 
+    Nodes are positions of words, numbered through; ``first`` says where a node's edges
+    begin. Of every edge there is the node that it leads to (-1: the word's end), its
+    conditional probability, that sum up to it on top of its node's number, and its piece
+    (below 0: several, of a character in bytes).
+
     ``ranked``: scores are merge ranks below 0, not log-probabilities.
     """
 
@@ -59,9 +84,13 @@ class Lattice:
         for i in range(m.get_piece_size()):
             if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i)):
                 s = m.get_score(i)
-                self._pieces[m.id_to_piece(i)] = ((i,), (2 - s) ** -RANK_POWER if ranked else math.exp(s))
+                self._pieces[m.id_to_piece(i)] = (i, (2 - s) ** -RANK_POWER if ranked else math.exp(s))
         if any(SPACE in p.lstrip(SPACE) for p in self._pieces):
             raise ValueError("a piece spans a white space")
+        # pieces that don't mix letters with others let words be cut between them
+        mixed = regex.compile(rf"{SPACE}*(\p{{L}}+|[^\p{{L}}{SPACE}]*)")
+        apart = all(mixed.fullmatch(p) for p in self._pieces)
+        self._cut = regex.compile(rf"{SPACE}*\p{{L}}+|{SPACE}*[^\p{{L}}{SPACE}]+|{SPACE}+" if apart else rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self._longest = max(map(len, self._pieces))
         self._bytes = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self._byte_weight = min(w for _, w in self._pieces.values()) / math.e
@@ -69,7 +98,16 @@ class Lattice:
         for piece in list(self._pieces):
             for q in range(1, len(piece)):
                 self._pieces.setdefault(piece[:q], ())
-        self._words: dict[str, tuple] = {}
+        self._reset()
+
+    def _reset(self) -> None:
+        self._words: dict[str, int] = {}
+        self._several: list[tuple[int, ...]] = []
+        self._first, self._next, self._piece = _Growing(np.int64), _Growing(np.int64), _Growing(np.int64)
+        self._share, self._upto = _Growing(np.float64), _Growing(np.float64)
+        self._first.extend([0])
+        self._n_nodes = 0
+        self._new_sizes, self._new_share, self._new_next, self._new_piece = [], [], [], []
 
     def encode(self, text: str | None) -> list[int]:
         return self.model.encode(text or "")
@@ -77,119 +115,212 @@ class Lattice:
     def decode(self, ids: list[int]) -> str:
         return self.model.decode(ids)
 
-    def words(self, text: str | None) -> list[tuple]:
-        """The nodes of each word's lattice, for the model's normal form of the text."""
-        normal = self.model.normalize(text or "")
-        if len(self._words) > CACHE_WORDS:
-            self._words = {}
-        found = self._words
-        return [found.get(w) or found.setdefault(w, self._nodes(w)) for w in re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", normal)]
-
-    def _nodes(self, word: str) -> tuple:
-        """Of each position: (sums of probabilities, next positions, ids, probabilities).
-
-        Tuples throughout, which Python's collector need not visit again.
-        """
+    def roots(self, text: str | None) -> np.ndarray:
+        """The first node of each word's lattice, for the model's normal form of the text."""
+        normal, found = self.model.normalize(text or ""), self._words
+        words = self._cut.findall(normal)
+        try:
+            return np.fromiter(map(found.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            for w in set(words):
+                if w not in found:
+                    found[w] = self._add(w)
+            self._flush()
+            return np.fromiter(map(found.__getitem__, words), np.int64, len(words))
+
+    def _add(self, word: str) -> int:
+        """Adds the word's lattice; edges of a node stand in falling order of probability."""
         n, find, longest = len(word), self._pieces.get, self._longest
         below = [1.0] * (n + 1)
         nodes: list = [None] * n
+        base = self._n_nodes
+        self._n_nodes += n
         for p in range(n - 1, -1, -1):
-            ends, ids, down = [], [], []
+            edges = []
             for q in range(p + 1, min(n, p + longest) + 1):
                 hit = find(word[p:q])
                 if hit is None:
                     break
                 if hit:
-                    ends.append(q)
-                    ids.append(hit[0])
-                    down.append(hit[1] * below[q])
-            if not ends or ends[0] != p + 1:  # a character without a piece
+                    edges.append((hit[1] * below[q], q, hit[0]))
+            if not edges or edges[0][1] != p + 1:  # a character without a piece
                 raw = word[p].encode("utf-8", "surrogatepass")
-                ends.append(p + 1)
-                ids.append(tuple([self._bytes[b] for b in raw]))
-                down.append(self._byte_weight ** len(raw) * below[p + 1])
-            total = below[p] = sum(down)
-            if len(down) == 1:
-                nodes[p] = ((1.0,), tuple(ends), tuple(ids), (1.0,))
-            else:
-                shares = tuple([d / total for d in down])
-                nodes[p] = (tuple(accumulate(shares)), tuple(ends), tuple(ids), shares)
+                self._several.append(tuple([self._bytes[b] for b in raw]))
+                edges.append((self._byte_weight ** len(raw) * below[p + 1], p + 1, -len(self._several)))
+            total = below[p] = sum([e[0] for e in edges])
+            edges.sort(reverse=True)
+            nodes[p] = (total, edges)
             if total < SMALL:
                 for q in range(p, min(n, p + longest) + 1):
                     below[q] = min(below[q] / total, 1 / SMALL**2)
-        return tuple(nodes)
-
-
-def _random(key: object, seed: int) -> np.random.Generator:
-    return np.random.Generator(np.random.SFC64(int.from_bytes(blake2b(f"{seed}|{key}".encode(), digest_size=16).digest(), "little")))
-
-
-def sample(words: list[tuple], k: int, rng: np.random.Generator) -> list[tuple[list[int], float, float, float]]:
-    """Up to ``k`` distinct (ids, log-probability, perturbed value, inclusion score)."""
-    # queue entry: (-value, tie, log-mass, log-probability and ids of the prefix, word, position, excluded edges)
-    queue = [(math.log(rng.exponential()), 0, 0.0, 0.0, (), 0, 0, frozenset())]
-    tie, found = 0, []
-    while queue and len(found) < k:
-        negative, _, mass, prefix, before, w, p, shut = heapq.heappop(queue)
-        value = -negative
-        ids, steps, taken, at = list(before), [], [1.0], []
-        draw = iter(rng.random(64).tolist())
-        while w < len(words):
-            nodes = words[w]
-            n = len(nodes)
-            while p < n:
-                sums, ends, edge_ids, shares = nodes[p]
-                if shut:
-                    open_ = [i for i in range(len(ends)) if i not in shut]
-                    total = sum(shares[i] for i in open_)
-                    u, i = rng.random() * total, open_[-1]
-                    for j in open_:
-                        u -= shares[j]
-                        if u < 0:
-                            i = j
-                            break
-                    q = min(1.0, shares[i] / total)
-                    if len(open_) > 1:
-                        steps.append(q)
-                        taken.append(shares[i])
-                        at.append((w, p, shut | {i}, len(ids)))
-                    else:
-                        taken[0] = shares[i]
-                    shut = frozenset()
-                elif len(ends) == 1:
-                    i = 0
-                else:
-                    u = next(draw, None)
-                    if u is None:
-                        draw = iter(rng.random(256).tolist())
-                        u = next(draw)
-                    i = min(bisect_right(sums, u * sums[-1]), len(ends) - 1)
-                    steps.append(shares[i])
-                    taken.append(shares[i])
-                    at.append((w, p, i, len(ids)))
-                ids.extend(edge_ids[i])
-                p = ends[i]
-            w, p = w + 1, 0
-        q = np.array(steps)
-        logs = np.log(q)
-        path = mass + np.cumsum(logs)
-        prefixes = prefix + np.cumsum(np.log(taken))
-        found.append((ids, float(prefixes[-1]), value))
-        if steps:
-            with np.errstate(divide="ignore"):
-                rest = path - logs + np.log1p(-np.minimum(q, 1.0))
-            # Gumbels of what was left aside, truncated at this path's value
-            values = -np.logaddexp(-value, np.log(rng.exponential(size=len(q))) - rest)
-            need = k + 1 - len(found)
-            best = np.argpartition(-values, need)[:need] if len(values) > need else range(len(values))
-            for j in best:
-                if rest[j] > -np.inf:
-                    w2, p2, gone, length = at[j]
-                    tie += 1
-                    gone = gone if isinstance(gone, frozenset) else frozenset((gone,))
-                    heapq.heappush(queue, (-float(values[j]), tie, float(rest[j]), float(prefixes[j]), tuple(ids[:length]), w2, p2, gone))
-    bound = -queue[0][0] if queue else -math.inf
-    return [(ids, log, value, -math.expm1(-math.exp(min(log - bound, 700.0)))) for ids, log, value in found]
+        for total, edges in nodes:
+            self._new_sizes.append(len(edges))
+            for weight, end, piece in edges:
+                self._new_share.append(weight / total)
+                self._new_next.append(base + end if end < n else -1)
+                self._new_piece.append(piece)
+        return base
+
+    def _flush(self) -> None:
+        """Puts the edges of new words into the arrays."""
+        sizes, share = np.array(self._new_sizes), np.array(self._new_share)
+        ends = np.cumsum(sizes)
+        sums = np.concatenate([[0.0], np.cumsum(share)])
+        node = np.repeat(np.arange(self._first.size - 1, self._first.size - 1 + len(sizes)), sizes)
+        self._upto.extend(node + np.minimum(sums[1:] - np.repeat(sums[ends - sizes], sizes), 1.0))
+        self._first.extend(self._next.size + ends)
+        self._share.extend(np.maximum(share, 1e-300))
+        self._next.extend(self._new_next)
+        self._piece.extend(self._new_piece)
+        self._new_sizes, self._new_share, self._new_next, self._new_piece = [], [], [], []
+
+    def make_room(self) -> None:
+        if self._next.size > CACHE_EDGES:
+            self._reset()
+
+    def ids(self, edges: np.ndarray) -> np.ndarray:
+        found = self._piece.array[edges]
+        several = np.flatnonzero(found < 0)
+        if not len(several):
+            return found
+        sizes = np.ones(len(found), np.int64)
+        sizes[several] = [len(self._several[-i - 1]) for i in found[several].tolist()]
+        out, at = np.repeat(found, sizes), np.cumsum(sizes) - sizes
+        for i, j in zip(several.tolist(), at[several].tolist()):
+            out[j : j + sizes[i]] = self._several[-found[i] - 1]
+        return out
+
+
+def _uniform(seed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A number between 0 and 1, both excluded, for every seed and place."""
+    x = seed + at.astype(np.uint64) * _ODD
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+
+
+def key_seed(key: object, seed: int) -> int:
+    return int.from_bytes(blake2b(f"{seed}|{key}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def _down(lat: Lattice, node: np.ndarray, slot: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Walks from every node to its word's end: (walk, node, edge) of all steps, walk by walk."""
+    first, following, upto = lat._first.array, lat._next.array, lat._upto.array
+    walk, step, out = np.arange(len(node)), 0, []
+    while len(node):
+        edge = first[node]
+        several = np.flatnonzero(first[node + 1] - edge > 1)
+        if len(several):
+            n = node[several]
+            u = _uniform(seed[several], slot[several] * 65536 + step)
+            edge[several] = np.minimum(np.searchsorted(upto, n + u, side="right"), first[n + 1] - 1)
+        out.append((walk, node, edge))
+        to = following[edge]
+        on = np.flatnonzero(to >= 0)
+        node, slot, seed, walk, step = to[on], slot[on], seed[on], walk[on], step + 1
+    if not out:
+        return walk, node, node
+    walk, node, edge = (np.concatenate(x) for x in zip(*out))
+    order = np.argsort(walk, kind="stable")
+    return walk[order], node[order], edge[order]
+
+
+@np.errstate(divide="ignore")
+def sample(lat: Lattice, texts: list[np.ndarray], seeds: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """Of each text (roots of its words) up to ``k`` distinct (edges, log-probability, perturbed value, inclusion score)."""
+    first, share = lat._first.array, lat._share.array
+    following = lat._next.array
+    m = len(texts)
+    seeds = np.array(seeds, np.uint64)
+    start = -np.log(-np.log(_uniform(seeds, np.zeros(m, np.int64))))
+    empty = np.zeros(0, np.int64)
+    #: value, log-mass, log-probability of the prefix, path it leaves, where, edges shut
+    queues: list[list[tuple]] = [[(float(v), 0.0, 0.0, None, 0, ())] for v in start]
+    found: list[list[tuple]] = [[] for _ in texts]
+    for round_ in range(k):
+        live = [t for t in range(m) if queues[t]]
+        if not live:
+            break
+        value, mass, prefix = np.zeros(m), np.zeros(m), np.zeros(m)
+        before: dict[int, tuple] = {}
+        roots, slots, owners = [], [], []  # walks: word lattices, or what is left of one
+        special: list[tuple] = []  # text, node, edge, log-share of what was open, log-share, others open, slot
+        own = seeds + np.uint64((round_ + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
+        turn = _uniform(own, np.full(m, 1 << 50)).tolist()
+        for t in live:
+            best = max(range(len(queues[t])), key=lambda i: queues[t][i][0])
+            value[t], mass[t], prefix[t], path, at, shut = queues[t].pop(best)
+            words = texts[t]
+            if path is None:
+                before[t] = (empty, empty, empty)
+                roots.append(words)
+                slots.append(np.arange(len(words)))
+                owners.append(np.full(len(words), t))
+                continue
+            nodes, edges, of = path
+            before[t] = (nodes[:at], edges[:at], of[:at])
+            node, w = int(nodes[at]), int(of[at])
+            open_ = [e for e in range(int(first[node]), int(first[node + 1])) if e not in shut]
+            shares = [float(share[e]) for e in open_]
+            total, pick = sum(shares), len(open_) - 1
+            u = turn[t] * total
+            for i, p in enumerate(shares):
+                u -= p
+                if u < 0:
+                    pick = i
+                    break
+            e = open_[pick]
+            special.append((t, node, e, math.log(shares[pick] / total) if len(open_) > 1 else 0.0, math.log(shares[pick]), len(open_) > 1, w, (*shut, e)))
+            to = int(following[e])
+            rest = np.arange(w + 1, len(words))
+            roots.append(np.concatenate([[to], words[w + 1 :]]) if to >= 0 else words[w + 1 :])
+            slots.append(np.concatenate([[w], rest]) if to >= 0 else rest)
+            owners.append(np.full(len(slots[-1]), t))
+        root, slot, owner = (np.concatenate(x) for x in (roots, slots, owners))
+        walk, node, edge = _down(lat, root, slot, own[owner])
+        log = np.log(share[edge])
+        several = first[node + 1] - first[node] > 1
+        text, of, shut_of = owner[walk], slot[walk], {}
+        logq = np.where(several, log, 0.0)
+        if special:
+            t0, n0, e0, q0, p0, s0, w0, shuts = zip(*special)
+            text, node, edge = np.concatenate([t0, text]), np.concatenate([n0, node]), np.concatenate([e0, edge])
+            logq, log, of = np.concatenate([q0, logq]), np.concatenate([p0, log]), np.concatenate([w0, of])
+            several = np.concatenate([np.array(s0, bool), several])
+            order = np.argsort(text, kind="stable")  # a text's special step comes first
+            text, node, edge, logq, log, of, several = (x[order] for x in (text, node, edge, logq, log, of, several))
+            shut_of = dict(zip(t0, shuts))
+        size = np.bincount(text, minlength=m)
+        end = np.cumsum(size)
+        begin = end - size
+        sums = lambda x, base: (c := np.concatenate([[0.0], np.cumsum(x)]))[1:] - c[begin][text] + base[text]
+        path, logs = sums(logq, mass), sums(log, prefix)
+        pick = np.flatnonzero(several)
+        rest = path[pick] - logq[pick] + np.log1p(-np.minimum(np.exp(logq[pick]), 1.0))
+        noise = -np.log(_uniform(own[text[pick]], (pick - begin[text[pick]]) + (1 << 51)))
+        # Gumbels of what was left aside, truncated at this path's value
+        left = -np.logaddexp(-value[text[pick]], np.log(noise) - rest)
+        good = np.flatnonzero(rest > -np.inf)
+        order = good[np.lexsort((-left[good], text[pick[good]]))]
+        of_text = text[pick[order]]
+        place = np.arange(len(order)) - np.searchsorted(of_text, of_text)
+        need = k - round_
+        for t in live:
+            a, b = begin[t], end[t]
+            whole = tuple(np.concatenate([x, y[a:b]]) for x, y in zip(before[t], (node, edge, of)))
+            found[t].append((whole[1], float(logs[b - 1]) if b > a else float(prefix[t]), float(value[t])))
+            before[t] = (whole, len(before[t][0]) - a)
+        for j in order[place < need].tolist():
+            v = int(pick[j])
+            t = int(text[v])
+            whole, shift = before[t]
+            shut = shut_of[t] if v == begin[t] and t in shut_of else (int(edge[v]),)
+            queues[t].append((float(left[j]), float(rest[j]), float(logs[v] - log[v]), whole, v + int(shift), shut))
+    out = []
+    for t in range(m):
+        bound = max([q[0] for q in queues[t]], default=-math.inf)
+        out.append([(e, log, value, -math.expm1(-math.exp(min(log - bound, 700.0)))) for e, log, value in found[t]])
+    return out
 
 
 def lattice(path: str) -> Lattice:
@@ -202,50 +333,77 @@ def lattice(path: str) -> Lattice:
 def sample_segmentations(df: DataFrame, keys: list[str], text_col: str, model: str, k: int = 4, seed: int = 0) -> DataFrame:
     """``keys`` and, of each row, up to ``k`` distinct segmentations in order drawn.
 
-    Columns: sample (from 1), ids, n_pieces, log_prob, perturbed, inclusion.
+    Columns: sample (from 1), ids (little-endian unsigned 32-bit), n_pieces, log_prob,
+    perturbed, inclusion.
     """
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = lattice(model)
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+        own, texts, held = [], [], 0
         for batch in batches:
-            for i in range(0, len(batch), 512):
-                rows = []
-                for key, text in zip(batch["key"].iloc[i : i + 512], batch["text"].iloc[i : i + 512]):
-                    for n, (ids, log, value, score) in enumerate(sample(pieces.words(text), k, _random(key, seed)), 1):
-                        rows.append((key, n, ids, len(ids), log, value, score))
-                yield pd.DataFrame(rows, columns=["key", "sample", "ids", "n_pieces", "log_prob", "perturbed", "inclusion"])
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+                own.append(key)
+                texts.append(text)
+                held += len(text or "") + 16
+                if held >= GROUP_CHARS:
+                    yield own, texts
+                    own, texts, held = [], [], 0
+        if own:
+            yield own, texts
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lat = lattice(model)
+        for own, texts in groups(batches):
+            lat.make_room()
+            roots = [lat.roots(t) for t in texts]
+            drawn = sample(lat, roots, [key_seed(x, seed) for x in own], k)
+            rows = [(key, n, lat.ids(e), log, value, score) for key, of in zip(own, drawn) for n, (e, log, value, score) in enumerate(of, 1)]
+            key, n, ids, log, value, score = zip(*rows)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(key, pa.string()),
+                    pa.array(n, pa.int32()),
+                    pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
+                    pa.array([len(x) for x in ids], pa.int64()),
+                    *[pa.array(x, pa.float64()) for x in (log, value, score)],
+                ],
+                names=["key", "sample", "ids", "n_pieces", "log_prob", "perturbed", "inclusion"],
+            )
 
     key = F.to_json(F.struct(*[F.col(c).cast("string").alias(str(i)) for i, c in enumerate(keys)]))
-    schema = "key string, sample int, ids array<int>, n_pieces long, log_prob double, perturbed double, inclusion double"
-    out = df.select(key.alias("key"), F.col(text_col).alias("text")).mapInPandas(draw, schema)
+    schema = "key string, sample int, ids binary, n_pieces long, log_prob double, perturbed double, inclusion double"
+    out = df.select(key.alias("key"), F.col(text_col).alias("text")).mapInArrow(draw, schema)
     types = dict(df.dtypes)
+    clash = {"sample", "ids", "n_pieces", "log_prob", "perturbed", "inclusion"}.intersection(keys)
+    if clash:
+        raise ValueError(f"keys named like results: {sorted(clash)}")
     back = [F.get_json_object("key", f"$['{i}']").cast(types[c]).alias(c) for i, c in enumerate(keys)]
     return out.select(*back, "sample", "ids", "n_pieces", "log_prob", "perturbed", "inclusion")
 
 
-def encode_texts(df: DataFrame, text_col: str, model: str) -> DataFrame:
-    """``df`` with a column ``ids``: the model's own segmentation; null counts as empty."""
+def encode_texts(df: DataFrame, text_col: str, model: str, to: str = "ids") -> DataFrame:
+    """``df`` with a column ``to``: the model's own segmentation, as bytes; null counts as empty."""
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def ids(texts: pd.Series) -> pd.Series:
-        return texts.map(lattice(model).encode)
+        return texts.map(lambda t: np.array(lattice(model).encode(t), "<u4").tobytes())
 
-    return df.withColumn("ids", ids(text_col))
+    return df.withColumn(to, ids(text_col))
 
 
-def decode_ids(df: DataFrame, ids_col: str, model: str) -> DataFrame:
-    """``df`` with a column ``decoded``: the text of any segmentation; null counts as empty."""
+def decode_ids(df: DataFrame, ids_col: str, model: str, to: str = "decoded") -> DataFrame:
+    """``df`` with a column ``to``: the text of any segmentation; null counts as empty."""
 
     @F.pandas_udf("string")
     def decoded(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: lattice(model).decode([] if x is None else [int(i) for i in x]))
+        return ids.map(lambda x: lattice(model).decode(np.frombuffer(x or b"", "<u4").tolist()))
 
-    return df.withColumn("decoded", decoded(ids_col))
+    return df.withColumn(to, decoded(ids_col))
 
 
 def op10_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four distinct sampled segmentations of every turn of ``conversations``."""
+    """Four distinct sampled segmentations of every document, with a digest of their ids."""
     import public_tokenizers
 
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return sample_segmentations(turns, ["conv_id", "turn"], "text", public_tokenizers.path("piece_bpe_32k.model"))
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    drawn = sample_segmentations(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], "text", model)
+    return drawn.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")

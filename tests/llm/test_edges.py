@@ -348,41 +348,60 @@ def test_word_encoder_equals_the_tokenizer():
 
 def test_sampled_pieces(spark, docs, none):
     model = public_tokenizers.path("piece_bpe_32k.model")
-    out = sampled_pieces.sample_segmentations(docs.where("doc_id <> 5"), ["doc_id"], "text", model, 3)
+    df = docs.unionByName(docs.where("doc_id = 1")).unionByName(docs.where("doc_id = 1").withColumn("doc_id", docs.doc_id * None))
+    out = sampled_pieces.sample_segmentations(df, ["doc_id"], "text", model, 3)
     rows = out.toPandas()
     plain = sampled_pieces.decode_ids(out, "ids", model).toPandas()
     for doc, text, _ in ROWS:
         own = rows[rows.doc_id == doc]
-        if doc != 5:
-            assert len({tuple(x) for x in own.ids}) == len(own) == (3 if text else 1)
-            assert set(plain[plain.doc_id == doc].decoded) == {text or ""}
-            assert own.perturbed.is_monotonic_decreasing and own.inclusion.between(0, 1).all()
+        times = 2 if doc == 1 else 1
+        assert len(own) == times * len(set(own.ids)) == times * (3 if text else 1)
+        assert set(plain[plain.doc_id == doc].decoded) == {text or ""}
+        assert own.perturbed.iloc[:3].is_monotonic_decreasing and own.inclusion.between(0, 1).all()
+        assert all(len(r.ids) == 4 * r.n_pieces for r in own.itertuples())
+    assert len(rows[rows.doc_id.isna()]) == 3
     assert sampled_pieces.sample_segmentations(none, ["doc_id"], "text", model).count() == 0
     again = sampled_pieces.sample_segmentations(docs.where("doc_id = 1"), ["doc_id"], "text", model, 3).toPandas()
-    assert list(again.ids[0]) == list(rows[rows.doc_id == 1].ids.iloc[0])
+    assert again.ids[0] == rows[rows.doc_id == 1].ids.iloc[0]
+    own = sampled_pieces.decode_ids(sampled_pieces.encode_texts(docs, "text", model, "i"), "i", model, "t").toPandas()
+    assert own.t.tolist() == [t or "" for t in own.text]
+    with pytest.raises(ValueError):
+        sampled_pieces.sample_segmentations(docs.withColumnRenamed("doc_id", "ids"), ["ids"], "text", model)
 
 
 def test_gumbel_top_k_has_the_right_distribution():
-    pieces = sampled_pieces.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
-    words, every = pieces.words("ab cé"), [((), 0.0)]
-    for nodes in words:
-        def below(p):
-            if p == len(nodes):
-                yield (), 0.0
-            else:
-                for q, ids, share in zip(*[nodes[p][i] for i in (1, 2, 3)]):
-                    for a, b in below(q):
-                        yield ids + a, math.log(share) + b
-        every = [(a + c, b + d) for a, b in every for c, d in below(0)]
-    logs, first, estimate, n = dict(every), Counter(), 0.0, 4000
-    for i in range(n):
-        drawn = sampled_pieces.sample(words, 3, sampled_pieces._random(i, 1))
-        first[tuple(drawn[0][0])] += 1
+    lat = sampled_pieces.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
+    roots, every = lat.roots("ab cé ☃"), [((), 0.0)]
+    first, share, following = lat._first.array, lat._share.array, lat._next.array
+
+    def below(node):
+        for e in range(first[node], first[node + 1]):
+            rest = below(following[e]) if following[e] >= 0 else [((), 0.0)]
+            for b, d in rest:
+                yield (e, *b), math.log(share[e]) + d
+
+    for root in roots:
+        every = [(a + c, b + d) for a, b in every for c, d in below(root)]
+    logs, n = dict(every), 4000
+    assert sum(map(math.exp, logs.values())) == pytest.approx(1)
+    count, second, estimate = Counter(), Counter(), 0.0
+    for drawn in sampled_pieces.sample(lat, [roots] * n, [sampled_pieces.key_seed(i, 1) for i in range(n)], 3):
+        count[tuple(drawn[0][0])] += 1
+        second[tuple(drawn[1][0])] += 1
+        assert len({tuple(d[0]) for d in drawn}) == 3 and drawn[0][2] > drawn[1][2] > drawn[2][2]
         assert all(abs(logs[tuple(d[0])] - d[1]) < 1e-9 for d in drawn)
         estimate += sum(math.exp(d[1]) / d[3] for d in drawn)
     assert estimate / n == pytest.approx(1, abs=0.02)
-    assert max(abs(first[k] / n - math.exp(v)) for k, v in logs.items()) < 0.03
-    assert {d[3] for d in sampled_pieces.sample(words, 99, sampled_pieces._random(0, 0))} == {1.0}
+    assert max(abs(count[k] / n - math.exp(v)) for k, v in logs.items()) < 0.03
+    # the second drawn: without replacement
+    p = {k: math.exp(v) for k, v in logs.items()}
+    want = {k: sum(p[j] * p[k] / (1 - p[j]) for j in p if j != k) for k in p}
+    assert max(abs(second[k] / n - want[k]) for k in p) < 0.03
+    whole = sampled_pieces.sample(lat, [roots], [0], len(logs) + 9)[0]
+    assert len(whole) == len(logs) and {d[3] for d in whole} == {1.0}
+    # numbers of a row don't depend on its neighbours
+    pair = sampled_pieces.sample(lat, [lat.roots("x y"), roots], [1, 2], 2)
+    assert pair[1][0][2] == sampled_pieces.sample(lat, [roots], [2], 2)[0][0][2]
 
 
 def test_pipeline_keeps_clean_documents_and_follows_its_stages(spark, sf_dir):
