@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 #: Tokens a word counts for in estimates, and the most a chunk may hold.
 TOKENS_A_WORD, CHUNK_TOKENS = 1.7, 480
 #: First line of an answer that abstains.
-ABSTAIN = "INSUFFICIENT"
+ABSTAIN = "INSUFFICIENT_CONTEXT"
+#: White space as Unicode has it, for Java's patterns and for RE2's.
+SPACES = "[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Fixed values of English analysis: words that are left out.
+STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 
 
 def squeezed(text: Column) -> Column:
     """White space collapsed to single spaces, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, SPACES + "+", " "))
 
 
 def title_of(text: Column) -> Column:
@@ -47,6 +51,13 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
 
 
+def english_terms(text: Column) -> Column:
+    """Lower-cased words without possessive endings and stop words."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+(?:'[a-z0-9]+)*)"), 1)
+    bare = F.transform(words, lambda w: F.regexp_replace(w, "'s$", ""))
+    return F.filter(bare, lambda w: ~w.isin(STOP_WORDS))
+
+
 def sentences(text: Column) -> Column:
     parts = F.split(squeezed(text), r"(?<=[.!?])\s+(?=[A-Z0-9])")
     return F.filter(parts, lambda s: F.trim(s) != "")
@@ -57,20 +68,27 @@ def chunks(text: Column, ceiling: int = CHUNK_TOKENS) -> Column:
 
     A text within the ceiling is one chunk, and so is a sentence beyond it.
     """
-    cost = lambda arr: F.ceil(F.aggregate(arr, F.lit(0), lambda n, s: n + F.size(F.split(s, " "))) * TOKENS_A_WORD)
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("cur"))
-
-    def add(state: Column, s: Column) -> Column:
-        grown = F.concat(state["cur"], F.array(s))
-        full = (F.size(state["cur"]) > 0) & (cost(grown) > ceiling)
-        carried = F.when(F.size(state["cur"]) > 1, F.concat(F.slice(state["cur"], -1, 1), F.array(s))).otherwise(F.array(s))
+    parts = sentences(text)
+    words = F.transform(parts, lambda s: F.size(F.split(s, " ")))
+    # the open chunk's first sentence, its words, the last sentence's, and its number
+    start = F.expr("named_struct('done', cast(array() as array<struct<a:int,b:int>>), 'first', 1, 'held', 0, 'last', 0, 'i', 0)")
+
+    def add(state: Column, own: Column) -> Column:
+        i = state["i"] + 1
+        full = (i > state["first"]) & (F.ceil((state["held"] + own) * TOKENS_A_WORD) > ceiling)
+        carry = full & (i - state["first"] > 1)
+        closed = F.concat(state["done"], F.array(F.struct(state["first"].alias("a"), state["i"].alias("b"))))
         return F.struct(
-            F.when(full, F.concat(state["done"], F.array(state["cur"]))).otherwise(state["done"]).alias("done"),
-            F.when(full, carried).otherwise(grown).alias("cur"),
+            F.when(full, closed).otherwise(state["done"]).alias("done"),
+            F.when(carry, state["i"]).when(full, i).otherwise(state["first"]).alias("first"),
+            F.when(carry, state["last"] + own).when(full, own).otherwise(state["held"] + own).alias("held"),
+            own.alias("last"),
+            i.alias("i"),
         )
 
-    packed = F.aggregate(sentences(text), start, add, lambda s: F.concat(s["done"], F.array(s["cur"])))
-    return F.when(token_estimate(text) <= ceiling, F.array(squeezed(text))).otherwise(F.transform(packed, lambda c: F.array_join(c, " ")))
+    spans = F.aggregate(words, start, add, lambda s: F.concat(s["done"], F.array(F.struct(s["first"].alias("a"), s["i"].alias("b")))))
+    packed = F.transform(spans, lambda x: F.array_join(F.slice(parts, x["a"], x["b"] - x["a"] + 1), " "))
+    return F.when(token_estimate(text) <= ceiling, F.array(squeezed(text))).otherwise(packed)
 
 
 def citations(answer: Column) -> Column:
@@ -78,9 +96,10 @@ def citations(answer: Column) -> Column:
 
 
 def abstained(answer: Column) -> Column:
-    """Whether the first line, without quotes and stars, is the word for abstaining."""
-    first = F.split_part(F.trim(answer), F.lit("\n"), F.lit(1))
-    return F.upper(F.regexp_replace(first, "^[\\s`*.]+|[\\s`*.]+$", "")) == ABSTAIN
+    """Whether the first line that isn't blank, without quotes, stars and stops, abstains."""
+    bare = F.regexp_replace(answer, f"^{SPACES}+|{SPACES}+$", "")
+    first = F.regexp_replace(F.split_part(F.regexp_replace(bare, r"\r\n?", "\n"), F.lit("\n"), F.lit(1)), f"^{SPACES}+|{SPACES}+$", "")
+    return F.upper(F.regexp_replace(first, "^[`*. ]+|[`*. ]+$", "")) == ABSTAIN
 
 
 def versioned(name: Column) -> Column:

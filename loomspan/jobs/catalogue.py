@@ -12,6 +12,7 @@ from loomspan.operators import evaluation as E
 from loomspan.operators import ingest as I
 from loomspan.operators import retrieval as R
 from loomspan.sources.tables import feed_entries, page, read
+from loomspan.sources.staging import staged, staging_path
 from loomspan.streaming.replay import replay
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,7 +22,7 @@ _SQL: dict[str, str] = {}
 SWEEP = (0, 1, 5, 10, 20, 60, 120)
 
 TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
-SQUEEZE = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+SQUEEZE = "trim(regexp_replace({0}, '" + T.SPACES + "+', ' ', 'g'))"
 TITLE = SQUEEZE.format("split_part({0}, chr(10), 1)")
 ABSTRACT = SQUEEZE.format("CASE WHEN instr({0}, chr(10)) > 0 THEN substr({0}, instr({0}, chr(10)) + 1) ELSE '' END")
 HASH = f"sha256(concat({TITLE}, chr(10), chr(10), {ABSTRACT}))"
@@ -29,7 +30,7 @@ HASH = f"sha256(concat({TITLE}, chr(10), chr(10), {ABSTRACT}))"
 
 def _embed_sql(name: str, key: str, source: str) -> str:
     return f"""
-{name}_w AS (SELECT {key} AS k, w FROM (SELECT {key}, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM {source}) WHERE w <> ''),
+{name}_w AS (SELECT {key} AS k, w FROM (SELECT {key}, unnest(regexp_split_to_array(lower(text), '{T.SPACES}+')) AS w FROM {source}) WHERE w <> ''),
 {name}_s AS (SELECT k, CAST(concat('0x', substr(sha256(w), 1, 8)) AS BIGINT) % {R.BUCKETS} AS bucket,
   sum(CASE WHEN CAST(concat('0x', substr(sha256(w), 9, 2)) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS s FROM {name}_w GROUP BY 1, 2 HAVING s <> 0),
 {name}_n AS (SELECT k, sqrt(sum(s * s)) AS norm FROM {name}_s GROUP BY 1),
@@ -51,8 +52,8 @@ asked AS (SELECT DISTINCT item_id, unnest({TOK}) AS term FROM benchmark),
 bm_s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)))), 6) AS score
   FROM asked JOIN post USING (term) JOIN dfs USING (term) JOIN lens USING (doc_id), corp GROUP BY 1, 2),{_rank_sql("bm", "bm_s", R.DEPTH)}"""
 DN = f"""
-prefixed AS (SELECT item_id, concat('{R.QUERY_PREFIX}', text) AS text FROM benchmark),{_embed_sql("de", "doc_id", "documents")},{_embed_sql("qe", "item_id", "prefixed")},
-dn_s AS (SELECT qe.k AS item_id, de.k AS doc_id, round(sum(qe.weight * de.weight), 6) AS score FROM qe JOIN de USING (bucket) GROUP BY 1, 2),{_rank_sql("dn", "dn_s", R.DEPTH)}"""
+prefixed AS (SELECT item_id, concat('{R.QUERY_PREFIX}', text) AS text FROM benchmark WHERE trim(text) <> ''),{_embed_sql("de", "doc_id", "documents")},{_embed_sql("qe", "item_id", "prefixed")},
+dn_s AS (SELECT b.item_id, d.doc_id, round(coalesce(s, 0), 6) AS score FROM prefixed b CROSS JOIN documents d LEFT JOIN (SELECT qe.k AS item_id, de.k AS doc_id, sum(qe.weight * de.weight) AS s FROM qe JOIN de USING (bucket) GROUP BY 1, 2) x ON x.item_id = b.item_id AND x.doc_id = d.doc_id),{_rank_sql("dn", "dn_s", R.DEPTH)}"""
 
 
 def _fuse_sql(name: str, k: str, depth: int, extra: str = "") -> str:
@@ -317,13 +318,14 @@ def wn3_collapse_chunks(spark, sf_dir):
 # evaluation
 
 def _scored(spark, sf_dir):
-    b, d = _bm(spark, sf_dir), _dn(spark, sf_dir)
+    b, d = staged(_bm(spark, sf_dir), "bm25"), staged(_dn(spark, sf_dir), "dense")
     runs = {"bm25": b.where("rank <= 10"), "dense": d.where("rank <= 10"), "hybrid": R.fused({"bm25": b, "dense": d})}
     every = None
     for name, df in runs.items():
         one = df.select(F.lit(name).alias("mode"), "item_id", "doc_id", "rank")
         every = one if every is None else every.unionByName(one)
-    return E.scores(every, E.relevant(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")))
+    every, truth = staged(every, "runs"), E.relevant(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"))
+    return staged(E.scores(every, staged(truth, "truth")), "scores")
 
 
 @_query(f"WITH {ALL} SELECT * FROM scored")
@@ -369,14 +371,14 @@ def _unit_sql(tag: str) -> str:
 @_query(f"""WITH {ALL},
 diffs AS (SELECT row_number() OVER (ORDER BY item_id) AS i, y.ndcg_10 - x.ndcg_10 AS d FROM (SELECT * FROM scored WHERE mode = 'bm25') x JOIN (SELECT * FROM scored WHERE mode = 'hybrid') y USING (item_id)),
 size AS (SELECT count(*) AS n_items, round(avg(d), 6) AS difference, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d < 0) AS losses, count(*) FILTER (d = 0) AS ties FROM diffs),
-draws AS (SELECT i, d, draw, n_items FROM diffs, (SELECT unnest(range(1, 2001)) AS draw), size),
+draws AS (SELECT i, d, draw, n_items FROM diffs, (SELECT unnest(range(1, 10001)) AS draw), size),
 means AS (SELECT p.draw, round(avg(f.d), 9) AS mean FROM (SELECT draw, {_unit_sql('b')} % n_items + 1 AS i FROM draws) p JOIN diffs f USING (i) GROUP BY 1),
 ordered AS (SELECT mean, row_number() OVER (ORDER BY mean) AS r FROM means),
 flips AS (SELECT draw, round(avg(CASE WHEN {_unit_sql('f')} % 2 = 0 THEN d ELSE -d END), 6) AS f FROM draws GROUP BY 1)
-SELECT difference, round((SELECT mean FROM ordered WHERE r = 51), 6) AS ci_low, round((SELECT mean FROM ordered WHERE r = 1951), 6) AS ci_high,
-  round(((SELECT count(*) FROM flips WHERE abs(f) >= abs(difference)) + 1) / 2001, 6) AS p, wins, losses, ties FROM size""")
+SELECT difference, round((SELECT mean FROM ordered WHERE r = 251), 6) AS ci_low, round((SELECT mean FROM ordered WHERE r = 9751), 6) AS ci_high,
+  round(((SELECT count(*) FROM flips WHERE abs(f) >= abs(difference)) + 1) / 10001, 6) AS p, wins, losses, ties FROM size""")
 def ev11_bootstrap(spark, sf_dir):
-    return E.paired(_scored(spark, sf_dir), "bm25", "hybrid", "ndcg_10", 2000, 20260910)
+    return E.paired(_scored(spark, sf_dir), "bm25", "hybrid", "ndcg_10", 10000, 20260910)
 
 
 _GATE = ", ".join(f"('{m}', (SELECT {m} FROM a WHERE mode = 'bm25'), (SELECT {m} FROM a WHERE mode = 'hybrid'))" for m in E.HEADLINE)
@@ -505,27 +507,28 @@ def ag10_latest_run_per_mode(spark, sf_dir):
 
 @_query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, median(value) AS middle, list_sort(list(value))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS upper_middle FROM events GROUP BY 1")
 def ag5_medians(spark, sf_dir):
-    upper = F.element_at(F.array_sort(F.collect_list("value")), (F.floor(F.count("*") / 2) + 1).cast("int"))
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.percentile("value", 0.5).alias("middle"), upper.alias("upper_middle"))
+    return E.medians(read(spark, sf_dir, "events"), "event_type", "value")
 
 
 @_query("SELECT user_id, event_type, event_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def stream_upsert_replay(spark, sf_dir):
-    out = replay(spark, f"{sf_dir}/events.parquet", ["user_id", "event_type"], ["ts", "event_id"])
+    files = staging_path(spark, "event-files")
+    read(spark, sf_dir, "events").repartition(4, "event_id").write.parquet(files)  # a micro-batch each
+    out = replay(spark, files, ["user_id", "event_type"], ["ts", "event_id"])
     return out.select("user_id", "event_type", "event_id", "ts", "value")
 
 
 # answers: assistant turns get citation marks and abstentions from their own ids
 
-_ANSWERS = "SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 9 = 0 THEN concat('`INSUFFICIENT`', chr(10), text) ELSE concat(text, ' [', conv_id % 4 + 1, '] [', turn % 7, '] [', conv_id % 4 + 1, ']') END AS answer FROM conversations WHERE role = 'assistant'"
-_CITED = f"SELECT conv_id, turn, [CAST(x AS BIGINT) FOR x IN regexp_extract_all(answer, '\\[(\\d+)\\]', 1)] AS cited, upper(regexp_replace(split_part(trim(answer), chr(10), 1), '^[\\s`*.]+|[\\s`*.]+$', '', 'g')) = 'INSUFFICIENT' AS abstained FROM ({_ANSWERS})"
+_ANSWERS = "SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 9 = 0 THEN concat(' ', chr(10), chr(160), '**`INSUFFICIENT_CONTEXT`.**', chr(10), text) ELSE concat(text, ' [', conv_id % 4 + 1, '] [', turn % 7, '] [', conv_id % 4 + 1, ']') END AS answer FROM conversations WHERE role = 'assistant'"
+_CITED = f"SELECT conv_id, turn, [CAST(x AS BIGINT) FOR x IN regexp_extract_all(answer, '\\[(\\d+)\\]', 1)] AS cited, upper(regexp_replace(regexp_replace(split_part(regexp_replace(answer, '^{T.SPACES}+|{T.SPACES}+$', '', 'g'), chr(10), 1), '^{T.SPACES}+|{T.SPACES}+$', '', 'g'), '^[`*. ]+|[`*. ]+$', '', 'g')) = '{T.ABSTAIN}' AS abstained FROM ({_ANSWERS})"
 
 
 def _answers(spark, sf_dir):
     said = read(spark, sf_dir, "conversations").where("role = 'assistant'")
     mark = lambda c: F.concat(F.lit(" ["), c.cast("string"), F.lit("]"))
     first, second = mark(F.col("conv_id") % 4 + 1), mark(F.col("turn") % 7)
-    answer = F.when((F.col("conv_id") + F.col("turn")) % 9 == 0, F.concat(F.lit("`INSUFFICIENT`\n"), "text")).otherwise(F.concat("text", first, second, first))
+    answer = F.when((F.col("conv_id") + F.col("turn")) % 9 == 0, F.concat(F.lit(" \n\u00a0**`INSUFFICIENT_CONTEXT`.**\n"), "text")).otherwise(F.concat("text", first, second, first))
     out = said.select("conv_id", "turn", answer.alias("answer"))
     return out.select("conv_id", "turn", T.citations(F.col("answer")).alias("cited"), T.abstained(F.col("answer")).alias("abstained"))
 

@@ -2,25 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KS = (1, 5, 10)
+#: Items that one pass over the documents looks for.
+AUTOMATON = 100_000
 METRICS = [f"{m}_{k}" for m in ("recall", "precision", "ndcg") for k in KS] + ["mrr"]
 HEADLINE = ["recall_5", "recall_10", "mrr", "ndcg_10"]
 
 
-def relevant(items: DataFrame, docs: DataFrame, words: int = 4) -> DataFrame:
+def relevant(items: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, doc_id): documents that contain the item's text.
 
-    Candidates share the item's first words as a run of words, an equi-join; the whole
-    text is then looked for in them.
+    One pass over the documents looks for all items at once with an automaton of at most
+    ``AUTOMATON`` items; more of them take more passes. Empty items are in none.
     """
-    asked = items.select("item_id", F.col("text").alias("passage"), F.xxhash64(F.slice(F.split("text", r"\s+"), 1, words)).alias("k"))
-    split = docs.select("doc_id", "text", F.split("text", r"\s+").alias("w"))
-    at = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - words + 1)), lambda i: F.xxhash64(F.slice("w", i, words)))))
-    hits = split.select("doc_id", at.alias("k")).join(asked.select("item_id", "k", "passage"), "k").select("doc_id", "item_id", "passage").distinct()
-    return hits.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id").distinct()
+    items = items.where("text <> ''").select("item_id", "text")
+    passes = max(1, -(-items.count() // AUTOMATON))
+    item_kind, doc_kind = dict(items.dtypes)["item_id"], dict(docs.dtypes)["doc_id"]
+
+    def found(known: list) -> DataFrame:
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            of: dict[str, list] = {}
+            for item, text in known:
+                of.setdefault(text, []).append(item)
+            automaton = ahocorasick.Automaton()
+            for text, ids in of.items():
+                automaton.add_word(text, ids)
+            automaton.make_automaton()
+            for batch in batches:
+                rows = []
+                for doc, text in zip(batch["doc_id"], batch["text"]):
+                    if text and known:
+                        rows.extend((item, doc) for item in {i for _, ids in automaton.iter(text) for i in ids})
+                yield pd.DataFrame(rows, columns=["item_id", "doc_id"])
+
+        return docs.select("doc_id", "text").mapInPandas(search, f"item_id {item_kind}, doc_id {doc_kind}")
+
+    out = None
+    for n in range(passes):
+        known = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == n).collect()]
+        out = found(known) if out is None else out.unionByName(found(known))
+    return out.distinct()
 
 
 def scores(runs: DataFrame, truth: DataFrame) -> DataFrame:
@@ -95,12 +124,19 @@ def gate(before: DataFrame, after: DataFrame, metrics: list[str], tolerance: flo
 
 
 def mode_pairs(scored: DataFrame, metric: str) -> DataFrame:
-    """(pair, difference, wins, losses, ties) of every two modes, right minus left."""
+    """(pair, difference, wins, losses, ties) of every two modes, right minus left.
+
+    Modes that were scored on different items are an error.
+    """
+    sizes = scored.groupBy("mode").agg(F.count("*").alias("n"), F.sum(F.xxhash64("item_id") % (1 << 32)).alias("which"))
+    same = sizes.agg((F.count_distinct("n", "which") <= 1).alias("same"))
     left = scored.select("item_id", F.col("mode").alias("a"), F.col(metric).alias("x"))
     right = scored.select("item_id", F.col("mode").alias("b"), F.col(metric).alias("y"))
     d = F.col("y") - F.col("x")
     out = left.join(right, "item_id").where("a < b").groupBy(F.concat_ws("-", "b", "a").alias("pair"))
-    return out.agg(F.round(F.avg(d), 6).alias("difference"), F.count_if(d > 0).alias("wins"), F.count_if(d < 0).alias("losses"), F.count_if(d == 0).alias("ties"))
+    out = out.agg(F.round(F.avg(d), 6).alias("difference"), F.count_if(d > 0).alias("wins"), F.count_if(d < 0).alias("losses"), F.count_if(d == 0).alias("ties"))
+    checked = F.when(F.col("same"), F.col("pair")).otherwise(F.raise_error(F.lit("modes were scored on different items")))
+    return out.crossJoin(F.broadcast(same)).withColumn("pair", checked).drop("same")
 
 
 def leaders(averaged: DataFrame, metrics: list[str] = HEADLINE) -> DataFrame:
@@ -130,3 +166,18 @@ def violations(golden: DataFrame, classes: list[str], per_class: int, longest: i
     again = golden.groupBy("item_id").count().where("count > 1").select(F.lit("repeated id").alias("rule"), F.col("item_id").cast("string").alias("subject"))
     sizes = golden.where(known).groupBy("class").count().where(F.col("count") != per_class).select(F.lit("class size").alias("rule"), F.col("class").alias("subject"))
     return own.unionByName(again).unionByName(sizes)
+
+
+def medians(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, middle, upper_middle): the interpolated median and the element above the middle.
+
+    Values are counted first; positions are running sums of the counts.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy(by).orderBy(value))
+    n = F.sum("k").over(Window.partitionBy(by))
+    at = counts.select(by, F.col(value).alias("v"), "k", upto.alias("upto"), n.alias("n"))
+    holds = lambda i: (F.col("upto") >= i) & (F.col("upto") - F.col("k") < i)
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    out = at.groupBy(by).agg(F.max("n").alias("n"), F.max(F.when(holds(low), F.col("v"))).alias("low"), F.max(F.when(holds(high), F.col("v"))).alias("high"))
+    return out.select(by, "n", ((F.col("low") + F.col("high")) / 2).alias("middle"), F.col("high").alias("upper_middle"))

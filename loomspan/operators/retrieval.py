@@ -1,21 +1,32 @@
 """Lexical and dense retrieval for a table of queries at once, ranking and fusion.
 
 Queries are (item_id, text), documents (doc_id, text), ranked lists (item_id, doc_id,
-score, rank). Only aggregates of fixed size, one row each, are broadcast.
+score, rank). Blank queries have no hits. What is broadcast is an aggregate of fixed size, or
+counted first, with a shuffled join beyond ``SMALL`` rows. Dense scores are block products:
+packed blocks of rows meet packed blocks of queries in a grid.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.functions.text import terms
+from loomspan.functions.text import SPACES, terms
+from loomspan.sources.staging import staged
 
 K1, B = 1.2, 0.75
 DEPTH, TOP_K, RRF_K = 50, 10, 60
 BUCKETS = 384
+#: Rows of a side that may be broadcast.
+SMALL = 100_000
+#: Rows and queries at most of a cell of the grid, and those that travel as one row.
+CELL_ROWS, CELL_QUERIES, PACKED = 32_768, 16_384, 256
 #: Put before a query, but not before a document, ahead of embedding.
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 
@@ -37,18 +48,35 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return postings(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(item_id, key, score), the sum over a query's distinct terms."""
-    asked = queries.select("item_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    lengths = docs.select(key, F.size(terms(F.col(text))).cast("long").alias("dl"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    # only the postings of asked terms go on to the joins
-    hit = postings(docs, text, key).join(asked.select("term").distinct(), "term")
+def asked_for(queries: DataFrame) -> DataFrame:
+    """The queries that aren't blank."""
+    return queries.where(F.regexp_replace("text", SPACES, "") != "")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+def bm25_scores(queries: DataFrame, docs: DataFrame, text: str = "text", key: str = "doc_id", analyse=terms) -> DataFrame:
+    """(item_id, key, score), the sum over a query's distinct terms.
+
+    Texts are read and analysed once: each leaves its length, by the terms that were asked for
+    and all others together.
+    """
+    asked = asked_for(queries).select("item_id", F.explode(F.array_distinct(analyse(F.col("text")))).alias("term"))
+    asked = staged(asked, "asked-terms")
+    wanted = small(asked.select(F.col("term").alias("known")).distinct())
+    words = docs.select(F.col(key).alias("key"), analyse(F.col(text)).alias("w")).select("key", F.size("w").cast("long").alias("dl"), F.explode_outer("w").alias("word"))
+    found = words.join(wanted, F.col("word") == F.col("known"), "left").groupBy("key", "dl", F.col("known").alias("term")).agg(F.count("word").alias("tf"))
+    found = staged(found, "term-counts")
+    corpus = found.agg(F.count_distinct("key").alias("n"), F.sum("tf").alias("total")).select("n", (F.col("total") / F.col("n")).alias("avgdl"))
+    hit = found.where("term is not null")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    joined = hit.join(df, "term").join(asked, "term").join(lengths, key).crossJoin(F.broadcast(corpus))
+    joined = hit.join(small(asked.join(df, "term")), "term").crossJoin(F.broadcast(corpus))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return joined.groupBy("item_id", key).agg(F.sum(idf * weight).alias("score"))
+    return joined.groupBy("item_id", F.col("key").alias(key)).agg(F.sum(idf * weight).alias("score"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -71,7 +99,7 @@ def hash_embedding(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     A text whose words cancel out, or that has none, points along bucket 0.
     """
-    words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(F.col(text)), SPACES + "+"), lambda w: w != "")
     h = F.sha2("w", 256)
     bucket = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % BUCKETS).alias("bucket")
     sign = F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
@@ -82,11 +110,98 @@ def hash_embedding(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return some.unionByName(none)
 
 
+_places: dict[str, tuple[int, int]] = {}
+
+
+def _place(word: str) -> tuple[int, int]:
+    """A word's bucket and sign."""
+    if word not in _places:
+        if len(_places) > 500_000:
+            _places.clear()
+        h = hashlib.sha256(word.encode("utf-8", "surrogatepass")).hexdigest()
+        _places[word] = (int(h[:8], 16) % BUCKETS, 1 if int(h[8:10], 16) % 2 == 0 else -1)
+    return _places[word]
+
+
+def embedded(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(id, v): the hashed embedding as the bytes of ``BUCKETS`` doubles."""
+
+    @F.pandas_udf("binary")
+    def vector(words: pd.Series) -> pd.Series:
+        out = []
+        for own in words:
+            v = np.zeros(BUCKETS)
+            if len(own):
+                at, sign = zip(*map(_place, own))
+                np.add.at(v, np.array(at), sign)
+            norm = np.sqrt(v @ v)
+            if norm:
+                v /= norm
+            else:
+                v[0] = 1.0
+            out.append(v.tobytes())
+        return pd.Series(out, dtype=object)
+
+    words = F.filter(F.split(F.lower(F.col(text)), SPACES + "+"), lambda w: w != "")
+    return df.select(F.col(key).alias("id"), vector(F.coalesce(words, F.array().cast("array<string>"))).alias("v"))
+
+
+def _packed(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows of up to ``PACKED`` (id, v): no, ids and v as arrays."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), PACKED):
+                part = batch.iloc[i : i + PACKED]
+                yield pd.DataFrame({"ids": [part["id"].tolist()], "v": [part["v"].tolist()]})
+
+    return rows.mapInPandas(pack, f"ids array<{kind}>, v array<binary>")
+
+
+def top_products(queries: DataFrame, rows: DataFrame, depth: int, digits: int = 6, but_own: bool = False) -> DataFrame:
+    """(item_id, doc_id, score): of each query (id, v) the largest products with rows (id, v).
+
+    Blocks of both meet in a grid, whose cells each keep ``depth`` of every query, so that no
+    task holds more than a cell and no pair of rows leaves one unranked.
+    """
+    kinds = [dict(df.dtypes)["id"] for df in (queries, rows)]
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    n = rows.count()
+    down = max(1, -(-n // max(PACKED, min(CELL_ROWS, n // tasks))))
+    across = max(1, -(-queries.count() // CELL_QUERIES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    dealt = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n))
+    left = _packed(rows, kinds[1]).withColumn("down", dealt(down)).withColumn("across", every(across))
+    right = _packed(queries, kinds[0]).withColumn("across", dealt(across)).withColumn("down", every(down))
+
+    def opened(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(part["ids"].tolist()), np.frombuffer(b"".join([v for row in part["v"] for v in row]), np.float64)
+
+    def best(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows) and len(asked):
+            (ids, x), (items, q) = opened(rows), opened(asked)
+            x, q = x.reshape(len(ids), -1), q.reshape(len(items), -1)
+            for i in range(0, len(items), 512):
+                for item, scores in zip(items[i : i + 512], np.round(q[i : i + 512] @ x.T, digits)):
+                    if but_own:
+                        scores[ids == item] = -np.inf
+                    if len(ids) > depth:
+                        pick = np.flatnonzero(scores >= np.partition(scores, -depth)[-depth])
+                    else:
+                        pick = np.arange(len(ids))
+                    pick = pick[np.lexsort((ids[pick], -scores[pick]))][:depth]
+                    pick = pick[scores[pick] > -np.inf]
+                    out.append(pd.DataFrame({"item_id": item, "doc_id": ids[pick], "score": scores[pick]}))
+        return pd.concat(out) if out else pd.DataFrame({"item_id": [], "doc_id": [], "score": []})
+
+    grid = left.groupBy("down", "across").cogroup(right.groupBy("down", "across"))
+    return grid.applyInPandas(best, f"item_id {kinds[0]}, doc_id {kinds[1]}, score double")
+
+
 def dense(queries: DataFrame, docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    asked = queries.select("item_id", F.concat(F.lit(QUERY_PREFIX), "text").alias("text"))
-    q = hash_embedding(asked, "item_id").withColumnRenamed("weight", "w")
-    hit = hash_embedding(docs, "doc_id").join(q, "bucket")
-    return ranked(hit.groupBy("item_id", "doc_id").agg(F.sum(F.col("w") * F.col("weight")).alias("score")), depth)
+    asked = asked_for(queries).select("item_id", F.concat(F.lit(QUERY_PREFIX), "text").alias("text"))
+    return ranked(top_products(embedded(asked, "item_id"), embedded(docs, "doc_id"), depth), depth)
 
 
 def collapsed(chunk_hits: DataFrame, top_k: int) -> DataFrame:
@@ -101,10 +216,16 @@ def collapsed(chunk_hits: DataFrame, top_k: int) -> DataFrame:
 
 
 def fused(runs: dict[str, DataFrame], k: int = RRF_K, top_k: int | None = TOP_K) -> DataFrame:
-    """Reciprocal rank fusion; each run's rank stays as ``<run>_rank``."""
+    """Reciprocal rank fusion; each run's rank stays as ``<run>_rank``.
+
+    ``k`` below 0 is refused, and so are ranks below 1, which would overweight the top.
+    """
+    if k < 0:
+        raise ValueError(f"k must not be negative: {k}")
     every = reduce(DataFrame.unionByName, [df.select("item_id", "doc_id", "rank", F.lit(name).alias("run")) for name, df in runs.items()])
     ranks = [F.min(F.when(F.col("run") == name, F.col("rank"))).alias(f"{name}_rank") for name in runs]
-    merged = every.groupBy("item_id", "doc_id").agg(F.sum(1 / (k + F.col("rank"))).alias("score"), *ranks)
+    share = F.when(F.col("rank") < 1, F.raise_error(F.lit("ranks begin at 1"))).otherwise(1 / (k + F.col("rank")))
+    merged = every.groupBy("item_id", "doc_id").agg(F.sum(share).alias("score"), *ranks)
     return ranked(merged, top_k or 1 << 30, digits=9)
 
 
@@ -117,12 +238,15 @@ def hydrated(hits: DataFrame, docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def knn(vectors: DataFrame, every: int, k: int) -> DataFrame:
     """Exact cosine neighbours of each ``every``-th vector: (query_id, vec_id, similarity, rank)."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    rows = vectors.where("embedding is not null").select("vec_id", "embedding", F.sqrt(dot("embedding", "embedding")).alias("norm"))
-    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("norm").alias("q_norm"))
-    pairs = rows.join(asked, F.col("vec_id") != F.col("query_id"))  # a stated query set against all rows
-    scored = pairs.select("query_id", F.col("vec_id").alias("doc_id"), (dot("embedding", "q") / (F.col("norm") * F.col("q_norm"))).alias("score"))
-    return ranked(scored, k, "query_id").select("query_id", F.col("doc_id").alias("vec_id"), F.col("score").alias("similarity"), "rank")
+
+    @F.pandas_udf("binary")
+    def unit(vectors: pd.Series) -> pd.Series:
+        x = vectors.map(lambda v: np.asarray(v, np.float64))
+        return x.map(lambda v: (v / np.sqrt(v @ v)).tobytes())
+
+    rows = vectors.where("embedding is not null").select(F.col("vec_id").alias("id"), unit("embedding").alias("v"))
+    scored = top_products(rows.where(F.col("id") % every == 0), rows, k, but_own=True)
+    return ranked(scored, k).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("vec_id"), F.col("score").alias("similarity"), "rank")
 
 
 def hybrid(runs: dict[str, DataFrame | None], k: int = RRF_K, top_k: int | None = TOP_K) -> DataFrame:

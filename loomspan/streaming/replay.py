@@ -1,18 +1,19 @@
 """Incremental upserts from a stream of events, by micro-batch.
 
 Late events must apply, so no watermark drops them: each micro-batch is merged into a
-versioned snapshot, and the snapshot of the last batch is the result. A batch that is
+versioned snapshot, whose newest parts are the result. A batch that is
 replayed writes the same version again.
 """
 
 from __future__ import annotations
 
 import posixpath
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.sources.staging import staging_path
+
 
 def latest(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of each key the last event in ``order``."""
@@ -20,23 +21,28 @@ def latest(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return events.groupBy(*keys).agg(last.alias("x")).select(*keys, "x.*")
 
 
-def replay(spark: SparkSession, path: str, keys: list[str], order: list[str], files_a_batch: int = 1) -> DataFrame:
+def replay(spark: SparkSession, path: str, keys: list[str], order: list[str], files_a_batch: int = 1, parts: int = 64) -> DataFrame:
     """The latest event of each key after a full replay of the files at ``path``.
 
-    The path is read as a pattern, so that a single file will do as well as a folder.
+    The path is read as a pattern, so that a single file will do as well as a folder. The
+    snapshot lies in ``parts`` by the hash of the key, and a batch rewrites those that it
+    touches.
     """
     schema = spark.read.parquet(path).schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    base = posixpath.join(base, f"replay-{uuid.uuid4().hex}")
-    versions: list[str] = []
+    base = staging_path(spark, "replay")
+    current: dict[int, str] = {}
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
 
     def merge(batch: DataFrame, number: int) -> None:
-        known = batch.sparkSession.read.parquet(versions[-1]).unionByName(batch) if versions else batch
+        touched = [r.part for r in batch.select(part.alias("part")).distinct().collect()]  # ``parts`` at most
+        known = [current[p] for p in touched if p in current]
+        new = batch.sparkSession.read.schema(schema).parquet(*known).unionByName(batch) if known else batch
         target = posixpath.join(base, f"version={number}")
-        latest(known, keys, order).write.mode("overwrite").parquet(target)
-        versions.append(target)
+        latest(new, keys, order).withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(target)
+        current.update({p: posixpath.join(target, f"part={p}") for p in touched})
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(f"{path}*")
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", posixpath.join(base, "offsets")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(versions[-1]) if versions else spark.createDataFrame([], latest(spark.read.parquet(path), keys, order).schema)
+    last = latest(spark.createDataFrame([], schema), keys, order).schema
+    return spark.read.schema(last).parquet(*current.values()) if current else spark.createDataFrame([], last)
