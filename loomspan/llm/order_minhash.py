@@ -223,7 +223,8 @@ def _root(joined: dict[int, int], x: int) -> int:
 def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, parts: DataFrame) -> DataFrame:
     """(a, b): links that join all components which a link within a bucket joins."""
     apart = table(_apart(members, parts)[1], "open-buckets")
-    ids = members.join(apart, "bucket", "left_semi").select("id").distinct()
+    open_ = table(members.join(apart, "bucket", "left_semi").select("id", "bucket", "j"), "open-members")
+    ids = table(open_.select("id").distinct(), "open-ids")
 
     @F.pandas_udf("binary")
     def hashed(text: pd.Series) -> pd.Series:
@@ -232,8 +233,7 @@ def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, parts: Dat
     words = texts.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").select("id", hashed("text").alias("words"))
     words = table(words, "open-words")
     rows = classes.join(ids, "id", "left_semi").join(parts, "id", "left")
-    rows = rows.select("id", F.coalesce("component_id", "id").alias("part"), "n", "s", "counts", F.posexplode("s").alias("j", "value"))
-    rows = rows.withColumn("bucket", F.xxhash64("j", "value")).drop("value").join(apart, "bucket", "left_semi")
+    rows = rows.select("id", F.coalesce("component_id", "id").alias("part"), "n", "s", "counts").join(open_, "id")
     # texts of a pair are in the same step of lengths or in neighbouring ones
     rows = rows.withColumn("step", F.floor(F.log("n") / float(np.log(1 / SIMILARITY))))
     sizes = rows.groupBy("bucket", "j", "step").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_WORDS)).alias("blocks"))
@@ -316,7 +316,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # 15 bits of each sketch tell how many agree; the bucket is the whole sketch
     marks = F.transform("s", lambda x: x.bitwiseAND(F.lit(0x7FFF)).cast("short"))
     members = classes.select("id", marks.alias("marks"), F.posexplode("s").alias("j", "value"))
-    members = members.select("id", "marks", F.xxhash64("j", "value").alias("bucket"))
+    members = members.select("id", "marks", "j", F.xxhash64("j", "value").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = table(members.join(shared, "bucket"), "shared-buckets")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
