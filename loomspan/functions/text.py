@@ -109,3 +109,18 @@ def versioned(name: Column) -> Column:
         F.when(version == "", name).otherwise(F.regexp_extract(name, "^(.+)v[0-9]+$", 1)).alias("base"),
         F.when(version == "", F.lit(1)).otherwise(version.try_cast("long")).cast("long").alias("version"),
     )
+
+
+def timestamp_of(value: Column) -> Column:
+    """An ISO 8601 time; without zone it is UTC, and anything else is null."""
+    iso = value.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}:\d{2})?$")
+    zoned = F.when(value.rlike("(Z|[+-]\\d{2}:\\d{2})$") & value.contains(":"), value).otherwise(F.concat(value, F.lit("Z")))
+    dated = F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(value, F.lit("T00:00:00Z"))).otherwise(zoned)
+    return F.when(iso, F.try_to_timestamp(dated))
+
+
+def byline(authors: Column, shown: int = 3) -> Column:
+    """The first authors, and how many more there are."""
+    n = F.size(authors)
+    first = F.array_join(F.slice(authors, 1, shown), ", ")
+    return F.when(n == 0, "Unknown authors").when(n > shown, F.concat(first, F.lit(" +"), (n - shown).cast("string"))).otherwise(first)

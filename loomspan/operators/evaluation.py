@@ -116,6 +116,57 @@ def paired(scored: DataFrame, a: str, b: str, metric: str, n: int, seed: int) ->
     return size.crossJoin(interval).crossJoin(p).select("difference", F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"), F.round("p", 6).alias("p"), *[F.col(c).cast("long").alias(c) for c in ("wins", "losses", "ties")])
 
 
+def comparisons(scored: DataFrame, pairs: list[tuple[str, str]], metric: str, n: int, seed: int) -> DataFrame:
+    """(a, b, n, mean_a, mean_b and what ``paired`` has, significant) of pairs of modes.
+
+    ``significant``: the interval excludes 0.
+    """
+    out = None
+    for a, b in pairs:
+        of = lambda mode: F.round(F.avg(F.when(F.col("mode") == mode, F.col(metric))), 6)
+        means = scored.agg(F.count_if(F.col("mode") == a).alias("n"), of(a).alias("mean_a"), of(b).alias("mean_b"))
+        row = paired(scored, a, b, metric, n, seed).crossJoin(F.broadcast(means)).withColumn("a", F.lit(a)).withColumn("b", F.lit(b))
+        out = row if out is None else out.unionByName(row)
+    return out.withColumn("significant", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
+
+
+def provenance_gate(before: DataFrame, after: DataFrame, keys: list[str], metrics: list[str], tolerance: float = 0.02) -> DataFrame:
+    """(subject, before, after, failed) of two rows of provenance keys and metrics.
+
+    A key that changed fails, and so does a metric that is missing or dropped by more than
+    the tolerance.
+    """
+    every = keys + metrics
+    tall = lambda df, name: df.select(*[F.col(c).cast("double") for c in every]).unpivot([], every, "subject", name)
+    out = tall(before, "before").join(tall(after, "after"), "subject", "full")
+    changed = ~F.col("before").eqNullSafe(F.col("after"))
+    dropped = F.coalesce(F.col("after") < F.col("before") - tolerance, F.lit(True))
+    return out.select("subject", "before", "after", F.when(F.col("subject").isin(keys), changed).otherwise(dropped).alias("failed"))
+
+
+def label_violations(golden: DataFrame, pattern: str) -> DataFrame:
+    """(rule, subject) of queries (item_id, class, labels) whose labels break a rule."""
+    labels = F.coalesce("labels", F.array().cast("array<string>"))
+    none = F.size(labels) == 0
+    unanswerable = F.col("class") == "unanswerable"
+    broken = F.array_compact(
+        F.array(
+            F.when(F.size(F.array_distinct(labels)) < F.size(labels), "repeated label"),
+            F.when(unanswerable & ~none, "label of an unanswerable query"),
+            F.when(~unanswerable & none, "no label"),
+            F.when(F.exists(labels, lambda x: ~F.coalesce(x.rlike(pattern), F.lit(False))), "malformed label"),
+        )
+    )
+    return golden.select(F.explode(broken).alias("rule"), F.col("item_id").cast("string").alias("subject"))
+
+
+def broken_runs(run: DataFrame, truth: DataFrame) -> DataFrame:
+    """(rule, item_id) of a ranked run (item_id, doc_id) that metrics can't be computed for."""
+    twice = run.groupBy("item_id", "doc_id").count().where("count > 1").select(F.lit("repeated hit").alias("rule"), "item_id").distinct()
+    unlabelled = run.select("item_id").distinct().join(truth, "item_id", "left_anti").select(F.lit("nothing relevant").alias("rule"), "item_id")
+    return twice.unionByName(unlabelled)
+
+
 def gate(before: DataFrame, after: DataFrame, metrics: list[str], tolerance: float = 0.02) -> DataFrame:
     """(metric, before, after, failed) of two rows of averages; a missing value fails."""
     tall = lambda df, name: df.unpivot([], metrics, "metric", name)

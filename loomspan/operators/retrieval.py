@@ -83,10 +83,10 @@ def bm25(queries: DataFrame, docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     return ranked(bm25_scores(queries, docs), depth)
 
 
-def bm25_best_fields(queries: DataFrame, fields: dict[str, tuple[DataFrame, float]], depth: int = DEPTH) -> DataFrame:
+def bm25_best_fields(queries: DataFrame, fields: dict[str, tuple[DataFrame, float]], depth: int = DEPTH, analyse=terms) -> DataFrame:
     """The best field's boosted score, with its name; equal scores name the first."""
     scored = [
-        bm25_scores(queries, docs).select("item_id", "doc_id", (F.col("score") * boost).alias("score"), F.lit(name).alias("field"))
+        bm25_scores(queries, docs, analyse=analyse).select("item_id", "doc_id", (F.col("score") * boost).alias("score"), F.lit(name).alias("field"))
         for name, (docs, boost) in fields.items()
     ]
     every = reduce(DataFrame.unionByName, scored)
@@ -216,14 +216,16 @@ def collapsed(chunk_hits: DataFrame, top_k: int) -> DataFrame:
 
 
 def fused(runs: dict[str, DataFrame], k: int = RRF_K, top_k: int | None = TOP_K) -> DataFrame:
-    """Reciprocal rank fusion; each run's rank stays as ``<run>_rank``.
+    """Reciprocal rank fusion; of each run rank, score and contribution stay, as ``<run>_rank`` etc.
 
     ``k`` below 0 is refused, and so are ranks below 1, which would overweight the top.
     """
     if k < 0:
         raise ValueError(f"k must not be negative: {k}")
-    every = reduce(DataFrame.unionByName, [df.select("item_id", "doc_id", "rank", F.lit(name).alias("run")) for name, df in runs.items()])
-    ranks = [F.min(F.when(F.col("run") == name, F.col("rank"))).alias(f"{name}_rank") for name in runs]
+    every = reduce(DataFrame.unionByName, [df.select("item_id", "doc_id", "rank", F.col("score") if "score" in df.columns else F.lit(None).cast("double").alias("score"), F.lit(name).alias("run")) for name, df in runs.items()])
+    of = lambda name, c: F.min(F.when(F.col("run") == name, c))
+    ranks = [of(name, F.col(c)).alias(f"{name}_{c}") for name in runs for c in ("rank", "score")]
+    ranks += [of(name, 1 / (k + F.col("rank"))).alias(f"{name}_contribution") for name in runs]
     share = F.when(F.col("rank") < 1, F.raise_error(F.lit("ranks begin at 1"))).otherwise(1 / (k + F.col("rank")))
     merged = every.groupBy("item_id", "doc_id").agg(F.sum(share).alias("score"), *ranks)
     return ranked(merged, top_k or 1 << 30, digits=9)
@@ -249,12 +251,19 @@ def knn(vectors: DataFrame, every: int, k: int) -> DataFrame:
     return ranked(scored, k).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("vec_id"), F.col("score").alias("similarity"), "rank")
 
 
-def hybrid(runs: dict[str, DataFrame | None], k: int = RRF_K, top_k: int | None = TOP_K) -> DataFrame:
-    """Fusion of the runs that there are; ``degraded`` marks rows where one is missing (None)."""
+def hybrid(runs: dict[str, DataFrame | None], k: int = RRF_K, top_k: int | None = TOP_K, tolerate_failure: bool = True) -> DataFrame:
+    """Fusion of the runs that there are; ``failed`` names those that are missing (None).
+
+    ``degraded`` tells whether any is. Without a run, or with one missing if that isn't
+    tolerated, there is no result but an error.
+    """
     present = {name: df for name, df in runs.items() if df is not None}
+    failed = [name for name in runs if name not in present]
     if not present:
         raise ValueError("no run to fuse")
-    return fused(present, k, top_k).withColumn("degraded", F.lit(len(present) < len(runs)))
+    if failed and not tolerate_failure:
+        raise ValueError(f"failed: {', '.join(failed)}")
+    return fused(present, k, top_k).withColumn("degraded", F.lit(bool(failed))).withColumn("failed", F.lit(",".join(failed)))
 
 
 def passages(hits: DataFrame, docs: DataFrame, n: int = 5, chars: int = 2000) -> DataFrame:
@@ -269,3 +278,28 @@ def prompts(numbered: DataFrame, queries: DataFrame) -> DataFrame:
     lines = F.array_sort(F.collect_list(F.struct("number", line.alias("line"))))
     body = numbered.groupBy("item_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n\n").alias("body"))
     return body.join(queries, "item_id").select("item_id", F.concat("body", F.lit("\n\nQuestion: "), "text").alias("prompt"))
+
+
+MODES, LONGEST_QUERY, MOST_RESULTS = ("bm25", "dense", "hybrid"), 512, 50
+
+
+def requests(asked: DataFrame) -> DataFrame:
+    """Requests (query, mode, top_k) with defaults filled in, and ``error``: the first rule they break."""
+    error = (
+        F.when(F.coalesce(F.regexp_replace("query", SPACES, ""), F.lit("")) == "", "blank query")
+        .when(F.char_length("query") > LONGEST_QUERY, "long query")
+        .when(~F.col("mode").isin(*MODES), "unknown mode")
+        .when(~F.col("top_k").between(1, MOST_RESULTS), "top_k")
+    )
+    return asked.withColumn("error", error).withColumn("mode", F.coalesce("mode", F.lit("hybrid"))).withColumn("top_k", F.coalesce("top_k", F.lit(TOP_K)))
+
+
+def envelopes(queries: DataFrame, hits: DataFrame, docs: DataFrame, mode: str, top_k: int) -> DataFrame:
+    """One answer a query: its settings, the number of hits that have a document, and their ids."""
+    found = hydrated(hits, docs, [])
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"])
+    lists = found.groupBy("item_id").agg(F.count("*").alias("n"), F.array_join(ids, ",").alias("ids"))
+    failed = hits.agg(F.coalesce(F.max("failed"), F.lit("")).alias("failed"))
+    out = queries.select("item_id").join(lists, "item_id", "left").crossJoin(F.broadcast(failed))  # one row
+    settings = {"mode": F.lit(mode), "top_k": F.lit(top_k), "rrf_k": F.lit(RRF_K), "fusion_depth": F.lit(DEPTH)}
+    return out.withColumns(settings | {"n": F.coalesce("n", F.lit(0)).cast("long"), "ids": F.coalesce("ids", F.lit(""))})
