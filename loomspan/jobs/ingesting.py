@@ -91,7 +91,7 @@ def snk9_run_ledger(spark, sf_dir):
     return I.ledger(_run_events(spark, sf_dir))
 
 
-@registered(f"WITH e AS ({_RUN_EVENTS}), r AS (SELECT run, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS categories, min(at) AS started, count(error) AS failed, max(at_) AS last FROM e GROUP BY 1) SELECT categories, first(last ORDER BY started DESC, run DESC) AS watermark FROM r WHERE failed = 0 GROUP BY 1")
+@registered(f"WITH e AS ({_RUN_EVENTS}), r AS (SELECT run, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS categories, min(at_) AS started, count(error) AS failed, max(at_) AS last FROM e GROUP BY 1) SELECT categories, first(last ORDER BY started DESC, run DESC) AS watermark FROM r WHERE failed = 0 GROUP BY 1")
 def ag9_category_watermarks(spark, sf_dir):
     events = _run_events(spark, sf_dir)
     sets = events.groupBy("run").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("categories"), F.min("at").alias("started"))
