@@ -36,9 +36,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Edges of words that one worker remembers (a reset before a group of texts), and
 #: characters of texts that are searched together.
-CACHE_EDGES, GROUP_CHARS = 3_000_000, 1_000_000
-#: A backward sum below this is made 1, and the sums that it is compared with follow.
-SMALL = 1e-100
+CACHE_EDGES, GROUP_CHARS = 6_000_000, 1_000_000
 #: The weight of a piece of a merge-ordered vocabulary is (rank + 2) to the minus this.
 RANK_POWER = 1.0
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -91,23 +89,33 @@ class Lattice:
         mixed = regex.compile(rf"{SPACE}*(\p{{L}}+|[^\p{{L}}{SPACE}]*)")
         apart = all(mixed.fullmatch(p) for p in self._pieces)
         self._cut = regex.compile(rf"{SPACE}*\p{{L}}+|{SPACE}*[^\p{{L}}{SPACE}]+|{SPACE}+" if apart else rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self._longest = max(map(len, self._pieces))
         self._bytes = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self._byte_weight = min(w for _, w in self._pieces.values()) / math.e
-        # an empty entry for what only begins a piece, so that a search ends early
-        for piece in list(self._pieces):
-            for q in range(1, len(piece)):
-                self._pieces.setdefault(piece[:q], ())
+        self._trie()
         self._reset()
 
+    def _trie(self) -> None:
+        """States of a trie over the pieces: sorted keys of (state, character), the state
+        that each leads to, and of every state its piece (-1 for none) and weight."""
+        states, keys, ids, weights = {"": 0}, [], [-1], [0.0]
+        for piece, (i, weight) in self._pieces.items():
+            for q in range(1, len(piece) + 1):
+                if piece[:q] not in states:
+                    states[piece[:q]] = len(states)
+                    keys.append(((states[piece[: q - 1]] << 21) + ord(piece[q - 1]), states[piece[:q]]))
+                    ids.append(-1)
+                    weights.append(0.0)
+            ids[states[piece]], weights[states[piece]] = i, weight
+        keys.sort()
+        self._keys, self._to = (np.array(x, np.int64) for x in zip(*keys))
+        self._id_of, self._weight_of = np.array(ids), np.array(weights)
+
     def _reset(self) -> None:
         self._words: dict[str, int] = {}
         self._several: list[tuple[int, ...]] = []
-        self._first, self._next, self._piece = _Growing(np.int64), _Growing(np.int64), _Growing(np.int64)
-        self._share, self._upto = _Growing(np.float64), _Growing(np.float64)
+        self._first, self._next, self._piece = _Growing(np.int32), _Growing(np.int32), _Growing(np.int32)
+        self._share, self._log, self._upto = _Growing(np.float64), _Growing(np.float64), _Growing(np.float64)
         self._first.extend([0])
-        self._n_nodes = 0
-        self._new_sizes, self._new_share, self._new_next, self._new_piece = [], [], [], []
 
     def encode(self, text: str | None) -> list[int]:
         return self.model.encode(text or "")
@@ -115,64 +123,76 @@ class Lattice:
     def decode(self, ids: list[int]) -> str:
         return self.model.decode(ids)
 
-    def roots(self, text: str | None) -> np.ndarray:
-        """The first node of each word's lattice, for the model's normal form of the text."""
-        normal, found = self.model.normalize(text or ""), self._words
-        words = self._cut.findall(normal)
-        try:
-            return np.fromiter(map(found.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            for w in set(words):
-                if w not in found:
-                    found[w] = self._add(w)
-            self._flush()
-            return np.fromiter(map(found.__getitem__, words), np.int64, len(words))
-
-    def _add(self, word: str) -> int:
-        """Adds the word's lattice; edges of a node stand in falling order of probability."""
-        n, find, longest = len(word), self._pieces.get, self._longest
-        below = [1.0] * (n + 1)
-        nodes: list = [None] * n
-        base = self._n_nodes
-        self._n_nodes += n
-        for p in range(n - 1, -1, -1):
-            edges = []
-            for q in range(p + 1, min(n, p + longest) + 1):
-                hit = find(word[p:q])
-                if hit is None:
-                    break
-                if hit:
-                    edges.append((hit[1] * below[q], q, hit[0]))
-            if not edges or edges[0][1] != p + 1:  # a character without a piece
-                raw = word[p].encode("utf-8", "surrogatepass")
-                self._several.append(tuple([self._bytes[b] for b in raw]))
-                edges.append((self._byte_weight ** len(raw) * below[p + 1], p + 1, -len(self._several)))
-            total = below[p] = sum([e[0] for e in edges])
-            edges.sort(reverse=True)
-            nodes[p] = (total, edges)
-            if total < SMALL:
-                for q in range(p, min(n, p + longest) + 1):
-                    below[q] = min(below[q] / total, 1 / SMALL**2)
-        for total, edges in nodes:
-            self._new_sizes.append(len(edges))
-            for weight, end, piece in edges:
-                self._new_share.append(weight / total)
-                self._new_next.append(base + end if end < n else -1)
-                self._new_piece.append(piece)
-        return base
-
-    def _flush(self) -> None:
-        """Puts the edges of new words into the arrays."""
-        sizes, share = np.array(self._new_sizes), np.array(self._new_share)
+    def roots(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Of each text the first node of each word's lattice, for the model's normal form of it."""
+        cut, found = self._cut.findall, self._words
+        words = [cut(self.model.normalize(t)) if t else [] for t in texts]
+        new = dict.fromkeys([w for own in words for w in own if w not in found])
+        if new:
+            self._add(list(new))
+        return [np.fromiter(map(found.__getitem__, own), np.int64, len(own)) for own in words]
+
+    def _add(self, words: list[str]) -> None:
+        """Adds the lattices of new words; edges of a node stand in falling order of probability."""
+        sizes = np.array([len(w) for w in words])
+        text = "".join(words)
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        n = len(chars)
         ends = np.cumsum(sizes)
+        end = np.repeat(ends, sizes)
+        # every piece that begins at every position, by a walk of all positions through the trie
+        at, state, step, found = np.arange(n), np.zeros(n, np.int64), 0, []
+        while len(at):
+            key = (state << 21) + chars[at + step]
+            hit = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+            good = self._keys[hit] == key
+            at, state, step = at[good], self._to[hit[good]], step + 1
+            whole = self._id_of[state] >= 0
+            found.append((at[whole], np.full(whole.sum(), step), state[whole]))
+            on = at + step < end[at]
+            at, state = at[on], state[on]
+        begin, length, state = (np.concatenate(x) for x in zip(*found))
+        piece, weight = self._id_of[state], self._weight_of[state]
+        # characters without a piece
+        bare = np.setdiff1d(np.arange(n), begin[length == 1])
+        if len(bare):
+            raw = [text[i].encode("utf-8", "surrogatepass") for i in bare.tolist()]
+            k = len(self._several)
+            self._several.extend([tuple([self._bytes[b] for b in r]) for r in raw])
+            begin, length = np.concatenate([begin, bare]), np.concatenate([length, np.ones(len(bare), np.int64)])
+            piece = np.concatenate([piece, -k - 1 - np.arange(len(bare))])
+            weight = np.concatenate([weight, [self._byte_weight ** len(r) for r in raw]])
+        # log-sums of what lies below, from the ends of words backwards, all words at once
+        log, below = np.log(weight), np.zeros(n + 1)
+        left = end[begin] - begin
+        order = np.lexsort((begin, left))
+        begin, length, piece, log, left = begin[order], length[order], piece[order], log[order], left[order]
+        down = np.empty(len(begin))
+        cuts = np.searchsorted(left, np.arange(1, left.max() + 2))
+        for a, b in zip(cuts, cuts[1:]):
+            to = begin[a:b] + length[a:b]
+            own = log[a:b] + np.where(to < end[begin[a:b]], below[to], 0.0)
+            first = np.flatnonzero(np.diff(begin[a:b], prepend=-1))
+            most = np.maximum.reduceat(own, first)
+            wide = np.diff(np.append(first, b - a))
+            total = most + np.log(np.add.reduceat(np.exp(own - np.repeat(most, wide)), first))
+            below[begin[a:b][first]] = total
+            down[a:b] = own - np.repeat(total, wide)
+        share = np.maximum(np.exp(down), 1e-300)
+        order = np.lexsort((-share, begin))
+        begin, length, piece, share = begin[order], length[order], piece[order], share[order]
+        base = self._first.size - 1
+        upto = np.cumsum(np.bincount(begin, minlength=n))
         sums = np.concatenate([[0.0], np.cumsum(share)])
-        node = np.repeat(np.arange(self._first.size - 1, self._first.size - 1 + len(sizes)), sizes)
-        self._upto.extend(node + np.minimum(sums[1:] - np.repeat(sums[ends - sizes], sizes), 1.0))
-        self._first.extend(self._next.size + ends)
-        self._share.extend(np.maximum(share, 1e-300))
-        self._next.extend(self._new_next)
-        self._piece.extend(self._new_piece)
-        self._new_sizes, self._new_share, self._new_next, self._new_piece = [], [], [], []
+        before = sums[np.concatenate([[0], upto[:-1]])]
+        to = begin + length
+        self._upto.extend(base + begin + np.minimum(sums[1:] - before[begin], 1.0))
+        self._first.extend(self._next.size + upto)
+        self._share.extend(share)
+        self._log.extend(np.log(share))  # 0 where there is no choice
+        self._next.extend(np.where(to < end[begin], base + to, -1))
+        self._piece.extend(piece)
+        self._words.update(zip(words, (base + ends - sizes).tolist()))
 
     def make_room(self) -> None:
         if self._next.size > CACHE_EDGES:
@@ -213,7 +233,13 @@ def _down(lat: Lattice, node: np.ndarray, slot: np.ndarray, seed: np.ndarray) ->
         if len(several):
             n = node[several]
             u = _uniform(seed[several], slot[several] * 65536 + step)
-            edge[several] = np.minimum(np.searchsorted(upto, n + u, side="right"), first[n + 1] - 1)
+            # edges stand in falling order of probability, so that few steps find most
+            target, here, last = n + u, edge[several], first[n + 1] - 1
+            beyond = np.flatnonzero((upto[here] <= target) & (here < last))
+            while len(beyond):
+                here[beyond] += 1
+                beyond = beyond[(upto[here[beyond]] <= target[beyond]) & (here[beyond] < last[beyond])]
+            edge[several] = here
         out.append((walk, node, edge))
         to = following[edge]
         on = np.flatnonzero(to >= 0)
@@ -228,8 +254,7 @@ def _down(lat: Lattice, node: np.ndarray, slot: np.ndarray, seed: np.ndarray) ->
 @np.errstate(divide="ignore")
 def sample(lat: Lattice, texts: list[np.ndarray], seeds: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Of each text (roots of its words) up to ``k`` distinct (edges, log-probability, perturbed value, inclusion score)."""
-    first, share = lat._first.array, lat._share.array
-    following = lat._next.array
+    first, share, log_share, following = lat._first.array, lat._share.array, lat._log.array, lat._next.array
     m = len(texts)
     seeds = np.array(seeds, np.uint64)
     start = -np.log(-np.log(_uniform(seeds, np.zeros(m, np.int64))))
@@ -244,7 +269,7 @@ def sample(lat: Lattice, texts: list[np.ndarray], seeds: list[int], k: int) -> l
         value, mass, prefix = np.zeros(m), np.zeros(m), np.zeros(m)
         before: dict[int, tuple] = {}
         roots, slots, owners = [], [], []  # walks: word lattices, or what is left of one
-        special: list[tuple] = []  # text, node, edge, log-share of what was open, log-share, others open, slot
+        special: list[tuple] = []  # text, node, edge, log-share of what was open, log-share, slot, edges shut
         own = seeds + np.uint64((round_ + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
         turn = _uniform(own, np.full(m, 1 << 50)).tolist()
         for t in live:
@@ -270,7 +295,7 @@ def sample(lat: Lattice, texts: list[np.ndarray], seeds: list[int], k: int) -> l
                     pick = i
                     break
             e = open_[pick]
-            special.append((t, node, e, math.log(shares[pick] / total) if len(open_) > 1 else 0.0, math.log(shares[pick]), len(open_) > 1, w, (*shut, e)))
+            special.append((t, node, e, math.log(shares[pick] / total) if len(open_) > 1 else 0.0, math.log(shares[pick]), w, (*shut, e)))
             to = int(following[e])
             rest = np.arange(w + 1, len(words))
             roots.append(np.concatenate([[to], words[w + 1 :]]) if to >= 0 else words[w + 1 :])
@@ -278,30 +303,29 @@ def sample(lat: Lattice, texts: list[np.ndarray], seeds: list[int], k: int) -> l
             owners.append(np.full(len(slots[-1]), t))
         root, slot, owner = (np.concatenate(x) for x in (roots, slots, owners))
         walk, node, edge = _down(lat, root, slot, own[owner])
-        log = np.log(share[edge])
-        several = first[node + 1] - first[node] > 1
+        log = logq = log_share[edge]
         text, of, shut_of = owner[walk], slot[walk], {}
-        logq = np.where(several, log, 0.0)
         if special:
-            t0, n0, e0, q0, p0, s0, w0, shuts = zip(*special)
+            t0, n0, e0, q0, p0, w0, shuts = zip(*special)
             text, node, edge = np.concatenate([t0, text]), np.concatenate([n0, node]), np.concatenate([e0, edge])
             logq, log, of = np.concatenate([q0, logq]), np.concatenate([p0, log]), np.concatenate([w0, of])
-            several = np.concatenate([np.array(s0, bool), several])
             order = np.argsort(text, kind="stable")  # a text's special step comes first
-            text, node, edge, logq, log, of, several = (x[order] for x in (text, node, edge, logq, log, of, several))
+            text, node, edge, logq, log, of = (x[order] for x in (text, node, edge, logq, log, of))
             shut_of = dict(zip(t0, shuts))
         size = np.bincount(text, minlength=m)
         end = np.cumsum(size)
         begin = end - size
         sums = lambda x, base: (c := np.concatenate([[0.0], np.cumsum(x)]))[1:] - c[begin][text] + base[text]
         path, logs = sums(logq, mass), sums(log, prefix)
-        pick = np.flatnonzero(several)
-        rest = path[pick] - logq[pick] + np.log1p(-np.minimum(np.exp(logq[pick]), 1.0))
-        noise = -np.log(_uniform(own[text[pick]], (pick - begin[text[pick]]) + (1 << 51)))
+        pick = np.flatnonzero(logq < 0)
+        whose, q = text[pick], logq[pick]
+        rest = path[pick] - q + np.log(-np.expm1(q))
+        noise = -np.log(_uniform(own[whose], (pick - begin[whose]) + (1 << 51)))
         # Gumbels of what was left aside, truncated at this path's value
-        left = -np.logaddexp(-value[text[pick]], np.log(noise) - rest)
-        good = np.flatnonzero(rest > -np.inf)
-        order = good[np.lexsort((-left[good], text[pick[good]]))]
+        left, deep = np.empty(len(pick)), (rest < -600) | (value[whose] < -600)
+        left[~deep] = -np.log(np.exp(-value[whose[~deep]]) + noise[~deep] * np.exp(-rest[~deep]))
+        left[deep] = -np.logaddexp(-value[whose[deep]], np.log(noise[deep]) - rest[deep])
+        order = np.lexsort((-left, whose))
         of_text = text[pick[order]]
         place = np.arange(len(order)) - np.searchsorted(of_text, of_text)
         need = k - round_
@@ -354,8 +378,7 @@ def sample_segmentations(df: DataFrame, keys: list[str], text_col: str, model: s
         lat = lattice(model)
         for own, texts in groups(batches):
             lat.make_room()
-            roots = [lat.roots(t) for t in texts]
-            drawn = sample(lat, roots, [key_seed(x, seed) for x in own], k)
+            drawn = sample(lat, lat.roots(texts), [key_seed(x, seed) for x in own], k)
             rows = [(key, n, lat.ids(e), log, value, score) for key, of in zip(own, drawn) for n, (e, log, value, score) in enumerate(of, 1)]
             key, n, ids, log, value, score = zip(*rows)
             yield pa.RecordBatch.from_arrays(

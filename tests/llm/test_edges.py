@@ -371,7 +371,7 @@ def test_sampled_pieces(spark, docs, none):
 
 def test_gumbel_top_k_has_the_right_distribution():
     lat = sampled_pieces.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
-    roots, every = lat.roots("ab cé ☃"), [((), 0.0)]
+    (roots,), every = lat.roots(["ab cé ☃"]), [((), 0.0)]
     first, share, following = lat._first.array, lat._share.array, lat._next.array
 
     def below(node):
@@ -400,7 +400,7 @@ def test_gumbel_top_k_has_the_right_distribution():
     whole = sampled_pieces.sample(lat, [roots], [0], len(logs) + 9)[0]
     assert len(whole) == len(logs) and {d[3] for d in whole} == {1.0}
     # numbers of a row don't depend on its neighbours
-    pair = sampled_pieces.sample(lat, [lat.roots("x y"), roots], [1, 2], 2)
+    pair = sampled_pieces.sample(lat, [*lat.roots(["x y"]), roots], [1, 2], 2)
     assert pair[1][0][2] == sampled_pieces.sample(lat, [roots], [2], 2)[0][0][2]
 
 
