@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder's URI below ``spark.checkpoint.dir``.
 
-    Where the session has no such setting (tests, a laptop) a temporary folder takes
-    its place; a cluster must set it to storage that driver and executors share.
+    Where a session in local mode has no such setting (tests, a laptop) a temporary folder
+    takes its place; a cluster must set it to storage that driver and executors share.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to storage that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loomspan-")
         spark.conf.set("spark.checkpoint.dir", base)
     return posixpath.join(base, f"{purpose}-{uuid.uuid4().hex}")

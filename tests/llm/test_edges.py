@@ -47,6 +47,10 @@ def test_quality(spark, docs, none):
     assert quality.score(none, labels).count() == 0
     assert set(quality.score(docs, labels.limit(0)).toPandas().score) == {0.5}
     assert quality.accepted(docs, labels).columns == docs.columns
+    more = docs.unionByName(docs.where("doc_id = 2")).unionByName(docs.where("doc_id = 2").withColumn("doc_id", docs.doc_id * None))
+    again = quality.score(more.withColumnRenamed("bucket", "score"), labels.unionByName(labels.limit(1))).toPandas()
+    assert len(again) == 10 and len(set(again[(again.doc_id == 2) | again.doc_id.isna()].score)) == 1
+    assert not again[again.doc_id.isna()].held_out.any()
 
 
 def test_quality_held_out_accuracy(spark, sf_dir):
@@ -150,6 +154,9 @@ def test_vectors(spark):
     exact = np.sqrt(np.square(np.float32(v[0]).astype(float) - np.float32(v[1]).astype(float)).sum())
     assert few.vec_id.tolist()[0] == 1 and len(few) == 2 and few.score[0] == pytest.approx(exact, rel=1e-12)
     assert multi_index.nearest(df.limit(0), df.limit(0), "vec_id", "embedding").count() == 0
+    ties = spark.createDataFrame([(i, [1.0, float(i % 2)] + [0.0] * 6) for i in (9, 4, 7, 2, 5, 7)], "vec_id long, embedding array<float>")
+    own = multi_index.nearest(ties, ties.where("vec_id = 4"), "vec_id", "embedding", 5).orderBy("rank").toPandas()
+    assert own.vec_id.tolist() == [2, 5, 7, 7, 9] and own.score.tolist() == [0.0, 1.0, 1.0, 1.0, 1.0]
 
 
 def test_multi_index_recall(spark, sf_dir):
@@ -320,6 +327,10 @@ def test_token_files(spark, docs, none):
         assert (r.doc_id, r.start, np.frombuffer(r.ids, "<u4").tolist()) == (doc, at, ids)
         at += len(ids)
     assert [r.doc_id for r in token_files.read_token_files(manifest, [5, 7]).orderBy("doc_id").collect()] == [5, 7]
+    odd = docs.where("doc_id in (2, 5)").unionByName(docs.where("doc_id = 2")).unionByName(docs.where("doc_id = 7").withColumn("doc_id", docs.doc_id * None))
+    back = token_files.read_token_files(token_files.write_token_files(odd.withColumnRenamed("bucket", "ids"), default_tokenizer(), folder)).toPandas().sort_values("start")
+    assert [None if i != i or i is None else int(i) for i in back.doc_id.astype(object).where(back.doc_id.notna(), None)] == [None, 2, 2, 5]
+    assert back.start.tolist() == [0, *np.cumsum([len(x) // 4 for x in back.ids])[:-1].tolist()]
     empty = token_files.write_token_files(none, default_tokenizer(), folder)
     assert token_files.read_token_files(empty).count() == 0
 
@@ -404,15 +415,26 @@ def test_gumbel_top_k_has_the_right_distribution():
     assert pair[1][0][2] == sampled_pieces.sample(lat, [roots], [2], 2)[0][0][2]
 
 
-def test_pipeline_keeps_clean_documents_and_follows_its_stages(spark, sf_dir):
+def test_pipeline_follows_its_stages(spark, sf_dir):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-        docs = out
-    left = docs.select("doc_id").distinct().count()
-    packed = corpus_pipeline.run(spark, sf_dir)
-    assert packed.select("doc_id").distinct().count() == left
-    assert json.dumps(packed.columns)
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+
+
+@pytest.mark.parametrize("stage", [0, 1, 2, 3])
+def test_pipeline_stages_take_any_rows(spark, docs, none, sf_dir, stage):
+    import corpus_pipeline
+
+    name, run = corpus_pipeline.STAGES[stage]
+    odd = docs.unionByName(docs.where("doc_id = 5")).unionByName(docs.where("doc_id = 5").withColumn("doc_id", docs.doc_id * None))
+    odd = odd.selectExpr("doc_id", "text", "bucket", "bucket doc", "bucket spans", "bucket class_id", "bucket score", "bucket id")
+    out = run(spark, odd, sf_dir)
+    if stage < 3:
+        assert out.columns == odd.columns and out.count() <= odd.count()
+        assert run(spark, none.withColumn("n_chars", none.doc_id), sf_dir).count() == 0
+    else:
+        pieces = out.toPandas()
+        assert pieces[pieces.start == 0].shape[0] == odd.count() and run(spark, none, sf_dir).count() == 0

@@ -1,9 +1,13 @@
 """Operators that search by draws or lists, held to all pairs where draws are scarce."""
 
+import zlib
+
 import numpy as np
 import pandas as pd
+from tokenizers import Tokenizer
 
-from loomspan.llm import nn_descent, order_minhash
+from loomspan.llm import nn_descent, order_minhash, quality
+from loomspan.llm.tokens import default_tokenizer
 
 
 def named(n: int, a, b) -> list[int]:
@@ -87,3 +91,36 @@ def test_planted_links_of_every_density_are_all_found(spark):
     near = (u @ u.T >= nn_descent.THRESHOLD) & (label[:, None] == label[None])
     part = named(len(x), *np.nonzero(near))
     assert got == {i: (near[i].sum() - 1, part[i]) for i in range(len(x))}
+
+
+def test_pipeline_equals_brute_force(spark, sf_dir):
+    import corpus_pipeline
+
+    scores = quality.op1_quality_qda(spark, sf_dir).toPandas()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas()
+    docs = docs[docs.doc_id.isin(scores[scores.predicted == 1].doc_id)].sort_values("doc_id")
+    words = [order_minhash.word_hashes(t) for t in docs.text]
+    a, b = [], []
+    for i in range(len(words)):
+        for j in range(i):
+            if len(words[i]) and len(words[i]) == len(words[j]) and (words[i] == words[j]).all() or order_minhash.aligned_similarity(words[i], words[j]):
+                a.append(i)
+                b.append(j)
+    kept = docs[[i == r for i, r in enumerate(named(len(docs), a, b))]]
+    seen, want = set(), {}
+    tokenizer = Tokenizer.from_file(default_tokenizer())
+    for doc, text in zip(kept.doc_id, kept.text):
+        raw = (text or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for p in range(len(raw) - 99):
+            w = raw[p : p + 100]
+            if w in seen:
+                gone[p : p + 100] = True
+            seen.add(w)
+        left = np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+        want[doc] = [*tokenizer.encode(left, add_special_tokens=False).ids, 2]
+    pieces = corpus_pipeline.run(spark, sf_dir).toPandas()
+    assert set(pieces.doc_id) == set(want)
+    for p in pieces.itertuples():
+        assert p.ids_crc32 == zlib.crc32(np.array(want[p.doc_id][p.start : p.start + p.length], "<u4").tobytes())
+    assert pieces.groupby("doc_id").length.sum().to_dict() == {d: len(x) for d, x in want.items()}
