@@ -224,11 +224,11 @@ def medians(df: DataFrame, by: str, value: str) -> DataFrame:
 
     Values are counted first; positions are running sums of the counts.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(Window.partitionBy(by).orderBy(value))
-    n = F.sum("k").over(Window.partitionBy(by))
-    at = counts.select(by, F.col(value).alias("v"), "k", upto.alias("upto"), n.alias("n"))
+    rows = df.where(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).alias("v"))
+    counts = rows.groupBy("g", "v").agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy("g").orderBy("v"))
+    at = counts.withColumns({"upto": upto, "n": F.sum("k").over(Window.partitionBy("g"))})
     holds = lambda i: (F.col("upto") >= i) & (F.col("upto") - F.col("k") < i)
     low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    out = at.groupBy(by).agg(F.max("n").alias("n"), F.max(F.when(holds(low), F.col("v"))).alias("low"), F.max(F.when(holds(high), F.col("v"))).alias("high"))
-    return out.select(by, "n", ((F.col("low") + F.col("high")) / 2).alias("middle"), F.col("high").alias("upper_middle"))
+    out = at.groupBy("g").agg(F.max("n").alias("n"), F.max(F.when(holds(low), F.col("v"))).alias("low"), F.max(F.when(holds(high), F.col("v"))).alias("high"))
+    return out.select(F.col("g").alias(by), "n", ((F.col("low") + F.col("high")) / 2).alias("middle"), F.col("high").alias("upper_middle"))
