@@ -68,8 +68,6 @@ def chunks(text: Column, ceiling: int = CHUNK_TOKENS) -> Column:
 
     A text within the ceiling is one chunk, and so is a sentence beyond it.
     """
-    parts = sentences(text)
-    words = F.transform(parts, lambda s: F.size(F.split(s, " ")))
     # the open chunk's first sentence, its words, the last sentence's, and its number
     start = F.expr("named_struct('done', cast(array() as array<struct<a:int,b:int>>), 'first', 1, 'held', 0, 'last', 0, 'i', 0)")
 
@@ -86,8 +84,13 @@ def chunks(text: Column, ceiling: int = CHUNK_TOKENS) -> Column:
             i.alias("i"),
         )
 
-    spans = F.aggregate(words, start, add, lambda s: F.concat(s["done"], F.array(F.struct(s["first"].alias("a"), s["i"].alias("b")))))
-    packed = F.transform(spans, lambda x: F.array_join(F.slice(parts, x["a"], x["b"] - x["a"] + 1), " "))
+    def joined(parts: Column) -> Column:
+        words = F.transform(parts, lambda s: F.size(F.split(s, " ")))
+        spans = F.aggregate(words, start, add, lambda s: F.concat(s["done"], F.array(F.struct(s["first"].alias("a"), s["i"].alias("b")))))
+        return F.transform(spans, lambda x: F.array_join(F.slice(parts, x["a"], x["b"] - x["a"] + 1), " "))
+
+    # a list of one, so that the sentences are split once and not for every chunk
+    packed = F.element_at(F.transform(F.array(sentences(text)), joined), 1)
     return F.when(token_estimate(text) <= ceiling, F.array(squeezed(text))).otherwise(packed)
 
 
