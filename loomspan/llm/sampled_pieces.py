@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Edges of words that one worker remembers (a reset before a group of texts), and
 #: characters of texts that are searched together.
-CACHE_EDGES, GROUP_CHARS = 6_000_000, 1_000_000
+CACHE_EDGES, GROUP_CHARS = 1_500_000, 400_000
 #: The weight of a piece of a merge-ordered vocabulary is (rank + 2) to the minus this.
 RANK_POWER = 1.0
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -53,7 +53,7 @@ class _Growing:
     def extend(self, values) -> None:
         end = self.size + len(values)
         if end > len(self._all):
-            self._all = np.concatenate([self._all[: self.size], np.zeros(2 * end, self._all.dtype)])
+            self._all = np.concatenate([self._all[: self.size], np.zeros(end - self.size + end // 4, self._all.dtype)])
         self._all[self.size : end] = values
         self.size = end
 
