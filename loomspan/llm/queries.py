@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL.
 
-SQL can state what op4, op5 and op6 return; tests hold the others to brute force, an exact
-round trip, recall or held-out accuracy.
+SQL can state what op4, op5, op6 and op11 to op13 return; tests hold the others to brute force,
+an exact round trip, recall or held-out accuracy.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ MODULES = {
     "op8_multi_index": "multi_index",
     "op9_token_frames": "token_files",
     "op10_gumbel_pieces": "sampled_pieces",
+    "op11_grid_cells": "grid_codes",
 }
 
 
@@ -54,9 +55,28 @@ l AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM l"""
 
 
+def _codes_sql() -> str:
+    """Rounds of exact assignment; sums of integers below 2^53 are exact as doubles."""
+    near = "SELECT id, p, x, min({{'d': list_dot_product(x, x) - 2 * list_dot_product(x, y) + list_dot_product(y, y), 'e': e}}) AS m FROM parts JOIN c{0} USING (p) GROUP BY 1, 2, 3"
+    rounds = ""
+    for i in range(4):
+        rounds += f"""
+a{i} AS MATERIALIZED ({near.format(i)}),
+s{i} AS (SELECT p, e, list(floor(s / n) ORDER BY j) AS y FROM (SELECT p, m.e AS e, j, sum(x[j]) AS s, count(*) AS n FROM a{i}, range(1, 17) t(j) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+c{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(s.y, c.y) AS y FROM c{i} c LEFT JOIN s{i} s USING (p, e)),"""
+    return f"""
+WITH v AS (SELECT vec_id AS id, label, [floor(1024 * x) FOR x IN embedding::DOUBLE[]] AS q FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+parts AS MATERIALIZED (SELECT id, p, q[16 * p + 1 : 16 * p + 16] AS x FROM v, range(4) t(p)),
+c0 AS MATERIALIZED (SELECT p, e, x AS y FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY id) - 1 AS e FROM parts) WHERE e < 256),{rounds}
+a4 AS MATERIALIZED ({near.format(4)}),
+codes AS (SELECT id, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a4 GROUP BY 1),
+book AS (SELECT sha256(string_agg(CAST(CAST(y[j] AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, j)) AS h FROM c4, range(1, 17) t(j))
+SELECT id AS vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM codes JOIN v USING (id), book"""
+
+
 def queries() -> dict:
     return {name: getattr(importlib.import_module(f"loomspan.llm.{module}"), name) for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_nn_descent": VECTORS_SQL, "op5_suffix_repeats": REPEATS_SQL, "op6_arc_to_warc": ARCHIVES_SQL}
+    return {"op4_nn_descent": VECTORS_SQL, "op5_suffix_repeats": REPEATS_SQL, "op6_arc_to_warc": ARCHIVES_SQL, "op11_grid_cells": _codes_sql()}
