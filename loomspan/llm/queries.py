@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import importlib
 
+from loomspan.llm import redirects as D
+
 #: Query name -> module that defines a function of that name.
 MODULES = {
     "op1_quality_qda": "quality",
@@ -21,6 +23,7 @@ MODULES = {
     "op9_token_frames": "token_files",
     "op10_gumbel_pieces": "sampled_pieces",
     "op11_grid_cells": "grid_codes",
+    "op13_redirect_classes": "redirects",
 }
 
 
@@ -74,9 +77,45 @@ book AS (SELECT sha256(string_agg(CAST(CAST(y[j] AS BIGINT) AS VARCHAR), ',' ORD
 SELECT id AS vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM codes JOIN v USING (id), book"""
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _rest_sql(url: str) -> str:
+    return f"CASE WHEN instr({url}, '://') > 0 THEN substr({url}, instr({url}, '://') + 3) ELSE '' END"
+
+
+def _address_sql(url: str) -> str:
+    return f"nullif(concat(translate(regexp_extract({_rest_sql(url)}, '^[^/?#]*'), '{D.UPPER}', '{D.LOWER}'), regexp_extract({_rest_sql(url)}, '^[^/?#]*([^#]*)', 1)), '')"
+
+
+def _redirects_sql() -> str:
+    """Links by the same patterns; reachable addresses by a walk over them."""
+    value = lambda name: "concat(" + ", ".join(f"regexp_extract(t, {_quoted(D.VALUE.format(name))}, {g})" for g in (1, 2, 3)) + ")"
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in D.RULES)
+    return f"""
+WITH RECURSIVE u AS (SELECT page_id, url, coalesce(translate(regexp_extract({_rest_sql('url')}, '^[^/?#]*'), '{D.UPPER}', '{D.LOWER}'), '') AS host, coalesce(regexp_extract({_rest_sql('url')}, '^[^/?#]*([^?#]*)', 1), '') AS path, {_address_sql('url')} AS own, regexp_replace(coalesce(html, ''), {_quoted(D.UNSEEN)}, ' ', 'g') AS h FROM pages),
+tags AS (SELECT page_id, host, path, own, unnest([regexp_replace(t, '\\s+', ' ', 'g') FOR t IN regexp_extract_all(h, {_quoted(D.TAGS)})]) AS t FROM u),
+named AS (SELECT page_id, host, path, own, trim(replace(CASE WHEN regexp_matches(t, {_quoted(D.CANONICAL)}) THEN {value('href')} WHEN regexp_matches(t, {_quoted(D.REFRESH)}) THEN regexp_extract({value('content')}, {_quoted(D.REFRESH_URL)}, 1) ELSE '' END, '&amp;', '&')) AS l FROM tags),
+full_urls AS (SELECT page_id, own, CASE WHEN regexp_matches(l, '{D.SCHEME}//') THEN l WHEN regexp_matches(l, '{D.SCHEME}') THEN NULL WHEN starts_with(l, '//') THEN concat('x:', l) WHEN host = '' THEN NULL WHEN starts_with(l, '/') THEN concat('x://', host, l) WHEN regexp_matches(l, '^[?#]') THEN concat('x://', host, path, l) ELSE concat('x://', host, CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^.*/') END, l) END AS x FROM named WHERE l <> ''),
+targets AS (SELECT page_id, own, {_address_sql('x')} AS b FROM full_urls),
+least_named AS (SELECT page_id, min(b) AS b FROM targets GROUP BY 1),
+seen AS (SELECT u.page_id, host, path, own, coalesce(own, n.b) AS address FROM u LEFT JOIN least_named n USING (page_id)),
+links AS (SELECT DISTINCT s.address AS a, t.b FROM targets t JOIN seen s USING (page_id) WHERE t.b IS NOT NULL),
+every AS (SELECT address FROM seen WHERE address IS NOT NULL UNION SELECT a FROM links UNION SELECT b FROM links),
+rules AS (SELECT * FROM (VALUES {rules}) r(host, start, verdict)),
+fits AS (SELECT address, concat(host, start) AS rule, verdict FROM every JOIN rules ON (regexp_extract(address, '^[^/?]*') = host OR ends_with(regexp_extract(address, '^[^/?]*'), concat('.', host))) AND starts_with(regexp_extract(address, '^[^/?]*([^?]*)', 1), start)),
+best AS (SELECT address, first(rule ORDER BY length(rule) DESC, verdict, rule DESC) AS rule, first(verdict ORDER BY length(rule) DESC, verdict, rule DESC) AS verdict FROM fits GROUP BY 1),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, a AS b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a),
+alias AS (SELECT r.a AS address, min(r.b) AS component, bool_or(coalesce(x.verdict = 'block', false)) AS blocked FROM reach r LEFT JOIN best x ON x.address = r.b GROUP BY 1),
+j AS (SELECT s.*, CASE WHEN own IS NOT NULL THEN b.rule END AS rule, b.verdict AS v, coalesce(a.blocked, false) OR coalesce(b.verdict = 'block', false) AS blocked, coalesce(a.component, s.address) AS component FROM seen s LEFT JOIN best b USING (address) LEFT JOIN alias a USING (address))
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN v WHEN blocked THEN 'block' ELSE 'allow' END AS verdict, CASE WHEN rule IS NOT NULL THEN 'rule' WHEN blocked THEN 'alias' ELSE 'none' END AS via, component FROM j"""
+
+
 def queries() -> dict:
     return {name: getattr(importlib.import_module(f"loomspan.llm.{module}"), name) for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_nn_descent": VECTORS_SQL, "op5_suffix_repeats": REPEATS_SQL, "op6_arc_to_warc": ARCHIVES_SQL, "op11_grid_cells": _codes_sql()}
+    return {"op4_nn_descent": VECTORS_SQL, "op5_suffix_repeats": REPEATS_SQL, "op6_arc_to_warc": ARCHIVES_SQL, "op11_grid_cells": _codes_sql(), "op13_redirect_classes": _redirects_sql()}
