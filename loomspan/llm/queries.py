@@ -23,6 +23,7 @@ MODULES = {
     "op9_token_frames": "token_files",
     "op10_gumbel_pieces": "sampled_pieces",
     "op11_grid_cells": "grid_codes",
+    "op12_checkpointed_repair": "repair",
     "op13_redirect_classes": "redirects",
 }
 
@@ -113,9 +114,43 @@ j AS (SELECT s.*, CASE WHEN own IS NOT NULL THEN b.rule END AS rule, b.verdict A
 SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN v WHEN blocked THEN 'block' ELSE 'allow' END AS verdict, CASE WHEN rule IS NOT NULL THEN 'rule' WHEN blocked THEN 'alias' ELSE 'none' END AS via, component FROM j"""
 
 
+def _repair_sql() -> str:
+    """Costs by a walk back over each conversation's turns, edits by a walk forward."""
+    words, never = "[^\\x20\\x09-\\x0D]", 1_000_000
+    to = {0: 2, 1: 2, 2: 3, 3: 2}
+    keep = lambda s, v: f"CASE WHEN gone THEN {never} " + "".join(f"WHEN initial = '{r}' THEN cut + {v(t)} " for r, own in (("s", {0: 1}), ("u", {0: 2, 1: 2, 3: 2}), ("a", {2: 3})) for at, t in own.items() if at == s) + f"ELSE {never} END"
+    rerole = lambda s, v: f"CASE WHEN gone THEN {never} ELSE 2 + cut + {v(to[s])} END"
+    base = ", ".join(f"least(3 + v{s}, {keep(s, lambda t: f'v{t}')}, {rerole(s, lambda t: f'v{t}')}) AS b{s}" for s in range(4))
+    # costs behind a turn (list w) and before it (list v); lists count from 1
+    pick = "CASE " + " ".join(
+        f"WHEN state = {s} THEN CASE WHEN i <= n AND 3 + w[{s + 1}] = v[{s + 1}] THEN 'D' WHEN 2 + v[{to[s] + 1}] = v[{s + 1}] THEN 'I' WHEN {keep(s, lambda t: f'w[{t + 1}]')} = v[{s + 1}] THEN 'K' ELSE 'R' END" for s in range(4)
+    ) + " END"
+    return f"""
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS crcs FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) AS c FROM range(256) r(i))),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS k FROM conversations),
+dmg AS (SELECT *, xor(list_reduce(list_concat([4294967295], [CAST(ord(x) AS BIGINT) FOR x IN string_split(k, '')]), lambda c, b: xor(crcs[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS what FROM src, tab),
+kept AS (SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role, CASE WHEN what = 1 THEN '' WHEN what = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN what = 3 THEN [0, 1] ELSE [0] END) AS copy FROM dmg WHERE what <> 0),
+num AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM kept),
+flt AS (SELECT *, substr(role, 1, 1) AS initial, CASE WHEN NOT regexp_matches(text, '{words}') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault FROM num),
+r AS (SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS cut, coalesce(concat(lag(initial) OVER (PARTITION BY conv_id ORDER BY i), initial) NOT IN ('su', 'ua', 'au'), false) AND i > 1 AS illegal FROM flt),
+back AS (SELECT conv_id, n + 1 AS i, 0 AS v0, 4 AS v1, 2 AS v2, 0 AS v3 FROM r WHERE i = 1 UNION ALL
+  SELECT conv_id, i, least(b0, 2 + u) AS v0, least(b1, 2 + u) AS v1, u AS v2, least(b3, 2 + b2) AS v3 FROM (SELECT *, least(b2, 2 + b3) AS u FROM (SELECT r.conv_id, r.i, {base} FROM back JOIN r ON r.conv_id IS NOT DISTINCT FROM back.conv_id AND r.i = back.i - 1))),
+st AS (SELECT b.conv_id, b.i, r.n, r.role, r.text, r.initial, coalesce(r.gone, false) AS gone, coalesce(r.cut, 0) AS cut, [b.v0, b.v1, b.v2, b.v3] AS v, [l.v0, l.v1, l.v2, l.v3] AS w FROM back b LEFT JOIN back l ON l.conv_id IS NOT DISTINCT FROM b.conv_id AND l.i = b.i + 1 LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i),
+fwd AS (SELECT conv_id, CAST(1 AS BIGINT) AS i, 0 AS state, '' AS audit, CAST([] AS VARCHAR[]) AS lines, false AS done FROM r WHERE i = 1 UNION ALL
+  SELECT conv_id, CASE WHEN e IN ('', 'I') THEN i ELSE i + 1 END,
+    CASE WHEN e IN ('', 'D') THEN state WHEN e = 'K' THEN CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END WHEN state = 2 THEN 3 ELSE 2 END,
+    concat(audit, e), CASE e WHEN 'K' THEN list_append(lines, concat(role, ':', text)) WHEN 'R' THEN list_append(lines, concat(fit, text)) WHEN 'I' THEN list_append(lines, fit) ELSE lines END, e = ''
+  FROM (SELECT *, CASE WHEN state = 2 THEN 'assistant:' ELSE 'user:' END AS fit, CASE WHEN w[1] IS NULL AND v[state + 1] = 0 THEN '' WHEN w[1] IS NULL THEN 'I' ELSE {pick} END AS e
+    FROM (SELECT f.*, st.* EXCLUDE (conv_id, i) FROM fwd f JOIN st ON st.conv_id IS NOT DISTINCT FROM f.conv_id AND st.i = f.i WHERE NOT f.done))),
+ends AS (SELECT conv_id, audit, sha256(array_to_string(lines, chr(10))) AS h FROM fwd WHERE done),
+agg AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal FROM r GROUP BY 1)
+SELECT c.conv_id, {", ".join(f"CAST(coalesce({x}, 0) AS BIGINT) AS {x}" for x in ("gaps", "blank", "duplicate", "truncated", "illegal"))}, CAST(coalesce(b.v0, 0) AS BIGINT) AS cost, coalesce(e.audit, '') AS audit, coalesce(e.h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN agg a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN back b ON b.conv_id IS NOT DISTINCT FROM c.conv_id AND b.i = 1"""
+
+
 def queries() -> dict:
     return {name: getattr(importlib.import_module(f"loomspan.llm.{module}"), name) for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_nn_descent": VECTORS_SQL, "op5_suffix_repeats": REPEATS_SQL, "op6_arc_to_warc": ARCHIVES_SQL, "op11_grid_cells": _codes_sql(), "op13_redirect_classes": _redirects_sql()}
+    return {"op4_nn_descent": VECTORS_SQL, "op5_suffix_repeats": REPEATS_SQL, "op6_arc_to_warc": ARCHIVES_SQL, "op11_grid_cells": _codes_sql(), "op12_checkpointed_repair": _repair_sql(), "op13_redirect_classes": _redirects_sql()}
