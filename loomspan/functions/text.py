@@ -47,14 +47,25 @@ def snippet(text: Column, n: int = 300) -> Column:
     return F.when(F.char_length(text) <= n, text).otherwise(F.concat(cut, F.lit("...")))
 
 
+#: Letters of scripts written without spaces: each is a word. Then what words hold otherwise.
+LONE, WORD = r"[\p{IsHan}\p{IsHiragana}]", r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"
+#: Words of English analysis keep marks between letters, as in o'clock and U.S.A.
+JOINED = WORD + "(?:['\u2019.\u00b7_]" + WORD + ")*"
+
+
+def _words(text: Column, pattern: str) -> Column:
+    apart = F.when(text.rlike(LONE), F.regexp_replace(text, f"({LONE})", " $1 ")).otherwise(text)
+    return F.regexp_extract_all(F.lower(apart), F.lit(f"({pattern})"), 1)
+
+
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
+    """Lower-cased runs of letters and digits of any script."""
+    return _words(text, WORD)
 
 
-def english_terms(text: Column) -> Column:
+def english_words(text: Column) -> Column:
     """Lower-cased words without possessive endings and stop words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+(?:'[a-z0-9]+)*)"), 1)
-    bare = F.transform(words, lambda w: F.regexp_replace(w, "'s$", ""))
+    bare = F.transform(_words(text, JOINED), lambda w: F.regexp_replace(w, "['\u2019]s$", ""))
     return F.filter(bare, lambda w: ~w.isin(STOP_WORDS))
 
 

@@ -12,6 +12,7 @@ from loomspan.functions import text as T
 from loomspan.operators import evaluation as E
 from loomspan.operators import ingest as I
 from loomspan.operators import retrieval as R
+from loomspan.operators.lexicon import PLAIN, Analysis, Index
 from loomspan.sources.tables import feed_entries, page, read
 from loomspan.sources.staging import staged, staging_path
 from loomspan.streaming.replay import replay
@@ -22,7 +23,8 @@ _SQL: dict[str, str] = {}
 #: k values of the fusion sweep.
 SWEEP = (0, 1, 5, 10, 20, 60, 120)
 
-TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+APART = "regexp_replace({0}, '([\\p{{Han}}\\p{{Hiragana}}])', ' \\1 ', 'g')"
+TOK = f"regexp_extract_all(lower({APART.format('text')}), '{T.WORD}')"
 SQUEEZE = "trim(regexp_replace({0}, '" + T.SPACES + "+', ' ', 'g'))"
 TITLE = SQUEEZE.format("split_part({0}, chr(10), 1)")
 ABSTRACT = SQUEEZE.format("CASE WHEN instr({0}, chr(10)) > 0 THEN substr({0}, instr({0}, chr(10)) + 1) ELSE '' END")
@@ -180,8 +182,22 @@ def src14_page_listing(spark, sf_dir):
 
 # retrieval
 
+_INDEXES: dict[tuple[str, str, str], tuple[int, Index]] = {}
+
+
+def stored_index(spark, sf_dir, name: str = "text", texts: Callable[[DataFrame], DataFrame] | None = None, analysis: Analysis = PLAIN) -> Index:
+    """The session's index of ``documents``, or of what ``texts`` makes of them, while their files are the same."""
+    docs = read(spark, sf_dir, "documents")
+    files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.bit_xor(F.xxhash64("*"))).first()[0]
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if _INDEXES.get(key, (None,))[0] != state:
+        _INDEXES[key] = state, Index.build(texts(docs) if texts else docs.select("doc_id", "text"), staging_path(spark, f"index-{name}"), analysis)
+    return _INDEXES[key][1]
+
+
 def lexical(spark, sf_dir):
-    return R.bm25(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"))
+    return R.bm25(read(spark, sf_dir, "benchmark"), stored_index(spark, sf_dir))
 
 
 def dense_hits(spark, sf_dir):
@@ -194,7 +210,7 @@ def both_fused(spark, sf_dir, **more):
 
 @registered(f"SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1")
 def ag21_corpus_stats(spark, sf_dir):
-    return R.corpus_stats(read(spark, sf_dir, "documents"))
+    return stored_index(spark, sf_dir).vocabulary()
 
 
 @registered(f"WITH {BM} SELECT item_id, doc_id, score, rank FROM bm WHERE rank <= 10")
@@ -215,8 +231,9 @@ def _field_sql(name: str, expr: str, boost: float) -> str:
 
 @registered(f"WITH asked AS (SELECT DISTINCT item_id, unnest({TOK}) AS term FROM benchmark),{_field_sql('title', TITLE, 2.0)},{_field_sql('abstract', ABSTRACT, 1.0)}, best AS (SELECT item_id, doc_id, round(max(score), 6) AS score, first(field ORDER BY round(score, 6) DESC, field) AS best_field FROM (SELECT * FROM title UNION ALL SELECT * FROM abstract) GROUP BY 1, 2) SELECT item_id, doc_id, score, best_field, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM best) WHERE rank <= 10")
 def rt1_bm25_best_fields(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    fields = {"title": (docs.select("doc_id", T.title_of(F.col("text")).alias("text")), 2.0), "abstract": (docs.select("doc_id", T.abstract_of(F.col("text")).alias("text")), 1.0)}
+    of = {"title": T.title_of, "abstract": T.abstract_of}
+    index = {name: stored_index(spark, sf_dir, name, lambda docs, f=f: docs.select("doc_id", f(F.col("text")).alias("text"))) for name, f in of.items()}
+    fields = {"title": (index["title"], 2.0), "abstract": (index["abstract"], 1.0)}
     return R.bm25_best_fields(read(spark, sf_dir, "benchmark"), fields, 10).select("item_id", "doc_id", "score", "best_field", "rank")
 
 
@@ -299,9 +316,8 @@ best AS (SELECT item_id, doc_id, first(chunk_index ORDER BY rank) AS best_chunk,
 
 @registered(f"WITH RECURSIVE {CHUNKS},{_CHUNK_HITS} SELECT * FROM (SELECT item_id, doc_id, best_chunk, CAST(extra_hits AS BIGINT) AS extra_hits, row_number() OVER (PARTITION BY item_id ORDER BY first_rank) AS rank FROM best) WHERE rank <= {R.TOP_K}")
 def wn3_collapse_chunks(spark, sf_dir):
-    chunks = I.chunk_table(read(spark, sf_dir, "documents")).withColumn("key", F.struct("doc_id", "chunk_index"))
-    hits = R.bm25_scores(read(spark, sf_dir, "benchmark"), chunks, key="key").select("item_id", F.col("key").alias("doc_id"), "score")
-    hits = R.ranked(hits, R.DEPTH).select("item_id", "doc_id.*", "score", "rank")
+    index = stored_index(spark, sf_dir, "chunks", lambda docs: I.chunk_table(docs).withColumnRenamed("chunk_index", "chunk"))
+    hits = R.bm25_parts(read(spark, sf_dir, "benchmark"), index)
     return R.collapsed(hits, R.TOP_K)
 
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
-from loomspan.jobs.catalogue import ALL, BM, CHUNKS, DN, HY, RUNS, TITLE, ABSTRACT, TRUTH, _metric_sql, all_scores, both_fused, dense_hits, lexical, registered, unit_sql
+from loomspan.functions.stemming import stem_sql, stemmed
+from loomspan.jobs.catalogue import ABSTRACT, ALL, APART, BM, CHUNKS, DN, HY, TITLE, TRUTH, all_scores, both_fused, dense_hits, lexical, registered, stored_index, unit_sql
 from loomspan.operators import evaluation as E
 from loomspan.operators import explaining as X
 from loomspan.operators import ingest as I
 from loomspan.operators import retrieval as R
-from loomspan.sources.staging import staged, staging_path
+from loomspan.operators.lexicon import ENGLISH
+from loomspan.sources.staging import staging_path
 from loomspan.sources.tables import read
 
 # requests: turns of conversations, whose modes and sizes come from their ids
@@ -41,34 +43,59 @@ def flt8_blank_queries(spark, sf_dir):
 
 # lexical search over titles, abstracts and chunks, with English analysis
 
-_EN = "[x FOR x IN [regexp_replace(w, '''s$', '') FOR w IN regexp_extract_all(lower({0}), '[a-z0-9]+(?:''[a-z0-9]+)*')] IF NOT list_contains([" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "], x)]"
+_SQL_STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+
+
+def _en(text: str) -> str:
+    joined = T.JOINED.replace("'", "''")
+    return f"[x FOR x IN [regexp_replace(w, '[''\u2019]s$', '') FOR w IN regexp_extract_all(lower({APART.format(text)}), '{joined}')] IF NOT list_contains([{_SQL_STOPS}], x)]"
+
+
+_FIELDS = {"title": 2.0, "abstract": 1.0, "chunk": 1.0}
+#: Stems of all words of queries, titles, abstracts and chunks, then the queries' terms.
+_STEMS = f"""
+asked_words AS (SELECT item_id, unnest({_en('text')}) AS word FROM benchmark),
+{", ".join(f"{n}_words AS (SELECT key, unnest({_en(n + '_text')}) AS word FROM keyed)" for n in _FIELDS)},
+all_words AS (SELECT word FROM asked_words {" ".join(f"UNION SELECT word FROM {n}_words" for n in _FIELDS)}),{stem_sql('all_words')},
+asked AS (SELECT DISTINCT item_id, stem AS term FROM asked_words JOIN stems USING (word))"""
 
 
 def _english_sql(name: str, boost: float) -> str:
     return f"""
-{name}_p AS (SELECT key, term, count(*) AS tf FROM (SELECT key, unnest({_EN.format(name + "_text")}) AS term FROM keyed) GROUP BY 1, 2),
-{name}_l AS (SELECT key, len({_EN.format(name + "_text")}) AS dl FROM keyed),
+{name}_p AS (SELECT key, stem AS term, count(*) AS tf FROM {name}_words JOIN stems USING (word) GROUP BY 1, 2),
+{name}_l AS (SELECT key, len({_en(name + "_text")}) AS dl FROM keyed),
 {name}_c AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM {name}_l),
 {name}_f AS (SELECT term, count(*) AS df FROM {name}_p GROUP BY 1),
 {name} AS (SELECT item_id, key, {boost} * sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)))) AS score FROM asked JOIN {name}_p USING (term) JOIN {name}_f USING (term) JOIN {name}_l USING (key), {name}_c GROUP BY 1, 2)"""
 
 
-@registered(f"""WITH RECURSIVE {CHUNKS}, asked AS (SELECT DISTINCT item_id, unnest({_EN.format('text')}) AS term FROM benchmark),
-keyed AS (SELECT c.doc_id * 1000000 + chunk_index AS key, c.doc_id, chunk_index, {TITLE.format('d.text')} AS title_text, {ABSTRACT.format('d.text')} AS abstract_text, c.text AS chunk_text FROM chunked c JOIN documents d USING (doc_id)),
-{_english_sql('title', 2.0)},{_english_sql('abstract', 1.0)},{_english_sql('chunk', 1.0)},
+@registered(f"""WITH RECURSIVE {CHUNKS},
+keyed AS (SELECT c.doc_id * 1000000 + chunk_index AS key, c.doc_id, chunk_index, {TITLE.format('d.text')} AS title_text, {ABSTRACT.format('d.text')} AS abstract_text, c.text AS chunk_text FROM chunked c JOIN documents d USING (doc_id)),{_STEMS},
+{','.join(_english_sql(n, boost) for n, boost in _FIELDS.items())},
 s AS (SELECT item_id, key, round(max(score), 6) AS score FROM (SELECT * FROM title UNION ALL SELECT * FROM abstract UNION ALL SELECT * FROM chunk) GROUP BY 1, 2),
 r AS (SELECT item_id, doc_id, chunk_index, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, key) AS rank FROM s JOIN keyed USING (key)),
 best AS (SELECT item_id, doc_id, first(chunk_index ORDER BY rank) AS best_chunk, min(rank) AS first_rank FROM r WHERE rank <= {R.DEPTH} GROUP BY 1, 2)
 SELECT * FROM (SELECT item_id, doc_id, best_chunk, row_number() OVER (PARTITION BY item_id ORDER BY first_rank) AS rank FROM best) WHERE rank <= {R.TOP_K}""")
 def rt1_bm25_multi_field(spark, sf_dir):
+    def of(name: str):
+        def texts(docs):
+            chunks = I.chunk_table(docs).select("doc_id", F.col("chunk_index").alias("chunk"), F.col("text").alias("chunk_text"))
+            whole = docs.select("doc_id", T.title_of(F.col("text")).alias("title_text"), T.abstract_of(F.col("text")).alias("abstract_text"))
+            return chunks.join(whole, "doc_id").select("doc_id", "chunk", F.col(f"{name}_text").alias("text"))
+
+        return texts
+
+    fields = {name: (stored_index(spark, sf_dir, f"english-{name}", of(name), ENGLISH), boost) for name, boost in _FIELDS.items()}
+    return R.collapsed(R.bm25_best_fields(read(spark, sf_dir, "benchmark"), fields), R.TOP_K).drop("extra_hits")
+
+
+@registered(f"WITH w AS (SELECT doc_id, unnest({_en('text')}) AS word FROM documents),{stem_sql('w')} SELECT stem AS term, count(*) AS cf, count(DISTINCT doc_id) AS df, count(DISTINCT word) AS forms FROM w JOIN stems USING (word) GROUP BY 1")
+def rt2_english_vocabulary(spark, sf_dir):
+    """Stems of the corpus with the word forms behind them; forms are stemmed once each."""
     docs = read(spark, sf_dir, "documents")
-    chunks = I.chunk_table(docs).withColumnRenamed("text", "chunk_text")
-    keyed = chunks.join(docs.select("doc_id", T.title_of(F.col("text")).alias("title_text"), T.abstract_of(F.col("text")).alias("abstract_text")), "doc_id")
-    keyed = staged(keyed.withColumn("key", F.struct("doc_id", "chunk_index")), "search-documents")
-    fields = {name: (keyed.select(F.col("key").alias("doc_id"), F.col(f"{name}_text").alias("text")), boost) for name, boost in (("title", 2.0), ("abstract", 1.0), ("chunk", 1.0))}
-    hits = R.bm25_best_fields(read(spark, sf_dir, "benchmark"), fields, analyse=T.english_terms)
-    hits = hits.select("item_id", "doc_id.*", "score", "rank")
-    return R.collapsed(hits, R.TOP_K).drop("extra_hits")
+    forms = docs.select(F.explode(T.english_words(F.col("text"))).alias("word")).distinct()
+    forms = forms.select(F.get(stemmed(F.array("word")), 0).alias("term")).groupBy("term").agg(F.count("*").alias("forms"))
+    return stored_index(spark, sf_dir, "english", lambda d: d.select("doc_id", "text"), ENGLISH).vocabulary().join(forms, "term")
 
 
 # fused lists in detail

@@ -1,8 +1,8 @@
 """Lexical and dense retrieval for a table of queries at once, ranking and fusion.
 
 Queries are (item_id, text), documents (doc_id, text), ranked lists (item_id, doc_id,
-score, rank). Blank queries have no hits. What is broadcast is an aggregate of fixed size, or
-counted first, with a shuffled join beyond ``SMALL`` rows. Dense scores are block products:
+score, rank). Blank queries have no hits. Lexical search reads a stored index, or makes one of
+the documents it is given. Dense scores are block products:
 packed blocks of rows meet packed blocks of queries in a grid.
 """
 
@@ -17,14 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.functions.text import SPACES, terms
-from loomspan.sources.staging import staged
+from loomspan.functions.text import SPACES
+from loomspan.operators.lexicon import PLAIN, Analysis, Index
+from loomspan.sources.staging import staging_path
 
-K1, B = 1.2, 0.75
 DEPTH, TOP_K, RRF_K = 50, 10, 60
 BUCKETS = 384
-#: Rows of a side that may be broadcast.
-SMALL = 100_000
 #: Rows and queries at most of a cell of the grid, and those that travel as one row.
 CELL_ROWS, CELL_QUERIES, PACKED = 32_768, 16_384, 256
 #: Put before a query, but not before a document, ahead of embedding.
@@ -38,60 +36,40 @@ def ranked(scored: DataFrame, depth: int, by: str = "item_id", digits: int = 6)
     return rounded.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth).withColumn("rank", F.col("rank").cast("long"))
 
 
-def postings(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, term, tf)."""
-    return docs.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def asked_for(queries: DataFrame) -> DataFrame:
+    """The queries that aren't blank."""
+    return queries.where(F.regexp_replace("text", SPACES, "") != "")
 
 
-def corpus_stats(docs: DataFrame) -> DataFrame:
-    """(term, df, cf) of every term."""
-    return postings(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+def indexed(docs: DataFrame | Index, analysis: Analysis = PLAIN) -> Index:
+    """An index as it is, or one of documents (doc_id, text, and chunk if there are parts)."""
+    return docs if isinstance(docs, Index) else Index.build(docs, staging_path(docs.sparkSession, "index"), analysis)
 
 
-def asked_for(queries: DataFrame) -> DataFrame:
-    """The queries that aren't blank."""
-    return queries.where(F.regexp_replace("text", SPACES, "") != "")
+def bm25(queries: DataFrame, docs: DataFrame | Index, depth: int = DEPTH) -> DataFrame:
+    """(item_id, doc_id, score, rank): the sum over a query's distinct terms."""
+    return ranked(indexed(docs).search(queries, depth).select("item_id", "doc_id", "score"), depth)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` to be broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+def bm25_parts(queries: DataFrame, parts: DataFrame | Index, depth: int = DEPTH) -> DataFrame:
+    """(item_id, doc_id, chunk_index, score, rank) of parts (doc_id, chunk, text)."""
+    found = indexed(parts).search(queries, depth).select("item_id", F.struct("doc_id", "chunk").alias("doc_id"), "score")
+    return ranked(found, depth).select("item_id", "doc_id.doc_id", F.col("doc_id.chunk").cast("long").alias("chunk_index"), "score", "rank")
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, text: str = "text", key: str = "doc_id", analyse=terms) -> DataFrame:
-    """(item_id, key, score), the sum over a query's distinct terms.
+def bm25_best_fields(queries: DataFrame, fields: dict[str, tuple[DataFrame | Index, float]], depth: int = DEPTH) -> DataFrame:
+    """The best field's boosted score, with its name; equal scores name the first.
 
-    Texts are read and analysed once: each leaves its length, by the terms that were asked for
-    and all others together.
+    What is among the best by its best field is among the best of that field, so each field
+    sends its best only.
     """
-    asked = asked_for(queries).select("item_id", F.explode(F.array_distinct(analyse(F.col("text")))).alias("term"))
-    asked = staged(asked, "asked-terms")
-    wanted = small(asked.select(F.col("term").alias("known")).distinct())
-    words = docs.select(F.col(key).alias("key"), analyse(F.col(text)).alias("w")).select("key", F.size("w").cast("long").alias("dl"), F.explode_outer("w").alias("word"))
-    found = words.join(wanted, F.col("word") == F.col("known"), "left").groupBy("key", "dl", F.col("known").alias("term")).agg(F.count("word").alias("tf"))
-    found = staged(found, "term-counts")
-    corpus = found.agg(F.count_distinct("key").alias("n"), F.sum("tf").alias("total")).select("n", (F.col("total") / F.col("n")).alias("avgdl"))
-    hit = found.where("term is not null")
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    joined = hit.join(small(asked.join(df, "term")), "term").crossJoin(F.broadcast(corpus))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return joined.groupBy("item_id", F.col("key").alias(key)).agg(F.sum(idf * weight).alias("score"))
-
-
-def bm25(queries: DataFrame, docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    return ranked(bm25_scores(queries, docs), depth)
-
-
-def bm25_best_fields(queries: DataFrame, fields: dict[str, tuple[DataFrame, float]], depth: int = DEPTH, analyse=terms) -> DataFrame:
-    """The best field's boosted score, with its name; equal scores name the first."""
     scored = [
-        bm25_scores(queries, docs, analyse=analyse).select("item_id", "doc_id", (F.col("score") * boost).alias("score"), F.lit(name).alias("field"))
+        indexed(docs).search(queries, depth).select("item_id", F.struct("doc_id", "chunk").alias("doc_id"), (F.col("score") * boost).alias("score"), F.lit(name).alias("field"))
         for name, (docs, boost) in fields.items()
     ]
     every = reduce(DataFrame.unionByName, scored)
     best = every.groupBy("item_id", "doc_id").agg(F.max("score").alias("score"), F.min_by("field", F.struct(-F.round("score", 6), "field")).alias("best_field"))
-    return ranked(best, depth)
+    return ranked(best, depth).select("item_id", "doc_id.doc_id", F.col("doc_id.chunk").cast("long").alias("chunk_index"), "score", "best_field", "rank")
 
 
 def hash_embedding(df: DataFrame, key: str, text: str = "text") -> DataFrame:
