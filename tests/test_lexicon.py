@@ -214,7 +214,10 @@ def plain_stem(word):
     from loomspan.functions.stemming import FOURTH, SECOND, THIRD
 
     w = rule(rule(w, SECOND, 0), THIRD, 0)
-    w = rule(w, {s: s[0] if s in ("sion", "tion") else "" for s in FOURTH}, 1)
+    if w.endswith(("sion", "tion")):  # the letter before -ion belongs to the stem
+        w = w[:-3] if measure(w[:-3]) > 1 else w
+    else:
+        w = rule(w, dict.fromkeys(FOURTH, ""), 1)
     if w.endswith("e") and (measure(w[:-1]) > 1 or measure(w[:-1]) == 1 and not cvc(w[:-1])):
         w = w[:-1]
     return w[:-1] if w.endswith("ll") and measure(w) > 1 else w
