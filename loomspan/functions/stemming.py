@@ -53,7 +53,7 @@ def _past(word: str) -> str:
         return word
     if mended := _suffix(stem, REPAIRS):
         return stem[: -len(mended)] + REPAIRS[mended]
-    if stem[-1:] == stem[-2:-1] and not re.match("[aeiouylsz]", stem[-1:]):
+    if stem[-1:].lower() == stem[-2:-1].lower() and not re.match("[aeiouylsz]", stem[-1:]):
         return stem[:-1]
     return stem + "e" if _once.search(stem) and not _twice.search(stem) and _short.search(stem) else stem
 
@@ -108,7 +108,7 @@ p{n} AS (SELECT word, {expr} AS w FROM (SELECT word, w, f, left(w, length(w) - l
     return f"""
 p0 AS (SELECT word, CASE WHEN length(word) < {LEAST} THEN word ELSE regexp_replace(regexp_replace(word, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') END AS w FROM (SELECT DISTINCT word FROM {words})),{
     step(1, PLURALS, f"CASE WHEN f = '' OR length(word) < {LEAST} THEN w ELSE concat(t, {new(PLURALS)}) END")}{
-    step(2, ["eed", "ed", "ing"], f"CASE WHEN length(word) < {LEAST} OR f = '' THEN w WHEN f = 'eed' THEN CASE WHEN {has('t', ONCE)} THEN concat(t, 'ee') ELSE w END WHEN NOT {has('t', VOWEL)} THEN w WHEN {has('t', '(at|bl|iz)$')} THEN concat(t, 'e') WHEN right(t, 1) = left(right(t, 2), 1) AND length(t) > 1 AND NOT {has('t', '[aeiouylsz]$')} THEN left(t, length(t) - 1) WHEN {once('t')} AND {has('t', SHORT)} THEN concat(t, 'e') ELSE t END")}{
+    step(2, ["eed", "ed", "ing"], f"CASE WHEN length(word) < {LEAST} OR f = '' THEN w WHEN f = 'eed' THEN CASE WHEN {has('t', ONCE)} THEN concat(t, 'ee') ELSE w END WHEN NOT {has('t', VOWEL)} THEN w WHEN {has('t', '(at|bl|iz)$')} THEN concat(t, 'e') WHEN lower(right(t, 1)) = lower(left(right(t, 2), 1)) AND length(t) > 1 AND NOT {has('t', '[aeiouylsz]$')} THEN left(t, length(t) - 1) WHEN {once('t')} AND {has('t', SHORT)} THEN concat(t, 'e') ELSE t END")}{
     step(3, ["y", "Y"], f"CASE WHEN length(word) >= {LEAST} AND f <> '' AND {has('t', VOWEL)} THEN concat(t, 'i') ELSE w END")}{
     step(4, SECOND, f"CASE WHEN length(word) >= {LEAST} AND f <> '' AND {has('t', ONCE)} THEN concat(t, {new(SECOND)}) ELSE w END")}{
     step(5, THIRD, f"CASE WHEN length(word) >= {LEAST} AND f <> '' AND {has('t', ONCE)} THEN concat(t, {new(THIRD)}) ELSE w END")}{
