@@ -12,6 +12,7 @@ from loomspan.functions import text as T
 from loomspan.operators import evaluation as E
 from loomspan.operators import ingest as I
 from loomspan.operators import retrieval as R
+from loomspan.operators.cells import VectorIndex
 from loomspan.operators.lexicon import PLAIN, Analysis, Index
 from loomspan.sources.tables import feed_entries, page, read
 from loomspan.sources.staging import staged, staging_path
@@ -247,6 +248,17 @@ def rt4_knn_exact(spark, sf_dir):
     return R.knn(read(spark, sf_dir, "embeddings"), 50, 10)
 
 
+@registered("WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(v.e, v.e)), 6) AS similarity FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.label IN (1, 4, 7) AND v.vec_id <> q.vec_id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) WHERE rank <= 10")
+def rt4_knn_filtered(spark, sf_dir):
+    """Neighbours among the rows of three labels, through cells; the filter runs where rows are read."""
+    vectors = read(spark, sf_dir, "embeddings")
+    index = VectorIndex.build(vectors, staging_path(spark, "vectors"), keep=("label",))
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = index.search(asked, 10, F.col("label").isin(1, 4, 7), but_own=True)
+    hits = found.select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), F.col("similarity").alias("score"))
+    return R.ranked(hits, 10).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("vec_id"), F.col("score").alias("similarity"), "rank")
+
+
 @registered(f"WITH {BM},{DN},{HY} SELECT item_id, doc_id, score, rank, bm25_rank, dense_rank FROM hy")
 def rt6_rrf_fusion(spark, sf_dir):
     return both_fused(spark, sf_dir).select("item_id", "doc_id", "score", "rank", "bm25_rank", "dense_rank")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.text import SPACES
+from loomspan.operators.cells import usable
 from loomspan.operators.lexicon import PLAIN, Analysis, Index
 from loomspan.sources.staging import staging_path
 
@@ -217,14 +218,20 @@ def hydrated(hits: DataFrame, docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def knn(vectors: DataFrame, every: int, k: int) -> DataFrame:
-    """Exact cosine neighbours of each ``every``-th vector: (query_id, vec_id, similarity, rank)."""
+    """Exact cosine neighbours of each ``every``-th vector: (query_id, vec_id, similarity, rank).
+
+    Vectors of another length than most have none; null, zero and non-finite ones neither.
+    """
+    rows = vectors.where(usable(F.col("embedding")))
+    width = rows.groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), "width").first()
+    rows = rows.where(F.size("embedding") == (width.width if width else 0))
 
     @F.pandas_udf("binary")
     def unit(vectors: pd.Series) -> pd.Series:
         x = vectors.map(lambda v: np.asarray(v, np.float64))
         return x.map(lambda v: (v / np.sqrt(v @ v)).tobytes())
 
-    rows = vectors.where("embedding is not null").select(F.col("vec_id").alias("id"), unit("embedding").alias("v"))
+    rows = rows.select(F.col("vec_id").alias("id"), unit("embedding").alias("v"))
     scored = top_products(rows.where(F.col("id") % every == 0), rows, k, but_own=True)
     return ranked(scored, k).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("vec_id"), F.col("score").alias("similarity"), "rank")
 
