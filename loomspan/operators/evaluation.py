@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.sources.staging import staged
+
 KS = (1, 5, 10)
 #: Items that one pass over the documents looks for.
 AUTOMATON = 100_000
+#: Items at most that a comparison resamples, values that a median's last step counts, cut points
+#: of a sketch.
+MOST_ITEMS, FEW, CUTS = 1_000_000, 100_000, 64
 METRICS = [f"{m}_{k}" for m in ("recall", "precision", "ndcg") for k in KS] + ["mrr"]
 HEADLINE = ["recall_5", "recall_10", "mrr", "ndcg_10"]
 
@@ -99,21 +106,39 @@ def losses(scored: DataFrame, mode: str, metric: str = "ndcg_10") -> DataFrame:
 def paired(scored: DataFrame, a: str, b: str, metric: str, n: int, seed: int) -> DataFrame:
     """Bootstrap interval and sign-flip p of the difference b - a; draws are hashes.
 
-    ``n`` draws of as many items as there are, expanded as rows; 95 % interval.
+    ``n`` draws of as many items as there are, 95 % interval. The differences of the items are
+    a vector of checked size that every block of draws is worked out against. Modes that were
+    scored on different items, or on none, are an error.
     """
-    wide = scored.groupBy("item_id").pivot("mode", [a, b]).agg(F.first(metric))
-    order = Window.orderBy("item_id")  # one row per evaluated item
-    diffs = wide.select(F.row_number().over(order).alias("i"), (F.col(b) - F.col(a)).alias("d"))
-    size = diffs.agg(F.count("*").alias("n_items"), F.round(F.avg("d"), 6).alias("difference"), F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") < 0).alias("losses"), F.count_if(F.col("d") == 0).alias("ties"))
-    draws = diffs.select("i", "d", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw")).crossJoin(F.broadcast(size.select("n_items")))
-    unit = lambda tag: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(tag), F.lit(seed), "draw", "i")), 1, 8), 16, 10).cast("long")
-    picked = draws.select("draw", (unit("b") % F.col("n_items") + 1).alias("i")).join(diffs, "i").groupBy("draw").agg(F.round(F.avg("d"), 9).alias("mean"))
-    ranks = picked.select("mean", F.row_number().over(Window.orderBy("mean")).alias("r"))
+    of = lambda mode, name: scored.where(F.col("mode") == mode).select("item_id", F.col(metric).alias(name))
+    wide = of(a, "x").join(of(b, "y"), "item_id", "full").orderBy("item_id").limit(MOST_ITEMS + 1).collect()
+    if len(wide) > MOST_ITEMS:
+        raise ValueError(f"more than {MOST_ITEMS} items to resample")
+    if not wide:
+        raise ValueError("nothing to compare")
+    if any(r.x is None or r.y is None for r in wide):
+        raise ValueError(f"{a} and {b} were not scored on the same items")
+    spark, diffs = scored.sparkSession, np.array([r.y - r.x for r in wide])
+    difference = round(float(np.mean(diffs)), 6)
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = len(diffs)
+
+        def unit(tag: str, draw: int) -> np.ndarray:
+            return np.array([int(hashlib.md5(f"{tag}|{seed}|{draw}|{i}".encode()).hexdigest()[:8], 16) for i in range(1, size + 1)])
+
+        for batch in batches:
+            out = [(float(diffs[unit("b", d) % size].mean()), float(np.where(unit("f", d) % 2 == 0, diffs, -diffs).mean())) for d in batch["draw"]]
+            yield pd.DataFrame(out, columns=["mean", "flip"])
+
+    tasks = spark.sparkContext.defaultParallelism
+    draws = spark.range(1, n + 1, numPartitions=min(tasks, n)).withColumnRenamed("id", "draw").mapInPandas(drawn, "mean double, flip double")
+    draws = draws.select(F.round("mean", 9).alias("mean"), F.round("flip", 6).alias("flip"))
     low, high = max(1, int(0.025 * n) + 1), min(int(0.975 * n) + 1, n)
-    interval = ranks.agg(F.max(F.when(F.col("r") == low, F.col("mean"))).alias("ci_low"), F.max(F.when(F.col("r") == high, F.col("mean"))).alias("ci_high"))
-    flips = draws.groupBy("draw").agg(F.round(F.avg(F.when(unit("f") % 2 == 0, F.col("d")).otherwise(-F.col("d"))), 6).alias("f"))
-    p = flips.crossJoin(F.broadcast(size)).agg(((F.count_if(F.abs("f") >= F.abs("difference")) + 1) / (n + 1)).alias("p"))
-    return size.crossJoin(interval).crossJoin(p).select("difference", F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"), F.round("p", 6).alias("p"), *[F.col(c).cast("long").alias(c) for c in ("wins", "losses", "ties")])
+    means = F.array_sort(F.collect_list("mean"))  # ``n`` numbers
+    row = draws.agg(F.round(F.element_at(means, low), 6).alias("ci_low"), F.round(F.element_at(means, high), 6).alias("ci_high"), F.round((F.count_if(F.abs("flip") >= abs(difference)) + 1) / (n + 1), 6).alias("p"))
+    count = lambda x: F.lit(int(x)).cast("long")
+    return row.select(F.lit(difference).alias("difference"), "ci_low", "ci_high", "p", count((diffs > 0).sum()).alias("wins"), count((diffs < 0).sum()).alias("losses"), count((diffs == 0).sum()).alias("ties"))
 
 
 def comparisons(scored: DataFrame, pairs: list[tuple[str, str]], metric: str, n: int, seed: int) -> DataFrame:
@@ -219,16 +244,47 @@ def violations(golden: DataFrame, classes: list[str], per_class: int, longest: i
     return own.unionByName(again).unionByName(sizes)
 
 
-def medians(df: DataFrame, by: str, value: str) -> DataFrame:
+def medians(df: DataFrame, by: str, value: str, few: int = FEW) -> DataFrame:
     """(by, n, middle, upper_middle): the interpolated median and the element above the middle.
 
-    Values are counted first; positions are running sums of the counts.
+    Each group's two places close in on their values: a sketch of the values that are still in
+    question gives cut points, counts below and between two of them tell which side of them a
+    place is on, and only what lies there is looked at again. Once at most ``few`` values are
+    left they are counted by value, so no task sorts a group. A median of nothing is no row.
     """
-    rows = df.where(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).alias("v"))
-    counts = rows.groupBy("g", "v").agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(Window.partitionBy("g").orderBy("v"))
-    at = counts.withColumns({"upto": upto, "n": F.sum("k").over(Window.partitionBy("g"))})
-    holds = lambda i: (F.col("upto") >= i) & (F.col("upto") - F.col("k") < i)
-    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    out = at.groupBy("g").agg(F.max("n").alias("n"), F.max(F.when(holds(low), F.col("v"))).alias("low"), F.max(F.when(holds(high), F.col("v"))).alias("high"))
-    return out.select(F.col("g").alias(by), "n", ((F.col("low") + F.col("high")) / 2).alias("middle"), F.col("high").alias("upper_middle"))
+    rows = df.where(F.col(value).isNotNull()).select(F.col(by).alias("k"), F.col(value).alias("v"))
+    sizes = rows.groupBy(F.col("k").alias("g")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    places = F.array(F.struct(F.lit("low").alias("which"), F.floor((F.col("n") + 1) / 2).alias("place")), F.struct(F.lit("high").alias("which"), (F.floor(F.col("n") / 2) + 1).alias("place")))
+    state = sizes.select("g", "n", "lo", "hi", F.explode(places).alias("p"), F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"))
+    state = staged(state.select("g", "n", "lo", "hi", "p.*", "below", "inside"), "places")
+    asked = ["g", "which", "place", "below", "inside", "lo", "hi"]
+    within = F.col("k").eqNullSafe(F.col("g")) & F.col("v").between(F.col("lo"), F.col("hi"))
+    while True:
+        wide = state.where((F.col("inside") > few) & (F.col("lo") < F.col("hi"))).select(*asked)
+        if wide.isEmpty():
+            break
+        cuts = rows.join(wide, within).groupBy(*asked).agg(F.percentile_approx("v", [i / CUTS for i in range(CUTS + 1)], 10_000).alias("cuts"))
+        at = F.floor((F.col("place") - F.col("below")) / F.col("inside") * CUTS).cast("int")
+        near = lambda i: F.element_at("cuts", F.greatest(F.lit(1), F.least(F.lit(CUTS + 1), i)))
+        cuts = staged(cuts.select(*asked, near(at).alias("a"), near(at + 3).alias("b")), "cuts")
+        v, low, high = F.col("v"), F.col("a"), F.col("b")
+        # five parts, of which the cut points themselves are two: each round leaves less than before
+        parts = {"p0": v < low, "p1": v == low, "p2": (v > low) & (v < high), "p3": (v == high) & (high > low), "p4": v > high}
+        aggregates = [f(F.when(which, v)).alias(f"{kind}{name}") for name, which in parts.items() for kind, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
+        side = rows.join(cuts, within).groupBy("g", "which", "place", "below", "inside").agg(*aggregates)
+        before = [F.col("below")]
+        for name in parts:
+            before.append(before[-1] + F.col(f"n{name}"))
+        pick = lambda values: F.coalesce(*[F.when((F.col("place") > before[i]) & (F.col("place") <= before[i + 1]), x) for i, x in enumerate(values)])
+        moved = side.select(
+            F.col("g").alias("of"), F.col("which").alias("end"), pick(before[:-1]).alias("below2"), *[pick([F.col(f"{kind}{name}") for name in parts]).alias(new) for kind, new in (("lo", "lo2"), ("hi", "hi2"), ("n", "inside2"))]
+        )
+        both = state.join(moved, F.col("g").eqNullSafe(F.col("of")) & (F.col("which") == F.col("end")), "left")
+        new = [F.coalesce(f"{c}2", c).alias(c) for c in ("lo", "hi", "below", "inside")]
+        state = staged(both.select("g", "n", "which", "place", *new), "places")
+    last = state.select(F.col("g").alias("of"), "n", "which", "place", "below", "lo", "hi")
+    counts = rows.join(last, F.col("k").eqNullSafe(F.col("of")) & F.col("v").between(F.col("lo"), F.col("hi"))).groupBy("of", "which", "place", "below", "n", "v").agg(F.count("*").alias("times"))
+    upto = F.col("below") + F.sum("times").over(Window.partitionBy("of", "which").orderBy("v"))  # ``few`` values at most
+    found = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("times") < F.col("place")))
+    out = found.groupBy("of").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("which") == w, F.col("v"))).alias(w) for w in ("low", "high")])
+    return out.select(F.col("of").alias(by), "n", ((F.col("low") + F.col("high")) / 2).alias("middle"), F.col("high").alias("upper_middle"))
