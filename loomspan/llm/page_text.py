@@ -233,8 +233,27 @@ def content_of(root: Node) -> list[Node]:
         node = best
 
 
+def linked(root: Node) -> bool:
+    """Whether links hold at least half of an element's text."""
+    within = whole = 0
+    stack = [(root, root.tag == "a")]
+    while stack:
+        node, link = stack.pop()
+        if isinstance(node, str):
+            n = len("".join(node.split()))
+            whole += n
+            within += n * link
+        else:
+            stack.extend((k, link or not isinstance(k, str) and k.tag == "a") for k in node.kids)
+    return 0 < whole <= 2 * within
+
+
 def slots(root: Node) -> Iterator[tuple[Node, int]]:
-    """Elements with text outside the page's content that may be a template's, and their slots."""
+    """Elements with text outside the page's content that may be a template's, and their slots.
+
+    A slot goes whatever its words are, so it takes more than a place that recurs: a name that
+    marks the element as template, or text that is links for the most part.
+    """
     import xxhash
 
     found = content_of(root)
@@ -248,7 +267,7 @@ def slots(root: Node) -> Iterator[tuple[Node, int]]:
         node, path = stack.pop()
         if id(node) in content:
             continue
-        if node.text and node.tag in SLOTS and id(node) not in around:
+        if node.text and node.tag in SLOTS and id(node) not in around and (node.kind != KEPT or linked(node)):
             yield node, xxhash.xxh64_intdigest(f"{path}\n{node.shape}") >> 1 | 1
         path = f"{path}/{node.name}"
         stack.extend((k, path) for k in reversed(node.kids) if not isinstance(k, str))
