@@ -4,9 +4,10 @@ The codes: the signs of a centred vector after a rotation that an alternation of
 and orthogonal Procrustes steps learns on a bounded sample (ITQ). The index: codes are
 split into substrings of about log2(rows) bits, and each shard of vectors keeps, for each
 substring, a table from value to rows. A search within Hamming radius r looks up, in the
-table of every one of the m substrings, the values that differ from the query's in at most
-r // m bits: by the pigeonhole principle no code within r is missed. Codes within r are
-then ranked by exact distances.
+table of each of the m substrings, the values that differ from the query's in at most r // m
+bits, or one less beyond the first r % m + 1 of them: if all substrings differed by more, they
+would differ by more than r, so by the pigeonhole principle no code within r is missed. Codes
+within r are then ranked by exact distances.
 
 The radius is learnt on the sample so that ``RECALL`` of its true neighbours' codes lie
 within; the neighbours of the full table are nearer still. Queries with fewer than k
@@ -18,8 +19,8 @@ vectors.
 
 Defined cases: vectors that are null, empty, zero, of another length than most of the
 sample, or that hold null or non-finite components take no part, as queries or as
-candidates; ties go to the smaller id; a query that occurs twice is two candidates but
-for rows of its own id; with fewer than k candidates all are returned; an empty table
+candidates; ties go to the smaller id; a row that occurs twice is two candidates, but
+a query once, with the rows of other ids; with fewer than k candidates all are returned; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -120,10 +121,14 @@ class Shard:
 
     def within(self, bits: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose codes lie within ``radius``, looked up by every substring's near values."""
-        each, hit = radius // len(self.cuts), np.zeros(len(self.ids), bool)
-        for cut, (starts, order) in zip(self.cuts, self.tables):
+        hit = np.zeros(len(self.ids), bool)
+        each, more = divmod(radius, len(self.cuts))
+        for i, (cut, (starts, order)) in enumerate(zip(self.cuts, self.tables)):
+            near = each if i <= more else each - 1
+            if near < 0:
+                break
             own = int(self._values(bits[None], cut)[0])
-            probes = own ^ self._near(cut.stop - cut.start, each)
+            probes = own ^ self._near(cut.stop - cut.start, near)
             begin, size = starts[probes], starts[probes + 1] - starts[probes]
             some = size > 0
             begin, size = begin[some], size[some]
@@ -189,7 +194,7 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k
     """(query_id, rank, vec_id, score) of every usable query among all usable rows."""
     spark = rows.sparkSession
     pick = lambda df: df.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    rows, queries = pick(rows), pick(queries)
+    rows, queries = pick(rows), pick(queries).dropDuplicates(["id"])
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not sample:
