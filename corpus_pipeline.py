@@ -5,7 +5,8 @@ that executors lost in one don't repeat the ones before.
 
 Defined cases, in every stage: null, empty and very long texts are judged and kept or packed
 like others (a null text counts as empty); repeated rows are one document to the stage of near
-duplicates, which keeps one, and rows of their own to the others; rows without id stay unless
+duplicates, which keeps one (and every text of an id that has several), and rows of their own
+to the others; rows without id stay unless
 their text is rejected or cut; other columns, of whatever names, pass through all stages but
 the last; an empty table gives no rows.
 """
