@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,6 +182,36 @@ def src6_feed_pages(spark, sf_dir):
     return feeds.entries(spark.read.text(path)).select("paper_id", "version", "title", F.md5("abstract").alias("abstract_md5"), F.unix_seconds("published").alias("published"), F.unix_seconds("updated").alias("updated"), "primary_category", F.size("authors").cast("long").alias("n_authors"))
 
 
+_SINCE, _UNTIL = datetime(2024, 3, 5), datetime(2025, 6, 20)
+
+
+@registered(f"""WITH p AS ({_PAPER}), x AS (SELECT *, concat('24', lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0'), '.', lpad(CAST(doc_id AS VARCHAR), 5, '0')) AS paper_id, CASE WHEN doc_id % 3 = 0 THEN doc_id % 9 + 1 ELSE 1 END AS version FROM p)
+SELECT paper_id, version, CASE WHEN doc_id % 5 = 0 THEN lang ELSE source END AS primary_category, concat(source, ',', lang) AS categories, (SELECT count(*) FROM documents) AS total, strftime(published, '%Y-%m-%d') AS published,
+  CASE WHEN doc_id % 2 = 0 THEN concat('{feeds.SITE}/page?a=1&id=', doc_id) ELSE concat('{feeds.SITE}/abs/', paper_id, 'v', version) END AS abs_url,
+  CASE WHEN doc_id % 3 = 0 THEN concat('{feeds.SITE}/file?a=1&id=', doc_id) ELSE concat('{feeds.SITE}/pdf/', paper_id, 'v', version) END AS pdf_url
+FROM x WHERE doc_id % 8 <> 0 AND {TITLE.format('text')} <> '' AND {ABSTRACT.format('text')} <> '' AND published BETWEEN DATE '{_SINCE:%Y-%m-%d}' AND DATE '{_UNTIL:%Y-%m-%d}'""")
+def src6_feed_archive(spark, sf_dir):
+    """Documents as Atom pages with namespaces, parsed, kept by month, and read for a window."""
+    papers = _papers(spark, sf_dir).select("doc_id", "text", "lang", "source", "authors", "published")
+    path, root = staging_path(spark, "feed"), staging_path(spark, "feed-archive")
+    feeds.written(papers, namespaced=True).write.text(path)
+    feeds.archived(feeds.entries(spark.read.text(path)), root)
+    found = feeds.published_within(spark, root, _SINCE, _UNTIL)
+    return found.select("paper_id", "version", "primary_category", F.array_join("categories", ",").alias("categories"), "total", F.date_format("published", "yyyy-MM-dd").alias("published"), "abs_url", "pdf_url")
+
+
+@registered(f"""WITH e AS ({_RUN_EVENTS}), r AS (SELECT run, list_sort(list(DISTINCT event_type)) AS categories, min(at_) AS started, count(error) AS failed, max(at_) AS last FROM e GROUP BY 1),
+w AS (SELECT categories, first(last ORDER BY started DESC, run DESC) FILTER (failed = 0) AS mark, (SELECT max(ts) FROM events) AS until FROM r GROUP BY 1)
+SELECT array_to_string(categories, ',') AS categories, concat('(', array_to_string([concat('cat:', x) FOR x IN categories], ' OR '), ')', CASE WHEN mark IS NOT NULL THEN concat(' AND submittedDate:[', strftime(mark, '%Y%m%d%H%M'), ' TO ', strftime(until, '%Y%m%d%H%M'), ']') END) AS search_text FROM w""")
+def src5_search_texts(spark, sf_dir):
+    """What each set of categories is asked for next: from its watermark to the last event."""
+    events = _run_events(spark, sf_dir)
+    sets = events.groupBy("run").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("categories"), F.min("at").alias("started"))
+    marks = I.watermarks(I.ledger(events).join(sets, "run"))
+    out = sets.select("categories").distinct().join(marks, "categories", "left").crossJoin(F.broadcast(events.agg(F.max("at").alias("until"))))  # one row
+    return out.select("categories", feeds.search_text(F.split("categories", ","), F.col("watermark").cast("timestamp"), F.col("until").cast("timestamp")).alias("search_text"))
+
+
 @registered(f"SELECT doc_id, source, md5(text) AS text_md5, CAST({WORDS.format(SQUEEZE.format('text'))} AS BIGINT) AS n_words FROM documents")
 def src9_json_corpus(spark, sf_dir):
     """The corpus as JSON lines and back."""
