@@ -573,7 +573,7 @@ FLAGSHIP = rt6_rrf_fusion
 
 
 def _loaded() -> None:
-    for name in ("answering", "explaining", "ingesting"):
+    for name in ("answering", "explaining", "ingesting", "storing"):
         importlib.import_module(f"loomspan.jobs.{name}")
 
 
