@@ -1,12 +1,19 @@
-"""Queries of a store of bucketed tables: documents, then a harvest that has lost some abstracts or texts."""
+"""Queries of what is stored: bucketed tables, published evaluation runs, listings.
+
+The store takes documents, then a harvest that has lost some abstracts or texts.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspan.jobs.catalogue import ABSTRACT, HASH, TITLE, registered
+from loomspan.jobs.catalogue import ABSTRACT, ALL, CHUNKS, HASH, TITLE, all_scores, registered
 from loomspan.jobs.ingesting import _AGAIN, _again
+from loomspan.operators import ingest as I
+from loomspan.operators.evaluation import HEADLINE
+from loomspan.operators.runs import RunLog
 from loomspan.operators.store import Store
+from loomspan.sources.listing import Listing
 from loomspan.sources.staging import staging_path
 from loomspan.sources.tables import read
 
@@ -39,3 +46,53 @@ coalesce(array_to_string(list_slice(list(concat(doc_id, ': ', error) ORDER BY do
 def snk9_observed_ledger(spark, sf_dir):
     """Ledger rows of two ingests, counted while they wrote."""
     return _stored(spark, sf_dir).ledger().select("version", "status", "seen", "created", "updated", "skipped", "failed", "errors")
+
+
+# evaluation runs, published one after the other; the second is held to the first's baseline
+
+
+def _published(spark, sf_dir) -> tuple[RunLog, int]:
+    docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    scored = all_scores(spark, sf_dir)
+    known = {"papers": docs.count(), "chunks": I.chunk_table(docs).count(), "golden_set_version": 1, "top_k": 10}
+    log = RunLog(spark, staging_path(spark, "runs"))
+    first = log.publish(scored, known, "first")
+    log.write_baseline("gate", first, "hybrid")
+    seen = scored.join(items.where("item_id % 2 = 0").select("item_id"), "item_id", "left_semi")
+    return log, log.publish(seen, known, "second")
+
+
+_MEANS = lambda mode, where: f"(SELECT {', '.join(f'round(avg({m}), 6) AS {m}' for m in HEADLINE)}, count(*) AS queries FROM scored WHERE mode = '{mode}' AND {where})"
+_GATED = ["queries", *HEADLINE]
+
+
+@registered(f"""WITH RECURSIVE {CHUNKS},{ALL}, b AS {_MEANS('hybrid', 'true')}, a AS {_MEANS('bm25', 'item_id % 2 = 0')},
+k AS (SELECT (SELECT count(*) FROM documents) AS papers, (SELECT count(*) FROM chunked) AS chunks)
+{' UNION ALL '.join(f"SELECT '{c}' AS subject, CAST(b.{c} AS DOUBLE) AS before, CAST(a.{c} AS DOUBLE) AS after, {'b.queries <> a.queries' if c == 'queries' else f'a.{c} < b.{c} - 0.02'} AS failed FROM a, b" for c in _GATED)}
+UNION ALL SELECT 'papers', papers, papers, false FROM k UNION ALL SELECT 'chunks', chunks, chunks, false FROM k UNION ALL SELECT 'golden_set_version', 1, 1, false UNION ALL SELECT 'top_k', 10, 10, false""")
+def ev15_stored_gate(spark, sf_dir):
+    """The gate of a published run against a stored baseline."""
+    log, run = _published(spark, sf_dir)
+    return log.gate("gate", run, "bm25")
+
+
+@registered(f"""WITH {ALL} SELECT run, "commit", mode, count(*) AS queries, {', '.join(f'round(avg({m}), 6) AS {m}' for m in HEADLINE)} FROM (SELECT 0 AS run, 'first' AS "commit", * FROM scored UNION ALL SELECT 1, 'second', * FROM scored WHERE item_id % 2 = 0) GROUP BY ALL""")
+def snk10_published_runs(spark, sf_dir):
+    return _published(spark, sf_dir)[0].runs().select("run", "commit", "mode", "queries", *HEADLINE)
+
+
+# listings: every row has its place, and a page reads its own range
+
+_PLACED = "SELECT doc_id, source, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place FROM documents"
+
+
+@registered(f"SELECT * FROM ({_PLACED})")
+def src14_places(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return Listing.write(docs, [F.desc("n_chars"), F.asc("doc_id")], staging_path(spark, "listing")).rows()
+
+
+@registered(f"SELECT * FROM ({_PLACED}) WHERE place BETWEEN 121 AND 140")
+def src14_page(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return Listing.write(docs, [F.desc("n_chars"), F.asc("doc_id")], staging_path(spark, "listing")).page(7)
