@@ -17,7 +17,9 @@ STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or
 
 def squeezed(text: Column) -> Column:
     """White space collapsed to single spaces, none at the ends."""
-    return F.trim(F.regexp_replace(text, SPACES + "+", " "))
+    # single spaces, nearly all of it, are left as they are
+    odd = SPACES.replace("\x1c-\x20", "\x1c-\x1f")
+    return F.trim(F.regexp_replace(text, f"{SPACES}{SPACES}+|{odd}", " "))
 
 
 def title_of(text: Column) -> Column:
@@ -33,7 +35,10 @@ def content_hash(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    s = squeezed(text)
+    return words_of_squeezed(squeezed(text))
+
+
+def words_of_squeezed(s: Column) -> Column:
     return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, " "))).cast("long")
 
 
@@ -70,8 +75,11 @@ def english_words(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    parts = F.split(squeezed(text), r"(?<=[.!?])\s+(?=[A-Z0-9])")
-    return F.filter(parts, lambda s: F.trim(s) != "")
+    return sentences_of_squeezed(squeezed(text))
+
+
+def sentences_of_squeezed(s: Column) -> Column:
+    return F.filter(F.split(s, r"(?<=[.!?])\s+(?=[A-Z0-9])"), lambda x: F.trim(x) != "")
 
 
 def chunks(text: Column, ceiling: int = CHUNK_TOKENS) -> Column:
@@ -100,9 +108,10 @@ def chunks(text: Column, ceiling: int = CHUNK_TOKENS) -> Column:
         spans = F.aggregate(words, start, add, lambda s: F.concat(s["done"], F.array(F.struct(s["first"].alias("a"), s["i"].alias("b")))))
         return F.transform(spans, lambda x: F.array_join(F.slice(parts, x["a"], x["b"] - x["a"] + 1), " "))
 
-    # a list of one, so that the sentences are split once and not for every chunk
-    packed = F.element_at(F.transform(F.array(sentences(text)), joined), 1)
-    return F.when(token_estimate(text) <= ceiling, F.array(squeezed(text))).otherwise(packed)
+    # lists of one, so that a text is squeezed once and its sentences are split once
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+    fits = lambda s: F.ceil(words_of_squeezed(s) * TOKENS_A_WORD) <= ceiling
+    return once(squeezed(text), lambda s: F.when(fits(s), F.array(s)).otherwise(once(sentences_of_squeezed(s), joined)))
 
 
 def citations(answer: Column) -> Column:

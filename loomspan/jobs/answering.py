@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
-from loomspan.jobs.catalogue import BM, TRUTH, lexical, registered
+from loomspan.jobs.catalogue import BM, SQUEEZE, TRUTH, lexical, registered
 from loomspan.operators import answering as A
 from loomspan.operators import evaluation as E
 from loomspan.operators import retrieval as R
@@ -33,6 +33,8 @@ labels AS (SELECT item_id, list(doc_id) AS relevant FROM truth GROUP BY 1),
 swept AS (SELECT i.*, relevant IS NOT NULL AS answerable, abstained <> (relevant IS NOT NULL) AS correct,
   CASE WHEN len(cited_ids) > 0 THEN len([x FOR x IN cited_ids IF list_contains(coalesce(relevant, []), x)]) / len(cited_ids) END AS grounding FROM ids i LEFT JOIN labels USING (item_id))"""
 
+_TOKENS = "CAST(ceil(CASE WHEN {0} = '' THEN 0 ELSE len(string_split({0}, ' ')) END * 1.7::DOUBLE) AS BIGINT)"
+
 
 def _sweep(spark, sf_dir) -> DataFrame:
     items, item = read(spark, sf_dir, "benchmark"), F.col("item_id")
@@ -78,11 +80,11 @@ def ev20_failures(spark, sf_dir):
     return A.failures(_sweep(spark, sf_dir))
 
 
-@registered(f"{_SWEEP} SELECT CAST(sum(CASE WHEN NOT bare AND NOT degraded THEN length(query) END) AS BIGINT) AS prompt_tokens, CAST(sum(CASE WHEN NOT bare AND NOT degraded THEN length(text) END) AS BIGINT) AS completion_tokens, array_to_string(list_sort(list(DISTINCT concat('model-', item_id % 3)) FILTER (NOT bare AND NOT degraded)), ',') AS models FROM swept")
+@registered(f"{_SWEEP} SELECT CAST(sum(CASE WHEN NOT bare AND NOT degraded THEN {_TOKENS.format(SQUEEZE.format('query'))} END) AS BIGINT) AS prompt_tokens, CAST(sum(CASE WHEN NOT bare AND NOT degraded THEN {_TOKENS.format(SQUEEZE.format('text'))} END) AS BIGINT) AS completion_tokens, array_to_string(list_sort(list(DISTINCT concat('model-', item_id % 3)) FILTER (NOT bare AND NOT degraded)), ',') AS models FROM swept")
 def ag16_usage(spark, sf_dir):
     ran = _sweep(spark, sf_dir).where(~F.col("degraded") & (F.col("reason").isNull()))
     model = F.concat(F.lit("model-"), (F.col("item_id") % 3).cast("string"))
-    total = lambda c: F.sum(F.char_length(c)).cast("long")
+    total = lambda c: F.sum(T.token_estimate(F.col(c))).cast("long")
     return ran.agg(total("query").alias("prompt_tokens"), total("text").alias("completion_tokens"), F.array_join(F.array_sort(F.collect_set(model)), ",").alias("models"))
 
 

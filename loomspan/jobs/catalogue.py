@@ -333,6 +333,13 @@ def wn3_collapse_chunks(spark, sf_dir):
     return R.collapsed(hits, R.TOP_K)
 
 
+@registered(f"WITH RECURSIVE {CHUNKS},{_CHUNK_HITS.replace(f'rank <= {R.DEPTH}', 'rank <= 20')} SELECT * FROM (SELECT item_id, doc_id, best_chunk, row_number() OVER (PARTITION BY item_id ORDER BY first_rank) AS rank FROM best) WHERE rank <= 4")
+def tk8_overfetch(spark, sf_dir):
+    """Five times as many chunks as documents are asked for, collapsed and cut."""
+    index = stored_index(spark, sf_dir, "chunks", lambda docs: I.chunk_table(docs).withColumnRenamed("chunk_index", "chunk"))
+    return R.collapsed(R.bm25_parts(read(spark, sf_dir, "benchmark"), index, 5 * 4), 4).drop("extra_hits")
+
+
 # evaluation
 
 def all_scores(spark, sf_dir):

@@ -145,10 +145,12 @@ def rt15_envelope(spark, sf_dir):
     return R.envelopes(read(spark, sf_dir, "benchmark"), R.hybrid(runs), docs, "hybrid", R.TOP_K)
 
 
-@registered(f"WITH {BM},{DN},{HY} SELECT item_id, hy.doc_id, rank, {TITLE.format('text')} AS title, source FROM hy JOIN documents USING (doc_id)")
+@registered(f"{_DETAIL} SELECT item_id, x.doc_id, rank, {TITLE.format('text')} AS title, source, concat('Fused from ', concat_ws('; ', {_TOLD('bm25')}, {_TOLD('dense')}), '. Reciprocal rank fusion with k={R.RRF_K}.', CASE WHEN bm25_rank IS NULL OR dense_rank IS NULL THEN '{X.ALONE}' ELSE '' END) AS explanation FROM detail x JOIN documents d ON d.doc_id = x.doc_id")
 def prj6_tool_results(spark, sf_dir):
+    """Results with what they are and why they are there."""
     docs = read(spark, sf_dir, "documents").select("doc_id", T.title_of(F.col("text")).alias("title"), "source")
-    return both_fused(spark, sf_dir).select("item_id", "doc_id", "rank").join(docs, "doc_id")
+    why = X.fused_sentence(["bm25", "dense"], R.RRF_K).alias("explanation")
+    return both_fused(spark, sf_dir).select("item_id", "doc_id", "rank", why).join(docs, "doc_id")
 
 
 # comparisons and gates

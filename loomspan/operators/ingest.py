@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.functions.text import chunks, content_hash, token_estimate
+from loomspan.functions.text import TOKENS_A_WORD, chunks, content_hash, words_of_squeezed
 
 
 def classified(incoming: DataFrame, current: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def upserted(current: DataFrame, incoming: DataFrame) -> DataFrame:
 def chunk_table(docs: DataFrame) -> DataFrame:
     """(doc_id, chunk_index, text, token_estimate)."""
     out = docs.select("doc_id", F.posexplode(chunks(F.col("text"))).alias("chunk_index", "text"))
-    return out.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text", token_estimate(F.col("text")).alias("token_estimate"))
+    tokens = F.ceil(words_of_squeezed(F.col("text")) * TOKENS_A_WORD).cast("long")
+    return out.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text", tokens.alias("token_estimate"))
 
 
 def counters(actions: DataFrame) -> DataFrame:
