@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
-from loomspan.jobs.catalogue import BM, SQUEEZE, TRUTH, lexical, registered
+from loomspan.jobs.catalogue import BM, SQUEEZE, TRUTH, lexical, registered, relevant_documents
 from loomspan.operators import answering as A
-from loomspan.operators import evaluation as E
 from loomspan.operators import retrieval as R
 from loomspan.sources.staging import staged
 from loomspan.sources.tables import read
@@ -44,7 +43,7 @@ def _sweep(spark, sf_dir) -> DataFrame:
     kind = F.when(F.char_length("text") < 200, "short").otherwise("long")
     responses = items.select("item_id", F.col("text").alias("query"), kind.alias("class"), said.alias("text"), F.when(item % 11 == 0, "timed out").alias("failure"))
     answered = A.answers(responses, hits.select("item_id", F.col("rank").alias("number"), "doc_id"))
-    return staged(A.outcomes(answered, E.relevant(items, read(spark, sf_dir, "documents"))), "sweep")
+    return staged(A.outcomes(answered, relevant_documents(spark, sf_dir)), "sweep")
 
 
 @registered(f"{_SWEEP} SELECT item_id, abstained, degraded, CASE WHEN bare THEN 'no results to ground an answer in' WHEN degraded THEN failure END AS reason, CAST(len(cited) AS BIGINT) AS n_cited, CAST(len(invalid) AS BIGINT) AS n_invalid, len(cited) > 0 AND len(invalid) = 0 AS grounded FROM swept")

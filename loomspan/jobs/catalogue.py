@@ -201,6 +201,11 @@ def lexical(spark, sf_dir):
     return R.bm25(read(spark, sf_dir, "benchmark"), stored_index(spark, sf_dir))
 
 
+def relevant_documents(spark, sf_dir):
+    """(item_id, doc_id) of documents that hold the item's text."""
+    return E.containing(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), stored_index(spark, sf_dir))
+
+
 def dense_hits(spark, sf_dir):
     return R.dense(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"))
 
@@ -290,7 +295,7 @@ def rt9_rrf_k_sweep(spark, sf_dir):
     every = lists.withColumn("k", F.explode(F.array(*[F.lit(k).cast("long") for k in SWEEP])))
     s = every.groupBy("k", "item_id", "doc_id").agg(F.sum(1 / (F.col("k") + F.col("rank"))).alias("score"))
     runs = R.ranked(s.withColumn("by", F.struct("k", "item_id")), 10, "by", 9).withColumnRenamed("k", "mode")
-    scored = E.scores(runs, E.relevant(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")))
+    scored = E.scores(runs, relevant_documents(spark, sf_dir))
     return E.averages(scored, ["mode"], ["recall_10", "ndcg_10", "mrr"]).withColumnRenamed("mode", "k")
 
 
@@ -349,7 +354,7 @@ def all_scores(spark, sf_dir):
     for name, df in runs.items():
         one = df.select(F.lit(name).alias("mode"), "item_id", "doc_id", "rank")
         every = one if every is None else every.unionByName(one)
-    every, truth = staged(every, "runs"), E.relevant(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"))
+    every, truth = staged(every, "runs"), relevant_documents(spark, sf_dir)
     return staged(E.scores(every, staged(truth, "truth")), "scores")
 
 
@@ -360,13 +365,13 @@ def ev5_score_query(spark, sf_dir):
 
 @registered(f"WITH {TRUTH} SELECT * FROM truth")
 def ev6_relevance(spark, sf_dir):
-    return E.relevant(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"))
+    return relevant_documents(spark, sf_dir)
 
 
 @registered(f"WITH {BM},{TRUTH}, u AS (SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM truth)), c AS (SELECT u.item_id, count(doc_id) AS n FROM u LEFT JOIN (SELECT * FROM bm WHERE rank <= 10) USING (item_id) GROUP BY 1) SELECT CAST(count(*) AS BIGINT) AS queries, CAST(sum(n) AS BIGINT) AS returned, CAST(count(*) FILTER (n = 0) AS BIGINT) AS empty FROM c")
 def ev7_unanswerable(spark, sf_dir):
-    items, docs = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")
-    none = items.join(E.relevant(items, docs), "item_id", "left_anti").select("item_id")
+    items = read(spark, sf_dir, "benchmark")
+    none = items.join(relevant_documents(spark, sf_dir), "item_id", "left_anti").select("item_id")
     hits = lexical(spark, sf_dir).where("rank <= 10").groupBy("item_id").agg(F.count("*").alias("n"))
     out = none.join(hits, "item_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return out.agg(F.count("*").alias("queries"), F.sum("n").cast("long").alias("returned"), F.count_if(F.col("n") == 0).alias("empty"))
@@ -434,7 +439,7 @@ def ag17_leaders(spark, sf_dir):
 
 @registered(f"WITH {BM},{DN},{HY},{TRUTH} SELECT item_id, CAST(count(rank) AS BIGINT) AS hits, CAST(count(*) FILTER (rank IS NULL) AS BIGINT) AS misses, min(rank) AS first_hit FROM truth LEFT JOIN hy USING (item_id, doc_id) GROUP BY 1")
 def jn7_hits_and_misses(spark, sf_dir):
-    return E.hits_and_misses(both_fused(spark, sf_dir), E.relevant(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")))
+    return E.hits_and_misses(both_fused(spark, sf_dir), relevant_documents(spark, sf_dir))
 
 
 # the golden set: benchmark items, some blanked, repeated or of a class that isn't known

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
 from loomspan.functions.stemming import stem_sql, stemmed
-from loomspan.jobs.catalogue import ABSTRACT, ALL, APART, BM, CHUNKS, DN, HY, TITLE, TRUTH, all_scores, both_fused, dense_hits, lexical, registered, stored_index, unit_sql
+from loomspan.jobs.catalogue import ABSTRACT, ALL, APART, BM, CHUNKS, DN, HY, TITLE, TRUTH, all_scores, both_fused, dense_hits, lexical, registered, relevant_documents, stored_index, unit_sql
 from loomspan.operators import evaluation as E
 from loomspan.operators import explaining as X
 from loomspan.operators import ingest as I
@@ -208,7 +208,7 @@ def ev9_ablation(spark, sf_dir):
 def ev10_losses_detail(spark, sf_dir):
     from pyspark.sql import Window
 
-    truth = E.relevant(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"))
+    truth = relevant_documents(spark, sf_dir)
     hits = E.hits_and_misses(both_fused(spark, sf_dir), truth).select("item_id", "first_hit", F.col("misses").alias("missed"))
     place = F.row_number().over(Window.orderBy(F.desc("deficit"), "item_id")).cast("long")  # a report of lost queries
     return E.losses(all_scores(spark, sf_dir), "hybrid").join(hits, "item_id").withColumn("place", place)
@@ -242,7 +242,7 @@ def ag22_gated_classes(spark, sf_dir):
 @registered(f"WITH {TRUTH} SELECT count(DISTINCT doc_id) AS labelled, count(DISTINCT item_id) AS answerable, (SELECT count(*) FROM benchmark) - count(DISTINCT item_id) AS unanswerable FROM truth")
 def ag20_labelled(spark, sf_dir):
     items = read(spark, sf_dir, "benchmark")
-    truth = E.relevant(items, read(spark, sf_dir, "documents"))
+    truth = relevant_documents(spark, sf_dir)
     row = truth.agg(F.count_distinct("doc_id").alias("labelled"), F.count_distinct("item_id").alias("answerable"))
     return row.crossJoin(items.agg(F.count("*").alias("n"))).select("labelled", "answerable", (F.col("n") - F.col("answerable")).alias("unanswerable"))
 
@@ -272,14 +272,14 @@ def ev6_broken_runs(spark, sf_dir):
     first = F.first("doc_id").over(Window.partitionBy("item_id").orderBy("rank"))
     run = lexical(spark, sf_dir).where("rank <= 10").withColumn("first", first)
     run = run.select("item_id", F.when((F.col("item_id") % 5 == 0) & (F.col("rank") == 2), F.col("first")).otherwise(F.col("doc_id")).alias("doc_id"))
-    return E.broken_runs(run, E.relevant(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")))
+    return E.broken_runs(run, relevant_documents(spark, sf_dir))
 
 
 @registered(f"WITH {TRUTH} SELECT item_id, doc_id FROM truth JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) WHERE length({TITLE.format('d.text')}) > 20 AND contains(lower(concat(b.text, CASE WHEN item_id % 2 = 0 THEN {TITLE.format('d.text')} ELSE '' END)), lower({TITLE.format('d.text')}))")
 def flt11_title_quotes(spark, sf_dir):
     items, docs = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")
     titles = docs.select("doc_id", T.title_of(F.col("text")).alias("title"))
-    both = E.relevant(items, docs).join(titles, "doc_id").join(items, "item_id")
+    both = relevant_documents(spark, sf_dir).join(titles, "doc_id").join(items, "item_id")
     query = F.concat("text", F.when(F.col("item_id") % 2 == 0, F.col("title")).otherwise(""))
     return both.where((F.char_length("title") > 20) & F.contains(F.lower(query), F.lower("title"))).select("item_id", "doc_id")
 

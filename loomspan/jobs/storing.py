@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspan.jobs.catalogue import ABSTRACT, ALL, CHUNKS, HASH, TITLE, all_scores, registered
+from loomspan.jobs.catalogue import ABSTRACT, ALL, CHUNKS, HASH, TITLE, _embed_sql, all_scores, registered
 from loomspan.jobs.ingesting import _AGAIN, _again
 from loomspan.operators import ingest as I
+from loomspan.operators import retrieval as R
 from loomspan.operators.evaluation import HEADLINE
 from loomspan.operators.runs import RunLog
 from loomspan.operators.store import Store
@@ -48,6 +49,21 @@ def snk9_observed_ledger(spark, sf_dir):
     return _stored(spark, sf_dir).ledger().select("version", "status", "seen", "created", "updated", "skipped", "failed", "errors")
 
 
+_WHOLE = CHUNKS.replace("FROM documents", "FROM old")
+
+
+@registered(f"WITH RECURSIVE {_STORED},{_WHOLE}, c AS (SELECT concat(doc_id, '#', chunk_index) AS id, text FROM chunked), {_embed_sql('e', 'id', 'c')} SELECT k AS id, {R.BUCKETS} AS width, count(*) AS n_buckets, round(sum(weight * weight), 6) AS norm FROM e GROUP BY 1")
+def snk14_stored_vectors(spark, sf_dir):
+    """Hashed embeddings of a store's chunks, written beside them and read back."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    store = Store(spark, staging_path(spark, "store"), buckets).ingest(docs)
+    store.store_vectors(R.embedding_arrays(store.table("chunks"), ["doc_id", "chunk_index"]), R.BUCKETS)
+    kept = F.filter("vector", lambda x: x != 0)
+    norm = F.round(F.aggregate(kept, F.lit(0.0), lambda s, x: s + x * x), 6)
+    return store.table("vectors").select(F.concat_ws("#", "doc_id", "chunk_index").alias("id"), F.size("vector").cast("long").alias("width"), F.size(kept).cast("long").alias("n_buckets"), norm.alias("norm"))
+
+
 # evaluation runs, published one after the other; the second is held to the first's baseline
 
 

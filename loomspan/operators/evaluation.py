@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.operators.lexicon import Index
 from loomspan.sources.staging import staged
 
 KS = (1, 5, 10)
@@ -59,6 +60,25 @@ def relevant(items: DataFrame, docs: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def containing(items: DataFrame, docs: DataFrame, index: Index) -> DataFrame:
+    """(item_id, doc_id): what ``relevant`` gives, by an index of the documents' plain terms.
+
+    A text within a document may begin and end within words, but those between are whole: the
+    rarest of them names the documents that can hold the text, and only these are read for it.
+    Items of fewer than three words are looked for in all documents.
+    """
+    items = items.where("text <> ''").select("item_id", "text")
+    words = items.select("item_id", index.analysis.terms(F.col("text")).alias("w"))
+    inner = words.where(F.size("w") > 2).select("item_id", F.explode(F.array_distinct(F.slice("w", 2, F.size("w") - 2))).alias("term"))
+    inner = staged(inner, "inner-words")
+    known = index.vocabulary(inner.select("term").distinct())
+    rarest = inner.join(known, "term", "left").groupBy("item_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    held = staged(index.holding(staged(rarest, "rarest-words")), "candidates")
+    found = held.join(items, "item_id").join(docs.select("doc_id", F.col("text").alias("body")), "doc_id").where(F.contains("body", "text")).select("item_id", "doc_id").distinct()
+    few = staged(items.join(words.where(F.size("w") <= 2), "item_id", "left_semi"), "short-items")
+    return found if few.isEmpty() else found.unionByName(relevant(few, docs))
+
+
 def scores(runs: DataFrame, truth: DataFrame) -> DataFrame:
     """(mode, item_id, metrics) of items with relevant documents, for runs (mode, item_id, doc_id, rank).
 

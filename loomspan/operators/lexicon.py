@@ -329,6 +329,23 @@ class Index:
 
     # searching
 
+    def holding(self, asked: DataFrame) -> DataFrame:
+        """(item_id, doc_id) of documents that hold the item's term (item_id, term)."""
+        kind = dict(asked.dtypes)["item_id"]
+        blocks = self._rows("run string, term string, places binary, kind int", self.segments).where(F.col("part") >= 0).select("run", "term", "places")
+        hits = blocks.join(asked, "term").join(self._heads(self.segments).select("run", "ids"), "run")
+
+        def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for run, item, places, ids in zip(batch["run"], batch["item_id"], batch["places"], batch["ids"]):
+                    own = np.frombuffer(ids, np.int64)[np.frombuffer(places, np.int32)]
+                    yield pd.DataFrame({"run": run, "item_id": item, "doc_id": own})
+
+        out = hits.select("run", "item_id", "places", "ids").mapInPandas(found, f"run string, item_id {kind}, doc_id long")
+        dead = self._dead("run string, doc_id long")
+        out = out if dead is None else out.join(dead.distinct(), ["run", "doc_id"], "left_anti")
+        return out.select("item_id", "doc_id").distinct()
+
     def search(self, queries: DataFrame, depth: int) -> DataFrame:
         """(item_id, doc_id, chunk, score): each run's best for queries (item_id, text), all that may be among the best ``depth``."""
         from loomspan.sources.staging import staged

@@ -125,6 +125,16 @@ def embedded(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(F.col(key).alias("id"), vector(F.coalesce(words, F.array().cast("array<string>"))).alias("v"))
 
 
+def embedding_arrays(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, vector): the hashed embedding as an array of ``BUCKETS`` doubles."""
+
+    @F.pandas_udf("array<double>")
+    def opened(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: np.frombuffer(x, np.float64))
+
+    return embedded(df.select(F.struct(*keys).alias("key"), text), "key", text).select(*[F.col(f"id.{k}").alias(k) for k in keys], opened("v").alias("vector"))
+
+
 def _packed(rows: DataFrame, kind: str) -> DataFrame:
     """Rows of up to ``PACKED`` (id, v): no, ids and v as arrays."""
 

@@ -228,3 +228,18 @@ def test_stems_of_made_words_equal_the_definitions():
     ends = "s sses ies ed eed ing y ational ization iveness ness ful ical ion tion sion ement ment ent e ll able é ying".split()
     words = {"".join(rng.choices("aeiouybcdlstwxz", k=rng.randrange(0, 6))) + "".join(rng.choices(ends, k=rng.randrange(0, 3))) for _ in range(20_000)}
     assert {w: stem(w) for w in words} == {w: plain_stem(w) for w in words}
+
+
+def test_texts_are_found_through_their_rarest_inner_word(spark, tmp_path):
+    from loomspan.operators import evaluation
+
+    docs = [(10, "(Alpha beta gamma delta) tail"), (11, "so one two three."), (12, None), (13, "one  two three"), (14, "xalpha beta gamma deltay"), (15, "alpha beta  gamma delta"), (16, "a 检索 系统 b"), (17, "alpha beta gamma delt")]
+    items = [(1, "lpha beta gamma delta"), (2, "one two three"), (3, ""), (4, "lpha beta gamma delta"), (5, "two"), (6, "索 系"), (7, "o t"), (8, "beta zeta gamma x"), (9, None), (10, ") ta")]
+    docs, items = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    index = L.Index.build(docs, f"{tmp_path}/index")
+    want = sorted(map(tuple, evaluation.relevant(items, docs).collect()))
+    assert sorted(map(tuple, evaluation.containing(items, docs, index).collect())) == want
+    assert (1, 14) in want and (6, 16) in want and (7, 11) in want
+    gone = index.update(spark.createDataFrame([(14, "nothing")], DOCS))
+    left = docs.where("doc_id <> 14")
+    assert sorted(map(tuple, evaluation.containing(items, left, gone).collect())) == [x for x in want if x[1] != 14]
