@@ -17,7 +17,7 @@ ones count. Conversion and reading are dealt out by file.
 Defined cases: null html is an empty payload; a null or blank URL becomes
 ``about:blank``, white space in a URL is percent-encoded; a null page id is a record
 without id, the smallest of its group; repeated rows are records each; very long pages are
-files of their own; an empty table makes no file and no rows; other columns are ignored.
+written whole, and a file ends after the page that fills it; an empty table makes no file and no rows; other columns are ignored.
 """
 
 from __future__ import annotations

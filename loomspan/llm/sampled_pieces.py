@@ -403,24 +403,31 @@ def sample_segmentations(df: DataFrame, keys: list[str], text_col: str, model: s
     return out.select(*back, "sample", "ids", "n_pieces", "log_prob", "perturbed", "inclusion")
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """``name``, unless ``df`` has such a column, which would be lost."""
+    if name.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"there is a column {name} already")
+    return name
+
+
 def encode_texts(df: DataFrame, text_col: str, model: str, to: str = "ids") -> DataFrame:
-    """``df`` with a column ``to``: the model's own segmentation, as bytes; null counts as empty."""
+    """``df`` with a new column ``to``: the model's own segmentation, as bytes; null counts as empty."""
 
     @F.pandas_udf("binary")
     def ids(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: np.array(lattice(model).encode(t), "<u4").tobytes())
 
-    return df.withColumn(to, ids(text_col))
+    return df.withColumn(_free(df, to), ids(text_col))
 
 
 def decode_ids(df: DataFrame, ids_col: str, model: str, to: str = "decoded") -> DataFrame:
-    """``df`` with a column ``to``: the text of any segmentation; null counts as empty."""
+    """``df`` with a new column ``to``: the text of any segmentation; null counts as empty."""
 
     @F.pandas_udf("string")
     def decoded(ids: pd.Series) -> pd.Series:
         return ids.map(lambda x: lattice(model).decode(np.frombuffer(x or b"", "<u4").tolist()))
 
-    return df.withColumn(to, decoded(ids_col))
+    return df.withColumn(_free(df, to), decoded(ids_col))
 
 
 def op10_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

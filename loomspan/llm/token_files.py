@@ -13,7 +13,8 @@ table that Spark commits, names the file of the attempt that counts, so that rep
 lost tasks leave no trace in what is read.
 
 Defined cases: null text is empty (the end id alone); a null id sorts first and stays
-null; rows with equal ids follow each other in order of text; an empty table makes no
+null; rows with equal ids follow each other in order of text; very long texts are encoded
+whole, in a frame that is as long as it takes; an empty table makes no
 shard and reads back as no rows; other columns are ignored.
 """
 

@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+import pytest
 
-from loomspan.llm import multi_index, order_minhash, page_text
+from loomspan.llm import multi_index, order_minhash, page_text, sampled_pieces
 
 
 def test_scattered_edits_near_the_threshold_are_found(spark):
@@ -67,3 +68,11 @@ def test_text_of_its_own_stays_wherever_it_stands(spark):
             want[100 * h + i] = f"{a} {b} {c}"
     got = {r.page_id: r.text for r in page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == want
+
+
+def test_encoding_replaces_no_column(spark):
+    df = spark.createDataFrame([("a", b"")], "IDS string, decoded binary")
+    for f in (lambda: sampled_pieces.encode_texts(df, "IDS", "m"), lambda: sampled_pieces.decode_ids(df, "decoded", "m")):
+        with pytest.raises(ValueError, match="already"):
+            f()
+    assert sampled_pieces.encode_texts(df, "IDS", "m", "fresh").columns == ["IDS", "decoded", "fresh"]
