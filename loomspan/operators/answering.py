@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from loomspan.functions.text import abstained, citations
 
+# Fixed values of reports.
+NOTHING_FOUND = "no results to ground an answer in"
+PROBLEMS = ("refused a real question", "answered anyway")
+
 
 def answers(responses: DataFrame, passages: DataFrame) -> DataFrame:
     """Reads responses (item_id, text, failure) against passages (item_id, number, doc_id).
@@ -21,7 +25,7 @@ def answers(responses: DataFrame, passages: DataFrame) -> DataFrame:
     rows = responses.join(shelf, "item_id", "left")
     none, failed = F.col("shelf").isNull(), F.col("shelf").isNotNull() & F.col("failure").isNotNull()
     rows = rows.withColumn("abstained", none | (~failed & F.coalesce(abstained(F.col("text")), F.lit(False)))).withColumn("degraded", failed)
-    reason = F.when(none, "no results to ground an answer in").when(failed, F.col("failure"))
+    reason = F.when(none, NOTHING_FOUND).when(failed, F.col("failure"))
     silent = F.col("abstained") | F.col("degraded")
     empty = F.array().cast("array<bigint>")
     rows = rows.withColumn("reason", reason).withColumn("cited", F.when(silent, empty).otherwise(F.coalesce(citations(F.col("text")), empty)))
@@ -60,5 +64,5 @@ def report(swept: DataFrame) -> DataFrame:
 
 def failures(swept: DataFrame, chars: int = 52) -> DataFrame:
     """(item_id, class, query, problem) of every wrong decision to abstain."""
-    problem = F.when(F.col("answerable"), "refused a real question").otherwise("answered anyway")
+    problem = F.when(F.col("answerable"), PROBLEMS[0]).otherwise(PROBLEMS[1])
     return swept.where(~F.col("correct")).select("item_id", "class", F.substring("query", 1, chars).alias("query"), problem.alias("problem"))
