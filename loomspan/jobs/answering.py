@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from loomspan.functions import text as T
 from loomspan.jobs.catalogue import BM, SQUEEZE, TRUTH, lexical, registered, relevant_documents
 from loomspan.operators import answering as A
-from loomspan.operators import retrieval as R
 from loomspan.sources.staging import staged
 from loomspan.sources.tables import read
 

@@ -3,7 +3,6 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from loomspan.operators.evaluation import HEADLINE
 from loomspan.operators.runs import RunLog, commit_of
