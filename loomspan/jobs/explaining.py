@@ -17,14 +17,15 @@ from loomspan.sources.tables import read
 
 # requests: turns of conversations, whose modes and sizes come from their ids
 
-_REQUESTS = "SELECT conv_id, turn, trim(text) AS query, CASE turn % 5 WHEN 0 THEN 'bm25' WHEN 1 THEN 'dense' WHEN 2 THEN 'hybrid' WHEN 3 THEN 'fuzzy' END AS mode, CASE WHEN conv_id % 7 = 0 THEN NULL ELSE conv_id % 60 END AS top_k FROM conversations"
+_REQUESTS = f"SELECT conv_id, turn, regexp_replace(CASE WHEN turn % 6 = 1 THEN concat(chr(160), ' ', text, chr(8195), chr(10)) WHEN turn % 6 = 3 THEN concat(chr(12288), chr(9)) ELSE text END, '^{T.SPACES}+|{T.SPACES}+$', '', 'g') AS query, CASE turn % 5 WHEN 0 THEN 'bm25' WHEN 1 THEN 'dense' WHEN 2 THEN 'hybrid' WHEN 3 THEN 'fuzzy' END AS mode, CASE WHEN conv_id % 7 = 0 THEN NULL ELSE conv_id % 60 END AS top_k FROM conversations"
 
 
 @registered(f"SELECT conv_id, turn, CAST(length(query) AS BIGINT) AS n_chars, coalesce(mode, 'hybrid') AS mode, coalesce(top_k, 10) AS top_k, CASE WHEN query = '' THEN 'blank query' WHEN length(query) > 512 THEN 'long query' WHEN mode = 'fuzzy' THEN 'unknown mode' WHEN top_k NOT BETWEEN 1 AND 50 THEN 'top_k' END AS error FROM ({_REQUESTS})")
 def flt7_requests(spark, sf_dir):
     turn, conv = F.col("turn") % 5, F.col("conv_id")
     mode = F.when(turn == 0, "bm25").when(turn == 1, "dense").when(turn == 2, "hybrid").when(turn == 3, "fuzzy")
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim("text").alias("query"), mode.alias("mode"), F.when(conv % 7 != 0, conv % 60).alias("top_k"))
+    padded = F.when(F.col("turn") % 6 == 1, F.concat(F.lit("\u00a0 "), "text", F.lit("\u2003\n"))).when(F.col("turn") % 6 == 3, "\u3000\t").otherwise(F.col("text"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", padded.alias("query"), mode.alias("mode"), F.when(conv % 7 != 0, conv % 60).alias("top_k"))
     return R.requests(rows).select("conv_id", "turn", F.char_length("query").cast("long").alias("n_chars"), "mode", "top_k", "error")
 
 

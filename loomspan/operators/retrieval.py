@@ -279,14 +279,16 @@ MODES, LONGEST_QUERY, MOST_RESULTS = ("bm25", "dense", "hybrid"), 512, 50
 
 
 def requests(asked: DataFrame) -> DataFrame:
-    """Requests (query, mode, top_k) with defaults filled in, and ``error``: the first rule they break."""
+    """Requests (query, mode, top_k), trimmed and with defaults filled in, and ``error``: the first rule they break."""
+    query = F.coalesce(F.regexp_replace("query", f"^{SPACES}+|{SPACES}+$", ""), F.lit(""))
     error = (
-        F.when(F.coalesce(F.regexp_replace("query", SPACES, ""), F.lit("")) == "", "blank query")
+        F.when(F.col("query") == "", "blank query")
         .when(F.char_length("query") > LONGEST_QUERY, "long query")
         .when(~F.col("mode").isin(*MODES), "unknown mode")
         .when(~F.col("top_k").between(1, MOST_RESULTS), "top_k")
     )
-    return asked.withColumn("error", error).withColumn("mode", F.coalesce("mode", F.lit("hybrid"))).withColumn("top_k", F.coalesce("top_k", F.lit(TOP_K)))
+    out = asked.withColumn("query", query).withColumn("error", error)
+    return out.withColumn("mode", F.coalesce("mode", F.lit("hybrid"))).withColumn("top_k", F.coalesce("top_k", F.lit(TOP_K)))
 
 
 def envelopes(queries: DataFrame, hits: DataFrame, docs: DataFrame, mode: str, top_k: int) -> DataFrame:
