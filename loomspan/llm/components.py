@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.shared import table
+from loomspan.llm.shared import shuffled, table
 
 
 def _star(edges: DataFrame) -> DataFrame:
     """Joins every node's neighbours to the smallest of them and itself."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+    return edges.join(shuffled(least), "u")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         starred = _star(large)
         small = starred.select("u", F.col("m").alias("v")).unionByName(starred.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         edges = table(small.distinct(), "edges")
-        if edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
+        if edges.join(shuffled(edges.select(F.col("v").alias("u"))), "u", "left_semi").isEmpty():
             break  # no node is both a leaf and a centre: each component is one star
     roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component_id"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(roots)

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm.components import components
-from loomspan.llm.shared import table
+from loomspan.llm.shared import shuffled, table
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, AGREE = 16, 1
@@ -205,13 +205,13 @@ def _candidates(members: DataFrame, seed: int) -> DataFrame:
     )
     heads = heads.where("n > 1").select("bucket", F.col("head.id").alias("b"), F.col("head.marks").alias("other"))
     agree = F.size(F.filter(F.zip_with("marks", "other", lambda x, y: x == y), lambda x: x))
-    pairs = members.join(heads, "bucket").where("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"), agree.alias("agree"))
+    pairs = members.join(shuffled(heads), "bucket").where("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"), agree.alias("agree"))
     return pairs.where(F.col("agree") >= AGREE).distinct()
 
 
 def _apart(members: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The members with their ``part``, and the buckets that hold several parts."""
-    known = members.join(parts, "id", "left").withColumn("part", F.coalesce("component_id", "id")).drop("component_id")
+    known = members.join(shuffled(parts), "id", "left").withColumn("part", F.coalesce("component_id", "id")).drop("component_id")
     return known, known.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
 
 
@@ -224,30 +224,30 @@ def _root(joined: dict[int, int], x: int) -> int:
 def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, parts: DataFrame) -> DataFrame:
     """(a, b): links that join all components which a link within a bucket joins."""
     apart = table(_apart(members, parts)[1], "open-buckets")
-    open_ = table(members.join(apart, "bucket", "left_semi").select("id", "bucket", "j"), "open-members")
+    open_ = table(members.join(shuffled(apart), "bucket", "left_semi").select("id", "bucket", "j"), "open-members")
     ids = table(open_.select("id").distinct(), "open-ids")
 
     @F.pandas_udf("binary")
     def hashed(text: pd.Series) -> pd.Series:
         return text.map(lambda t: word_hashes(t).astype(np.uint32).tobytes())
 
-    words = texts.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").select("id", hashed("text").alias("words"))
+    words = texts.withColumnRenamed("doc_id", "id").join(shuffled(ids), "id", "left_semi").select("id", hashed("text").alias("words"))
     words = table(words, "open-words")
-    rows = classes.join(ids, "id", "left_semi").join(parts, "id", "left")
-    rows = rows.select("id", F.coalesce("component_id", "id").alias("part"), "n", "s", "counts").join(open_, "id")
+    rows = classes.join(shuffled(ids), "id", "left_semi").join(shuffled(parts), "id", "left")
+    rows = rows.select("id", F.coalesce("component_id", "id").alias("part"), "n", "s", "counts").join(shuffled(open_), "id")
     # texts of a pair are in the same step of lengths or in neighbouring ones
     rows = rows.withColumn("step", F.floor(F.log("n") / float(np.log(1 / SIMILARITY))))
     sizes = rows.groupBy("bucket", "j", "step").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_WORDS)).alias("blocks"))
     sizes = table(sizes, "open-sizes")
-    rows = rows.join(sizes, ["bucket", "j", "step"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    rows = rows.join(words, "id")
+    rows = rows.join(shuffled(sizes), ["bucket", "j", "step"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = rows.join(shuffled(words), "id")
     packed = rows.groupBy("bucket", "j", "step", "blocks", "block").agg(F.collect_list(F.struct("id", "part", "n", "s", "counts", "words")).alias("m"))
     packed = table(packed, "open-blocks")
     left = packed.select("bucket", "j", "step", "block", F.col("m").alias("x"))
-    same = left.join(sizes, ["bucket", "j", "step"]).withColumn("to", F.col("step"))
+    same = left.join(shuffled(sizes), ["bucket", "j", "step"]).withColumn("to", F.col("step"))
     same = same.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
     up = sizes.select("bucket", "j", (F.col("step") - 1).alias("step"), F.col("step").alias("to"), "blocks")
-    above = left.join(up, ["bucket", "j", "step"]).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    above = left.join(shuffled(up), ["bucket", "j", "step"]).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     columns = ["bucket", "j", "step", "block", "x", "to", "other"]
     left = same.select(*columns).unionByName(above.select(*columns))
     right = packed.select("bucket", "j", F.col("step").alias("to"), F.col("block").alias("other"), F.col("m").alias("y"))
@@ -290,7 +290,7 @@ def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, parts: Dat
                         linked.append(sorted((int(i[x]), int(k[y]))))
                 yield pd.DataFrame(linked, columns=["a", "b"], dtype=np.int64)
 
-    return left.join(right, ["bucket", "j", "to", "other"]).mapInPandas(compare, "a long, b long").distinct()
+    return left.join(shuffled(right), ["bucket", "j", "to", "other"]).mapInPandas(compare, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -304,7 +304,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    both = pairs.select("a", "b").join(shuffled(left), "a").join(shuffled(right), "b")
     return both.mapInPandas(align, "a long, b long, similarity double").dropDuplicates(["a", "b"])
 
 
@@ -319,9 +319,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = classes.select("id", marks.alias("marks"), F.posexplode("s").alias("j", "value"))
     members = members.select("id", "marks", "j", F.xxhash64("j", "value").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = table(members.join(shared, "bucket"), "shared-buckets")
+    members = table(members.join(shuffled(shared), "bucket"), "shared-buckets")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = table(docs.join(ids, "doc_id", "left_semi").distinct(), "shared-texts")
+    texts = table(docs.join(shuffled(ids), "doc_id", "left_semi").distinct(), "shared-texts")
     links, parts, seen = None, None, None
     for seed in range(1 + MORE_ROUNDS):
         if parts is None:
@@ -329,8 +329,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         else:
             known, apart = _apart(members, parts)
             one = F.min(F.struct(F.xxhash64("id", F.lit(seed)).alias("r"), "id", "marks")).alias("x")
-            of_part = known.join(apart, "bucket").groupBy("bucket", "part").agg(one).select("bucket", "x.id", "x.marks")
-            pairs = _candidates(of_part, seed).select("a", "b").join(seen, ["a", "b"], "left_anti")
+            of_part = known.join(shuffled(apart), "bucket").groupBy("bucket", "part").agg(one).select("bucket", "x.id", "x.marks")
+            pairs = _candidates(of_part, seed).select("a", "b").join(shuffled(seen), ["a", "b"], "left_anti")
         pairs = table(pairs, "pairs")
         found = table(_verified(pairs, texts).select("a", "b"), "links")
         if links is not None and found.isEmpty():
@@ -341,8 +341,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = table(_across(members, classes, texts, parts), "links")
     if not found.isEmpty():
         parts = table(components(links.unionByName(found)), "near-components")
-    classes = classes.join(parts, "id", "left").select("whole", F.coalesce("component_id", "id").alias("class_id"))
-    out = rows.join(classes, "whole", "left")
+    classes = classes.join(shuffled(parts), "id", "left").select("whole", F.coalesce("component_id", "id").alias("class_id"))
+    out = rows.join(shuffled(classes), "whole", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
@@ -353,7 +353,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     classes = near_duplicates(docs)
     gone = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti")
+    out = docs.join(shuffled(gone), "doc_id", "left_anti")
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null")
     if repeated.isEmpty():
         return out

@@ -24,6 +24,15 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return posixpath.join(base, f"{purpose}-{uuid.uuid4().hex}")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is sorted and merged, whatever its size seems to be.
+
+    Ids and hashes take many times the bytes of their compressed files in memory, where
+    the driver would hold each table that Spark takes for small enough to broadcast.
+    """
+    return df.hint("merge")
+
+
 def table(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back.
 
