@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.shared import table
+from loomspan.llm.shared import shuffled, table
 from loomspan.llm.suffix_sort import equal_prefix_groups
 
 LENGTH = 100
@@ -219,11 +219,11 @@ def _met_in_hot_buckets(scattered: DataFrame) -> DataFrame:
     rows = table(_unpacked(scattered), "hot-anchors")
     place = F.struct("doc", "start", "count")
     firsts = table(rows.groupBy("anchor", "context").agg(F.min(place).alias("first")), "first-contexts")
-    again = rows.join(firsts, ["anchor", "context"]).where(place != F.col("first"))
+    again = rows.join(shuffled(firsts), ["anchor", "context"]).where(place != F.col("first"))
     again = again.select("doc", "start", "count", F.lit(0).cast("long").alias("anchor"), F.lit(1).cast("long").alias("kind"))
     shared = firsts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     kind = F.when(F.col("n") > HOT, 3).otherwise(2).cast("long").alias("kind")
-    return again.unionByName(firsts.join(shared, "anchor").select("first.*", "anchor", kind))
+    return again.unionByName(firsts.join(shuffled(shared), "anchor").select("first.*", "anchor", kind))
 
 
 def _marks(scattered: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def _contexts(docs: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
     """Contexts to sort (bucket, doc, start, context) and hot windows (hash, doc, start)."""
     listed = marks.where("kind > 1").groupBy("doc").agg(F.collect_list(F.struct("start", "count", "anchor", "kind")).alias("marks"))
     # a left join on both uses of the documents, so that they share one exchange
-    rows = docs.select("doc", "text").join(listed, "doc", "left")
+    rows = docs.select("doc", "text").join(shuffled(listed), "doc", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -299,7 +299,7 @@ def _runs(doc: np.ndarray, at: np.ndarray) -> pd.DataFrame:
 def _hot_repeats(windows: DataFrame) -> DataFrame:
     """(doc, start, count) of the windows that have an equal one earlier, by their hash."""
     first = windows.groupBy("context").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = windows.join(first, "context").where(F.struct("doc", "start") != F.col("first"))
+    again = windows.join(shuffled(first), "context").where(F.struct("doc", "start") != F.col("first"))
     return again.select("doc", "start", F.lit(1).cast("long").alias("count"))
 
 
@@ -315,7 +315,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = _sorted_repeats(contexts.where("bucket >= 0")).unionByName(_hot_repeats(contexts.where("bucket < 0")))
     spans = marks.where("kind = 1").select("doc", "start", "count").unionByName(found)
     listed = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
-    return docs.join(listed, "doc", "left")
+    return docs.join(shuffled(listed), "doc", "left")
 
 
 def removed(n: int, spans, length: int = LENGTH) -> list[tuple[int, int]]:
