@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -34,12 +35,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Edges of words that one worker remembers (a reset before a group of texts), and
-#: characters of texts that are searched together.
-CACHE_EDGES, GROUP_CHARS = 1_500_000, 400_000
+#: Edges of words that one worker remembers (beyond them, before a group of texts, only the
+#: words most used stay), characters of texts that are searched together, and of new words
+#: that are added together.
+CACHE_EDGES, GROUP_CHARS, ADD_CHARS = 4_000_000, 200_000, 16_000
 #: The weight of a piece of a merge-ordered vocabulary is (rank + 2) to the minus this.
 RANK_POWER = 1.0
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: A character that ends words: beyond Unicode, so that no piece has it.
+_END = 0x1FFFFF
+#: Bits of a slot of the table of trie keys; -2 marks slots of several keys.
+_SLOT_BITS = 20
 
 _lattices: dict[str, "Lattice"] = {}
 
@@ -62,13 +68,21 @@ class _Growing:
         return self._all[: self.size]
 
 
+class _Numbered(dict):
+    """Numbers what is looked up, from 0."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 class Lattice:
     """Word lattices of one SentencePiece model.
 
-    Nodes are positions of words, numbered through; ``first`` says where a node's edges
-    begin. Of every edge there is the node that it leads to (-1: the word's end), its
-    conditional probability, that sum up to it on top of its node's number, and its piece
-    (below 0: several, of a character in bytes).
+    Nodes are positions of words, numbered through, and one without edges after each word;
+    ``first`` says where a node's edges begin. Of every edge there is the node that it leads
+    to (-1: the word's end), its conditional probability, the log of it, its node's
+    probabilities up to it, and its piece (below 0: several, of a character in bytes).
 
     ``ranked``: scores are merge ranks below 0, not log-probabilities.
     """
@@ -88,30 +102,52 @@ class Lattice:
         # pieces that don't mix letters with others let words be cut between them
         mixed = regex.compile(rf"{SPACE}*(\p{{L}}+|[^\p{{L}}{SPACE}]*)")
         apart = all(mixed.fullmatch(p) for p in self._pieces)
-        self._cut = regex.compile(rf"{SPACE}*\p{{L}}+|{SPACE}*[^\p{{L}}{SPACE}]+|{SPACE}+" if apart else rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        #: of every character 2 (white space), else 1 (letters, if they are cut from others) or 0
+        self._class = np.zeros(0x110000, np.uint8)
+        for run in regex.finditer(r"\p{L}+", "".join(map(chr, range(0x110000)))) if apart else ():
+            self._class[run.start() : run.end()] = 1
+        self._class[ord(SPACE)] = 2
         self._bytes = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self._byte_weight = min(w for _, w in self._pieces.values()) / math.e
         self._trie()
         self._reset()
 
     def _trie(self) -> None:
-        """States of a trie over the pieces: sorted keys of (state, character), the state
-        that each leads to, and of every state its piece (-1 for none) and weight."""
-        states, keys, ids, weights = {"": 0}, [], [-1], [0.0]
+        """States of a trie over the pieces: keys of (state, character), the state that each
+        leads to, and of every state its piece (-1 for none) and log-weight."""
+        states, keys, ids, weights = {"": 0}, [], [-1], [1.0]
         for piece, (i, weight) in self._pieces.items():
             for q in range(1, len(piece) + 1):
                 if piece[:q] not in states:
                     states[piece[:q]] = len(states)
                     keys.append(((states[piece[: q - 1]] << 21) + ord(piece[q - 1]), states[piece[:q]]))
                     ids.append(-1)
-                    weights.append(0.0)
+                    weights.append(1.0)
             ids[states[piece]], weights[states[piece]] = i, weight
         keys.sort()
         self._keys, self._to = (np.array(x, np.int64) for x in zip(*keys))
-        self._id_of, self._weight_of = np.array(ids), np.array(weights)
+        self._id_of, self._log_of = np.array(ids), np.log(weights)
+        slots = self._slot(self._keys)
+        self._slots = np.full(1 << _SLOT_BITS, -1, np.int32)
+        self._slots[slots] = np.arange(len(slots))
+        self._slots[np.bincount(slots, minlength=1 << _SLOT_BITS) > 1] = -2
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _ODD) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+    def _follow(self, state: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which states go on with their character, and to which states these do."""
+        key = (state << 21) + char
+        hit = self._slots[self._slot(key)]
+        shared = np.flatnonzero(hit == -2)
+        if len(shared):
+            hit[shared] = np.minimum(np.searchsorted(self._keys, key[shared]), len(self._keys) - 1)
+        good = np.flatnonzero((hit >= 0) & (self._keys[hit] == key))
+        return good, self._to[hit[good]]
 
     def _reset(self) -> None:
-        self._words: dict[str, int] = {}
+        self._words, self._root, self._uses = _Numbered(), _Growing(np.int64), _Growing(np.int64)
         self._several: list[tuple[int, ...]] = []
         self._first, self._next, self._piece = _Growing(np.int32), _Growing(np.int32), _Growing(np.int32)
         self._share, self._log, self._upto = _Growing(np.float64), _Growing(np.float64), _Growing(np.float64)
@@ -125,221 +161,303 @@ class Lattice:
 
     def roots(self, texts: list[str | None]) -> list[np.ndarray]:
         """Of each text the first node of each word's lattice, for the model's normal form of it."""
-        cut, found = self._cut.findall, self._words
-        words = [cut(self.model.normalize(t)) if t else [] for t in texts]
-        new = dict.fromkeys([w for own in words for w in own if w not in found])
-        if new:
-            self._add(list(new))
-        return [np.fromiter(map(found.__getitem__, own), np.int64, len(own)) for own in words]
+        words, found = self._words, [self.model.normalize(t) if t else "" for t in texts]
+        sizes, text, known = np.array([len(t) for t in found], np.int64), "".join(found), len(words)
+        kind = self._class[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        # a word is white space and then characters of one class; none goes on in the next text
+        ends = np.cumsum(sizes)
+        begins = np.ones(len(kind), bool)
+        begins[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != 2)
+        begins[(ends - sizes)[sizes > 0]] = True
+        begin = np.flatnonzero(begins)
+        at = begin.tolist()
+        number = np.array(list(map(words.__getitem__, map(text.__getitem__, map(slice, at, [*at[1:], len(text)])))), np.int64)
+        if len(words) > known:
+            self._add(list(islice(words, known, None)))
+        uses = self._uses.array
+        uses += np.bincount(number, minlength=len(uses))
+        return np.split(self._root.array[number], np.searchsorted(begin, ends[:-1]))
 
     def _add(self, words: list[str]) -> None:
-        """Adds the lattices of new words; edges of a node stand in falling order of probability."""
+        """Adds the lattices of new words, some at a time."""
+        part, held = [], 0
+        for word in words:
+            part.append(word)
+            held += len(word)
+            if held >= ADD_CHARS:
+                self._add_part(part)
+                part, held = [], 0
+        if part:
+            self._add_part(part)
+
+    def _add_part(self, words: list[str]) -> None:
+        """Adds the lattices of words; edges of a node stand in falling order of length."""
         sizes = np.array([len(w) for w in words])
-        text = "".join(words)
+        stops = np.cumsum(sizes + 1) - 1
+        text = "\0".join(words) + "\0"
         chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        chars[stops] = _END
         n = len(chars)
-        ends = np.cumsum(sizes)
-        end = np.repeat(ends, sizes)
+        left = np.repeat(stops, sizes + 1) - np.arange(n)
         # every piece that begins at every position, by a walk of all positions through the trie
-        at, state, step, found = np.arange(n), np.zeros(n, np.int64), 0, []
+        at, step, found = np.flatnonzero(left), 0, []
+        state = np.zeros(len(at), np.int64)
         while len(at):
-            key = (state << 21) + chars[at + step]
-            hit = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-            good = self._keys[hit] == key
-            at, state, step = at[good], self._to[hit[good]], step + 1
-            whole = self._id_of[state] >= 0
-            found.append((at[whole], np.full(whole.sum(), step), state[whole]))
-            on = at + step < end[at]
-            at, state = at[on], state[on]
-        begin, length, state = (np.concatenate(x) for x in zip(*found))
-        piece, weight = self._id_of[state], self._weight_of[state]
+            good, state = self._follow(state, chars[at + step])
+            at, step = at[good], step + 1
+            whole = np.flatnonzero(self._id_of[state] >= 0)
+            found.append((at[whole], state[whole]))
+        wide = len(found)
+        lengths = np.arange(wide, 0, -1)
+        # positions stand by what is left of their words, so that a step back is a slice
+        order = np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        log, piece = np.full((wide, n), -np.inf), np.zeros((n, wide), np.int32)
+        for step, (at, state) in enumerate(found, 1):
+            log[wide - step, rank[at]] = self._log_of[state]
+            piece[at, wide - step] = self._id_of[state]
         # characters without a piece
-        bare = np.setdiff1d(np.arange(n), begin[length == 1])
+        bare = np.flatnonzero((log[wide - 1][rank] == -np.inf) & (left > 0))
         if len(bare):
             raw = [text[i].encode("utf-8", "surrogatepass") for i in bare.tolist()]
-            k = len(self._several)
+            piece[bare, wide - 1] = -len(self._several) - 1 - np.arange(len(bare))
+            log[wide - 1, rank[bare]] = np.log(self._byte_weight) * np.array([len(r) for r in raw])
             self._several.extend([tuple([self._bytes[b] for b in r]) for r in raw])
-            begin, length = np.concatenate([begin, bare]), np.concatenate([length, np.ones(len(bare), np.int64)])
-            piece = np.concatenate([piece, -k - 1 - np.arange(len(bare))])
-            weight = np.concatenate([weight, [self._byte_weight ** len(r) for r in raw]])
         # log-sums of what lies below, from the ends of words backwards, all words at once
-        log, below = np.log(weight), np.zeros(n + 1)
-        left = end[begin] - begin
-        order = np.lexsort((begin, left))
-        begin, length, piece, log, left = begin[order], length[order], piece[order], log[order], left[order]
-        down = np.empty(len(begin))
-        cuts = np.searchsorted(left, np.arange(1, left.max() + 2))
+        below = np.zeros(n + wide)
+        cuts = np.cumsum(np.bincount(left)).tolist()
         for a, b in zip(cuts, cuts[1:]):
-            to = begin[a:b] + length[a:b]
-            own = log[a:b] + np.where(to < end[begin[a:b]], below[to], 0.0)
-            first = np.flatnonzero(np.diff(begin[a:b], prepend=-1))
-            most = np.maximum.reduceat(own, first)
-            wide = np.diff(np.append(first, b - a))
-            total = most + np.log(np.add.reduceat(np.exp(own - np.repeat(most, wide)), first))
-            below[begin[a:b][first]] = total
-            down[a:b] = own - np.repeat(total, wide)
-        share = np.maximum(np.exp(down), 1e-300)
-        order = np.lexsort((-share, begin))
-        begin, length, piece, share = begin[order], length[order], piece[order], share[order]
-        base = self._first.size - 1
+            here, own = order[a:b], log[:, a:b]
+            own += below[here + lengths[:, None]]
+            most = own.max(0)
+            own -= most
+            top = own == 0
+            others = np.exp(own)
+            others[top] = 0.0
+            total = np.log1p(others.sum(0) + (top.sum(0) - 1))  # exact beside a piece that leaves next to nothing
+            below[here] = most + total
+            own -= total
+        log = log.T[rank].ravel()
+        edge = np.flatnonzero(log > -np.inf)
+        log, piece = log[edge], piece.ravel()[edge]
+        begin = edge // wide
+        to = begin + lengths[edge - begin * wide]
         upto = np.cumsum(np.bincount(begin, minlength=n))
+        share = np.maximum(np.exp(log), 1e-300)
         sums = np.concatenate([[0.0], np.cumsum(share)])
-        before = sums[np.concatenate([[0], upto[:-1]])]
-        to = begin + length
-        self._upto.extend(base + begin + np.minimum(sums[1:] - before[begin], 1.0))
+        base = self._first.size - 1
+        self._upto.extend(np.minimum(sums[1:] - sums[np.concatenate([[0], upto[:-1]])][begin], 1.0))
         self._first.extend(self._next.size + upto)
         self._share.extend(share)
-        self._log.extend(np.log(share))  # 0 where there is no choice
-        self._next.extend(np.where(to < end[begin], base + to, -1))
+        self._log.extend(np.maximum(log, math.log(1e-300)))  # 0 where there is no choice
+        self._next.extend(np.where(left[to] > 0, base + to, -1))
         self._piece.extend(piece)
-        self._words.update(zip(words, (base + ends - sizes).tolist()))
+        self._root.extend(base + stops - sizes)
+        self._uses.extend(np.zeros(len(words), np.int64))
 
     def make_room(self) -> None:
-        if self._next.size > CACHE_EDGES:
-            self._reset()
-
-    def ids(self, edges: np.ndarray) -> np.ndarray:
+        """Keeps, if there are too many edges, half as many of them, of the words most used (more than once)."""
+        if self._next.size <= CACHE_EDGES:
+            return
+        words, several = list(self._words), self._several
+        first, root, uses = self._first.array, self._root.array, self._uses.array
+        nodes = np.diff(root, append=len(first) - 1)
+        edges = first[root + nodes] - first[root]
+        order = np.argsort(-uses, kind="stable")
+        keep = uses > 1
+        keep[order[np.cumsum(edges[order]) > CACHE_EDGES // 2]] = False
+        node, edge = np.repeat(keep, nodes), np.repeat(keep, edges)
+        moved = np.append(np.cumsum(node) - 1, -1)
+        to, piece = moved[self._next.array[edge]], self._piece.array[edge]
+        bare = np.flatnonzero(piece < 0)
+        kept = [several[-i - 1] for i in piece[bare].tolist()]
+        piece[bare] = -1 - np.arange(len(bare))
+        columns = [(name, getattr(self, name).array[edge]) for name in ("_share", "_log", "_upto")]
+        sizes, root, uses = np.diff(first)[node], moved[root[keep]], uses[keep] // 2
+        self._reset()
+        self._several = kept
+        for name, column in (*columns, ("_next", to), ("_piece", piece), ("_first", np.cumsum(sizes)), ("_root", root), ("_uses", uses)):
+            getattr(self, name).extend(column)
+        for i in np.flatnonzero(keep).tolist():
+            self._words[words[i]]
+
+    def ids(self, edges: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of segmentations that follow one another, ``sizes`` edges each, and their numbers of pieces."""
         found = self._piece.array[edges]
         several = np.flatnonzero(found < 0)
         if not len(several):
-            return found
-        sizes = np.ones(len(found), np.int64)
-        sizes[several] = [len(self._several[-i - 1]) for i in found[several].tolist()]
-        out, at = np.repeat(found, sizes), np.cumsum(sizes) - sizes
-        for i, j in zip(several.tolist(), at[several].tolist()):
-            out[j : j + sizes[i]] = self._several[-found[i] - 1]
-        return out
+            return found, sizes
+        runs = [self._several[-i - 1] for i in found[several].tolist()]
+        more = np.array([len(r) - 1 for r in runs])
+        out = np.insert(found, np.repeat(several + 1, more), 0) if more.any() else found
+        at = several + np.cumsum(more) - more
+        for i, run in zip(at.tolist(), runs):
+            out[i : i + len(run)] = run
+        ends = np.cumsum(sizes)
+        beyond = np.concatenate([[0], np.cumsum(more)])
+        upto = lambda x: x + beyond[np.searchsorted(several, x)]
+        return out, upto(ends) - upto(ends - sizes)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A number between 0 and 1, both excluded, for every hash; overwrites the hashes."""
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    x >>= np.uint64(12)
+    out = x.astype(np.float64)
+    out += 0.5
+    out *= 2.0**-52
+    return out
 
 
-def _uniform(seed: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A number between 0 and 1, both excluded, for every seed and place."""
-    x = seed + at.astype(np.uint64) * _ODD
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+def _hash(seed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What ``_mix`` takes, for every seed and place."""
+    return seed + np.atleast_1d(np.asarray(at).astype(np.uint64)) * _ODD
 
 
 def key_seed(key: object, seed: int) -> int:
     return int.from_bytes(blake2b(f"{seed}|{key}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-def _down(lat: Lattice, node: np.ndarray, slot: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Walks from every node to its word's end: (walk, node, edge) of all steps, walk by walk."""
+def _down(lat: Lattice, node: np.ndarray, slot: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Walks from every node to its word's end: all edges, walk by walk, and where each walk begins, and the last ends."""
     first, following, upto = lat._first.array, lat._next.array, lat._upto.array
-    walk, step, out = np.arange(len(node)), 0, []
+    noise = _hash(seed, slot << 32)
+    walk, step, out, size = np.arange(len(node)), 0, [], np.zeros(len(node), np.int64)
     while len(node):
         edge = first[node]
-        several = np.flatnonzero(first[node + 1] - edge > 1)
+        last = first[node + 1] - 1
+        several = np.flatnonzero(last > edge)
         if len(several):
-            n = node[several]
-            u = _uniform(seed[several], slot[several] * 65536 + step)
-            # edges stand in falling order of probability, so that few steps find most
-            target, here, last = n + u, edge[several], first[n + 1] - 1
-            beyond = np.flatnonzero((upto[here] <= target) & (here < last))
+            u = _mix(_hash(noise[several], np.uint64(step)))
+            here, last = edge[several], last[several]
+            # long pieces stand first, so that few steps find most
+            beyond = np.flatnonzero(upto[here] <= u)
+            beyond = beyond[here[beyond] < last[beyond]]
             while len(beyond):
-                here[beyond] += 1
-                beyond = beyond[(upto[here[beyond]] <= target[beyond]) & (here[beyond] < last[beyond])]
+                at = here[beyond] + 1
+                here[beyond] = at
+                beyond = beyond[(upto[at] <= u[beyond]) & (at < last[beyond])]
             edge[several] = here
-        out.append((walk, node, edge))
+        out.append((walk, edge))
+        step += 1
         to = following[edge]
         on = np.flatnonzero(to >= 0)
-        node, slot, seed, walk, step = to[on], slot[on], seed[on], walk[on], step + 1
-    if not out:
-        return walk, node, node
-    walk, node, edge = (np.concatenate(x) for x in zip(*out))
-    order = np.argsort(walk, kind="stable")
-    return walk[order], node[order], edge[order]
+        size[walk] = step
+        node, noise, walk = to[on], noise[on], walk[on]
+    begin = np.concatenate([[0], np.cumsum(size)])
+    edges = np.empty(begin[-1], np.int64)
+    for step, (walk, edge) in enumerate(out):
+        edges[begin[walk] + step] = edge
+    return edges, begin
+
+
+def _truncated(value: float, mass: float, u: float) -> float:
+    """The largest Gumbel of a set of this log-mass, truncated at ``value``."""
+    a, b = -value, math.log(-math.log(u)) - mass
+    return -(max(a, b) + math.log1p(math.exp(-abs(a - b))))
+
+
+def _leaving(log: np.ndarray, total: float, u: float) -> int:
+    """A step of a path, drawn by the masses that leave it at its steps; ``total``: the sum of ``log``, below 0."""
+    bound, end = -math.log1p(u * math.expm1(total)), 64
+    while True:
+        sums = -np.cumsum(log[:end])
+        if sums[-1] > bound:
+            return int(np.searchsorted(sums, bound, "right"))
+        if end >= len(log):  # by rounding alone
+            return int(np.flatnonzero(log)[-1])
+        end *= 8
 
 
-@np.errstate(divide="ignore")
 def sample(lat: Lattice, texts: list[np.ndarray], seeds: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Of each text (roots of its words) up to ``k`` distinct (edges, log-probability, perturbed value, inclusion score)."""
     first, share, log_share, following = lat._first.array, lat._share.array, lat._log.array, lat._next.array
     m = len(texts)
     seeds = np.array(seeds, np.uint64)
-    start = -np.log(-np.log(_uniform(seeds, np.zeros(m, np.int64))))
-    empty = np.zeros(0, np.int64)
-    #: value, log-mass, log-probability of the prefix, path it leaves, where, edges shut
-    queues: list[list[tuple]] = [[(float(v), 0.0, 0.0, None, 0, ())] for v in start]
+    #: value, log-probability of the prefix, path it leaves, between which steps, their log-probability, edges shut
+    start = -np.log(-np.log(_mix(_hash(seeds, np.zeros(m, np.int64)))))
+    queues: list[list[tuple]] = [[(v, 0.0, None, 0, 0, 0.0, ())] for v in start.tolist()]
     found: list[list[tuple]] = [[] for _ in texts]
     for round_ in range(k):
         live = [t for t in range(m) if queues[t]]
         if not live:
             break
-        value, mass, prefix = np.zeros(m), np.zeros(m), np.zeros(m)
-        before: dict[int, tuple] = {}
-        roots, slots, owners = [], [], []  # walks: word lattices, or what is left of one
-        special: list[tuple] = []  # text, node, edge, log-share of what was open, log-share, slot, edges shut
         own = seeds + np.uint64((round_ + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
-        turn = _uniform(own, np.full(m, 1 << 50)).tolist()
+        draws = _mix(_hash(own[:, None], np.arange(6).astype(np.uint64) + np.uint64(1 << 63))).tolist()
+        # of every text that is searched on, all words are walked down
+        sizes = np.array([len(texts[t]) for t in live])
+        bases = np.cumsum(sizes) - sizes
+        slot = np.arange(sizes.sum()) - np.repeat(bases, sizes)
+        walked, begin = _down(lat, np.concatenate([texts[t] for t in live]), slot, np.repeat(own[live], sizes))
+        logs = log_share[walked]
+        turns = []
         for t in live:
             best = max(range(len(queues[t])), key=lambda i: queues[t][i][0])
-            value[t], mass[t], prefix[t], path, at, shut = queues[t].pop(best)
-            words = texts[t]
+            value, prefix, path, a, b, total, shut = queues[t].pop(best)
             if path is None:
-                before[t] = (empty, empty, empty)
-                roots.append(words)
-                slots.append(np.arange(len(words)))
-                owners.append(np.full(len(words), t))
+                turns.append((t, value, prefix, None, 0, -1, -1, -1))
                 continue
-            nodes, edges, of = path
-            before[t] = (nodes[:at], edges[:at], of[:at])
-            node, w = int(nodes[at]), int(of[at])
+            whole, log, shift, word, heads, marks = path
+            u = draws[t]
+            v = a
+            if not shut:
+                v += _leaving(log[a:b], total, u[0])
+                if v > a:
+                    gone = float(log[a:v].sum())
+                    if gone < 0:
+                        queues[t].append((_truncated(value, prefix + math.log(-math.expm1(gone)), u[1]), prefix, path, a, v, gone, ()))
+                    prefix += gone
+                rest = float(log[v + 1 : b].sum())
+                if rest < 0:
+                    then = prefix + float(log[v])
+                    queues[t].append((_truncated(value, then + math.log(-math.expm1(rest)), u[2]), then, path, v + 1, b, rest, ()))
+                shut = (int(whole[shift + v]),)
+            node = int(np.searchsorted(first, np.int32(shut[0]), "right")) - 1
             open_ = [e for e in range(int(first[node]), int(first[node + 1])) if e not in shut]
             shares = [float(share[e]) for e in open_]
-            total, pick = sum(shares), len(open_) - 1
-            u = turn[t] * total
+            pick, rest = len(open_) - 1, u[3] * sum(shares)
             for i, p in enumerate(shares):
-                u -= p
-                if u < 0:
+                rest -= p
+                if rest < 0:
                     pick = i
                     break
             e = open_[pick]
-            special.append((t, node, e, math.log(shares[pick] / total) if len(open_) > 1 else 0.0, math.log(shares[pick]), w, (*shut, e)))
-            to = int(following[e])
-            rest = np.arange(w + 1, len(words))
-            roots.append(np.concatenate([[to], words[w + 1 :]]) if to >= 0 else words[w + 1 :])
-            slots.append(np.concatenate([[w], rest]) if to >= 0 else rest)
-            owners.append(np.full(len(slots[-1]), t))
-        root, slot, owner = (np.concatenate(x) for x in (roots, slots, owners))
-        walk, node, edge = _down(lat, root, slot, own[owner])
-        log = logq = log_share[edge]
-        text, of, shut_of = owner[walk], slot[walk], {}
-        if special:
-            t0, n0, e0, q0, p0, w0, shuts = zip(*special)
-            text, node, edge = np.concatenate([t0, text]), np.concatenate([n0, node]), np.concatenate([e0, edge])
-            logq, log, of = np.concatenate([q0, logq]), np.concatenate([p0, log]), np.concatenate([w0, of])
-            order = np.argsort(text, kind="stable")  # a text's special step comes first
-            text, node, edge, logq, log, of = (x[order] for x in (text, node, edge, logq, log, of))
-            shut_of = dict(zip(t0, shuts))
-        size = np.bincount(text, minlength=m)
-        end = np.cumsum(size)
-        begin = end - size
-        sums = lambda x, base: (c := np.concatenate([[0.0], np.cumsum(x)]))[1:] - c[begin][text] + base[text]
-        path, logs = sums(logq, mass), sums(log, prefix)
-        pick = np.flatnonzero(logq < 0)
-        whose, q = text[pick], logq[pick]
-        rest = path[pick] - q + np.log(-np.expm1(q))
-        noise = -np.log(_uniform(own[whose], (pick - begin[whose]) + (1 << 51)))
-        # Gumbels of what was left aside, truncated at this path's value
-        left, deep = np.empty(len(pick)), (rest < -600) | (value[whose] < -600)
-        left[~deep] = -np.log(np.exp(-value[whose[~deep]]) + noise[~deep] * np.exp(-rest[~deep]))
-        left[deep] = -np.logaddexp(-value[whose[deep]], np.log(noise[deep]) - rest[deep])
-        order = np.lexsort((-left, whose))
-        of_text = text[pick[order]]
-        place = np.arange(len(order)) - np.searchsorted(of_text, of_text)
-        need = k - round_
-        for t in live:
-            a, b = begin[t], end[t]
-            whole = tuple(np.concatenate([x, y[a:b]]) for x, y in zip(before[t], (node, edge, of)))
-            found[t].append((whole[1], float(logs[b - 1]) if b > a else float(prefix[t]), float(value[t])))
-            before[t] = (whole, len(before[t][0]) - a)
-        for j in order[place < need].tolist():
-            v = int(pick[j])
-            t = int(text[v])
-            whole, shift = before[t]
-            shut = shut_of[t] if v == begin[t] and t in shut_of else (int(edge[v]),)
-            queues[t].append((float(left[j]), float(rest[j]), float(logs[v] - log[v]), whole, v + int(shift), shut))
+            if v >= heads:
+                word += int(np.searchsorted(marks, marks[0] + v - heads, "right"))
+            if len(open_) > 1:
+                mass = prefix + math.log(sum(shares[:pick]) + sum(shares[pick + 1 :]))
+                queues[t].append((_truncated(value, mass, u[4]), prefix, path, v, v + 1, 0.0, (*shut, e)))
+            turns.append((t, value, prefix, path, v, word, e, int(following[e])))
+        # what is left of words that were left within
+        parts = [(to, w, t) for t, *_, w, _, to in turns if to >= 0]
+        to, w, t = np.array(parts, np.int64).reshape(-1, 3).T
+        short, cut = _down(lat, to, w, own[t])
+        done = 0
+        for (t, value, prefix, path, v, w, e, to), base, size in zip(turns, bases.tolist(), sizes.tolist()):
+            part, shift, head = slice(begin[base + w + 1], begin[base + size]), 0, []
+            whole, log = walked[part], logs[part]
+            then, rest = prefix, float(log.sum())
+            if path is not None:
+                head, shift = [e], path[2] + v
+                if to >= 0:
+                    head += short[cut[done] : cut[done + 1]].tolist()
+                    done += 1
+                whole = np.concatenate([path[0][:shift], head, whole])
+                own_logs = log_share[head]
+                then += float(own_logs[0])
+                rest += float(own_logs[1:].sum())
+                if round_ + 1 < k:
+                    log = np.concatenate([own_logs, log])
+            found[t].append((whole, then + rest, value))
+            if rest < 0:
+                mass = then + math.log(-math.expm1(rest))
+                left = (whole, log, shift, w, len(head), begin[base + w + 1 : base + size + 1])
+                queues[t].append((_truncated(value, mass, draws[t][5]), then, left, min(len(head), 1), len(log), rest, ()))
     out = []
     for t in range(m):
         bound = max([q[0] for q in queues[t]], default=-math.inf)
@@ -379,14 +497,16 @@ def sample_segmentations(df: DataFrame, keys: list[str], text_col: str, model: s
         for own, texts in groups(batches):
             lat.make_room()
             drawn = sample(lat, lat.roots(texts), [key_seed(x, seed) for x in own], k)
-            rows = [(key, n, lat.ids(e), log, value, score) for key, of in zip(own, drawn) for n, (e, log, value, score) in enumerate(of, 1)]
-            key, n, ids, log, value, score = zip(*rows)
+            rows = [(key, n, *one) for key, of in zip(own, drawn) for n, one in enumerate(of, 1)]
+            key, n, edges, log, value, score = zip(*rows)
+            ids, sizes = lat.ids(np.concatenate(edges), np.array([len(e) for e in edges]))
+            ids, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(sizes).tolist()
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(key, pa.string()),
                     pa.array(n, pa.int32()),
-                    pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
-                    pa.array([len(x) for x in ids], pa.int64()),
+                    pa.array([ids[4 * a : 4 * b].tobytes() for a, b in zip([0, *ends], ends)], pa.binary()),
+                    pa.array(sizes, pa.int64()),
                     *[pa.array(x, pa.float64()) for x in (log, value, score)],
                 ],
                 names=["key", "sample", "ids", "n_pieces", "log_prob", "perturbed", "inclusion"],

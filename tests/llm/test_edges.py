@@ -415,6 +415,31 @@ def test_gumbel_top_k_has_the_right_distribution():
     assert pair[1][0][2] == sampled_pieces.sample(lat, [roots], [2], 2)[0][0][2]
 
 
+def test_most_used_words_are_built_once(monkeypatch):
+    lat = sampled_pieces.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
+    built, add = Counter(), sampled_pieces.Lattice._add
+    monkeypatch.setattr(sampled_pieces.Lattice, "_add", lambda self, words: (built.update(words), add(self, words)))
+    monkeypatch.setattr(sampled_pieces, "CACHE_EDGES", 2000)
+    often = "the model ☃ learns, été 日本 ☃☃ words!"
+    first = None
+    for i in range(12):
+        fresh = " ".join("".join(rng.choice(list("abcdeé☃"), 7)) for _ in range(30))
+        lat.make_room()
+        texts = [often, f"{often} {fresh}  ", ""]
+        roots = lat.roots(texts)
+        for text, drawn in zip(texts, sampled_pieces.sample(lat, roots, [1, i, 2], 4)):
+            ids, sizes = lat.ids(np.concatenate([d[0] for d in drawn]), np.array([len(d[0]) for d in drawn]))
+            own = np.split(ids, np.cumsum(sizes)[:-1])
+            assert len({x.tobytes() for x in own}) == len(own) == (4 if text else 1)
+            assert {lat.decode(x.tolist()) for x in own} == {lat.decode(lat.encode(text))}
+            assert all(d[1] == pytest.approx(np.log(lat._share.array[d[0]]).sum()) for d in drawn)
+            if text is often:  # what was kept draws as what was built
+                first = first or [x.tolist() for x in own]
+                assert [x.tolist() for x in own] == first
+    assert len(built) > 300 and lat._next.size < 4000
+    assert {built[w] for w in ("▁the", "▁model", "▁learns", "▁words", "▁☃☃")} == {1}
+
+
 def test_pipeline_follows_its_stages(spark, sf_dir):
     import corpus_pipeline
 
