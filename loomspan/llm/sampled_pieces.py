@@ -25,7 +25,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -46,6 +45,11 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _END = 0x1FFFFF
 #: Bits of a slot of the table of trie keys; -2 marks slots of several keys.
 _SLOT_BITS = 20
+#: Where there is no piece.
+_NONE = np.iinfo(np.int32).min
+
+#: Factors of the characters of a word in its hash, by place.
+_FACTORS = np.random.default_rng(1).integers(1, 1 << 64, 1024, np.uint64)
 
 _lattices: dict[str, "Lattice"] = {}
 
@@ -56,6 +60,11 @@ class _Growing:
     def __init__(self, kind):
         self._all, self.size = np.zeros(1 << 12, kind), 0
 
+    def keep(self, values) -> None:
+        """Only these, at most as many as there are."""
+        self.size = len(values)
+        self._all[: self.size] = values
+
     def extend(self, values) -> None:
         end = self.size + len(values)
         if end > len(self._all):
@@ -68,14 +77,6 @@ class _Growing:
         return self._all[: self.size]
 
 
-class _Numbered(dict):
-    """Numbers what is looked up, from 0."""
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
 class Lattice:
     """Word lattices of one SentencePiece model.
 
@@ -147,7 +148,12 @@ class Lattice:
         return good, self._to[hit[good]]
 
     def _reset(self) -> None:
-        self._words, self._root, self._uses = _Numbered(), _Growing(np.int64), _Growing(np.int64)
+        # of every word its root, uses and hash; where its characters begin; words whose hash another has
+        self._root, self._uses, self._hash = _Growing(np.int64), _Growing(np.int64), _Growing(np.uint64)
+        self._chars, self._from, self._clash = _Growing(np.uint32), _Growing(np.int64), {}
+        self._from.extend([0])
+        self._table_bits = 18
+        self._tabulate()
         self._several: list[tuple[int, ...]] = []
         self._first, self._next, self._piece = _Growing(np.int32), _Growing(np.int32), _Growing(np.int32)
         self._share, self._log, self._upto = _Growing(np.float64), _Growing(np.float64), _Growing(np.float64)
@@ -161,23 +167,85 @@ class Lattice:
 
     def roots(self, texts: list[str | None]) -> list[np.ndarray]:
         """Of each text the first node of each word's lattice, for the model's normal form of it."""
-        words, found = self._words, [self.model.normalize(t) if t else "" for t in texts]
-        sizes, text, known = np.array([len(t) for t in found], np.int64), "".join(found), len(words)
-        kind = self._class[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        found = [self.model.normalize(t) if t else "" for t in texts]
+        sizes, text = np.array([len(t) for t in found], np.int64), "".join(found)
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self._class[chars]
         # a word is white space and then characters of one class; none goes on in the next text
         ends = np.cumsum(sizes)
         begins = np.ones(len(kind), bool)
         begins[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != 2)
         begins[(ends - sizes)[sizes > 0]] = True
         begin = np.flatnonzero(begins)
-        at = begin.tolist()
-        number = np.array(list(map(words.__getitem__, map(text.__getitem__, map(slice, at, [*at[1:], len(text)])))), np.int64)
-        if len(words) > known:
-            self._add(list(islice(words, known, None)))
+        number = self._numbers(text, chars, begin) if len(begin) else begin
         uses = self._uses.array
         uses += np.bincount(number, minlength=len(uses))
         return np.split(self._root.array[number], np.searchsorted(begin, ends[:-1]))
 
+    def _numbers(self, text: str, chars: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """The number of every word of a text; words are found by hashes and compared character by character."""
+        end = np.append(begin[1:], len(chars))
+        sizes, place = end - begin, np.arange(len(chars))
+        own = self._hashes(chars, begin, place - np.repeat(begin, sizes))
+        number = self._find(own)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            first = np.sort(new[np.unique(own[new], return_index=True)[1]])
+            known = self._root.size
+            self._add([text[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist())])
+            self._hash.extend(own[first])
+            if self._root.size > 1 << self._table_bits - 2:
+                self._table_bits += 1
+                self._tabulate()
+            else:
+                self._place(np.arange(known, self._root.size))
+            number[new] = self._find(own[new])
+        start = self._from.array
+        other = start[number + 1] - start[number] != sizes
+        place += np.repeat(start[number] - begin, sizes)
+        differ = self._chars.array.take(place, mode="clip") != chars
+        if differ.any():
+            other |= np.logical_or.reduceat(differ, begin)
+        for i in np.flatnonzero(other).tolist():
+            word = text[begin[i] : end[i]]
+            if word not in self._clash:
+                self._clash[word] = self._root.size
+                self._add([word])
+                self._hash.extend(own[i : i + 1])
+            number[i] = self._clash[word]
+        return number
+
+    @staticmethod
+    def _hashes(chars: np.ndarray, begin: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """A hash of every word, from its characters and their places in it."""
+        own = np.add.reduceat((chars + np.uint64(1)) * _FACTORS[place & len(_FACTORS) - 1], begin)
+        return (own ^ (own >> np.uint64(32))) * _ODD
+
+    def _find(self, own: np.ndarray) -> np.ndarray:
+        """The first word's number of each hash, or -1."""
+        number, known, at = np.full(len(own), -1), self._hash.array, np.arange(len(own))
+        slot = (own >> np.uint64(64 - self._table_bits)).astype(np.int64)
+        while len(at) and len(known):
+            here = self._table[slot]
+            same = (here >= 0) & (known[here] == own)
+            number[at[same]] = here[same]
+            on = np.flatnonzero((here >= 0) & ~same)
+            at, own, slot = at[on], own[on], slot[on] + 1 & len(self._table) - 1
+        return number
+
+    def _place(self, number: np.ndarray) -> None:
+        """Puts words, of different hashes, in the table."""
+        slot = (self._hash.array[number] >> np.uint64(64 - self._table_bits)).astype(np.int64)
+        while len(number):
+            free = self._table[slot] < 0
+            self._table[slot[free]] = number[free]
+            on = np.flatnonzero(self._table[slot] != number)
+            number, slot = number[on], slot[on] + 1 & len(self._table) - 1
+
+    def _tabulate(self) -> None:
+        self._table = np.full(1 << self._table_bits, -1, np.int32)
+        self._place(np.setdiff1d(np.arange(self._hash.size), list(self._clash.values())).astype(np.int64))
+
     def _add(self, words: list[str]) -> None:
         """Adds the lattices of new words, some at a time."""
         part, held = [], 0
@@ -206,19 +274,20 @@ class Lattice:
             good, state = self._follow(state, chars[at + step])
             at, step = at[good], step + 1
             whole = np.flatnonzero(self._id_of[state] >= 0)
-            found.append((at[whole], state[whole]))
-        wide = len(found)
+            if len(at):
+                found.append((at[whole], state[whole]))
+        wide = max(len(found), 1)
         lengths = np.arange(wide, 0, -1)
         # positions stand by what is left of their words, so that a step back is a slice
         order = np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")
         rank = np.empty(n, np.int64)
         rank[order] = np.arange(n)
-        log, piece = np.full((wide, n), -np.inf), np.zeros((n, wide), np.int32)
+        log, piece = np.full((wide, n), -np.inf), np.full((n, wide), _NONE, np.int32)
         for step, (at, state) in enumerate(found, 1):
             log[wide - step, rank[at]] = self._log_of[state]
             piece[at, wide - step] = self._id_of[state]
         # characters without a piece
-        bare = np.flatnonzero((log[wide - 1][rank] == -np.inf) & (left > 0))
+        bare = np.flatnonzero((piece[:, wide - 1] == _NONE) & (left > 0))
         if len(bare):
             raw = [text[i].encode("utf-8", "surrogatepass") for i in bare.tolist()]
             piece[bare, wide - 1] = -len(self._several) - 1 - np.arange(len(bare))
@@ -227,9 +296,10 @@ class Lattice:
         # log-sums of what lies below, from the ends of words backwards, all words at once
         below = np.zeros(n + wide)
         cuts = np.cumsum(np.bincount(left)).tolist()
-        for a, b in zip(cuts, cuts[1:]):
-            here, own = order[a:b], log[:, a:b]
-            own += below[here + lengths[:, None]]
+        for a, b, low in zip(cuts, cuts[1:], range(wide - 1, -len(cuts), -1)):
+            low = max(low, 0)  # no piece is longer than what is left
+            here, own = order[a:b], log[low:, a:b]
+            own += below[here + lengths[low:, None]]
             most = own.max(0)
             own -= most
             top = own == 0
@@ -238,11 +308,11 @@ class Lattice:
             total = np.log1p(others.sum(0) + (top.sum(0) - 1))  # exact beside a piece that leaves next to nothing
             below[here] = most + total
             own -= total
-        log = log.T[rank].ravel()
-        edge = np.flatnonzero(log > -np.inf)
-        log, piece = log[edge], piece.ravel()[edge]
-        begin = edge // wide
-        to = begin + lengths[edge - begin * wide]
+        piece = piece.ravel()
+        edge = np.flatnonzero(piece != _NONE)
+        piece, begin = piece[edge], edge // wide
+        column = edge - begin * wide
+        log, to = log[column, rank[begin]], begin + lengths[column]
         upto = np.cumsum(np.bincount(begin, minlength=n))
         share = np.maximum(np.exp(log), 1e-300)
         sums = np.concatenate([[0.0], np.cumsum(share)])
@@ -254,33 +324,41 @@ class Lattice:
         self._next.extend(np.where(left[to] > 0, base + to, -1))
         self._piece.extend(piece)
         self._root.extend(base + stops - sizes)
+        self._from.extend(self._chars.size + np.cumsum(sizes))
+        self._chars.extend(chars[left > 0])
         self._uses.extend(np.zeros(len(words), np.int64))
 
     def make_room(self) -> None:
         """Keeps, if there are too many edges, half as many of them, of the words most used (more than once)."""
         if self._next.size <= CACHE_EDGES:
             return
-        words, several = list(self._words), self._several
+        several = self._several
         first, root, uses = self._first.array, self._root.array, self._uses.array
         nodes = np.diff(root, append=len(first) - 1)
         edges = first[root + nodes] - first[root]
         order = np.argsort(-uses, kind="stable")
         keep = uses > 1
+        keep[list(self._clash.values())] = False
         keep[order[np.cumsum(edges[order]) > CACHE_EDGES // 2]] = False
         node, edge = np.repeat(keep, nodes), np.repeat(keep, edges)
         moved = np.append(np.cumsum(node) - 1, -1)
         to, piece = moved[self._next.array[edge]], self._piece.array[edge]
         bare = np.flatnonzero(piece < 0)
-        kept = [several[-i - 1] for i in piece[bare].tolist()]
+        self._several = [several[-i - 1] for i in piece[bare].tolist()]
         piece[bare] = -1 - np.arange(len(bare))
-        columns = [(name, getattr(self, name).array[edge]) for name in ("_share", "_log", "_upto")]
-        sizes, root, uses = np.diff(first)[node], moved[root[keep]], uses[keep] // 2
-        self._reset()
-        self._several = kept
-        for name, column in (*columns, ("_next", to), ("_piece", piece), ("_first", np.cumsum(sizes)), ("_root", root), ("_uses", uses)):
-            getattr(self, name).extend(column)
-        for i in np.flatnonzero(keep).tolist():
-            self._words[words[i]]
+        for column in (self._share, self._log, self._upto):
+            column.keep(column.array[edge])
+        self._next.keep(to)
+        self._piece.keep(piece)
+        self._first.keep(np.concatenate([[0], np.cumsum(np.diff(first)[node])]))
+        self._root.keep(moved[root[keep]])
+        self._uses.keep(uses[keep] // 2)
+        sizes = np.diff(self._from.array)
+        self._chars.keep(self._chars.array[np.repeat(keep, sizes)])
+        self._from.keep(np.concatenate([[0], np.cumsum(sizes[keep])]))
+        self._hash.keep(self._hash.array[keep])
+        self._clash = {}
+        self._tabulate()
 
     def ids(self, edges: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of segmentations that follow one another, ``sizes`` edges each, and their numbers of pieces."""
@@ -330,19 +408,16 @@ def _down(lat: Lattice, node: np.ndarray, slot: np.ndarray, seed: np.ndarray) ->
     walk, step, out, size = np.arange(len(node)), 0, [], np.zeros(len(node), np.int64)
     while len(node):
         edge = first[node]
-        last = first[node + 1] - 1
-        several = np.flatnonzero(last > edge)
-        if len(several):
-            u = _mix(_hash(noise[several], np.uint64(step)))
-            here, last = edge[several], last[several]
-            # long pieces stand first, so that few steps find most
-            beyond = np.flatnonzero(upto[here] <= u)
-            beyond = beyond[here[beyond] < last[beyond]]
-            while len(beyond):
-                at = here[beyond] + 1
-                here[beyond] = at
-                beyond = beyond[(upto[at] <= u[beyond]) & (at < last[beyond])]
-            edge[several] = here
+        u = _mix(_hash(noise, np.uint64(step)))
+        # long pieces stand first, so that few steps find most
+        beyond = np.flatnonzero(upto[edge] <= u)
+        last = first[node[beyond] + 1] - 1
+        more = edge[beyond] < last
+        while more.any():
+            beyond, last = beyond[more], last[more]
+            at = edge[beyond] + 1
+            edge[beyond] = at
+            more = (upto[at] <= u[beyond]) & (at < last)
         out.append((walk, edge))
         step += 1
         to = following[edge]

@@ -440,6 +440,26 @@ def test_most_used_words_are_built_once(monkeypatch):
     assert {built[w] for w in ("▁the", "▁model", "▁learns", "▁words", "▁☃☃")} == {1}
 
 
+def test_words_of_equal_hashes_stay_apart(monkeypatch):
+    texts = [None, "", "a", "  ▁a!! a", "the cat\n\nthe ☃ 日本", "x" * 3000, *("".join(rng.choice(list("ab ▁!é1☃\n"), 40)) for _ in range(60))]
+
+    def drawn():
+        lat, out = sampled_pieces.Lattice(public_tokenizers.path("piece_bpe_32k.model")), []
+        for part in (texts[:20], texts, texts[30:]):
+            lat.make_room()
+            for of in sampled_pieces.sample(lat, lat.roots(part), list(range(len(part))), 3):
+                ids, _ = lat.ids(np.concatenate([d[0] for d in of]), np.array([len(d[0]) for d in of]))
+                out.append((ids.tolist(), [d[1:] for d in of]))
+        return out
+
+    want, hashes = drawn(), sampled_pieces.Lattice._hashes
+    for edges in (10**6, 500):
+        monkeypatch.setattr(sampled_pieces, "CACHE_EDGES", edges)
+        monkeypatch.setattr(sampled_pieces.Lattice, "_hashes", staticmethod(lambda *a: hashes(*a) >> np.uint64(60)))
+        for (ids, numbers), (other, others) in zip(want, drawn(), strict=True):
+            assert ids == other and np.allclose(numbers, others)
+
+
 def test_pipeline_follows_its_stages(spark, sf_dir):
     import corpus_pipeline
 
