@@ -317,7 +317,9 @@ class Lattice:
         share = np.maximum(np.exp(log), 1e-300)
         sums = np.concatenate([[0.0], np.cumsum(share)])
         base = self._first.size - 1
-        self._upto.extend(np.minimum(sums[1:] - sums[np.concatenate([[0], upto[:-1]])][begin], 1.0))
+        reach = np.minimum(sums[1:] - sums[np.concatenate([[0], upto[:-1]])][begin], 1.0)
+        reach[upto[left > 0] - 1] = 1.0
+        self._upto.extend(reach)
         self._first.extend(self._next.size + upto)
         self._share.extend(share)
         self._log.extend(np.maximum(log, math.log(1e-300)))  # 0 where there is no choice
@@ -394,7 +396,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _hash(seed: np.ndarray, at: np.ndarray) -> np.ndarray:
     """What ``_mix`` takes, for every seed and place."""
-    return seed + np.atleast_1d(np.asarray(at).astype(np.uint64)) * _ODD
+    return seed + at.astype(np.uint64) * _ODD
 
 
 def key_seed(key: object, seed: int) -> int:
@@ -408,16 +410,15 @@ def _down(lat: Lattice, node: np.ndarray, slot: np.ndarray, seed: np.ndarray) ->
     walk, step, out, size = np.arange(len(node)), 0, [], np.zeros(len(node), np.int64)
     while len(node):
         edge = first[node]
-        u = _mix(_hash(noise, np.uint64(step)))
-        # long pieces stand first, so that few steps find most
-        beyond = np.flatnonzero(upto[edge] <= u)
-        last = first[node[beyond] + 1] - 1
-        more = edge[beyond] < last
-        while more.any():
-            beyond, last = beyond[more], last[more]
-            at = edge[beyond] + 1
-            edge[beyond] = at
-            more = (upto[at] <= u[beyond]) & (at < last)
+        reach = upto[edge]
+        if reach.min() < 1:
+            u = _mix(noise + np.uint64(step * int(_ODD) & (1 << 64) - 1))
+            # long pieces stand first, so that few steps find most; a node's last edge reaches 1
+            beyond = np.flatnonzero(reach <= u)
+            while len(beyond):
+                at = edge[beyond] + 1
+                edge[beyond] = at
+                beyond = beyond[upto[at] <= u[beyond]]
         out.append((walk, edge))
         step += 1
         to = following[edge]
@@ -464,12 +465,6 @@ def sample(lat: Lattice, texts: list[np.ndarray], seeds: list[int], k: int) -> l
             break
         own = seeds + np.uint64((round_ + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
         draws = _mix(_hash(own[:, None], np.arange(6).astype(np.uint64) + np.uint64(1 << 63))).tolist()
-        # of every text that is searched on, all words are walked down
-        sizes = np.array([len(texts[t]) for t in live])
-        bases = np.cumsum(sizes) - sizes
-        slot = np.arange(sizes.sum()) - np.repeat(bases, sizes)
-        walked, begin = _down(lat, np.concatenate([texts[t] for t in live]), slot, np.repeat(own[live], sizes))
-        logs = log_share[walked]
         turns = []
         for t in live:
             best = max(range(len(queues[t])), key=lambda i: queues[t][i][0])
@@ -508,31 +503,34 @@ def sample(lat: Lattice, texts: list[np.ndarray], seeds: list[int], k: int) -> l
                 mass = prefix + math.log(sum(shares[:pick]) + sum(shares[pick + 1 :]))
                 queues[t].append((_truncated(value, mass, u[4]), prefix, path, v, v + 1, 0.0, (*shut, e)))
             turns.append((t, value, prefix, path, v, word, e, int(following[e])))
-        # what is left of words that were left within
-        parts = [(to, w, t) for t, *_, w, _, to in turns if to >= 0]
-        to, w, t = np.array(parts, np.int64).reshape(-1, 3).T
-        short, cut = _down(lat, to, w, own[t])
-        done = 0
+        # what is left of words that were left within, and the words behind them, are walked down
+        roots = [x for t, *_, w, _, to in turns for x in (((to,),) if to >= 0 else ()) + (texts[t][w + 1 :],)]
+        within = np.array([to >= 0 for *_, to in turns])
+        after = np.array([w + 1 for *_, w, _, _ in turns])
+        sizes = np.array([len(texts[t]) for t in live]) - after + within
+        bases = np.cumsum(sizes) - sizes
+        slot = np.arange(sizes.sum()) + np.repeat(after - within - bases, sizes)
+        walked, begin = _down(lat, np.concatenate(roots), slot, np.repeat(own[live], sizes))
+        logs = log_share[walked]
         for (t, value, prefix, path, v, w, e, to), base, size in zip(turns, bases.tolist(), sizes.tolist()):
-            part, shift, head = slice(begin[base + w + 1], begin[base + size]), 0, []
+            part, shift, heads = slice(begin[base], begin[base + size]), 0, 0
             whole, log = walked[part], logs[part]
             then, rest = prefix, float(log.sum())
+            marks = begin[base : base + size + 1]
             if path is not None:
-                head, shift = [e], path[2] + v
+                shift, heads = path[2] + v, 1
                 if to >= 0:
-                    head += short[cut[done] : cut[done + 1]].tolist()
-                    done += 1
-                whole = np.concatenate([path[0][:shift], head, whole])
-                own_logs = log_share[head]
-                then += float(own_logs[0])
-                rest += float(own_logs[1:].sum())
+                    heads, marks = 1 + int(marks[1] - marks[0]), marks[1:]
+                whole = np.concatenate([path[0][:shift], [e], whole])
+                own_log = log_share[e : e + 1]
+                then += float(own_log[0])
                 if round_ + 1 < k:
-                    log = np.concatenate([own_logs, log])
+                    log = np.concatenate([own_log, log])
             found[t].append((whole, then + rest, value))
             if rest < 0:
                 mass = then + math.log(-math.expm1(rest))
-                left = (whole, log, shift, w, len(head), begin[base + w + 1 : base + size + 1])
-                queues[t].append((_truncated(value, mass, draws[t][5]), then, left, min(len(head), 1), len(log), rest, ()))
+                left = (whole, log, shift, w, heads, marks)
+                queues[t].append((_truncated(value, mass, draws[t][5]), then, left, min(heads, 1), len(log), rest, ()))
     out = []
     for t in range(m):
         bound = max([q[0] for q in queues[t]], default=-math.inf)
